@@ -5,18 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
+from .embed_dedup import near_vectors
 from .minhash import near_duplicates
+from .substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file; imported here only, so that operators take paths."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole document and their decoded text, as digests."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_digests(docs, tokenizer_path())
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every repeated 35-word passage from all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at 0.85 on five-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85, words=5)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors within each label at cosine 0.98."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 #: Words as the operators take them: white space of ASCII only.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -38,5 +65,36 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.low) AS component_id,
 FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-QUERIES = {"op8_minhash": op8_minhash}
-ORACLE_SQL = {"op8_minhash": _OP8}
+_OP7 = rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(words) >= 35 THEN range(1, len(words) - 33) ELSE [] END) AS i, words FROM w),
+v AS (SELECT doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) AS h FROM s),
+r AS (SELECT doc_id, i FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r),
+o AS (SELECT p.doc_id, count(c.k) AS n_removed, string_agg(p.word, ' ' ORDER BY p.k) FILTER (c.k IS NULL) AS kept
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.k = c.k GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN o ON w.doc_id = o.doc_id
+"""
+
+_OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS norm FROM v
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(x, x) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.x) = len(b.x) AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS node, vec_id AS low FROM v UNION SELECT l.b, r.low FROM r JOIN l ON r.node = l.a WHERE r.low < l.b)
+SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.low) AS component_id, v.vec_id = min(r.low) AS kept
+FROM v JOIN r ON r.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id
+"""
+
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op7_substring": op7_substring,
+    "op8_minhash": op8_minhash,
+    "op9_embedding_dedup": op9_embedding_dedup,
+}
+ORACLE_SQL = {"op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9}
