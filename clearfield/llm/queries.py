@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_digests
+from .chat import format_conversations, loss_text, read_back
+from .common import Durable, n_words
 from .embed_dedup import near_vectors
 from .minhash import near_duplicates
+from .mixing import mix_sources
+from .sharding import shard
 from .substring import remove_repeats
 
 
@@ -22,6 +26,49 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents at weights 5, 2, 1, 150% of all words, each source twice at most."""
+    sized = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    docs = Durable(spark).put("sizes", sized)
+    mixed = mix_sources(docs.withColumnRenamed("size", "words"), budget=1.5, most=2.0, size="words")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    trap = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text")
+    )
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = format_conversations(turns).select("conv_id", "valid", "formatted", "spans", read_back(F.col("formatted")).alias("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = made.withColumn("loss", loss_text(F.col("formatted"), F.col("spans")))
+    return trained.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose row counts differ by one at most."""
+    text = F.col("text").cast("binary")
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.coalesce(text, F.lit(b""))).alias("text_crc32"),
+    )
+    rows = Durable(docs.sparkSession).put("rows", docs)
+    return shard(rows, 24, "doc_id", "text_crc32", "size", seed=5).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document and their decoded text, as digests."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,10 +138,30 @@ SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.low) AS component
 FROM v JOIN r ON r.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id GROUP BY v.vec_id
 """
 
+_OP4 = r"""
+WITH c AS (
+  SELECT conv_id, coalesce(turn, -4611686018427387904) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT unnest(['</s>', '<s>', '[/INST]', '[/OUT]', '[/ROLE]', '[/SYS]', '[/TURN]', '[INST]', '[OUT]', '[ROLE]', '[SYS]']) AS mark),
+s AS (SELECT conv_id, turn, role, text,
+    length(replace(text, '\', '\\')) + (SELECT sum((length(text) - length(replace(text, mark, ''))) // length(mark)) FROM m) AS n,
+    length(replace(role, '\', '\\')) + (SELECT sum((length(role) - length(replace(role, mark, ''))) // length(mark)) FROM m) AS k,
+    CASE role WHEN 'system' THEN 3 + 5 + 10 WHEN 'user' THEN 3 + 6 + 11 WHEN 'assistant' THEN 3 + 5 + 10 ELSE 3 + 6 + 7 + 11 END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + marks + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 ELSE k END) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)*ua?') AS valid
+FROM s GROUP BY conv_id
+"""
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op4_chat": op4_chat,
+    "op5_sharding": op5_sharding,
     "op2_bpe": op2_bpe,
     "op7_substring": op7_substring,
     "op8_minhash": op8_minhash,
     "op9_embedding_dedup": op9_embedding_dedup,
 }
-ORACLE_SQL = {"op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9}
+ORACLE_SQL = {"op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9}
