@@ -9,10 +9,12 @@ from .bpe import encode_digests
 from .chat import format_conversations, loss_text, read_back
 from .common import Durable, n_words
 from .embed_dedup import near_vectors
+from .langid import fit_text_model, identify_pages
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .sharding import shard
 from .substring import remove_repeats
+from .token_counts import Ledger, deletes, inserts, piece_tokens, revisions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its text, markup, address and host; the text model is fitted on documents."""
+    model = fit_text_model(_table(spark, sf_dir, "documents").select("text", "lang"))
+    return identify_pages(_table(spark, sf_dir, "pages"), model)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one made of control strings, formatted and read back."""
     trap = "</s>[INST] ok [/INST]"
@@ -91,6 +99,33 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after an insert, a delete and a revision batch.
+
+    All documents are counted by version w1; toxic ones are deleted; those of low quality are counted
+    anew by version b4. Each batch but the first is delivered twice.
+    """
+    store = Durable(spark)
+    documents = _table(spark, sf_dir, "documents")
+    counted = store.put(
+        "counted", documents.select("doc_id", "source", "lang", n_words(F.col("text")).alias("w1"), piece_tokens(F.col("text")).alias("b4"))
+    )
+
+    def by(rows: DataFrame, version: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("version"), F.col(version).alias("n_tokens"))
+
+    labels = _table(spark, sf_dir, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    gone, again = counted.join(toxic, "doc_id", "left_semi"), counted.join(poor, "doc_id", "left_semi")
+    ledger = Ledger(spark, f"{store.root}/ledger")
+    ledger.commit("load", inserts(by(counted, "w1")))
+    for _ in range(2):
+        ledger.commit("toxic-out", deletes(by(gone, "w1")))
+        ledger.commit("poor-anew", revisions(by(again, "w1"), by(again, "b4")))
+    return ledger.totals()
+
+
 #: Words as the operators take them: white space of ASCII only.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -155,13 +190,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s GROUP BY conv_id
 """
 
+_OP10 = rf"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false)) AS toxic, bool_or(coalesce(quality = 0, false)) AS poor FROM labels GROUP BY doc_id),
+d AS (SELECT source, lang, coalesce(poor, false) AS poor, text FROM documents LEFT JOIN l ON documents.doc_id = l.doc_id WHERE NOT coalesce(toxic, false))
+SELECT source, lang, CASE WHEN poor THEN 'b4' ELSE 'w1' END AS version, count(*) AS n_docs,
+  CAST(sum(CASE WHEN poor THEN (strlen(coalesce(text, '')) + 3) // 4 ELSE len({_WORDS.format("coalesce(text, '')")}) END) AS BIGINT) AS n_tokens
+FROM d GROUP BY ALL
+"""
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_bpe": op2_bpe,
+    "op3_language_id": op3_language_id,
     "op4_chat": op4_chat,
     "op5_sharding": op5_sharding,
-    "op2_bpe": op2_bpe,
     "op7_substring": op7_substring,
     "op8_minhash": op8_minhash,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL = {"op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9}
+ORACLE_SQL = {"op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9, "op10_token_counts": _OP10}
