@@ -13,7 +13,6 @@ letters, is ``und``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_chunks, word_bounds, word_hashes
+from .common import Durable, mix, text_chunks, word_bounds, word_hashes
 
 UNKNOWN = "und"
 #: Slots of the hashed feature table, and how many independent pieces of evidence a text counts as at most.
@@ -106,8 +105,9 @@ class TextModel:
 def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed: int = 3) -> TextModel:
     """Fit on at most ``per_language`` texts a language of rows (text, lang), chosen by hash of the text.
 
-    The sample is taken without a window over a language: each row draws a hash, and the smallest are
-    kept by a bounded aggregate. Null or empty texts and null languages are left out.
+    Each row draws a hash, and of each language the share of draws that gives about the bound is kept;
+    sampled sizes stay below it. Null or empty texts and null languages are left out, and languages
+    beyond the hundred most frequent.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     drawn = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("draw"))
@@ -222,62 +222,84 @@ def _counts(p: Column, size: int) -> list[Column]:
     return [F.sum(F.element_at(p, k + 1)).alias(f"c{k}") for k in range(size)]
 
 
-def identify(scored: DataFrame, model: TextModel, rounds_to: int = 6) -> DataFrame:
-    """scored with lang and confidence.
+@dataclass(frozen=True)
+class Evidence:
+    """What a table says about its languages: the mix, how reliable claims are, and host priors.
 
-    scored: rows with scores and features of text_scores, and the columns declared, suggested and host,
-    each of which may be null, which is no evidence. Columns lang and confidence are replaced.
+    mix: share of each language. claims: by column, log likelihoods (said, is). hosts: a written table
+    of (__host, hc, dp): text-posterior counts of a host, and its domain's smoothed prior.
     """
-    languages, k = model.languages, len(model.languages)
-    text_p = posterior(F.slice("scores", 1, k))
-    rows = scored.withColumn("__p", text_p)
-    prior = rows.where("features > 0").agg(*_counts(F.col("__p"), k)).first()
-    mix_ = np.array([prior[f"c{i}"] or 0.0 for i in range(k)]) + 1.0
-    mix_ /= mix_.sum()
-
-    # Reliability: how often a declared or suggested language goes with each language of the text.
-    def reliability(column: str) -> Column:
-        found = rows.where(F.col(column).isin(list(languages)) & (F.col("features") > 0)).groupBy(column).agg(*_counts(F.col("__p"), k)).collect()
-        seen = np.ones((k, k)) * 0.5 + np.eye(k) * 2.0  # (said, is)
-        for r in found:
+
+    languages: tuple[str, ...]
+    mix: np.ndarray
+    claims: dict[str, np.ndarray]
+    hosts: DataFrame
+
+
+def _lean(counts: Column, on: Column) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(F.arrays_zip(counts.alias("c"), on.alias("o")), lambda z: (z["c"] + LEAN * z["o"]) / (total + LEAN))
+
+
+def _array(values) -> Column:
+    return F.array(*[F.lit(float(x)) for x in values])
+
+
+def gather(scored: DataFrame, languages: tuple[str, ...], store: Durable) -> Evidence:
+    """Evidence over all rows of a table of text_scores with columns host, declared and suggested."""
+    k = len(languages)
+    rows = scored.where("features > 0").select("host", "declared", "suggested", posterior(F.slice("scores", 1, k)).alias("p"))
+    total = rows.agg(*_counts(F.col("p"), k)).first()
+    shares = np.array([total[f"c{i}"] or 0.0 for i in range(k)]) + 1.0
+    shares /= shares.sum()
+    claims = {}
+    for column in ("declared", "suggested"):
+        seen = np.full((k, k), 0.5) + np.eye(k) * 2.0  # (said, is): a claim is taken as likelier right than wrong
+        for r in rows.where(F.col(column).isin(list(languages))).groupBy(column).agg(*_counts(F.col("p"), k)).collect():  # k rows at most
             seen[languages.index(r[column])] += [r[f"c{i}"] for i in range(k)]
-        likely = np.log(seen / seen.sum(axis=0, keepdims=True))
-        out = F.array(*[F.lit(0.0)] * k)
-        for i, said in enumerate(languages):
-            out = F.when(F.col(column) == said, F.array(*[F.lit(float(x)) for x in likely[i]])).otherwise(out)
-        return out
+        claims[column] = np.log(seen / seen.sum(axis=0, keepdims=True))
+    listed = F.array(*[F.col(f"c{i}") for i in range(k)])
+    by_host = rows.where(F.col("host").isNotNull()).groupBy("host").agg(*_counts(F.col("p"), k)).select("host", domain_of(F.col("host")).alias("domain"), listed.alias("hc"))
+    by_domain = by_host.groupBy("domain").agg(*_counts(F.col("hc"), k)).select(F.col("domain").alias("d"), listed.alias("dc"))
+    priors = by_host.join(by_domain, F.col("domain") == F.col("d")).select(F.col("host").alias("__host"), "hc", _lean(F.col("dc"), _array(shares)).alias("dp"))
+    # Written, so that its size is known and decides how it is joined.
+    return Evidence(tuple(languages), shares, claims, store.put("hosts", priors))
 
-    declared, suggested = reliability("declared"), reliability("suggested")
 
-    # Host priors, from all rows: host counts lean on domain counts, those on the table's mix.
-    with_host = rows.where(F.col("host").isNotNull() & (F.col("features") > 0))
-    by_host = with_host.groupBy("host").agg(*_counts(F.col("__p"), k)).select("host", domain_of(F.col("host")).alias("domain"), F.array(*[F.col(f"c{i}") for i in range(k)]).alias("hc"))
-    by_domain = by_host.groupBy("domain").agg(*_counts(F.col("hc"), k)).select(F.col("domain").alias("d"), F.array(*[F.col(f"c{i}") for i in range(k)]).alias("dc"))
-    base = F.array(*[F.lit(float(x)) for x in mix_])
+def decide(rows: DataFrame, evidence: Evidence) -> DataFrame:
+    """rows with lang and confidence.
 
-    def lean(counts: Column, on: Column) -> Column:
-        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(F.arrays_zip(counts.alias("c"), on.alias("o")), lambda z: (z["c"] + LEAN * z["o"]) / (total + LEAN))
+    rows: scores and features of text_scores, and host, declared and suggested, each of which may be
+    null, which is no evidence. Columns lang and confidence are replaced.
+    """
+    languages, k = evidence.languages, len(evidence.languages)
+    kept = [c for c in rows.columns if c not in ("lang", "confidence")]
+
+    def claim(column: str) -> Column:
+        out = _array([0.0] * k)
+        for i, said in enumerate(languages):
+            out = F.when(F.col(column) == said, _array(evidence.claims[column][i])).otherwise(out)
+        return out
 
-    priors = by_host.join(by_domain, F.col("domain") == F.col("d")).select(F.col("host").alias("__host"), "hc", "dc")
-    priors = priors.withColumn("dp", lean(F.col("dc"), base)).withColumn("__hp", lean(F.col("hc"), F.col("dp"))).select("__host", "__hp", "hc", "dp")
-    joined = rows.join(priors, F.col("host") == F.col("__host"), "left")
-    # A row's own text must not be counted twice, so its share is taken out of its host's counts.
-    less = F.transform(F.arrays_zip(F.col("hc").alias("c"), F.when(F.col("features") > 0, F.col("__p")).otherwise(F.array(*[F.lit(0.0)] * k)).alias("o")), lambda z: F.greatest(z["c"] - z["o"], F.lit(0.0)))
-    host_prior = F.coalesce(lean(less, F.col("dp")), base)
+    base = _array(evidence.mix)
+    joined = rows.join(evidence.hosts, F.col("host") == F.col("__host"), "left").withColumn("__p", posterior(F.slice("scores", 1, k)))
+    # A row's own text must not count twice, so its share is taken out of its host's counts.
+    own = F.when(F.col("features") > 0, F.col("__p")).otherwise(_array([0.0] * k))
+    rest = F.transform(F.arrays_zip(F.col("hc").alias("c"), own.alias("o")), lambda z: F.greatest(z["c"] - z["o"], F.lit(0.0)))
+    joined = joined.withColumn("__prior", F.coalesce(_lean(rest, F.col("dp")), base))
     fused = F.transform(
-        F.arrays_zip(F.slice("scores", 1, k).alias("s"), host_prior.alias("h"), declared.alias("d"), suggested.alias("a")),
+        F.arrays_zip(F.slice("scores", 1, k).alias("s"), F.col("__prior").alias("h"), claim("declared").alias("d"), claim("suggested").alias("a")),
         lambda z: z["s"] + F.ln(z["h"]) + z["d"] + z["a"],
     )
-    joined = joined.withColumn("__f", fused).withColumn("__q", posterior(F.col("__f")))
+    joined = joined.withColumn("__q", posterior(fused))
     best = F.array_position("__q", F.array_max("__q")).cast("int")
     named = F.element_at(F.array(*[F.lit(x) for x in languages]), best)
     # The background has score 0: it wins where no language explains the text better than noise.
     noise = (F.col("features") == 0) | (F.array_max(F.slice("scores", 1, k)) < 0)
-    return (
-        joined.withColumn("lang", F.when(noise, F.lit(UNKNOWN)).otherwise(named))
-        .withColumn("confidence", F.when(noise, F.lit(0.0)).otherwise(F.round(F.array_max("__q"), rounds_to)))
-        .drop("__p", "__f", "__q", "__host", "__hp", "hc", "dp")
+    return joined.select(
+        *kept,
+        F.when(noise, F.lit(UNKNOWN)).otherwise(named).alias("lang"),
+        F.when(noise, F.lit(0.0)).otherwise(F.round(F.array_max("__q"), 6)).alias("confidence"),
     )
 
 
@@ -288,6 +310,7 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     and is ``und``, whatever it declares; a null or malformed url has no host and suggests nothing.
     Repeated rows are rows; rows of a table without any letters are all ``und``.
     """
+    store = Durable(pages.sparkSession)
     rows = pages.select(
         "page_id",
         host_of(F.col("url")).alias("host"),
@@ -295,29 +318,22 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
         address_language(F.col("url"), model.languages).alias("suggested"),
         page_text(F.col("html")).alias("text"),
     )
-    scored = text_scores(rows, model)
-    return identify(scored, model).select("page_id", "host", "declared", "suggested", "features", "lang", "confidence")
+    scored = store.put("scored", text_scores(rows, model))
+    named = decide(scored, gather(scored, model.languages, store))
+    return named.select("page_id", "host", "declared", "suggested", "features", "lang", "confidence")
 
 
 def keep_known(docs: DataFrame, model: TextModel) -> DataFrame:
-    """docs, all columns, without those whose text is in no language of the model.
+    """docs with lang as identified, without those in no language of the model.
 
-    What goes is ``und``: texts without a single word of letters, and texts that noise explains better
-    than every language. Null and empty texts go. docs needs text; the text alone decides.
+    The lang column counts as declared, the source as host. What goes is ``und``: texts without a word
+    of letters, null and empty ones too, and texts that noise explains better than every language. docs
+    needs text, lang and source.
     """
-    kept = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            scores, n = model.scores(batch.column("text"))
-            good = (n > 0) & (scores[:, :-1].max(axis=1, initial=-np.inf) >= 0)
-            yield batch.filter(pa.array(good))
-
-    return docs.select(*kept).mapInArrow(run, docs.schema)
-
-
-def is_language_code(code: str) -> bool:
-    """Whether a string has the form of a primary language subtag."""
-    return bool(re.fullmatch(r"[a-z]{2,3}", code))
+    store = Durable(docs.sparkSession)
+    claims = {"declared": F.col("lang"), "suggested": F.lit(None).cast("string"), "host": F.col("source")}
+    scored = store.put("scored", text_scores(docs.select(*[c.alias(n) for n, c in claims.items()], "text"), model))
+    evidence = gather(scored, model.languages, store)
+    held = docs.withColumns(claims | {"__text": F.col("text")})
+    named = decide(text_scores(held, model, text="__text"), evidence)
+    return named.where(F.col("lang") != UNKNOWN).select(*docs.columns)

@@ -13,6 +13,7 @@ from .langid import fit_text_model, identify_pages
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .sharding import shard
+from .spotsigs import compare_edited
 from .substring import remove_repeats
 from .token_counts import Ledger, deletes, inserts, piece_tokens, revisions
 
@@ -83,6 +84,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(docs, tokenizer_path())
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    made = compare_edited(_table(spark, sf_dir, "documents"))
+    return made.withColumn("edited_sha256", F.sha2("edited", 256)).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures"
+    )
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every repeated 35-word passage from all documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -204,6 +213,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_chat": op4_chat,
     "op5_sharding": op5_sharding,
+    "op6_fingerprint": op6_fingerprint,
     "op7_substring": op7_substring,
     "op8_minhash": op8_minhash,
     "op9_embedding_dedup": op9_embedding_dedup,

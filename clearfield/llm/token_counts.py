@@ -126,7 +126,6 @@ class Ledger:
         return bool(self._fs.rename(self._path(fresh), self._path(f"{self.folder}/committed")))
 
 
-#: Tokenizer versions by name, each an expression of a text's tokens; null texts have none.
 def word_tokens(text: Column) -> Column:
     """Version w1: words between ASCII white space."""
     from .common import n_words
