@@ -4,8 +4,9 @@ The tree's leaves are the ranks of the adjacent pairs of a word's symbols, order
 the leftmost pair of lowest rank. A merge rewrites two leaves' neighbourhood and climbs to the root, so a
 word of n symbols takes O(n log n) steps until no mergeable pair remains.
 
-Words repeat, so each Python worker keeps the results of up to ``CACHED_WORDS`` short words. Nothing is
-dealt out: a document is encoded where it is read.
+Nothing matches across white space, so a text is its runs of other characters, each encoded by itself. Runs and
+the words in them repeat, so each Python worker remembers results in two generations of bounded size. Nothing
+is dealt out: a document is encoded where it is read.
 """
 
 from __future__ import annotations
@@ -20,9 +21,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Bounds of the per-worker memory of results: how many words, and how long a word may be to be kept.
-CACHED_WORDS, CACHED_LENGTH = 150_000, 64
-_NO_RANK = 1 << 60
+#: Bounds of a worker's memory: runs and words in a generation, and the length up to which one is kept.
+CACHED_RUNS, CACHED_WORDS, CACHED_LENGTH = 200_000, 300_000, 48
+#: Rank of a pair that does not merge, and a tree's node for it.
+_LAST = 1 << 28
+_NONE = (_LAST, -1)
+_NO_RANK = _LAST << 32
+#: Marks that often end a run of letters; none is a letter, a number, white space or an apostrophe.
+_END_MARKS = ".,;:!?#*%&$|)"
+#: Entry of a run without words.
+_NOTHING = (0, "", "")
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,37 +44,40 @@ def byte_letters() -> dict[int, str]:
 
 
 class RankTree:
-    """Minimum of (rank, position) over a row of pair ranks, with point updates."""
+    """Minimum of (rank, position) over a row of pair ranks, with point updates.
 
-    __slots__ = ("size", "tree")
+    A node is rank << 32 | position, so that the smaller number is the lower rank and, of equal ranks,
+    the one further left.
+    """
+
+    __slots__ = ("size", "nodes")
 
     def __init__(self, ranks: list[int]):
         size = 1
         while size < len(ranks):
             size *= 2
         self.size = size
-        tree = [_NO_RANK] * size + ranks + [_NO_RANK] * (size - len(ranks))
-        # A node holds the position of its best leaf; ties go left.
-        best = [0] * size + list(range(size))
+        nodes = [_NO_RANK] * size + [r << 32 | i for i, r in enumerate(ranks)]
+        nodes += [_NO_RANK] * (2 * size - len(nodes))
         for i in range(size - 1, 0, -1):
-            a, b = best[2 * i], best[2 * i + 1]
-            best[i] = a if tree[size + a] <= tree[size + b] else b
-        self.tree = (tree, best)
-
-    def lowest(self) -> tuple[int, int]:
-        tree, best = self.tree
-        at = best[1] if self.size > 1 else 0
-        return tree[self.size + at], at
+            a, b = nodes[2 * i], nodes[2 * i + 1]
+            nodes[i] = a if a < b else b
+        self.nodes = nodes
 
     def put(self, at: int, rank: int) -> None:
-        tree, best = self.tree
-        size = self.size
-        tree[size + at] = rank
-        i = (size + at) >> 1
-        while i:
-            a, b = best[2 * i], best[2 * i + 1]
-            best[i] = a if tree[size + a] <= tree[size + b] else b
+        nodes = self.nodes
+        i = self.size + at
+        now = rank << 32 | at
+        while True:
+            nodes[i] = now
+            if i < 2:
+                return
+            other = nodes[i ^ 1]
+            if other < now:
+                now = other
             i >>= 1
+            if nodes[i] == now:
+                return
 
 
 def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -74,29 +85,50 @@ def merge_word(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]
     n = len(symbols)
     if n < 2:
         return symbols
-    none = (_NO_RANK, -1)
+    get = merges.get
     ids = symbols[:]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    tree = RankTree([merges.get((ids[i], ids[i + 1]), none)[0] for i in range(n - 1)])
+    tree = RankTree([get(pair, _NONE)[0] for pair in zip(ids, ids[1:])])
+    nodes, put = tree.nodes, tree.put
     while True:
-        rank, i = tree.lowest()
-        if rank == _NO_RANK:
-            break
+        best = nodes[1]
+        if best >= _NO_RANK:
+            return [x for x in ids if x >= 0]
+        i = best & 0xFFFFFFFF
         j = after[i]
         ids[i] = merges[ids[i], ids[j]][1]
         ids[j] = -1
         k = after[i] = after[j]
-        if j < n - 1:
-            tree.put(j, _NO_RANK)
         if k < n:
+            put(j, _LAST)
             before[k] = i
-            tree.put(i, merges.get((ids[i], ids[k]), none)[0])
+            put(i, get((ids[i], ids[k]), _NONE)[0])
         else:
-            tree.put(i, _NO_RANK)
+            put(i, _LAST)
         h = before[i]
         if h >= 0:
-            tree.put(h, merges.get((ids[h], ids[i]), none)[0])
-    return [x for x in ids if x >= 0]
+            put(h, get((ids[h], ids[i]), _NONE)[0])
+
+
+class Memory:
+    """Results by key in two generations: when the young one is full, it becomes the old one."""
+
+    __slots__ = ("size", "young", "old")
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str):
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(key) <= CACHED_LENGTH:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
 
 
 class WordBpe:
@@ -132,7 +164,14 @@ class WordBpe:
         letters = byte_letters()
         self.first = [self.vocabulary[letters[b]] for b in range(256)]
         self.last = [self.vocabulary[letters[b] + self.suffix] for b in range(256)]
-        self.known: dict[str, tuple[int, str, str]] = {}
+        kinds = [(s["type"], s.get("pattern"), s.get("content")) for s in self._flat(spec["normalizer"], "normalizers")]
+        usual = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        parts = split["pattern"]["Regex"].split("|")
+        # What else the pattern matches begins with an apostrophe or is a digit.
+        self.simple = kinds == usual and parts[-3:] == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"] and all(p[0] == "'" for p in parts[:-3])
+        # These separate words for str.split, but are no white space for the file's patterns.
+        self.other_space = regex.compile("[\x1c-\x1f]").search
+        self.known_runs, self.known_words = Memory(CACHED_RUNS), Memory(CACHED_WORDS)
 
     @staticmethod
     def _flat(part: dict, inner: str) -> list[dict]:
@@ -155,12 +194,42 @@ class WordBpe:
         return merge_word([*(self.first[b] for b in data[:-1]), self.last[data[-1]]], self.merges)
 
     def _entry(self, word: str) -> tuple[int, str, str]:
-        ids = self.word(word)
-        entry = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
-        if len(word) <= CACHED_LENGTH:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[word] = entry
+        memory = self.known_words
+        entry = memory.young.get(word) or memory.get(word)
+        if entry is None:
+            ids = self.word(word)
+            entry = (len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]))
+            memory.put(word, entry)
+        return entry
+
+    @staticmethod
+    def _letters(run: str) -> list[str] | None:
+        """Words of a run of letters, with or without marks at its end; None for any other run.
+
+        Says at once what normalisers and patterns would find, where the file has the usual ones.
+        """
+        stem = run.rstrip(_END_MARKS)
+        low = stem.lower()
+        if not low.isalpha() or not (stem.isascii() or ("Σ" not in stem and unicodedata.is_normalized("NFC", stem) and unicodedata.is_normalized("NFC", low))):
+            return None
+        return [low] if len(stem) == len(run) else [low, run[len(stem) :]]
+
+    def _run(self, run: str) -> tuple[int, str, str]:
+        """Number of tokens, ids and tokens of a piece of text without special tokens."""
+        words = self._letters(run) if self.simple else None
+        if words is None:
+            plain = run
+            for step in self.steps:
+                plain = step(plain)
+            words = self.words(plain)
+        if len(words) == 1:
+            entry = self._entry(words[0])
+        elif words:
+            n, ids, tokens = zip(*map(self._entry, words), strict=True)
+            entry = (sum(n), " ".join(ids), " ".join(tokens))
+        else:
+            entry = _NOTHING
+        self.known_runs.put(run, entry)
         return entry
 
     def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -174,15 +243,15 @@ class WordBpe:
     def encode_all(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, ids joined by one space, and the decoded text."""
         got: list[tuple[int, str, str]] = []
-        known = self.known
+        memory, one = self.known_runs, self._run
         for piece, special in self._pieces(text):
             if special:
                 got.append((1, str(self.special[piece]), piece))
-                continue
-            for step in self.steps:
-                piece = step(piece)
-            for word in self.words(piece):
-                got.append(known.get(word) or self._entry(word))
+            elif self.other_space(piece):
+                got.append(one(piece))
+            else:
+                got += [memory.young.get(run) or memory.get(run) or one(run) for run in piece.split()]
+        got = [e for e in got if e[0]] if _NOTHING in got else got
         if not got:
             return 0, "", ""
         n, ids, tokens = zip(*got, strict=True)
