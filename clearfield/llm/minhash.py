@@ -5,12 +5,12 @@ A document's set is its distinct k-word shingles over A-Z folded words; two docu
 
 1. One pass over the texts gives each set's size, a 128-bit digest, and band keys of its one-permutation
    sketch. Equal digests are one class; the class goes on as its smallest doc_id.
-2. Classes that share a band key share a bucket. Buckets up to ``small`` classes stay; the classes of larger
-   ones are hashed again, with far more and far sharper bands, so that what still meets there is close.
-3. In each bucket, members are tied to centres as stars: first to the member with the widest company (in a
-   family of copies that is the original), then, only where a bucket still spans several components, to
-   growing samples of its members. A member that has been a centre is done, so that in the end every pair
-   of a bucket is either compared or already connected; no bucket is capped.
+2. Classes that share a band key share a bucket. In each bucket, members are tied as a star to the member
+   with the widest company (in a family of copies that is the original).
+3. Where a bucket still spans several components, stars go on around further members, in growing numbers. A
+   member that has been a centre is done, so that in the end every pair of a bucket is either compared or
+   already connected; no bucket is capped. The classes of crowded buckets meet by their rarest shingles
+   there, which loses no link and holds far fewer false pairs than the bucket does.
 4. Components of the confirmed links give each class, and through it each copy, its smallest doc_id.
 """
 
@@ -41,12 +41,10 @@ class Banding:
         return self.bands * self.rows
 
 
-#: At similarity 0.8 a pair shares no first band with odds of 5e-5, at 0.85 of 4e-7.
-FIRST = Banding(bands=25, rows=5, seed=11)
-#: At 0.8 a pair shares no second band with odds of 1e-4, at 0.85 of 7e-10; at 0.6 it shares one with odds of 0.14.
-SECOND = Banding(bands=200, rows=14, seed=23)
-#: Buckets of more classes than this are dealt anew by the second banding.
-SMALL_BUCKET = 16
+#: At similarity 0.8 a pair shares no band with odds of 5e-5, at 0.85 of 4e-7.
+BANDING = Banding(bands=25, rows=5, seed=11)
+#: Buckets that still hold more classes than this after their first star are dealt anew, by rare shingles.
+SMALL_BUCKET = 32
 
 
 class Sketcher:
@@ -61,74 +59,86 @@ class Sketcher:
     def __init__(self, banding: Banding):
         self.banding = banding
         n = banding.bins
-        self.salt = np.uint64(mix(np.array([banding.seed], dtype=np.uint64))[0])
-        self.edges = (np.arange(n, dtype=np.float64) / n * 2.0**64).astype(np.uint64)
-        self.at_once = np.random.Generator(np.random.PCG64(banding.seed)).integers(0, n, (n, self.PROBES))
-        self.places = mix(np.arange(1, n + 1, dtype=np.uint64) + self.salt)
-        self.names = mix(np.arange(banding.bands, dtype=np.uint64) + self.salt * np.uint64(3))
-
-    def keys(self, members: np.ndarray) -> np.ndarray:
-        """A 64-bit key for each band of a non-empty set of 64-bit hashes."""
-        values = np.sort(mix(members ^ self.salt))
-        at = np.searchsorted(values, self.edges)
-        ends = np.append(at[1:], len(values))
-        filled = ends > at
-        source = np.arange(len(filled))
-        empty = np.flatnonzero(~filled)
-        if len(empty):
-            hits = filled[self.at_once[empty]]
-            found = hits.any(axis=1)
-            source[empty] = self.at_once[empty, hits.argmax(axis=1)]
-            for i in empty[~found]:  # sparse sets: keep probing, by the same rule, until a bin is filled
-                k = np.uint64(self.PROBES)
-                while True:
-                    j = int(mix(np.array([np.uint64(i) + (k << np.uint64(20)) + self.salt]))[0] % np.uint64(len(filled)))
-                    if filled[j]:
-                        source[i] = j
-                        break
-                    k += np.uint64(1)
-        bins = values[at[source]] * self.places
-        return mix(mix(bins).reshape(self.banding.bands, self.banding.rows).sum(axis=1, dtype=np.uint64) + self.names)
-
-
-def sketches(docs: DataFrame, words: int, banding: Banding) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, keys): keys and digest are null for an empty set."""
+        seed = np.array([banding.seed], dtype=np.uint64)
+        self.probes = np.random.Generator(np.random.PCG64(banding.seed)).integers(0, n, (self.PROBES, n))
+        self.ranks = mix(np.arange(n * n, dtype=np.uint64) + mix(seed)).reshape(n, n)
+        self.places = mix(np.arange(1, n + 1, dtype=np.uint64) + mix(seed + np.uint64(1)))
+        self.names = mix(np.arange(banding.bands, dtype=np.uint64) + mix(seed + np.uint64(2)))
+
+    def keys(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Keys (sets, bands) of sorted sets of 64-bit hashes; an empty set's keys mean nothing."""
+        n, bins = len(sets), self.banding.bins
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        doc = np.repeat(np.arange(n), [len(m) for m in sets])
+        # The upper 32 bits, scaled to the number of bins; members are sorted, so the first of a bin is its smallest.
+        cell = doc * bins + ((flat >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        first = np.ones(len(cell), bool)
+        first[1:] = cell[1:] != cell[:-1]
+        values = np.zeros(n * bins, np.uint64)
+        filled = np.zeros(n * bins, bool)
+        values[cell[first]] = flat[first]
+        filled[cell[first]] = True
+        source = np.arange(n * bins)
+        open_ = np.flatnonzero(~filled & np.repeat(np.array([len(m) > 0 for m in sets], bool), bins))
+        for probe in self.probes:
+            if not len(open_):
+                break
+            base = open_ // bins * bins
+            at = base + probe[open_ - base]
+            hit = filled[at]
+            source[open_[hit]] = at[hit]
+            open_ = open_[~hit]
+        if len(open_):  # sparse sets: the filled bin that ranks first for the empty one
+            for d in np.unique(open_ // bins):
+                mine = open_[open_ // bins == d] - d * bins
+                have = np.flatnonzero(filled[d * bins : (d + 1) * bins])
+                source[d * bins + mine] = d * bins + have[self.ranks[np.ix_(mine, have)].argmin(axis=1)]
+        drawn = values[source].reshape(n, bins) * self.places
+        return mix(mix(drawn).reshape(n, self.banding.bands, self.banding.rows).sum(axis=2, dtype=np.uint64) + self.names)
+
+
+def sketches(docs: DataFrame, words: int, banding: Banding = BANDING) -> DataFrame:
+    """Rows (doc_id, n_shingles, digest, keys): the digest is null and keys are empty for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(banding)
+
+        def out(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+            keys = sketcher.keys(sets)
+            digests = [hashlib.blake2b(m.tobytes(), digest_size=16).digest() if len(m) else None for m in sets]
+            listed = lists_of([k if len(m) else m for k, m in zip(keys, sets, strict=True)])
+            sizes = pa.array([len(m) for m in sets], pa.int64())
+            return pa.RecordBatch.from_arrays([ids, sizes, pa.array(digests, pa.binary()), listed], names=["doc_id", "n_shingles", "digest", "keys"])
+
         for batch in batches:
-            sizes, digests, keys = [], [], []
-            for members in shingle_sets(batch.column("text"), words):
-                sizes.append(len(members))
-                digests.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None)
-                keys.append(sketcher.keys(members) if len(members) else members)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists_of(keys)],
-                names=["doc_id", "n_shingles", "digest", "keys"],
-            )
+            for lo, sets in _some(shingle_sets(batch.column("text"), words)):
+                yield out(batch.column("doc_id").cast(pa.int64()).slice(lo, len(sets)), sets)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame, words: int, banding: Banding) -> DataFrame:
-    """Rows (doc_id, members, keys): whole shingle sets, and where ``crowded`` keys of another banding."""
+def _some(sets: Iterator[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Sets in runs of bounded weight, with the number of the first of each run."""
+    held, lo, weight = [], 0, 0
+    for members in sets:
+        held.append(members)
+        weight += len(members) + 100
+        if weight > 1 << 19:
+            yield lo, held
+            lo, held, weight = lo + len(held), [], 0
+    if held:
+        yield lo, held
+
+
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """Rows (doc_id, members): whole shingle sets, as sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(banding)
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            held, keys, lo, weight = [], [], 0, 0
-            crowded = batch.column("crowded").to_pylist()
-            for i, members in enumerate(shingle_sets(batch.column("text"), words)):
-                held.append(members)
-                keys.append(sketcher.keys(members) if len(members) and crowded[i] else members[:0])
-                weight += len(members)
-                if weight > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([ids[lo : i + 1], lists_of(held), lists_of(keys)], names=["doc_id", "members", "keys"])
-                    held, keys, lo, weight = [], [], i + 1, 0
-            yield pa.RecordBatch.from_arrays([ids[lo:], lists_of(held), lists_of(keys)], names=["doc_id", "members", "keys"])
+            for lo, sets in _some(shingle_sets(batch.column("text"), words)):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).slice(lo, len(sets)), lists_of(sets)], names=["doc_id", "members"])
 
-    return docs.select("doc_id", "text", "crowded").mapInArrow(run, "doc_id long, members array<long>, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, small: int = SMALL_BUCKET) -> DataFrame:
@@ -141,22 +151,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, small: i
     """
     spark = docs.sparkSession
     store = Durable(spark)
-    sigs = store.put("sigs", sketches(docs, words, FIRST))
+    sigs = store.put("sigs", sketches(docs, words))
 
     # Equal sets are one class, represented by its smallest doc_id.
     classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = sigs.join(classes, (sigs["digest"] == classes["digest"]) & (sigs["doc_id"] == classes["rep"]), "left_semi")
     buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = store.put("met", buckets.join(shared, "bucket"))
-
-    met = members.groupBy("doc_id").agg((F.max("size") > small).alias("crowded"), F.max("n").alias("n"))
-    texts = docs.select("doc_id", "text").join(met, "doc_id")
-    sets = store.put("sets", full_sets(texts, words, SECOND))
-    again = sets.join(met.where("crowded").select("doc_id", "n"), "doc_id").select("doc_id", "n", F.explode("keys").alias("bucket"))
-    counts = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = members.where(F.col("size") <= small).unionByName(again.join(counts, "bucket").select(*members.columns))
-    links = _star_links(held, sets.select("doc_id", "members"), percent, store)
+    held = store.put("held", buckets.join(shared, "bucket").select("bucket", "doc_id", "n", "size"))
+    texts = docs.select("doc_id", "text").join(held.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = store.put("sets", full_sets(texts, words))
+    links = _star_links(held, sets, percent, small, store)
 
     found = components(links, store)
     by_set = (
@@ -180,18 +185,55 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, small: i
     )
 
 
-def _star_links(held: DataFrame, sets: DataFrame, percent: int, store: Durable) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
+    """docs, all columns, with one document of each near-duplicate component: the one of smallest doc_id.
+
+    Rows that share the doc_id of a kept document are one document; one of them, the first by text,
+    stays. Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, percent, words)
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    twice = kept.groupBy("__id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("__id")
+    known = docs.where("doc_id is not null")
+    unique = known.join(kept.join(twice, "__id", "left_anti"), F.col("doc_id") == F.col("__id"), "left_semi")
+    if not twice.isEmpty():
+        again = known.join(twice, F.col("doc_id") == F.col("__id"), "left_semi")
+        row = F.struct(F.coalesce("text", F.lit("")), *[F.col(f"`{c}`") for c in docs.columns])
+        unique = unique.unionByName(again.groupBy("doc_id").agg(F.min(row).alias("r")).select(*[F.col(f"r.`{c}`") for c in docs.columns]))
+    return unique.unionByName(docs.where("doc_id is null"))
+
+
+def _rare_shingles(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (bucket, doc_id, n, at): each crowded class under its rarest shingles, as many as any link needs.
+
+    A partner of at least ``percent`` similarity shares percent / 100 of a set's n members at least, so
+    it shares one of any n - ceil(n * percent / 100) + 1 of them; with one order of shingles for all,
+    two linked sets share one of their first so many. Rarest first, by the count among the crowded,
+    a family of copies with private edits meets in few places. ``at`` is how many members stand before
+    the shingle in that order; at the first one that two sets share, what is left of the smaller rest
+    must make up the whole overlap.
+    """
+    listed = sets.join(crowded, "doc_id").select("doc_id", F.size("members").alias("n"), F.explode("members").alias("shingle"))
+    often = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    # Each row's list is its own set again, so it is no larger than the set.
+    ordered = listed.join(often, "shingle").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("s"))
+    first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    met = ordered.select("doc_id", F.col("n").cast("long").alias("n"), F.posexplode(first).alias("at", "s")).where("s.times > 1")
+    return met.select(F.col("s.shingle").alias("bucket"), "doc_id", "n", "at")
+
+
+def _star_links(held: DataFrame, sets: DataFrame, percent: int, small: int, store: Durable) -> DataFrame:
     """Confirmed links (a, b) that connect whatever a complete comparison within buckets would connect.
 
     held: rows (bucket, doc_id, n, size). Each round compares every member of a bucket with the
     bucket's centres of that round, unless the two are connected already; the centres then leave. A
-    bucket is done when the members left in it are all of one component.
+    bucket is done when the members left in it are all of one component. After the first round, the
+    members of buckets that are still crowded meet by their rarest shingles instead.
     """
     # The widest company: the sum of the sizes of a document's buckets.
     width = held.groupBy("doc_id").agg(F.sum("size").alias("width"))
-    state = store.put("state0", held.join(width, "doc_id").select("bucket", "doc_id", "n", "width", F.col("doc_id").alias("part")))
-    links = None
-    turn = 0
+    state = held.join(width, "doc_id").select("bucket", "doc_id", "n", "width", F.col("doc_id").alias("part"), F.lit(0).alias("at"))
+    links, parts, turn = None, None, 0
     while True:
         # Buckets whose members still span components, with the member of widest company.
         open_ = (
@@ -206,27 +248,29 @@ def _star_links(held: DataFrame, sets: DataFrame, percent: int, store: Durable)
             .select("bucket", "hub", "left")
         )
         live = state.join(open_, "bucket")
+        if turn == 1:
+            live = store.put("open1", live)
+            crowded = live.where(F.col("left") > small).select("doc_id").distinct()
+            rare = _rare_shingles(crowded, sets, percent).join(parts, F.col("doc_id") == F.col("node"), "left")
+            rare = rare.select("bucket", "doc_id", "n", F.col("n").alias("width"), F.coalesce("component", "doc_id").alias("part"), "at")
+            state = store.put("state1b", live.where(F.col("left") <= small).select(*rare.columns).unionByName(rare))
+            turn = 2
+            continue
         centre = F.col("doc_id") == F.col("hub")
         if turn:
             draw = F.pmod(F.xxhash64("doc_id", "bucket", F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            centre = centre | (draw < F.lit(16.0 * 4 ** (turn - 1)) / F.col("left"))
+            centre = centre | (draw < F.lit(float(small) * 64 ** (turn - 2)) / F.col("left"))
         live = store.put(f"live{turn}", live.withColumn("centre", centre).drop("hub", "left"))
-        store.drop(f"state{turn}")
         if live.isEmpty():
             break
-        c = live.where("centre").select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+        c = live.where("centre").select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("at").alias("atb"))
         fits = (
             (F.col("part") != F.col("pb"))
-            & (F.col("n") * 100 >= F.col("nb") * percent)
-            & (F.col("nb") * 100 >= F.col("n") * percent)
+            # What is left of either set must hold the overlap that a link of these sizes needs.
+            & (F.least(F.col("n") - F.col("at"), F.col("nb") - F.col("atb")) * (100 + percent) >= (F.col("n") + F.col("nb")) * percent)
             & (~F.col("centre") | (F.col("doc_id") < F.col("b")))
         )
-        pairs = (
-            live.join(c, "bucket")
-            .where(fits)
-            .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
-            .distinct()
-        )
+        pairs = live.join(c, "bucket").where(fits).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
         one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma"))
         two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb"))
         both = F.size(F.array_intersect("ma", "mb"))
@@ -235,12 +279,7 @@ def _star_links(held: DataFrame, sets: DataFrame, percent: int, store: Durable)
         links = sure if links is None else links.unionByName(sure)
         parts = components(links, store)
         # A centre has met its whole bucket, so it has no more to do there.
-        state = store.put(
-            f"state{turn + 1}",
-            live.where(~F.col("centre"))
-            .join(parts, F.col("doc_id") == F.col("node"), "left")
-            .select("bucket", "doc_id", "n", "width", F.coalesce("component", "doc_id").alias("part")),
-        )
-        store.drop(f"live{turn}")
+        rest = live.where(~F.col("centre")).join(parts, F.col("doc_id") == F.col("node"), "left")
+        state = store.put(f"state{turn + 1}", rest.select("bucket", "doc_id", "n", "width", F.coalesce("component", "doc_id").alias("part"), "at"))
         turn += 1
     return links if links is not None else held.sparkSession.createDataFrame([], "a long, b long")
