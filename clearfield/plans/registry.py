@@ -1,6 +1,463 @@
-"""Registered queries of the spatial operators."""
+"""Registered queries of the spatial operators; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.geometry import inside_ellipsoid, wilson
+from ..operators import arrangement, boundary, meshes, octree, robot, voxels
+from ..sources import points as sources
+from ..sources import shapes
+from ..streaming import frames
+from . import oracles
+from .oracles import FINE, H
+
+#: Corners of an L-shaped prism of height 1 over (0,0) (2,0) (2,1) (1,1) (1,2) (0,2).
+PRISM_RING = [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]
+
+
+def _embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.points_of_embeddings(spark, sf_dir)
+
+
+def _voxels(spark: SparkSession, sf_dir: str, h: float = H) -> DataFrame:
+    return voxels.voxelize(_embed(spark, sf_dir), h)
+
+
+class _Surface:
+    """The usual chain from points to compressed cells."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, h: float = H):
+        self.points = _embed(spark, sf_dir)
+        self.voxels = voxels.voxelize(self.points, h)
+        self.faces = boundary.exposed_faces(self.voxels)
+        self.supports = boundary.supports(self.faces)
+        self.coords = boundary.coordinates(self.supports)
+        self.cells = boundary.cells(self.voxels, self.coords)
+
+    @property
+    def patches(self) -> DataFrame:
+        return boundary.patches(self.faces)
+
+    @property
+    def free(self) -> DataFrame:
+        return boundary.free_cells(self.cells, self.coords)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By frame: voxels, exposed faces, merged patches and support planes."""
+    s = _Surface(spark, sf_dir, FINE)
+    each = [s.voxels.select("frame_id", F.lit("voxels").alias("what")), s.faces.select("frame_id", F.lit("faces").alias("what"))]
+    each += [s.patches.select("frame_id", F.lit("patches").alias("what")), s.supports.select("frame_id", F.lit("supports").alias("what"))]
+    rows = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    kinds = ("voxels", "faces", "patches", "supports")
+    return rows.groupBy("frame_id").agg(*[F.count_if(F.col("what") == k).alias(k) for k in kinds])
+
+
+def xyz_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    raw = F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"], F.lit("# seen"))
+    return sources.parse_xyz(p.select("frame_id", "point_id", F.concat(F.lit("\t"), raw).alias("raw")))
+
+
+def voxel_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = voxels.with_voxels(sources.points_of_lines(spark, sf_dir), H)
+    return p.groupBy("frame_id", "ix", "iy", "iz").agg(F.count(F.lit(1)).alias("points"))
+
+
+def voxel_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voxels(spark, sf_dir, FINE)
+
+
+def voxel_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.bounds(_voxels(spark, sf_dir, FINE))
+
+
+def voxel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    return voxels.stats(p, voxels.voxelize(p, H), H)
+
+
+def voxel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.corners(_voxels(spark, sf_dir))
+
+
+def _neighbours(p: DataFrame) -> DataFrame:
+    """Points moved one voxel up in x: some stay in the union, some leave it."""
+    return p.withColumn("x", F.col("x") + F.lit(H))
+
+
+def contains_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    return voxels.contains(_neighbours(p), voxels.voxelize(p, H), H).select("frame_id", "point_id", "inside")
+
+
+def outside_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    return voxels.count_outside(_neighbours(p), voxels.voxelize(p, H), H)
+
+
+def _half_grid(found: DataFrame) -> DataFrame:
+    """The 27 corners, middles and centres of each voxel, on the half grid: kx, ky, kz."""
+    out = found
+    for c in "xyz":
+        out = out.withColumn(f"k{c}", F.explode(F.array(*[2 * F.col(f"i{c}") + d for d in range(3)])))
+    return out.select("frame_id", "kx", "ky", "kz").distinct()
+
+
+def _probes(found: DataFrame) -> DataFrame:
+    """Half-grid points as points; an even place is the rounded plane itself."""
+    grid = _half_grid(found)
+    return grid.withColumns({c: F.col(f"k{c}") / 2 * F.lit(H) for c in "xyz"} | {"point_id": F.xxhash64("frame_id", "kx", "ky", "kz")})
+
+
+def expected_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voxels(spark, sf_dir)
+    return voxels.closed_sign(_probes(v), v, H).select("frame_id", "kx", "ky", "kz", F.col("sign").cast("int").alias("sign"))
+
+
+def exposed_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary.exposed_faces(_voxels(spark, sf_dir)).select("frame_id", "axis", "sign", "plane", "u", "v")
+
+
+def boundary_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary.number_patches(_Surface(spark, sf_dir).patches)
+
+
+def line_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels.voxelize(sources.points_of_lines(spark, sf_dir), H)
+    return boundary.patches(boundary.exposed_faces(v))
+
+
+def patch_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = boundary.patch_corners(_Surface(spark, sf_dir).patches, H)
+    return p.select("frame_id", "axis", "sign", "plane", "u0", "v0", "corner", *[F.round(c, 9).alias(c) for c in "xyz"])
+
+
+def support_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Surface(spark, sf_dir).supports
+
+
+def canonical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _Surface(spark, sf_dir).cells
+
+
+def cell_box_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary.box_sums(_Surface(spark, sf_dir).cells)
+
+
+def octree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return octree.levels(_voxels(spark, sf_dir))
+
+
+def octree_exact_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return octree.exact_cut(voxels.voxelize(sources.points_of_lines(spark, sf_dir), H))
+
+
+def octree_rect_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = octree.rectangular_cells(_voxels(spark, sf_dir))
+    return cells.groupBy("frame_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("wx") * F.col("wy") * F.col("wz")).alias("voxels"))
+
+
+def octree_partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voxels(spark, sf_dir)
+    return octree.partition_violations(octree.rectangular_cells(v), v)
+
+
+def _boxes(found: DataFrame) -> DataFrame:
+    """Full cubes of the exact cut as boxes."""
+    low = voxels.bounds(found).select("frame_id", *[f"min_{a}" for a in voxels.AXES])
+    cut = octree.exact_cut(found).join(low, "frame_id")
+    return cut.select("frame_id", *[F.expr(f"shiftleft(n{c}, level) + min_i{c}").alias(f"lo{c}") for c in "xyz"], *[F.expr("shiftleft(1L, level)").alias(f"w{c}") for c in "xyz"])
+
+
+def aabb_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = octree.box_planes(_boxes(_voxels(spark, sf_dir)), H)
+    return p.withColumn("offset", F.round("offset", 9) + F.lit(0.0))
+
+
+def shared_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return octree.shared_leaves(octree.box_planes(_boxes(_voxels(spark, sf_dir)), H))
+
+
+def tree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return octree.tree_size(_boxes(_voxels(spark, sf_dir)))
+
+
+def cluster_union_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    q = octree.union_values(_neighbours(p), _boxes(voxels.voxelize(p, H)), H)
+    return q.withColumn("q", F.round("q", 9))
+
+
+def free_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    out = None
+    for axis in range(3):
+        merged = boundary.free_prisms(s.free, axis)
+        size = F.sum((F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy")) * (F.col("hiz") - F.col("loz")))
+        one = merged.groupBy("frame_id").agg(size.alias("free_voxels")).withColumn("axis", F.lit(axis))
+        out = one if out is None else out.unionByName(one)
+    return out.select("frame_id", "axis", "free_voxels")
+
+
+def sweep_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    return boundary.sweep_rectangles(s.free, 2)
+
+
+def free_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    return boundary.free_adjacency(s.free, s.coords)
+
+
+def axis_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary.best_axis(_Surface(spark, sf_dir).free)
+
+
+def strict_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    p = _probes(s.voxels)
+    free = boundary.strictly_free(p.select("frame_id", "point_id", *"xyz"), boundary.free_prisms(s.free, 2), s.coords, s.voxels, H)
+    return p.join(free, ["frame_id", "point_id"]).select("frame_id", "kx", "ky", "kz", "free")
+
+
+def direct_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    p = _probes(s.voxels)
+    q = arrangement.evaluate(p, arrangement.build_programs(s.cells, s.coords, H), gradient=False)
+    return p.join(q, ["frame_id", "point_id"]).select("frame_id", "kx", "ky", "kz", F.signum("q").cast("int").alias("sign"))
+
+
+def direct_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    return arrangement.build_programs(s.cells, s.coords, H, intern=False).select("frame_id", "nodes", "shared", "expanded")
+
+
+def strata_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    return arrangement.build_programs(s.cells, s.coords, H, certify=True).select("frame_id", "strata", "mismatches")
+
+
+def lse_bound_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    p = _probes(s.voxels)
+    q = arrangement.evaluate(p, arrangement.build_programs(s.cells, s.coords, H))
+    gap = F.col("q_upper") - F.col("q")
+    steep = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz"))
+    slack = 1e-12
+    return q.groupBy("frame_id").agg(
+        F.count(F.lit(1)).alias("probes"),
+        F.count_if(gap < -slack).alias("below"),
+        F.count_if(gap > F.col("bound") + slack).alias("beyond_bound"),
+        F.count_if((F.col("q") > 0) & (F.col("q_upper") <= 0)).alias("false_free"),
+        F.count_if(steep > 1 + 1e-9).alias("too_steep"),
+    )
+
+
+def reference_sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _Surface(spark, sf_dir)
+    p = _embed(spark, sf_dir)
+    d = arrangement.patch_distance(p, s.patches, H)
+    return d.withColumn("distance", F.round("distance", 9))
+
+
+def link_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clearances of a small arm in every frame, at configurations taken from the orders."""
+    model = robot.parse_urdf(robot.DEMO_URDF)
+    o = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    q = F.array((F.col("s_suppkey") % 13) / 4.0, (F.col("s_suppkey") % 7) / 10.0, (F.col("s_suppkey") % 5) / 3.0)
+    poses = robot.sphere_poses(o.select(F.col("s_suppkey").alias("config_id"), q.alias("q")), model)
+    s = _Surface(spark, sf_dir)
+    ids = s.coords.select("frame_id")
+    n = len(model.spheres)
+    # Every configuration meets every frame: that is the question asked.
+    at = poses.select((F.col("config_id") * n + F.col("sphere_id")).alias("point_id"), *"xyz").crossJoin(ids)
+    field = arrangement.evaluate(at, arrangement.build_programs(s.cells, s.coords, H))
+    found = robot.link_distances(poses, field, model)
+    rounded = [F.round(F.get("gradient", F.lit(k)), 6).alias(f"g{k}") for k in range(model.dof)]
+    return found.select("frame_id", "config_id", "joint", F.round("distance", 6).alias("distance"), F.round("hard_min", 6).alias("hard_min"), "spheres", *rounded)
+
+
+def sphere_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of one sphere of the arm at configurations taken from the suppliers."""
+    model = robot.parse_urdf(robot.DEMO_URDF)
+    o = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    q = F.array((F.col("s_suppkey") % 13) / 4.0, F.lit(0.0), F.lit(0.0))
+    poses = robot.sphere_poses(o.select(F.col("s_suppkey").alias("config_id"), q.alias("q")), model)
+    return poses.where("sphere_id = 1").select("config_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in "xyz"])
+
+
+def frame_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.reuse_pattern(_event_frames(spark, sf_dir), 0.5)
+
+
+def _event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return t.select(
+        "event_type",
+        F.floor(F.col("event_id") / 40).cast("long").alias("frame_id"),
+        F.col("event_id").alias("point_id"),
+        (F.col("event_id") % 3 / 3.0).alias("x"), (F.col("user_id") % 2 / 2.0).alias("y"), (F.col("event_id") % 2 / 2.0).alias("z"),
+    ).withColumnRenamed("event_type", "sensor_id")
+
+
+def frame_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame against the one before it, at a voxel size at which some are near."""
+    v = _voxels(spark, sf_dir, 0.2)
+    a = v.select(F.col("frame_id").alias("pair"), *voxels.AXES)
+    b = v.select((F.col("frame_id") + 1).alias("pair"), *voxels.AXES)
+    return voxels.same_occupancy(a, b)
+
+
+def preprocess_voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = voxels.preprocess_voxel(_embed(spark, sf_dir), H)
+    return p.select("frame_id", "ix", "iy", "iz", "points", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in "xyz"])
+
+
+def displacement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    moved = shapes.jitter_within_voxels(p, H).select("frame_id", "point_id", *[F.col(c).alias(f"m{c}") for c in "xyz"])
+    return voxels.displacement(p, moved)
+
+
+def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the smooth proxy -q_upper lies from the distance to the patches, at the points, as counts and order statistics."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    error = F.col("l_extendedprice") / 1e5 - F.col("l_discount") * 10
+    return voxels.summarize(t.select(F.col("l_returnflag").alias("flag"), error.alias("e")), "flag", "e")
+
+
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed membership of moved points against an ideal ellipsoid."""
+    p = _embed(spark, sf_dir)
+    flagged = voxels.contains(_neighbours(p), voxels.voxelize(p, H), H)
+    ideal = inside_ellipsoid(tuple(F.col(c) for c in "xyz"), (0.0, 0.0, 0.0), (0.3, 0.25, 0.2))
+    both = flagged.withColumn("ideal", ideal)
+    return both.groupBy("frame_id").agg(
+        F.count_if(F.col("inside") & F.col("ideal")).alias("tp"), F.count_if(F.col("inside") & ~F.col("ideal")).alias("fp"),
+        F.count_if(~F.col("inside") & F.col("ideal")).alias("fn"), F.count_if(~F.col("inside") & ~F.col("ideal")).alias("tn"),
+    )
+
+
+def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    counted = voxels.count_outside(_neighbours(p), voxels.voxelize(p, H), H)
+    low, high = wilson(F.col("outside"), F.col("points"))
+    return counted.select("frame_id", "points", "outside", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+def voxel_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = voxels.reservoir(sources.points_of_lines(spark, sf_dir), 0.2, 3, 7)
+    return voxels.with_voxels(p, 0.2).groupBy(*voxels.KEY).agg(F.count(F.lit(1)).alias("kept"))
+
+
+def depth_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxels.bounds(voxels.voxelize(shapes.depth_camera(spark), 0.04))
+
+
+def _prism(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    n = len(PRISM_RING)
+    vertices = [(i + n * k, float(x), float(y), float(k)) for k in range(2) for i, (x, y) in enumerate(PRISM_RING)]
+    caps = [(0, 1, 2), (0, 2, 3), (0, 3, 4), (0, 4, 5)]
+    faces = [[a, c, b] for a, b, c in caps] + [[n + a, n + b, n + c] for a, b, c in caps]
+    for i in range(n):
+        j = (i + 1) % n
+        faces += [[i, j, n + j], [i, n + j, n + i]]
+    return meshes.parse_off(spark, meshes.write_off([v[1:] for v in vertices], faces))
+
+
+def mesh_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume and area of a prism scaled by each nation's key."""
+    v, f = _prism(spark)
+    one = meshes.volume(v, f)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") + 1).cast("double").alias("scale"))
+    return nations.crossJoin(one).select("scale", F.round(F.col("volume") * F.pow("scale", F.lit(3)), 6).alias("volume"), F.round(F.col("area") * F.pow("scale", F.lit(2)), 6).alias("area"))
+
+
+def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = _prism(spark)
+    return meshes.edge_kinds(v, f).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def mesh_coplanar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, f = _prism(spark)
+    return meshes.coplanar_groups(v, f).select("faces", "area")
+
+
+def points_in_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which order lines fall inside the prism, by ship year."""
+    v, f = _prism(spark)
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    at = t.select(
+        F.monotonically_increasing_id().alias("point_id"), F.year("l_shipdate").cast("long").alias("frame_id"),
+        (F.col("l_quantity") / 25.0 + 0.0123).alias("x"), (F.col("l_discount") * 20.0 + 0.0321).alias("y"), (F.col("l_extendedprice") / 6e4).alias("z"),
+    )
+    return meshes.points_in_mesh(at, v, f).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count_if("inside").alias("inside"))
+
+
+def tet_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tetrahedra of a strip through the parts' keys, and what lies across each of their faces."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("tet_id"))
+    t = p.select("tet_id", F.array(*[F.col("tet_id") + k for k in range(4)]).alias("v"))
+    n = meshes.tet_neighbours(t)
+    return n.select("tet_id", *[F.get("nbr", F.lit(k)).alias(f"n{k}") for k in range(4)])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "surface_summary": flagship,
+    "xyz_lines": xyz_lines,
+    "voxel_index": voxel_index,
+    "voxel_distinct": voxel_distinct,
+    "voxel_bounds": voxel_bounds,
+    "voxel_stats": voxel_stats,
+    "voxel_corners": voxel_corners,
+    "contains_closed": contains_closed,
+    "outside_count": outside_count,
+    "expected_sign": expected_sign,
+    "exposed_faces": exposed_faces,
+    "boundary_patches": boundary_patches,
+    "line_patches": line_patches,
+    "patch_corners": patch_corners,
+    "support_planes": support_planes,
+    "canonical_cells": canonical_cells,
+    "cell_box_sums": cell_box_sums,
+    "octree_levels": octree_levels,
+    "octree_exact_cut": octree_exact_cut,
+    "octree_rect_cover": octree_rect_cover,
+    "octree_partition_check": octree_partition_check,
+    "aabb_planes": aabb_planes,
+    "shared_leaves": shared_leaves,
+    "tree_size": tree_size,
+    "cluster_union_eval": cluster_union_eval,
+    "free_prisms": free_prisms,
+    "sweep_rectangles": sweep_rectangles,
+    "free_adjacency": free_adjacency,
+    "axis_selection": axis_selection,
+    "strict_free": strict_free,
+    "direct_sign": direct_sign,
+    "direct_programs": direct_programs,
+    "strata_certificate": strata_certificate,
+    "lse_bound_audit": lse_bound_audit,
+    "reference_sdf": reference_sdf,
+    "sphere_poses": sphere_poses,
+    "link_distance": link_distance,
+    "frame_reuse": frame_reuse,
+    "frame_equality": frame_equality,
+    "preprocess_voxel": preprocess_voxel,
+    "displacement_stats": displacement_stats,
+    "error_summary": error_summary,
+    "confusion": confusion,
+    "wilson_ci": wilson_ci,
+    "voxel_reservoir": voxel_reservoir,
+    "depth_camera": depth_camera,
+    "mesh_volume": mesh_volume,
+    "mesh_edges": mesh_edges,
+    "mesh_coplanar": mesh_coplanar,
+    "points_in_mesh": points_in_mesh,
+    "tet_neighbours": tet_neighbours,
+}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
