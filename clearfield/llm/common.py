@@ -17,7 +17,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: The same rule for regular expressions over text.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a kernel looks at together; bounds its memory whatever the batch size.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- durable intermediates

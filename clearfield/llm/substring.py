@@ -8,12 +8,13 @@ one, at the same place, form a super-k-mer (of at most window - gram + 1 windows
 hold a repeated window:
 
 1. One pass over the texts lists the super-k-mers as (minimiser, document, first word, windows), without text.
-2. Super-k-mers whose minimiser occurs again are cut from the texts as one packed string each and sent to the
-   bucket of their minimiser; there, sorting all windows of the bucket counts them exactly.
+2. Super-k-mers whose minimiser occurs again are cut from the texts as one packed string each, with all its
+   places in the document, and sent to the bucket of their minimiser; there, sorting all windows of the
+   bucket counts them exactly.
 3. A minimiser of more than ``hot`` super-k-mers (a passage that many documents share) would be too much for
-   one task. Its windows travel singly, as SHA-256 of their words, and are counted by grouped aggregation,
-   combined before the shuffle.
-4. Repeated windows come back as word intervals of their document, and the kept words are joined.
+   one task. Its packed strings are counted by grouped aggregation, combined before the shuffle; the windows
+   of the distinct ones then travel singly, as 128 bits of the SHA-256 of their words, and are counted alike.
+4. Repeated windows come back as bit masks over the super-k-mers of their document, and the kept words are joined.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, Durable, gram_hashes, text_chunks, word_bounds, word_hashes
 
-WINDOW, GRAM, HOT = 35, 8, 48
+WINDOW, GRAM, HOT = 35, 8, 512
 
 
 def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,33 +78,32 @@ def _list_super_kmers(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "low long, row struct<id:long,mark:long>, start int, n int")
 
 
-_CUT = "low long, row struct<id:long,mark:long>, start int, n int, packed string, hot binary"
+_CUT = "low long, row struct<id:long,mark:long>, packed string, starts array<int>, hot boolean"
 
 
 def _cut_super_kmers(docs: DataFrame, window: int) -> DataFrame:
-    """docs: row, text, spans. Packed strings of cold super-k-mers; single windows of hot ones."""
+    """docs: row, text, spans. One row for each distinct super-k-mer of a document, with all its places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts, spans = (batch.column(c) for c in ("row", "text", "spans"))
+            ends, flat = spans.offsets.to_numpy(), spans.values
+            low, start, size, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("low", "start", "n", "hot"))
             out: list[tuple] = []
             take: list[int] = []
             weight = 0
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().split()
-                for s in spans[i].as_py():
-                    a, n = s["start"], s["n"]
-                    if s["hot"]:
-                        for k in range(a, a + n):
-                            out.append((s["low"], k, 1, None, hashlib.sha256(b" ".join(words[k : k + window])).digest()))
-                            take.append(i)
-                        weight += 60 * n
-                    else:
-                        packed = b" ".join(words[a : a + n + window - 1]).decode()
-                        out.append((s["low"], a, n, packed, None))
-                        take.append(i)
-                        weight += len(packed) + 50
-                    if weight > 4 * CHUNK_BYTES:
+                places: dict[tuple, list[int]] = {}
+                for s in range(ends[i], ends[i + 1]):
+                    a, n = int(start[s]), int(size[s])
+                    key = (int(low[s]), b" ".join(words[a : a + n + window - 1]), bool(hot[s]))
+                    places.setdefault(key, []).append(a)
+                for (m, packed, is_hot), at in places.items():
+                    out.append((m, packed.decode(), at, is_hot))
+                    take.append(i)
+                    weight += len(packed) + 400
+                    if weight > 1 << 23:
                         yield _packed(rows, out, take)
                         out, take, weight = [], [], 0
             yield _packed(rows, out, take)
@@ -113,108 +112,139 @@ def _cut_super_kmers(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _packed(rows: pa.Array, out: list[tuple], take: list[int]) -> pa.RecordBatch:
-    low, start, n, packed, hot = zip(*out, strict=True) if out else ((), (), (), (), ())
+    low, packed, starts, hot = zip(*out, strict=True) if out else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(low, pa.int64()), rows.take(pa.array(take, pa.int64())), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(packed, pa.string()), pa.array(hot, pa.binary())],
-        names=["low", "row", "start", "n", "packed", "hot"],
+        [pa.array(low, pa.int64()), rows.take(pa.array(take, pa.int64())), pa.array(packed, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(hot, pa.bool_())],
+        names=["low", "row", "packed", "starts", "hot"],
     )
 
 
-def repeated_windows(bucket: list[str], window: int) -> list[list[int]]:
-    """For each packed string of a bucket, which of its windows occur again in the bucket."""
-    times: dict[str, int] = {}
-    for packed in bucket:
-        times[packed] = times.get(packed, 0) + 1
-    if len(times) == 1 and len(bucket) > 1:
-        n = bucket[0].count(" ") + 2 - window
-        return [list(range(n))] * len(bucket)
-    seen: list[tuple[str, int, int]] = []
-    for number, packed in enumerate(times):
-        ends = [i for i, c in enumerate(packed) if c == " "] + [len(packed)]
-        begins = [0, *(e + 1 for e in ends[:-1])]
-        seen += [(packed[begins[k] : ends[k + window - 1]], number, k) for k in range(len(ends) - window + 1)]
-    seen.sort()
-    again: list[list[int]] = [[] for _ in times]
-    many = list(times.values())
+def _windows(packed: str, window: int) -> list[str]:
+    """The windows of a packed super-k-mer, in order."""
+    ends = [i for i, c in enumerate(packed) if c == " "] + [len(packed)]
+    begins = [0, *(e + 1 for e in ends[:-1])]
+    return [packed[begins[k] : ends[k + window - 1]] for k in range(len(ends) - window + 1)]
+
+
+def repeated_windows(times: dict[str, int], window: int) -> dict[str, int]:
+    """For each packed string of a bucket, which occurs so many times, a bit mask of its windows that occur again."""
+    if len(times) == 1:
+        ((packed, n),) = times.items()
+        if n > 1:
+            return {packed: (1 << packed.count(" ") + 2 - window) - 1}
+    seen = sorted((w, packed, k) for packed in times for k, w in enumerate(_windows(packed, window)))
+    masks = dict.fromkeys(times, 0)
     lo = 0
     while lo < len(seen):
         hi = lo + 1
         while hi < len(seen) and seen[hi][0] == seen[lo][0]:
             hi += 1
-        if hi - lo > 1 or many[seen[lo][1]] > 1:
-            for _, number, k in seen[lo:hi]:
-                again[number].append(k)
+        if hi - lo > 1 or times[seen[lo][1]] > 1:
+            for _, packed, k in seen[lo:hi]:
+                masks[packed] |= 1 << k
         lo = hi
-    of = dict(zip(times, again, strict=True))
-    return [of[packed] for packed in bucket]
+    return masks
+
+
+_FOUND = "id long, mark long, starts array<int>, mask long"
 
 
-def _count_buckets(packed: DataFrame, window: int) -> DataFrame:
-    """Intervals of repeated windows, from super-k-mers dealt and sorted by minimiser."""
+def _count_buckets(cold: DataFrame, window: int) -> DataFrame:
+    """Rows (id, mark, starts, mask) of super-k-mers with repeated windows, dealt and sorted by minimiser."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def close() -> tuple[list, list, list, list]:
-            ids, marks, first, last = [], [], [], []
-            for (_, i, m, start, _), ks in zip(held, repeated_windows([h[4] for h in held], window), strict=True):
-                ks = sorted(ks)
-                for k, here in enumerate(ks):
-                    if k and here == ks[k - 1] + 1:
-                        last[-1] = start + here
-                    else:
-                        ids.append(i), marks.append(m), first.append(start + here), last.append(start + here)
-            return ids, marks, first, last
-
-        for frame in frames:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for row in zip(*(frame[c].tolist() for c in ("low", "id", "mark", "start", "packed")), strict=True):
+        def close(out: list[tuple]) -> None:
+            times: dict[str, int] = {}
+            for _, _, _, packed, starts in held:
+                times[packed] = times.get(packed, 0) + len(starts)
+            masks = repeated_windows(times, window)
+            out += [(i, m, starts, masks[packed]) for _, i, m, packed, starts in held if masks[packed]]
+            held.clear()
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "mark", "starts", "mask"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("low", "id", "mark", "packed", "starts")), strict=True):
                 if held and held[0][0] != row[0]:
-                    for whole, part in zip(out, close(), strict=True):
-                        whole += part
-                    held = []
+                    close(out)
                 held.append(row)
-            yield pd.DataFrame(dict(zip(("id", "mark", "first", "last"), out, strict=True)), dtype="Int64")
+            yield batch_of(out)
         if held:
-            yield pd.DataFrame(dict(zip(("id", "mark", "first", "last"), close(), strict=True)), dtype="Int64")
+            out = []
+            close(out)
+            yield batch_of(out)
+
+    flat = cold.select("low", F.col("row.id").alias("id"), F.col("row.mark").alias("mark"), "packed", "starts")
+    return flat.repartition("low").sortWithinPartitions("low").mapInArrow(run, _FOUND)
 
-    flat = packed.select("low", F.col("row.id").alias("id"), F.col("row.mark").alias("mark"), "start", "packed")
-    return flat.repartition("low").sortWithinPartitions("low").mapInPandas(run, "id long, mark long, first long, last long")
 
+def _single_windows(kinds: DataFrame, window: int) -> DataFrame:
+    """kinds: key, packed, times. Rows (key, k, h, times): each window of a packed string as a digest."""
 
-def _drop_words(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("spans")
+            keys, ks, digests, many = [], [], [], []
+            for key, packed, times in zip(*(batch.column(c).to_pylist() for c in ("key", "packed", "times")), strict=True):
+                for k, w in enumerate(_windows(packed, window)):
+                    keys.append(key), ks.append(k), many.append(times)
+                    digests.append(hashlib.sha256(w.encode()).digest()[:16])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array(ks, pa.int32()), pa.array(digests, pa.binary()), pa.array(many, pa.int64())], names=["key", "k", "h", "times"]
+            )
+
+    return kinds.select("key", "packed", "times").mapInArrow(run, "key string, k int, h binary, times long")
+
+
+def _count_hot(hot: DataFrame, window: int, store: Durable) -> DataFrame:
+    """Rows (id, mark, starts, mask) of super-k-mers of hot minimisers, by grouped counts alone."""
+    keyed = hot.withColumn("key", F.sha2("packed", 256))
+    kinds = keyed.groupBy("key", "packed").agg(F.sum(F.size("starts")).alias("times"))
+    windows = store.put("windows", _single_windows(kinds, window))
+    many = windows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1")
+    masks = windows.join(many, "h", "left_semi").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    return keyed.join(masks, "key").select(F.col("row.id").alias("id"), F.col("row.mark").alias("mark"), "starts", "mask")
+
+
+def _drop_words(docs: DataFrame, window: int, names: tuple[str, str, str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column("text"), batch.column("__spans")
             sizes, gone, kept = [], [], []
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().split()
                 sizes.append(len(words))
                 found = spans[i].as_py()
                 if found:
+                    first = np.concatenate([np.add.outer(s["starts"], [k for k in range(window) if s["mask"] >> k & 1]).ravel() for s in found])
                     edges = np.zeros(len(words) + 1, np.int32)
-                    for s in found:
-                        edges[s["first"]] += 1
-                        edges[min(len(words), s["last"] + window)] -= 1
+                    np.add.at(edges, first, 1)
+                    np.subtract.at(edges, first + window, 1)
                     stays = np.flatnonzero(np.cumsum(edges)[:-1] == 0)
                     gone.append(len(words) - len(stays))
                     words = [words[k] for k in stays]
                 else:
                     gone.append(0)
                 kept.append(b" ".join(words).decode())
-            rest = [batch.column(c) for c in batch.schema.names if c != "spans"]
+            rest = [batch.column(c) for c in batch.schema.names if c != "__spans"]
             yield pa.RecordBatch.from_arrays(
                 [*rest, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                names=[*(c for c in batch.schema.names if c != "spans"), "n_words", "n_removed", "kept_text"],
+                names=[*(c for c in batch.schema.names if c != "__spans"), *names],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "spans")
-    return docs.mapInArrow(run, fields + ", n_words long, n_removed long, kept_text string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "__spans")
+    return docs.mapInArrow(run, f"{fields}, {names[0]} long, {names[1]} long, {names[2]} string")
 
 
 def repeated_spans(docs: DataFrame, store: Durable, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Rows (id, mark, spans): the intervals of first words of repeated windows of each row of docs.
+    """Rows (id, mark, spans): where repeated windows of each row of docs begin.
 
+    A span (starts, mask) stands for the words starts + k of each bit k of mask that is set.
     docs: row (struct of id and mark, which names a row) and text. Rows without any do not appear.
     """
     listed = store.put("listed", _list_super_kmers(docs, window, gram))
@@ -222,12 +252,10 @@ def repeated_spans(docs: DataFrame, store: Durable, window: int = WINDOW, gram:
     wanted = listed.join(again, "low").select("row", F.struct("low", "start", "n", (F.col("times") > hot).alias("hot")).alias("s"))
     spans = wanted.groupBy("row").agg(F.collect_list("s").alias("spans"))
     cut = store.put("cut", _cut_super_kmers(docs.join(spans, _same(docs["row"], spans["row"])).select(docs["row"], "text", "spans"), window))
+    store.drop("listed")
 
-    cold = _count_buckets(cut.where("packed is not null"), window)
-    single = cut.where("hot is not null").select(F.col("hot").alias("h"), F.col("row.id").alias("id"), F.col("row.mark").alias("mark"), F.col("start").cast("long").alias("first"))
-    many = single.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    warm = single.join(many, "h", "left_semi").select("id", "mark", "first", F.col("first").alias("last"))
-    return cold.unionByName(warm).groupBy("id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    found = _count_buckets(cut.where("not hot"), window).unionByName(_count_hot(cut.where("hot"), window, store))
+    return found.groupBy("id", "mark").agg(F.collect_list(F.struct("starts", "mask")).alias("spans"))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -242,10 +270,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     lose none. Rows that are equal, or share a doc_id, count as separate places; a null doc_id is a
     place too.
     """
+    names = ("n_words", "n_removed", "kept_text")
+    return _removed(docs.drop(*names), window, gram, hot, names)
+
+
+def _removed(docs: DataFrame, window: int, gram: int, hot: int, names: tuple[str, str, str]) -> DataFrame:
     store = Durable(docs.sparkSession)
-    plain = docs.drop("n_words", "n_removed", "kept_text", "spans", "row")
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    marked = plain.withColumn("row", F.struct(F.col("doc_id").cast("long").alias("id"), mark.alias("mark")))
-    spans = repeated_spans(marked.select("row", "text"), store, window, gram, hot)
-    joined = marked.join(spans, marked["row"]["id"].eqNullSafe(spans["id"]) & (marked["row"]["mark"] == spans["mark"]), "left")
-    return _drop_words(joined.select(*plain.columns, "spans"), window)
+    row = F.struct(F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
+    spans = repeated_spans(docs.select(row.alias("row"), "text"), store, window, gram, hot)
+    spans = spans.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left")
+    return _drop_words(joined.drop("__id", "__mark"), window, names)
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs, all columns, with repeated passages cut from text, and n_chars, if it is there, brought up to date.
+
+    Texts that lose nothing stay as they are, white space included; others become their kept words
+    joined by one space. Every row stays, also one that loses all its words.
+    """
+    cut = _removed(docs, window, GRAM, HOT, ("__words", "__gone", "__kept"))
+    text = F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text"))
+    columns = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return cut.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
