@@ -332,8 +332,9 @@ def keep_known(docs: DataFrame, model: TextModel) -> DataFrame:
     """
     store = Durable(docs.sparkSession)
     claims = {"declared": F.col("lang"), "suggested": F.lit(None).cast("string"), "host": F.col("source")}
-    scored = store.put("scored", text_scores(docs.select(*[c.alias(n) for n, c in claims.items()], "text"), model))
-    evidence = gather(scored, model.languages, store)
-    held = docs.withColumns(claims | {"__text": F.col("text")})
-    named = decide(text_scores(held, model, text="__text"), evidence)
-    return named.where(F.col("lang") != UNKNOWN).select(*docs.columns)
+    rows = docs.select(*[c.alias(n) for n, c in claims.items()], "text")
+    evidence = gather(store.put("scored", text_scores(rows, model)), model.languages, store)
+    # Columns of docs stand aside under numbers, so that none is taken for one of these.
+    held = docs.select(*[c.alias(n) for n, c in claims.items()], "text", *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
+    named = decide(text_scores(held, model), evidence).where(F.col("lang") != UNKNOWN)
+    return named.select(*[(F.col("lang") if c == "lang" else F.col(f"__{i}")).alias(c) for i, c in enumerate(docs.columns)])

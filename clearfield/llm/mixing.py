@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from .common import n_words
 
 BUCKET_ROWS, MOST_BUCKETS = 64, 1 << 14
+_NEW = ("size", "source_size", "target", "taken", "copies", "position")
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,7 @@ def mix_sources(docs: DataFrame, schedules: tuple[Schedule, ...] = CURRICULUM, b
 
 
 def _mix(docs: DataFrame, schedules: tuple[Schedule, ...], budget: float, most: float, seed: int, size: str | None, keep: bool) -> DataFrame:
-    new = ("size", "source_size", "target", "taken", "copies", "position")
+    new = _NEW
     sized = docs.withColumn("__w", F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else n_words(F.col("text")))
     columns = [c for c in docs.columns if c not in new]
     # A null source is told apart by a flag, so that windows and the join deal rows out alike, once.
@@ -136,9 +137,9 @@ def _mix(docs: DataFrame, schedules: tuple[Schedule, ...], budget: float, most:
     sizes = cells.groupBy("__src", "__nul").agg(F.sum("__s").alias("source_size"))
     named = sizes.select(F.when(~F.col("__nul"), F.col("__src")).alias("source"), "source_size")
     targets = source_targets(named, schedules, budget, most).select(
-        F.coalesce("source", F.lit("")).alias("__src"), F.col("source").isNull().alias("__nul"), "source_size", "kind", "target"
+        F.coalesce("source", F.lit("")).alias("__src"), F.col("source").isNull().alias("__nul"), "source_size", F.col("kind").alias("__kind"), "target"
     )
-    known = offsets.join(targets, ["__src", "__nul"]).select(*(F.col(k).alias(f"{k}2") for k in keys), "__o", "source_size", "kind", "target")
+    known = offsets.join(targets, ["__src", "__nul"]).select(*(F.col(k).alias(f"{k}2") for k in keys), "__o", "source_size", "__kind", "target")
 
     inside = Window.partitionBy(*keys).orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -154,12 +155,12 @@ def _mix(docs: DataFrame, schedules: tuple[Schedule, ...], budget: float, most:
     begun = F.when(goal > 0, F.least(F.lit(1.0), at / goal))
     position = F.lit(None).cast("double")
     for i, s in enumerate(schedules):
-        position = F.when(F.col("kind") == i, s.when(begun)).otherwise(position)
+        position = F.when(F.col("__kind") == i, s.when(begun)).otherwise(position)
     return (
         placed.withColumn("taken", taken)
         .withColumn("copies", (rounds + (2 * part >= F.greatest(words, F.lit(1))).cast("long")).cast("int"))
         .withColumn("position", F.when(F.col("taken") > 0, position))
-        .select(*columns, *new, *(("kind", "__at") if keep else ()))
+        .select(*columns, *new, *(("__kind", "__at") if keep else ()))
     )
 
 
@@ -171,11 +172,11 @@ def training_order(docs: DataFrame, schedules: tuple[Schedule, ...] = CURRICULUM
     only rows that go.
     """
     mixed = _mix(docs, schedules, budget, most, seed, None, keep=True)
-    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies", "position")]
+    columns = [c for c in docs.columns if c not in _NEW]
     again = mixed.where("copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     begun = F.least(F.lit(1.0), (F.col("__at") + F.col("__k") * F.col("source_size")) / F.greatest(F.round("target"), F.lit(1.0)))
     position = F.lit(1.0)
     for i, s in enumerate(schedules):
-        position = F.when(F.col("kind") == i, s.when(begun)).otherwise(position)
+        position = F.when(F.col("__kind") == i, s.when(begun)).otherwise(position)
     placed = again.withColumn("position", position).select(*columns, "position")
     return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -45,7 +45,7 @@ def feistel(number: Column, n: int, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("cycle walk did not end")).cast("long"))
 
 
-def numbered(df: DataFrame, *identity: Column, seed: int = 0, name: str = "row_number") -> tuple[DataFrame, int]:
+def numbered(df: DataFrame, *identity: Column, seed: int = 0, name: str = "__n") -> tuple[DataFrame, int]:
     """df with gapless numbers from 0 in an order fixed by the hash of ``identity``, and the row count.
 
     Numbers are counted in hash buckets of about equal size, whose offsets come from one grouped count;
@@ -60,9 +60,9 @@ def numbered(df: DataFrame, *identity: Column, seed: int = 0, name: str = "row_n
     bits = buckets.bit_length() - 1
     bucket = F.shiftrightunsigned(F.col("__h"), 64 - bits).cast("int") if bits else F.lit(0)
     hashed = hashed.withColumn("__b", bucket)
-    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    offsets = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
     inside = Window.partitionBy("__b").orderBy("__h", *identity)
     placed = hashed.join(F.broadcast(offsets), "__b")  # at most MOST_BUCKETS rows of two numbers
     return placed.withColumn(name, F.col("__o") + F.row_number().over(inside) - 1).drop("__h", "__b", "__o"), n
@@ -75,14 +75,14 @@ def shard(df: DataFrame, shards: int, *identity: str, seed: int = 0) -> DataFram
     row at most. Null identities count as values. An empty df gives an empty result. Columns named
     shard or slot are replaced.
     """
-    plain = df.drop("shard", "slot", "row_number")
+    plain = df.drop("shard", "slot")
     rows, n = numbered(plain, *(F.col(c) for c in identity), seed=seed)
-    at = feistel(F.col("row_number"), max(n, 1), seed)
+    at = feistel(F.col("__n"), max(n, 1), seed)
     return (
         rows.withColumn("__p", at)
         .withColumn("shard", F.pmod("__p", F.lit(shards)).cast("int"))
         .withColumn("slot", ((F.col("__p") - F.col("shard")) / shards).cast("long"))
-        .drop("__p", "row_number")
+        .drop("__p", "__n")
     )
 
 
