@@ -45,6 +45,8 @@ class Banding:
 BANDING = Banding(bands=25, rows=5, seed=11)
 #: Buckets that still hold more classes than this after their first star are dealt anew, by rare shingles.
 SMALL_BUCKET = 32
+#: Document numbers that are broadcast at most (8 bytes each, some 16 MB as a hash table).
+MOST_BROADCAST = 500_000
 
 
 class Sketcher:
@@ -159,7 +161,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, small: i
     buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     held = store.put("held", buckets.join(shared, "bucket").select("bucket", "doc_id", "n", "size"))
-    texts = docs.select("doc_id", "text").join(held.select("doc_id").distinct(), "doc_id", "left_semi")
+    met = store.put("met", held.select("doc_id").distinct())
+    # Few enough to be sent to every task, or else both sides are dealt out.
+    met = F.broadcast(met) if met.count() <= MOST_BROADCAST else met
+    texts = docs.select("doc_id", "text").join(met, "doc_id", "left_semi")
     sets = store.put("sets", full_sets(texts, words))
     links = _star_links(held, sets, percent, small, store)
 
