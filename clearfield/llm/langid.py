@@ -233,7 +233,7 @@ class Evidence:
     languages: tuple[str, ...]
     mix: np.ndarray
     claims: dict[str, np.ndarray]
-    hosts: DataFrame
+    hosts: DataFrame | None
 
 
 def _lean(counts: Column, on: Column) -> Column:
@@ -248,6 +248,8 @@ def _array(values) -> Column:
 def gather(scored: DataFrame, languages: tuple[str, ...], store: Durable) -> Evidence:
     """Evidence over all rows of a table of text_scores with columns host, declared and suggested."""
     k = len(languages)
+    if not k:  # nothing was labelled, so nothing can be known
+        return Evidence((), np.zeros(0), {}, None)
     rows = scored.where("features > 0").select("host", "declared", "suggested", posterior(F.slice("scores", 1, k)).alias("p"))
     total = rows.agg(*_counts(F.col("p"), k)).first()
     shares = np.array([total[f"c{i}"] or 0.0 for i in range(k)]) + 1.0
@@ -274,6 +276,8 @@ def decide(rows: DataFrame, evidence: Evidence) -> DataFrame:
     """
     languages, k = evidence.languages, len(evidence.languages)
     kept = [c for c in rows.columns if c not in ("lang", "confidence")]
+    if not k:
+        return rows.select(*kept, F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"))
 
     def claim(column: str) -> Column:
         out = _array([0.0] * k)
