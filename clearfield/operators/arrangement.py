@@ -257,10 +257,22 @@ def smooth_values(p: Program, x: np.ndarray, beta: float, gradient: bool = True)
         if op == LEAF:
             values.append(p.sign[leaf] * x[:, p.axis[leaf]] - p.sign[leaf] * (p.coord[leaf] * p.h))
             if gradient:
-                g = np.zeros((n, 3))
+                g = np.zeros((1, 3))  # the same at every point
                 g[:, p.axis[leaf]] = p.sign[leaf]
                 slopes.append(g)
             continue
+        if len(children) == 2:  # one exponential serves both terms
+            a, b = values[children[0]], values[children[1]]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            with np.errstate(under="ignore", over="ignore"):
+                e = np.exp(-beta * (high - low))
+            total = 1.0 + e
+            values.append(high + np.log1p(e) / beta if op == MAX else low + np.log1p((1.0 - e) / total) / beta)
+            if gradient:
+                first = (a >= b) if op == MAX else (a <= b)
+                w = (np.where(first, 1.0, e) / total)[:, None]
+                slopes.append(w * slopes[children[0]] + (1.0 - w) * slopes[children[1]])
+            continue
         terms = np.stack([values[c] for c in children])
         anchor = terms.max(axis=0) if op == MAX else terms.min(axis=0)
         gaps = anchor - terms if op == MAX else terms - anchor
@@ -271,7 +283,7 @@ def smooth_values(p: Program, x: np.ndarray, beta: float, gradient: bool = True)
         values.append(anchor + (np.log1p(total - 1.0) if op == MAX else np.log1p((k - total) / total)) / beta)
         if gradient:
             slopes.append(sum(e[i][:, None] * slopes[c] for i, c in enumerate(children)) / total[:, None])
-    return values[-1], slopes[-1] if gradient else None
+    return values[-1], np.broadcast_to(slopes[-1], (n, 3)) if gradient else None
 
 
 def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray], block: int = 1 << 22) -> tuple[int, int]:
@@ -281,7 +293,7 @@ def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray]
     around it: 1 if all are occupied, -1 if none is, else 0. Leaves are signs of places, so this is exact.
     """
     sizes = [2 * len(c) + 1 for c in planes]
-    lowest = np.repeat(occupied, 1, axis=0).astype(np.int8)
+    lowest = occupied.astype(np.int8)
     highest = lowest
     for axis in range(3):
         pairs_lo = np.minimum(np.take(lowest, range(lowest.shape[axis] - 1), axis), np.take(lowest, range(1, lowest.shape[axis]), axis))
@@ -304,9 +316,7 @@ def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray]
         xs = np.arange(lo, min(lo + step, sizes[0]))
         shape = (len(xs), sizes[1], sizes[2])
         axes = [xs, np.arange(sizes[1]), np.arange(sizes[2])]
-        work: list[np.ndarray | None] = []
-        last = [max((i for i, c in enumerate(p.children) if j in c), default=j) for j in range(0)]
-        del last
+        work: list[np.ndarray] = []
         for op, leaf, children in zip(p.op, p.leaf, p.children, strict=True):
             if op == LEAF:
                 k = p.axis[leaf]
@@ -373,8 +383,10 @@ def evaluate(points: DataFrame, programs: DataFrame, error: float = 1e-3, salts:
         p = Program.unpack(programs["program"].iloc[0])
         beta, bound = smoothing(p, error=error)
         out = []
-        for lo in range(0, len(pts), 4096):
-            part = pts.iloc[lo : lo + 4096]
+        # As many points at once as keep all nodes' values and slopes in some 64 MB.
+        block = max(256, min(8192, (1 << 26) // (32 * len(p.op))))
+        for lo in range(0, len(pts), block):
+            part = pts.iloc[lo : lo + block]
             x = part[["x", "y", "z"]].to_numpy()
             upper, slope = smooth_values(p, x, beta, gradient)
             slope = slope if gradient else np.zeros((len(x), 3))

@@ -220,4 +220,27 @@ ORACLE_SQL: dict[str, str] = {
     "tet_neighbours": """WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS tet_id FROM part)
       SELECT a.tet_id, coalesce(n.tet_id, -1) AS n0, -1::BIGINT AS n1, -1::BIGINT AS n2, coalesce(p.tet_id, -1) AS n3
       FROM t a LEFT JOIN t n ON n.tet_id = a.tet_id + 1 LEFT JOIN t p ON p.tet_id = a.tet_id - 1""",
+    "cluster_tree": f"""WITH {_base(H)}, {_NODES}, {_BOXES}, l AS (SELECT frame_id, count(DISTINCT (axis, sign, coord)) AS leaves FROM bp GROUP BY 1)
+      SELECT frame_id, (SELECT count(*) FROM boxes b WHERE b.frame_id = l.frame_id) AS cells, leaves, 6 * (SELECT count(*) FROM boxes b WHERE b.frame_id = l.frame_id) AS "references" FROM l""",
+    "plane_dedupe": f"WITH {_base(H)}, {_NODES}, {_BOXES} SELECT frame_id, count(*) AS planes, count(DISTINCT (axis, sign, coord)) AS leaves FROM bp GROUP BY frame_id",
+    "face_contours": _surface()
+    + """, c AS (SELECT frame_id, axis, sign, plane, u + a AS cu, v + b AS cv, count(*) AS k, sum(CASE WHEN a = b THEN 1 ELSE -1 END) AS d FROM faces, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b) GROUP BY ALL),
+      t AS (SELECT frame_id, axis, sign, plane, sum(CASE WHEN k IN (1, 3) THEN 1 WHEN k = 2 AND abs(d) = 2 THEN 2 ELSE 0 END) AS corners FROM c GROUP BY ALL)
+      SELECT f.frame_id, f.axis, f.sign, f.plane, count(*) AS faces, CAST(any_value(t.corners) AS BIGINT) AS corners FROM faces f JOIN t ON f.frame_id = t.frame_id AND f.axis = t.axis AND f.sign = t.sign AND f.plane = t.plane
+      GROUP BY f.frame_id, f.axis, f.sign, f.plane""",
+    "probe_audit": _surface(H, _PATCHES)
+    + """SELECT frame_id, 'centre' AS kind, count(*) AS probes, 0::BIGINT AS wrong_centres, 0::BIGINT AS wrong_corners FROM vox GROUP BY 1
+      UNION ALL SELECT frame_id, 'corner', count(*), 0, 0 FROM (SELECT DISTINCT frame_id, ix + a, iy + b, iz + c FROM vox, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c)) GROUP BY 1
+      UNION ALL SELECT frame_id, 'flank', 2 * count(*), 0, 0 FROM patches GROUP BY 1""",
+    "zero_rays": _surface(H, _PATCHES) + "SELECT frame_id, count(*) AS rays, 0::BIGINT AS bad_ends, 0::BIGINT AS off_plane, 0::BIGINT AS too_deep FROM patches GROUP BY frame_id",
+    "patch_meshes": _surface(H, _PATCHES) + "SELECT frame_id, 4 * count(*) AS vertices, count(*) AS faces FROM patches GROUP BY frame_id",
+    "xyz_round_trip": f"WITH {_POINTS} SELECT frame_id, count(*) AS points, 0::BIGINT AS changed FROM pts GROUP BY frame_id",
+    "hull_containment": f"WITH {_base(0.2)}, {_NODES} SELECT frame_id, count(*) AS cells, 0::BIGINT AS beyond FROM cut GROUP BY frame_id",
+    "strided_patches": _surface(H, _PATCHES)
+    + """, n AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY 2 * axis + CASE WHEN sign > 0 THEN 1 ELSE 0 END, plane, v0, u0) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS n FROM patches)
+      SELECT frame_id, CAST(i AS INTEGER) AS patch_id FROM n WHERE n <= 16 OR i = 0 OR (i * 16) // n > ((i - 1) * 16) // n""",
+    "jet_smoothing": f"""WITH {_POINTS}, k AS (SELECT a.frame_id, a.point_id, count(*) AS n FROM pts a JOIN pts b ON a.frame_id = b.frame_id
+      AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.08::DOUBLE * 0.08 GROUP BY ALL)
+      SELECT frame_id, count(*) AS points, count(*) FILTER (n >= 12) AS moved FROM k GROUP BY frame_id""",
+    "tet_clusters": "SELECT CAST(n_nationkey AS BIGINT) AS frame_id, 6::BIGINT AS tets, 1::BIGINT AS clusters FROM nation",
 }

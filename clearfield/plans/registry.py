@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import inside_ellipsoid, wilson
-from ..operators import arrangement, boundary, meshes, octree, robot, voxels
+from ..operators import arrangement, audit, boundary, clusters, meshes, octree, robot, trees, voxels
+from ..sources import exports
 from ..sources import points as sources
 from ..sources import shapes
 from ..streaming import frames
@@ -407,6 +408,95 @@ def tet_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("tet_id", *[F.get("nbr", F.lit(k)).alias(f"n{k}") for k in range(4)])
 
 
+def cluster_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trees.cluster_tree(octree.box_planes(_boxes(_voxels(spark, sf_dir)), H))
+    return t.select("frame_id", "cells", "leaves", "references")
+
+
+def plane_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of the cells, each with its first equal within a tolerance, by frame."""
+    p = octree.box_planes(_boxes(_voxels(spark, sf_dir)), H)
+    normal = [F.when(F.col("axis") == k, F.col("sign")).otherwise(0).cast("double").alias(f"n{c}") for k, c in enumerate("xyz")]
+    rows = p.select("frame_id", (F.col("cell_id") * 6 + F.col("axis") * 2 + (F.col("sign") > 0).cast("int")).cast("long").alias("plane_id"), *normal, "offset")
+    return trees.dedupe_planes(rows, 1e-9).groupBy("frame_id").agg(F.count(F.lit(1)).alias("planes"), (F.max("leaf_id") + 1).alias("leaves"))
+
+
+def face_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of each boundary plane: their signed areas add up to its faces."""
+    loops = audit.contours(_Surface(spark, sf_dir).faces)
+    return loops.groupBy("frame_id", "axis", "sign", "plane").agg(F.sum("area").cast("long").alias("faces"), F.sum("corners").alias("corners"))
+
+
+def probe_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of the function at centres, corners and either side of patches, by kind."""
+    s = _Surface(spark, sf_dir)
+    p = audit.surface_probes(s.voxels, s.patches, H)
+    q = arrangement.evaluate(p, arrangement.build_programs(s.cells, s.coords, H), gradient=False)
+    rows = p.select("frame_id", "point_id", "kind").join(q, ["frame_id", "point_id"])
+    return rows.groupBy("frame_id", "kind").agg(F.count(F.lit(1)).alias("probes"), F.count_if((F.col("kind") == "centre") & (F.col("q") <= 0)).alias("wrong_centres"), F.count_if((F.col("kind") == "corner") & (F.col("q") < 0)).alias("wrong_corners"))
+
+
+def zero_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zeros along rays through each patch, from a quarter voxel outside to a quarter voxel inside."""
+    s = _Surface(spark, sf_dir)
+    p = s.patches
+    mid = {k: (F.col(f"{k}0") + F.col(f"{k}1")) / 2 for k in "uv"}
+
+    def at(axis: int, off: float):
+        grid = F.when(F.col("axis") == axis, F.col("plane") + off * F.col("sign")).when((F.col("axis") + 1) % 3 == axis, mid["u"] + 0.01).otherwise(mid["v"] + 0.01)
+        return grid * H
+
+    rays = p.select("frame_id", F.xxhash64(*p.columns).alias("ray_id"), *[at(k, 0.25).alias(c) for k, c in enumerate("xyz")], *[at(k, -0.25).alias(f"i{c}") for k, c in enumerate("xyz")])
+    z = audit.zero_rays(rays, arrangement.build_programs(s.cells, s.coords, H), 1e-3)
+    return z.groupBy("frame_id").agg(
+        F.count(F.lit(1)).alias("rays"), F.count_if(~F.col("ok")).alias("bad_ends"), F.count_if(F.abs(F.col("t") - 0.5) > 1e-9).alias("off_plane"), F.count_if(F.col("t_smooth") > F.col("t") + 1e-9).alias("too_deep")
+    )
+
+
+def patch_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.patch_mesh(_Surface(spark, sf_dir).patches, H).select("frame_id", "vertices", "faces")
+
+
+def xyz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _embed(spark, sf_dir)
+    lines = p.select("point_id").join(p, "point_id").select("frame_id", "point_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]).alias("raw"))
+    back = sources.parse_xyz(lines).select("frame_id", "point_id", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    same = (F.col("x") == F.col("bx")) & (F.col("y") == F.col("by")) & (F.col("z") == F.col("bz"))
+    return p.join(back, ["frame_id", "point_id"]).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count_if(~same).alias("changed"))
+
+
+def hull_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls of each frame's cells: boxes whose corners lie beyond a plane of it, which none may."""
+    b = _boxes(_voxels(spark, sf_dir, 0.2)).withColumn("group_id", F.lit(0).cast("long"))
+    planes = clusters.box_hulls(b)
+    far = sum((F.col(f"n{c}") * F.col(f"lo{c}") + F.greatest(F.lit(0), F.col(f"n{c}")) * F.col(f"w{c}") for c in "yz"), F.col("nx") * F.col("lox") + F.greatest(F.lit(0), F.col("nx")) * F.col("wx"))
+    return b.join(planes, ["frame_id", "group_id"]).groupBy("frame_id").agg(F.count_distinct("lox", "loy", "loz").alias("cells"), F.count_if(far > F.col("offset")).alias("beyond"))
+
+
+def strided_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen patches of each frame at even strides of their numbers."""
+    p = boundary.number_patches(_Surface(spark, sf_dir).patches)
+    return audit.strided(p, ["patch_id"], 16).select("frame_id", "patch_id")
+
+
+def jet_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points moved onto local quadratic surfaces, by frame: how many were and how far at most."""
+    p = sources.points_of_embeddings(spark, sf_dir)
+    j = clusters.jet_smooth(p, 0.08).select("frame_id", "point_id", *[F.col(c).alias(f"m{c}") for c in "xyz"], "moved")
+    return p.join(j, ["frame_id", "point_id"]).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count_if("moved").alias("moved"))
+
+
+def tet_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convex clusters of the six tetrahedra of a cube, once for each nation."""
+    corners = [(i, float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)]
+    six = [(k, [0, a, a | b, 7]) for k, (a, b) in enumerate([(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2)])]
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
+    v = n.select((F.col("frame_id") + 0).alias("frame_id")).crossJoin(F.broadcast(spark.createDataFrame(corners, "vertex_id long, x double, y double, z double")))
+    t = n.crossJoin(F.broadcast(spark.createDataFrame(six, "tet_id long, v array<long>")))
+    c = clusters.agglomerate_frames(v, t)
+    return c.groupBy("frame_id").agg(F.count(F.lit(1)).alias("tets"), F.count_distinct("cluster_id").alias("clusters"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "surface_summary": flagship,
     "xyz_lines": xyz_lines,
@@ -459,5 +549,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mesh_coplanar": mesh_coplanar,
     "points_in_mesh": points_in_mesh,
     "tet_neighbours": tet_neighbours,
+    "cluster_tree": cluster_tree,
+    "plane_dedupe": plane_dedupe,
+    "face_contours": face_contours,
+    "probe_audit": probe_audit,
+    "zero_rays": zero_rays,
+    "patch_meshes": patch_meshes,
+    "xyz_round_trip": xyz_round_trip,
+    "hull_containment": hull_containment,
+    "strided_patches": strided_patches,
+    "jet_smoothing": jet_smoothing,
+    "tet_clusters": tet_clusters,
 }
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
