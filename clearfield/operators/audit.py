@@ -88,10 +88,12 @@ def zero_cells(programs: DataFrame, lo: tuple[float, float, float], step: float,
                 beta = smoothing(p, error=error)[0] if error else 0.0
                 y, z = (lo[k] + step * np.arange(n[k]) for k in (1, 2))
 
-                def slab(i: int, p=p, beta=beta, y=y, z=z) -> np.ndarray:
+                def value(x: np.ndarray, p=p, beta=beta) -> np.ndarray:
+                    return smooth_values(p, x, beta, False)[0] if beta else hard_values(p, x)
+
+                def slab(i: int, y=y, z=z, value=value) -> np.ndarray:
                     x = np.stack(np.meshgrid([lo[0] + step * i], y, z, indexing="ij"), axis=-1).reshape(-1, 3)
-                    v = smooth_values(p, x, beta, False)[0] if beta else hard_values(p, x)
-                    return v.reshape(n[1], n[2])
+                    return value(x).reshape(n[1], n[2])
 
                 before = None
                 for i in range(n[0]):
@@ -101,10 +103,17 @@ def zero_cells(programs: DataFrame, lo: tuple[float, float, float], step: float,
                         pairs.append((0, before, now, i - 1))
                     for axis, a, b, at in pairs:
                         j, k = np.nonzero((a < 0) != (b < 0))
-                        if len(j):
-                            t = a[j, k] / (a[j, k] - b[j, k])
-                            base = {0: at, 1: j, 2: k}[axis]
-                            yield pd.DataFrame({"frame_id": fid, "axis": axis, "i": at, "j": j, "k": k, "zero": lo[axis] + step * (base + t)})
+                        if not len(j):
+                            continue
+                        x = np.stack([np.full(len(j), lo[0] + step * at), y[j], z[k]], axis=1)
+                        near, far, free = np.zeros(len(j)), np.ones(len(j)), a[j, k] < 0
+                        for _ in range(45):
+                            t = (near + far) / 2
+                            moved = x.copy()
+                            moved[:, axis] += step * t
+                            same = (value(moved) < 0) == free
+                            near, far = np.where(same, t, near), np.where(same, far, t)
+                        yield pd.DataFrame({"frame_id": fid, "axis": axis, "i": at, "j": j, "k": k, "zero": x[:, axis] + step * far})
                     before = now
 
     return programs.select("frame_id", "program").mapInPandas(run, "frame_id long, axis int, i int, j int, k int, zero double")
