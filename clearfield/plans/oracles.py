@@ -244,3 +244,4 @@ ORACLE_SQL: dict[str, str] = {
       SELECT frame_id, count(*) AS points, count(*) FILTER (n >= 12) AS moved FROM k GROUP BY frame_id""",
     "tet_clusters": "SELECT CAST(n_nationkey AS BIGINT) AS frame_id, 6::BIGINT AS tets, 1::BIGINT AS clusters FROM nation",
 }
+ORACLE_SQL["frame_stream"] = f"SELECT *, true AS certified, 0::BIGINT AS outside FROM ({ORACLE_SQL['frame_reuse']})"

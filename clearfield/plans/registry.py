@@ -12,6 +12,7 @@ from ..operators import arrangement, audit, boundary, clusters, meshes, octree,
 from ..sources import exports
 from ..sources import points as sources
 from ..sources import shapes
+from ..sources.staging import staging_folder
 from ..streaming import frames
 from . import oracles
 from .oracles import FINE, H
@@ -296,6 +297,12 @@ def frame_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.reuse_pattern(_event_frames(spark, sf_dir), 0.5)
 
 
+def frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as a stream with state, each built, certified and reused."""
+    done = frames.run_recorded(_event_frames(spark, sf_dir), 0.5, staging_folder(spark))
+    return done.select("sensor_id", "frame_id", "voxels", "hit", "certified", "outside")
+
+
 def _event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
     return t.select(
@@ -536,6 +543,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sphere_poses": sphere_poses,
     "link_distance": link_distance,
     "frame_reuse": frame_reuse,
+    "frame_stream": frame_stream,
     "frame_equality": frame_equality,
     "preprocess_voxel": preprocess_voxel,
     "displacement_stats": displacement_stats,

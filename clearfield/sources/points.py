@@ -5,6 +5,8 @@ A point table has frame_id long, point_id long, x, y, z double, all finite. Leng
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,44 @@ def parse_xyz(lines: DataFrame) -> DataFrame:
     def coordinate(k: int) -> Column:
         v = F.get("p", F.lit(k)).try_cast("double")
         good = (F.size("p") == 3) & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-        return require(good, error, v)
+        # A comment is no error, whatever order Catalyst gives this and the filter above.
+        return F.when(F.col("bare") != "", require(good, error, v))
 
     return rows.select("frame_id", "point_id", coordinate(0).alias("x"), coordinate(1).alias("y"), coordinate(2).alias("z"))
 
 
+def parse_ply(spark: SparkSession, text: str, frame_id: int = 0) -> DataFrame:
+    """Points of an ASCII PLY text: the vertex element's x, y, z; other properties and elements are skipped."""
+    lines = text.splitlines()
+    if not lines or lines[0].strip() != "ply" or "format ascii 1.0" not in (x.strip() for x in lines[:5]):
+        raise ValueError("not an ASCII PLY text")
+    end = next((i for i, x in enumerate(lines) if x.strip() == "end_header"), None)
+    if end is None:
+        raise ValueError("the header does not end")
+    at, skipped, count, names, element = end + 1, 0, 0, [], ""
+    for words in (x.split() for x in lines[1:end]):
+        if words[:1] == ["element"]:
+            element = words[1]
+            if element == "vertex":
+                count = int(words[2])
+            elif not count:
+                skipped += int(words[2])
+        elif words[:1] == ["property"] and element == "vertex":
+            names.append(words[-1])
+    if any(c not in names for c in "xyz"):
+        raise ValueError("vertices need x, y and z")
+    rows = []
+    for i, x in enumerate(lines[at + skipped : at + skipped + count]):
+        values = x.split()
+        point = [float(values[names.index(c)]) for c in "xyz"]
+        if len(values) != len(names) or not all(map(math.isfinite, point)):
+            raise ValueError(f"bad vertex {i}")
+        rows.append((frame_id, i, *point))
+    if len(rows) != count or not rows:
+        raise ValueError("vertices are missing")
+    return spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double")
+
+
 def points_of_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding as 21 points, in the frame of its label."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -100,6 +100,36 @@ def plane_patch(spark: SparkSession, n: int, width: float, depth: float, z: floa
     return spark.range(n).select(F.lit(frame).cast("long").alias("frame_id"), F.col("id").alias("point_id"), *[a.alias(c) for a, c in zip(at, "xyz", strict=True)])
 
 
+def annular_bracket(spark: SparkSession, n: int, inner: float, outer: float, height: float, opening: float, frame: int = 0, seed: int = 1) -> DataFrame:
+    """n points on an extruded annular sector that leaves an angle open: two caps, two walls and two ends, by area."""
+    span = 2 * math.pi - opening
+    cap, width = span * (outer * outer - inner * inner) / 2, outer - inner
+    parts = [2 * cap, span * inner * height, span * outer * height, 2 * width * height]
+    draw, total = uniform(seed, F.col("id")), sum(parts)
+    u, v, w = (uniform(seed + 1 + k, F.col("id")) for k in range(3))
+    edges = [sum(parts[: k + 1]) / total for k in range(4)]
+    on_cap, on_inner, on_outer = draw < edges[0], draw < edges[1], draw < edges[2]
+    radius = F.when(on_cap, F.sqrt(inner * inner + u * (outer * outer - inner * inner))).when(on_inner, inner).when(on_outer, outer).otherwise(inner + u * width)
+    angle = opening / 2 + span * F.when(on_outer, v).otherwise(F.when(v < 0.5, 0.0).otherwise(1.0))
+    z = F.when(on_cap, F.when(w < 0.5, 0.0).otherwise(height)).otherwise(w * height)
+    at = (radius * F.cos(angle), radius * F.sin(angle), z)
+    return spark.range(n).select(F.lit(frame).cast("long").alias("frame_id"), F.col("id").alias("point_id"), *[a.alias(c) for a, c in zip(at, "xyz", strict=True)])
+
+
+def bent_tube(spark: SparkSession, n: int, bend: float, tube: float, angle: float, frame: int = 0, seed: int = 1) -> DataFrame:
+    """n points on a tube along an arc of a circle in the x-z plane."""
+    u, v = angle * uniform(seed, F.col("id")), 2 * math.pi * uniform(seed + 1, F.col("id"))
+    r = bend + tube * F.cos(v)
+    at = (r * F.cos(u), tube * F.sin(v), r * F.sin(u))
+    return spark.range(n).select(F.lit(frame).cast("long").alias("frame_id"), F.col("id").alias("point_id"), *[a.alias(c) for a, c in zip(at, "xyz", strict=True)])
+
+
+def placed(points: DataFrame, frame: int, shift: tuple[float, float, float]) -> DataFrame:
+    """points moved into a frame; scenes are unions of these, with numbers of their own."""
+    at = [(F.col(c) + s).alias(c) for c, s in zip("xyz", shift, strict=True)]
+    return points.select(F.lit(frame).cast("long").alias("frame_id"), F.xxhash64("point_id", *[F.lit(s) for s in shift]).alias("point_id"), *at)
+
+
 def jitter_within_voxels(points: DataFrame, h: float, share: float = 0.25) -> DataFrame:
     """points moved a share of the way to the middle of their voxel: the same occupancy, other points."""
     from ..operators.voxels import with_voxels

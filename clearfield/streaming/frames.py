@@ -92,10 +92,32 @@ def stream_frames(frames: DataFrame, h: float) -> DataFrame:
     return frames.groupBy("sensor_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def run_recorded(points: DataFrame, h: float, folder: str) -> DataFrame:
+    """Result rows of a recorded stream: its frames are written to a folder and streamed from there to the end.
+
+    The sink is a table of files with a checkpoint, so a run that breaks off goes on where it stopped.
+    """
+    spark = points.sparkSession
+    rows = frames_of(points)
+    rows.write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    query = (
+        stream_frames(source, h)
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/progress")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def frames_of(points: DataFrame) -> DataFrame:
     """points (sensor_id, frame_id, x, y, z) as one row a frame, for writing a recorded stream."""
     order = F.array_sort(F.collect_list(F.struct("point_id", *"xyz")))
     return points.groupBy("sensor_id", "frame_id").agg(F.flatten(F.transform(order, lambda p: F.array(p["x"], p["y"], p["z"]))).alias("xyz"))
 
 
-__all__ = ["AXES", "OUTPUT", "frames_of", "reuse_pattern", "snapshot", "stream_frames"]
+__all__ = ["AXES", "OUTPUT", "frames_of", "reuse_pattern", "run_recorded", "snapshot", "stream_frames"]
