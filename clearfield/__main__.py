@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import arrangement, boundary, octree, robot, voxels
 from .sources import exports
 from .sources.points import read_xyz
+from .sources.staging import staging_folder
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,12 +33,19 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     h = a.voxel_size
     if not h > 0:
         raise ValueError("the voxel size must be positive")
-    points = read_xyz(spark, a.cloud)
-    v = voxels.voxelize(points, h)
-    faces = boundary.exposed_faces(v)
+    # Text is parsed once and voxels are found once; everything else reads these tables.
+    folder = staging_folder(spark)
+
+    def staged(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    points = staged("points", read_xyz(spark, a.cloud))
+    v = staged("voxels", voxels.voxelize(points, h))
+    faces = staged("faces", boundary.exposed_faces(v))
     planes = boundary.supports(faces)
     coords = boundary.coordinates(planes)
-    cells = boundary.cells(v, coords)
+    cells = staged("cells", boundary.cells(v, coords))
     if a.command == "voxelize":
         tables = {"voxels": v, "corners": voxels.corners(v), "stats": voxels.stats(points, v, h)}
     elif a.command == "boundary":

@@ -17,12 +17,11 @@ INDEX_LIMIT = 1 << 50
 
 
 def voxel_index(v: Column, h: float) -> Column:
-    """The i with i * h <= v < (i + 1) * h for the rounded planes; fails beyond INDEX_LIMIT."""
+    """The i with i * h <= v < (i + 1) * h for the rounded planes; null for null; fails beyond INDEX_LIMIT."""
     guess = F.floor(v / F.lit(h))
-    i = F.when(F.abs(v / F.lit(h)) < INDEX_LIMIT, guess).otherwise(F.raise_error(F.lit("voxel index out of range or not finite")).cast("long"))
-    for _ in range(2):  # the rounded quotient is off by one plane at most
-        i = F.when(v < i * F.lit(h), i - 1).when(v >= (i + 1) * F.lit(h), i + 1).otherwise(i)
-    return i
+    i = F.when(v.isNull(), F.lit(None).cast("long")).when(F.abs(v / F.lit(h)) < INDEX_LIMIT, guess).otherwise(F.raise_error(F.lit("voxel index out of range or not finite")).cast("long"))
+    # Within the limit, quotient and planes are rounded by less than an eighth of a step: off by one at most.
+    return F.when(v < i * F.lit(h), i - 1).when(v >= (i + 1) * F.lit(h), i + 1).otherwise(i)
 
 
 def with_voxels(points: DataFrame, h: float) -> DataFrame:
