@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 For each page or document the log posterior of a language is the sum of
-  - a text likelihood: hashed n-grams of bytes and whole words, multinomial with a flat prior, fitted on a
+  - a text likelihood: hashed byte trigrams within and at the ends of words, multinomial with a flat prior, fitted on a
     bounded sample of labelled texts, tempered because neighbouring n-grams are not independent;
   - the language the markup declares, and the language the address suggests (top-level domain, host label,
     leading path segment), each through a reliability matrix counted on the table itself;
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Durable, mix, text_chunks, word_bounds, word_hashes
+from .common import Durable, text_chunks
 
 UNKNOWN = "und"
 #: Slots of the hashed feature table, and how many independent pieces of evidence a text counts as at most.
@@ -39,45 +39,33 @@ SUFFIX_LANGUAGE = {
 
 
 def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature slots and the number of the text each belongs to: byte trigrams within words, and whole words.
+    """Feature slots in order of text, and for each text how many come before it.
 
-    Letters A-Z fold to lower case; words lose nothing else. Trigrams see a word's ends as spaces; those
-    with a digit or ASCII punctuation in them do not count.
+    A feature is a byte trigram centred on a letter. Letters A-Z fold to lower case, white space counts as
+    a space, and so does what lies beyond a text's ends; trigrams with a digit or ASCII punctuation in them
+    do not count.
     """
-    starts, ends, first = word_bounds(raw, offsets)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letter = _LETTER[raw]
-    folded = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint32)
-    space = _SPACE[raw]
-    folded[space] = 32
-    inner = letter | space
-    # A trigram is centred on a letter; a text's first and last bytes stand beside spaces.
-    left, right = np.full(len(raw), 32, np.uint32), np.full(len(raw), 32, np.uint32)
+    if not len(raw):
+        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+    folded, letter = _FOLDED[raw], _LETTER[raw]
+    inner = folded != 0
+    left, right = np.empty_like(folded), np.empty_like(folded)
     left[1:], right[:-1] = folded[:-1], folded[1:]
-    good = letter.copy()
-    good[1:] &= inner[:-1]
-    good[:-1] &= inner[1:]
+    left[0], right[-1] = 32, 32
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < len(raw))]
     left[edge], right[edge - 1] = 32, 32
-    at = np.flatnonzero(good)
-    code = (left[at].astype(np.uint64) << np.uint64(16)) | (folded[at].astype(np.uint64) << np.uint64(8)) | right[at].astype(np.uint64)
-    grams = (mix(code) >> np.uint64(48)).astype(np.int64)
-    of_gram = np.searchsorted(offsets, at, side="right") - 1
-    plain = np.add.reduceat((~letter).astype(np.int32), starts) if len(starts) else np.zeros(0, np.int32)
-    # reduceat sums up to the next word's start, so the space between is taken off.
-    gaps = np.append(starts[1:], len(raw)) - ends
-    whole = np.flatnonzero(plain - gaps == 0)
-    words = (word_hashes(raw, starts, ends, fold=True)[whole] >> np.uint64(48)).astype(np.int64)
-    of_word = np.searchsorted(first, whole, side="right") - 1
-    return np.concatenate([grams, words]), np.concatenate([of_gram, of_word])
+    at = np.flatnonzero(letter & (left != 0) & (right != 0) & inner)
+    code = (left[at] << np.uint32(16)) | (folded[at] << np.uint32(8)) | right[at]
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(16), np.searchsorted(at, offsets)
 
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Letters as they count, white space as a space, anything else as 0.
+_FOLDED = np.where(_LETTER, np.arange(256), 0).astype(np.uint32)
+_FOLDED[65:91] = np.arange(97, 123)
+_FOLDED[[9, 10, 11, 12, 13, 32]] = 32
 
 
 @dataclass(frozen=True)
@@ -85,15 +73,18 @@ class TextModel:
     """Log likelihoods of feature slots by language; the last column is the background."""
 
     languages: tuple[str, ...]
-    weights: np.ndarray  # (SLOTS, languages + 1) float32
+    weights: np.ndarray  # (SLOTS, languages + 1)
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihood by text and language (background last), and features by text."""
         totals, counts = [], []
         for lo, hi, raw, offsets in text_chunks(column):
-            slots, of = _features(raw, offsets)
-            n = np.bincount(of, minlength=hi - lo).astype(np.float64)
-            sums = np.stack([np.bincount(of, weights=self.weights[slots, k], minlength=hi - lo) for k in range(self.weights.shape[1])], axis=1)
+            slots, before = _features(raw, offsets)
+            n = np.diff(before).astype(np.float64)
+            sums = np.zeros((hi - lo, self.weights.shape[1]))
+            some = np.flatnonzero(n)
+            if len(some):
+                sums[some] = np.add.reduceat(self.weights[slots], before[some], axis=0)
             scale = np.minimum(1.0, MOST_EVIDENCE / np.maximum(n, 1.0))
             totals.append(sums * scale[:, None])
             counts.append(n)
@@ -124,8 +115,8 @@ def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed:
     slots, of, at = [], [], 0
     for chunk in column.chunks:
         for lo, hi, raw, offsets in text_chunks(chunk):
-            s, o = _features(raw, offsets)
-            slots.append(s), of.append(o + at + lo)
+            s, before = _features(raw, offsets)
+            slots.append(s), of.append(np.repeat(np.arange(hi - lo), np.diff(before)) + at + lo)
         at += len(chunk)
     slots_, of_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, of))
     number = np.array([languages.index(x) for x in langs], dtype=np.int64)
@@ -140,7 +131,7 @@ def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed:
     # The background has seen every slot alike; languages give a little of their mass to unseen slots.
     weights = np.log(0.9 * counts + 0.1 / SLOTS)
     weights[:, -1] = np.log(1.0 / SLOTS)
-    return TextModel(languages, (weights - weights[:, -1:]).astype(np.float32))
+    return TextModel(languages, weights - weights[:, -1:])
 
 
 # ---------------------------------------------------------------- evidence from markup and address
@@ -209,12 +200,16 @@ def text_scores(rows: DataFrame, model: TextModel, text: str = "text") -> DataFr
     return rows.select(*kept, text).mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in kept) + "scores array<double>, features long")
 
 
-def posterior(logs: Column) -> Column:
-    """Probabilities from an array of logs."""
-    top = F.array_max(logs)
-    odds = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(odds, lambda x: x / total)
+def with_posterior(df: DataFrame, logs: Column, into: str) -> DataFrame:
+    """df with an array column of probabilities from an array of logs; each step is a column, so that none is computed twice."""
+    return (
+        df.withColumn("__l", logs)
+        .withColumn("__t", F.array_max("__l"))
+        .withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.col("__t"))))
+        .withColumn("__z", F.aggregate("__e", F.lit(0.0), lambda a, x: a + x))
+        .withColumn(into, F.transform("__e", lambda x: x / F.col("__z")))
+        .drop("__l", "__t", "__e", "__z")
+    )
 
 
 def _counts(p: Column, size: int) -> list[Column]:
@@ -250,7 +245,7 @@ def gather(scored: DataFrame, languages: tuple[str, ...], store: Durable) -> Evi
     k = len(languages)
     if not k:  # nothing was labelled, so nothing can be known
         return Evidence((), np.zeros(0), {}, None)
-    rows = scored.where("features > 0").select("host", "declared", "suggested", posterior(F.slice("scores", 1, k)).alias("p"))
+    rows = with_posterior(scored.where("features > 0").select("host", "declared", "suggested", "scores"), F.slice("scores", 1, k), "p")
     total = rows.agg(*_counts(F.col("p"), k)).first()
     shares = np.array([total[f"c{i}"] or 0.0 for i in range(k)]) + 1.0
     shares /= shares.sum()
@@ -268,6 +263,11 @@ def gather(scored: DataFrame, languages: tuple[str, ...], store: Durable) -> Evi
     return Evidence(tuple(languages), shares, claims, store.put("hosts", priors))
 
 
+def is_noise(k: int) -> Column:
+    """Whether no language explains a text better than noise: the background, whose score is 0, wins."""
+    return (F.col("features") == 0) | (F.array_max(F.slice("scores", 1, k)) < 0) if k else F.lit(True)
+
+
 def decide(rows: DataFrame, evidence: Evidence) -> DataFrame:
     """rows with lang and confidence.
 
@@ -286,20 +286,21 @@ def decide(rows: DataFrame, evidence: Evidence) -> DataFrame:
         return out
 
     base = _array(evidence.mix)
-    joined = rows.join(evidence.hosts, F.col("host") == F.col("__host"), "left").withColumn("__p", posterior(F.slice("scores", 1, k)))
+    joined = with_posterior(rows.join(evidence.hosts, F.col("host") == F.col("__host"), "left"), F.slice("scores", 1, k), "__p")
     # A row's own text must not count twice, so its share is taken out of its host's counts.
     own = F.when(F.col("features") > 0, F.col("__p")).otherwise(_array([0.0] * k))
     rest = F.transform(F.arrays_zip(F.col("hc").alias("c"), own.alias("o")), lambda z: F.greatest(z["c"] - z["o"], F.lit(0.0)))
-    joined = joined.withColumn("__prior", F.coalesce(_lean(rest, F.col("dp")), base))
+    joined = joined.withColumn("__rest", rest).withColumn("__sum", F.aggregate("__rest", F.lit(0.0), lambda a, x: a + x))
+    leaning = F.transform(F.arrays_zip(F.col("__rest").alias("c"), F.col("dp").alias("o")), lambda z: (z["c"] + LEAN * z["o"]) / (F.col("__sum") + LEAN))
+    joined = joined.withColumns({"__prior": F.coalesce(leaning, base), "__claim": claim("declared"), "__hint": claim("suggested")})
     fused = F.transform(
-        F.arrays_zip(F.slice("scores", 1, k).alias("s"), F.col("__prior").alias("h"), claim("declared").alias("d"), claim("suggested").alias("a")),
+        F.arrays_zip(F.slice("scores", 1, k).alias("s"), F.col("__prior").alias("h"), F.col("__claim").alias("d"), F.col("__hint").alias("a")),
         lambda z: z["s"] + F.ln(z["h"]) + z["d"] + z["a"],
     )
-    joined = joined.withColumn("__q", posterior(fused))
+    joined = with_posterior(joined, fused, "__q")
     best = F.array_position("__q", F.array_max("__q")).cast("int")
     named = F.element_at(F.array(*[F.lit(x) for x in languages]), best)
-    # The background has score 0: it wins where no language explains the text better than noise.
-    noise = (F.col("features") == 0) | (F.array_max(F.slice("scores", 1, k)) < 0)
+    noise = is_noise(k)
     return joined.select(
         *kept,
         F.when(noise, F.lit(UNKNOWN)).otherwise(named).alias("lang"),
@@ -340,5 +341,7 @@ def keep_known(docs: DataFrame, model: TextModel) -> DataFrame:
     evidence = gather(store.put("scored", text_scores(rows, model)), model.languages, store)
     # Columns of docs stand aside under numbers, so that none is taken for one of these.
     held = docs.select(*[c.alias(n) for n, c in claims.items()], "text", *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
-    named = decide(text_scores(held, model), evidence).where(F.col("lang") != UNKNOWN)
+    # Noise is what decide would call unknown. It goes before, by scores alone: a filter on the decision would be
+    # pushed below the steps that make it, and repeat them.
+    named = decide(text_scores(held, model).where(~is_noise(len(model.languages))), evidence)
     return named.select(*[(F.col("lang") if c == "lang" else F.col(f"__{i}")).alias(c) for i, c in enumerate(docs.columns)])
