@@ -11,8 +11,13 @@ is dealt out: a document is encoded where it is read.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import json
+import threading
+import time
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Bounds of a worker's memory: runs and words in a generation, and the length up to which one is kept.
 CACHED_RUNS, CACHED_WORDS, CACHED_LENGTH = 200_000, 300_000, 48
 #: Rank of a pair that does not merge, and a tree's node for it.
@@ -232,6 +239,10 @@ class WordBpe:
         self.known_runs.put(run, entry)
         return entry
 
+    def forget(self) -> None:
+        """Drop all remembered results."""
+        self.known_runs, self.known_words = Memory(CACHED_RUNS), Memory(CACHED_WORDS)
+
     def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
         for m in self.marks.finditer(text) if self.marks else ():
@@ -271,6 +282,37 @@ def _loaded(definition: str) -> WordBpe:
     return WordBpe(definition)
 
 
+class _Idle:
+    """Gives a worker's memory of results back to the system once it has been idle for a while.
+
+    Spark keeps Python workers for later stages, which need the memory for other things.
+    """
+
+    SECONDS = 2.0
+
+    def __init__(self):
+        self.used = 0.0
+        self.thread: threading.Thread | None = None
+
+    def touch(self, bpe: WordBpe) -> None:
+        self.used = time.monotonic()
+        if self.thread is None or not self.thread.is_alive():
+            self.thread = threading.Thread(target=self._wait, args=(bpe,), daemon=True)
+            self.thread.start()
+
+    def _wait(self, bpe: WordBpe) -> None:
+        while time.monotonic() - self.used < self.SECONDS:
+            time.sleep(self.SECONDS / 4)
+        bpe.forget()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+_idle = _Idle()
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with n_tokens, ids (token ids of the whole text) and decoded (their text).
 
@@ -292,6 +334,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 def _encode(docs: DataFrame, path: str, digests: bool) -> DataFrame:
     with open(path, encoding="utf-8") as f:  # a fixed file of a few MB, the same for any corpus
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     plain = docs.drop(*new)
     kept = plain.columns if not digests else [c for c in plain.columns if c != "text"]
@@ -310,6 +353,7 @@ def _encode(docs: DataFrame, path: str, digests: bool) -> DataFrame:
                 return pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], names=[*kept, *new])  # noqa: B023
 
             for i in range(batch.num_rows):
+                _idle.touch(bpe)
                 count, ids, text = bpe.encode_all(texts[i].as_py() or "")
                 n.append(count)
                 if digests:

@@ -52,6 +52,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of an Arrow batch at most. Texts are long, and a batch is held a few times over on both sides.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Durable:
     """Tables written once into the shared folder, so that a lost executor costs no recomputation.
 
@@ -60,6 +72,7 @@ class Durable:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.at: dict[str, str] = {}
