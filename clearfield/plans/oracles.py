@@ -245,3 +245,17 @@ ORACLE_SQL: dict[str, str] = {
     "tet_clusters": "SELECT CAST(n_nationkey AS BIGINT) AS frame_id, 6::BIGINT AS tets, 1::BIGINT AS clusters FROM nation",
 }
 ORACLE_SQL["frame_stream"] = f"SELECT *, true AS certified, 0::BIGINT AS outside FROM ({ORACLE_SQL['frame_reuse']})"
+
+#: Numbers that are 32 bits wide in the results.
+_NARROW = {
+    "support_planes": ["support_id"],
+    "canonical_cells": ["cx", "cy", "cz"],
+    "cell_box_sums": ["cx", "cy", "cz"],
+    "aabb_planes": ["cell_id"],
+    "shared_leaves": ["first_cell", "leaf_id"],
+    "sweep_rectangles": ["slab"],
+    "free_adjacency": ["ax", "ay", "az"],
+}
+for _name, _columns in _NARROW.items():
+    _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)
+    ORACLE_SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE_SQL[_name]})"

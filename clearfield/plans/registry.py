@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +45,13 @@ class _Surface:
     def patches(self) -> DataFrame:
         return boundary.patches(self.faces)
 
-    @property
+    @cached_property
     def free(self) -> DataFrame:
-        return boundary.free_cells(self.cells, self.coords)
+        """Free compressed cells, written once: every sweep and merge below starts from them."""
+        spark = self.cells.sparkSession
+        path = f"{staging_folder(spark)}/free"
+        boundary.free_cells(self.cells, self.coords).write.parquet(path)
+        return spark.read.parquet(path)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
