@@ -248,11 +248,12 @@ def repeated_spans(docs: DataFrame, store: Durable, window: int = WINDOW, gram:
     docs: row (struct of id and mark, which names a row) and text. Rows without any do not appear.
     """
     listed = store.put("listed", _list_super_kmers(docs, window, gram))
-    again = listed.groupBy("low").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # Written, so that both sides of the join are plain exchanges and a hot minimiser's rows can be split.
+    again = store.put("again", listed.groupBy("low").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     wanted = listed.join(again, "low").select("row", F.struct("low", "start", "n", (F.col("times") > hot).alias("hot")).alias("s"))
     spans = wanted.groupBy("row").agg(F.collect_list("s").alias("spans"))
     cut = store.put("cut", _cut_super_kmers(docs.join(spans, _same(docs["row"], spans["row"])).select(docs["row"], "text", "spans"), window))
-    store.drop("listed")
+    store.drop("listed", "again")
 
     found = _count_buckets(cut.where("not hot"), window).unionByName(_count_hot(cut.where("hot"), window, store))
     return found.groupBy("id", "mark").agg(F.collect_list(F.struct("starts", "mask")).alias("spans"))
