@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, small: i
     classes = sigs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = sigs.join(classes, (sigs["digest"] == classes["digest"]) & (sigs["doc_id"] == classes["rep"]), "left_semi")
     buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # Written, so that both sides of the join are plain exchanges and a hot bucket's rows can be split.
+    shared = store.put("shared", buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     held = store.put("held", buckets.join(shared, "bucket").select("bucket", "doc_id", "n", "size"))
     met = store.put("met", held.select("doc_id").distinct())
     # Few enough to be sent to every task, or else both sides are dealt out.
@@ -244,7 +245,7 @@ def _star_links(held: DataFrame, sets: DataFrame, percent: int, small: int, stor
         open_ = (
             state.groupBy("bucket")
             .agg(
-                F.max_by("doc_id", F.struct("width", -F.col("doc_id"))).alias("hub"),
+                F.max_by("doc_id", F.struct("width", F.bitwise_not("doc_id"))).alias("hub"),
                 F.count(F.lit(1)).alias("left"),
                 F.min("part").alias("lo"),
                 F.max("part").alias("hi"),
@@ -252,7 +253,7 @@ def _star_links(held: DataFrame, sets: DataFrame, percent: int, small: int, stor
             .where("lo != hi")
             .select("bucket", "hub", "left")
         )
-        live = state.join(open_, "bucket")
+        live = state.join(store.put(f"hubs{turn}", open_), "bucket")
         if turn == 1:
             live = store.put("open1", live)
             crowded = live.where(F.col("left") > small).select("doc_id").distinct()
