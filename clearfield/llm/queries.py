@@ -30,11 +30,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mix of all documents at weights 5, 2, 1, 150% of all words, each source twice at most."""
+    """Mix of all documents at weights 5, 2, 1, 150% of all words, each source twice at most, in training order."""
     sized = _table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     docs = Durable(spark).put("sizes", sized)
     mixed = mix_sources(docs.withColumnRenamed("size", "words"), budget=1.5, most=2.0, size="words")
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
+    rows = mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position")
+    return rows.orderBy("position", "doc_id")  # a range sort; documents that are not taken come first
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
