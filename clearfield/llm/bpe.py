@@ -231,6 +231,9 @@ class WordBpe:
             words = self.words(plain)
         if len(words) == 1:
             entry = self._entry(words[0])
+        elif len(words) == 2:
+            (n, ids, tokens), (m, more, rest) = self._entry(words[0]), self._entry(words[1])
+            entry = (n + m, f"{ids} {more}", f"{tokens} {rest}")
         elif words:
             n, ids, tokens = zip(*map(self._entry, words), strict=True)
             entry = (sum(n), " ".join(ids), " ".join(tokens))
@@ -341,6 +344,14 @@ def _encode(docs: DataFrame, path: str, digests: bool) -> DataFrame:
     sent = plain.select(*kept) if "text" in kept else plain.select(*kept, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nothing here makes cycles, and the collector would walk all that is remembered again and again.
+        gc.disable()
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(definition.value)
         for batch in batches:
             texts = batch.column("text")
