@@ -432,5 +432,6 @@ def patch_distance(points: DataFrame, patched: DataFrame, h: float, salts: int =
         return pd.DataFrame({"frame_id": pts["frame_id"], "point_id": pts["point_id"], "distance": best})
 
     salted = points.select("frame_id", "point_id", "x", "y", "z", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int").alias("salt"))
-    copies = patched.select("frame_id", "axis", "plane", "u0", "u1", "v0", "v1", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    # Under a new name of its own, as the points may come from the patches.
+    copies = patched.select(F.col("frame_id").alias("frame_id"), "axis", "plane", "u0", "u1", "v0", "v1", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return salted.groupBy("frame_id", "salt").cogroup(copies.groupBy("frame_id", "salt")).applyInPandas(run, "frame_id long, point_id long, distance double")

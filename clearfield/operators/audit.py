@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrangement import Program, hard_values, smooth_values, smoothing
-from .voxels import AXES
+from .voxels import AXES, contains
 
 
 def surface_probes(voxels: DataFrame, patches: DataFrame, h: float) -> DataFrame:
@@ -30,6 +30,32 @@ def surface_probes(voxels: DataFrame, patches: DataFrame, h: float) -> DataFrame
     return both.withColumn("point_id", F.xxhash64("frame_id", "kind", *"xyz"))
 
 
+def distance_errors(probes: DataFrame, values: DataFrame, distances: DataFrame, voxels: DataFrame, h: float) -> DataFrame:
+    """Rows (frame_id, point_id, what, error) of how values and distances differ at the same probes.
+
+    values: q and q_upper of ``arrangement.evaluate``; distances: ``arrangement.patch_distance``, which gets
+    the sign of the closed union here: positive in free space. what: smoothing (-q less -q_upper), hard (-q
+    less the distance), sdf (-q_upper less the distance, at every probe), and of the last those near (within
+    h of a patch), boundary (at distance 0), outside and inside.
+    """
+    key = ["frame_id", "point_id"]
+    filled = contains(probes.select(*key, *"xyz"), voxels, h).select(*key, "inside")
+    rows = values.select(*key, "q", "q_upper").join(distances, key).join(filled, key)
+    rows = rows.withColumn("signed", F.when(F.col("inside"), -F.col("distance")).otherwise(F.col("distance")))
+    sdf = -F.col("q_upper") - F.col("signed")
+    named = [
+        ("smoothing", F.lit(True), F.col("q_upper") - F.col("q")),
+        ("hard", F.lit(True), -F.col("q") - F.col("signed")),
+        ("sdf", F.lit(True), sdf),
+        ("near", F.col("distance") <= h, sdf),
+        ("boundary", F.col("distance") == 0, sdf),
+        ("outside", F.col("signed") > 0, sdf),
+        ("inside", F.col("signed") < 0, sdf),
+    ]
+    each = F.filter(F.array(*[F.when(where, F.struct(F.lit(what).alias("what"), e.alias("error"))) for what, where, e in named]), lambda x: x.isNotNull())
+    return rows.select(*key, F.explode(each).alias("e")).select(*key, "e.what", "e.error")
+
+
 def strided(rows: DataFrame, order: list[str], count: int) -> DataFrame:
     """``count`` rows of each frame at even strides of an order: those whose number i has a new floor(i * count / n)."""
     from pyspark.sql.window import Window

@@ -338,12 +338,26 @@ def displacement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the smooth proxy -q_upper lies from the distance to the patches, at the points, as counts and order statistics."""
+    """Count, maximum, mean, root mean square and 95th percentile of a column of the order lines, by flag."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     error = F.col("l_extendedprice") / 1e5 - F.col("l_discount") * 10
     return voxels.summarize(t.select(F.col("l_returnflag").alias("flag"), error.alias("e")), "flag", "e")
 
 
+def smooth_distance_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the smooth proxy -q_upper lies from the signed distance to the patches, by frame and kind of error.
+
+    At the points of every frame, and at centres, corners and either side of patches. See ``audit.distance_errors``.
+    """
+    s = _Surface(spark, sf_dir)
+    probes = audit.surface_probes(s.voxels, s.patches, H).unionByName(
+        s.points.select("frame_id", F.lit("point").alias("kind"), *"xyz", F.xxhash64("frame_id", F.lit("point"), "point_id").alias("point_id"))
+    )
+    q = arrangement.evaluate(probes, arrangement.build_programs(s.cells, s.coords, H), gradient=False)
+    errors = audit.distance_errors(probes, q, arrangement.patch_distance(probes, s.patches, H), s.voxels, H)
+    return voxels.summarize(errors.withColumn("by", F.struct("frame_id", "what")), "by", "error").select("by.*", "n", "max_error", "mean_error", "rmse", "p95")
+
+
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed membership of moved points against an ideal ellipsoid."""
     p = _embed(spark, sf_dir)
@@ -553,6 +567,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preprocess_voxel": preprocess_voxel,
     "displacement_stats": displacement_stats,
     "error_summary": error_summary,
+    "smooth_distance_error": smooth_distance_error,
     "confusion": confusion,
     "wilson_ci": wilson_ci,
     "voxel_reservoir": voxel_reservoir,
