@@ -3,8 +3,10 @@
 Common words are anchors. The content words that follow one, ``CHAIN`` of them or as many as there are before
 the next common word, form a spot signature. The set of a text's signatures is its fingerprint. Running prose
 is full of anchors; an edit changes only the chains it touches. Lists, tables and code have few common words or
-none, so one of ``SAMPLED`` pairs of neighbouring words, chosen by hash, is a signature too, in every text. A
-text without any signature takes all such pairs, and one without words its whole.
+none, so pairs of neighbouring words, those of the smallest hashes, are signatures too, in every text: about as
+many as distinct chains lack of ``LEAST``, or one in ``SAMPLED`` if that is more. So a text of few chains and up to
+``LEAST`` distinct pairs takes them all, and an edit, which moves the bound of the hashes by a step, adds or drops
+hardly any besides those it touches. A text without words takes its whole.
 
 Fingerprints are compared by Jaccard similarity. ``near_pairs`` partitions them by set length, so that only
 partitions whose lengths allow the similarity meet, and within a partition lets fingerprints meet by their
@@ -27,6 +29,8 @@ COMMON_WORDS = (
     "el los las y de que en un una por con para se del al no lo es su"
 )
 CHAIN, SAMPLED = 3, 16
+#: Signatures that a text is to have at least, if it has words enough.
+LEAST = 128
 _MARK = "\x01"
 
 
@@ -43,16 +47,20 @@ def add_signatures(df: DataFrame, text: str, into: str, chain: int = CHAIN) -> D
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(common), F.lit(_MARK)).otherwise(w)), " ")
     runs = F.split(marked, _MARK)
     heads = F.transform(F.slice(runs, F.lit(2), F.size(runs)), lambda r: F.substring_index(F.trim(r), " ", chain))
-    chains = F.filter(heads, lambda h: h != "")
-    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(F.col(words), i + 1)))
-    sampled = F.filter(F.col(f"{into}__p"), lambda p: F.pmod(F.xxhash64(p, F.lit(1)), F.lit(SAMPLED)) == 0)
+    chains = F.array_distinct(F.filter(heads, lambda h: h != ""))
+    pairs = F.array_distinct(F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(F.col(words), i + 1))))
+    # Hashes, as numbers in [0, 1), below the share of pairs that is wanted.
+    n = F.size(f"{into}__p")
+    share = F.greatest(F.lit(1 / SAMPLED), (F.lit(LEAST) - F.size(f"{into}__c")) / n)
+    sampled = F.filter(f"{into}__p", lambda p: F.shiftrightunsigned(F.xxhash64(p, F.lit(1)), 11) / F.lit(float(1 << 53)) < F.col(f"{into}__r"))
     return (
         df.withColumn(words, F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+        .withColumn(f"{into}__c", chains)
         .withColumn(f"{into}__p", pairs)
-        .withColumn(spots, F.concat(chains, sampled))
-        .withColumn(spots, F.when(F.size(spots) > 0, F.col(spots)).when(F.size(words) > 0, F.col(f"{into}__p")).otherwise(F.array(folded)))
+        .withColumn(f"{into}__r", share)
+        .withColumn(spots, F.when(n > 0, F.concat(f"{into}__c", sampled)).otherwise(F.array(folded)))
         .withColumn(into, F.array_sort(F.array_distinct(F.transform(spots, lambda s: F.xxhash64(s)))))
-        .drop(words, spots, f"{into}__p")
+        .drop(words, spots, f"{into}__c", f"{into}__p", f"{into}__r")
     )
 
 

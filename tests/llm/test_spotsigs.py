@@ -3,8 +3,9 @@ import random
 
 import pytest
 from conftest_llm import make_documents, words_of
+from pyspark.sql import functions as F
 
-from clearfield.llm.spotsigs import add_signatures, compare_edited, followed, near_pairs
+from clearfield.llm.spotsigs import add_signatures, compare_edited, followed, likeness, near_pairs
 
 COMMON = ["the", "of", "and", "to", "in"]
 
@@ -79,3 +80,20 @@ def test_digest_of_query(spark, tmp_path):
     make_documents(spark, [(1, "ab", "s"), (2, None, "s")]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.edited_sha256 for r in op6_fingerprint(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(b"a").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_one_word_apart_without_anchors(spark):
+    """Texts of few common words, or none, stay alike when a word is replaced, put in (a common one too) or left out."""
+    r = random.Random(11)
+    rows = []
+    for k in range(240):
+        base = [f"v{r.randrange(10**6)}" for _ in range([40, 60, 80, 120, 300, 1000][k % 6])]
+        if k % 4 == 0:
+            base[r.randrange(len(base))] = "the"
+        other, at = list(base), r.randrange(1, len(base) - 1)
+        other[at : at + (k % 3 != 1)] = [["the"], [f"u{k}"], []][r.randrange(3)]
+        rows.append((k, " ".join(base), " ".join(other)))
+    pairs = spark.createDataFrame(rows, "k long, a string, b string")
+    got = add_signatures(add_signatures(pairs, "a", "x"), "b", "y").select("k", likeness(F.col("x"), F.col("y")).alias("l"), F.size("x").alias("n"), F.size(F.split("a", " ")).alias("words")).collect()
+    assert min(x.l for x in got) >= 0.8
+    assert all(x.n >= min(x.words, 128) * 0.75 for x in got)
