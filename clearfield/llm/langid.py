@@ -28,6 +28,8 @@ UNKNOWN = "und"
 SLOTS, MOST_EVIDENCE = 1 << 16, 64.0
 #: Bound of the labelled sample: texts by language, and bytes taken into account by text.
 SAMPLE_TEXTS = 500
+#: Labelled languages at most: model and plans grow with them, the table of claims with their square.
+MOST_LANGUAGES = 200
 #: Pseudo-counts with which a host's prior leans on its domain's, a domain's on the table's.
 LEAN = 4.0
 
@@ -93,21 +95,21 @@ class TextModel:
         return np.concatenate(totals), np.concatenate(counts)
 
 
-def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed: int = 3) -> TextModel:
+def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed: int = 3, most_languages: int = MOST_LANGUAGES) -> TextModel:
     """Fit on at most ``per_language`` texts a language of rows (text, lang), chosen by hash of the text.
 
     Each row draws a hash, and of each language the share of draws that gives about the bound is kept;
-    sampled sizes stay below it. Null or empty texts and null languages are left out, and languages
-    beyond the hundred most frequent.
+    sampled sizes stay below it. Null or empty texts and null languages are left out. Every language is
+    kept; more than ``most_languages`` are an error.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     drawn = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("draw"))
-    totals = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(100).collect()}
+    totals = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(totals) > most_languages:
+        raise ValueError(f"more than {most_languages} labelled languages")
     # A share of each language that holds the bound: hashes below share * 2^64, counted from the smallest.
-    share = F.lit(0.0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 0.8 * per_language / n))).otherwise(share)
-    picked = drawn.where((F.shiftrightunsigned("draw", 1) / F.lit(float(1 << 63))) < share)
+    shares = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, 0.8 * per_language / n))]) if totals else F.create_map().cast("map<string,double>")
+    picked = drawn.where((F.shiftrightunsigned("draw", 1) / F.lit(float(1 << 63))) < F.element_at(shares, F.col("lang")))
     sample = picked.select("lang", "text").toArrow()
     langs = sample.column("lang").to_pylist()
     languages = tuple(sorted(set(langs)))
@@ -119,7 +121,8 @@ def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed:
             slots.append(s), of.append(np.repeat(np.arange(hi - lo), np.diff(before)) + at + lo)
         at += len(chunk)
     slots_, of_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, of))
-    number = np.array([languages.index(x) for x in langs], dtype=np.int64)
+    numbers = {x: k for k, x in enumerate(languages)}
+    number = np.array([numbers[x] for x in langs], dtype=np.int64)
     # Each text counts by the square root of its features, so that a few long texts do not fill the model.
     n = np.bincount(of_, minlength=len(langs)).astype(np.float64)
     each = 1.0 / np.sqrt(np.maximum(n, 1.0))
@@ -280,10 +283,8 @@ def decide(rows: DataFrame, evidence: Evidence) -> DataFrame:
         return rows.select(*kept, F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"))
 
     def claim(column: str) -> Column:
-        out = _array([0.0] * k)
-        for i, said in enumerate(languages):
-            out = F.when(F.col(column) == said, _array(evidence.claims[column][i])).otherwise(out)
-        return out
+        said = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col(column)).cast("int")
+        return F.coalesce(F.get(F.array(*[_array(x) for x in evidence.claims[column]]), said - 1), _array([0.0] * k))
 
     base = _array(evidence.mix)
     joined = with_posterior(rows.join(evidence.hosts, F.col("host") == F.col("__host"), "left"), F.slice("scores", 1, k), "__p")

@@ -58,3 +58,18 @@ def test_keep_known(spark, model, no_documents):
     got = {r.doc_id: (r.lang, r.host, r.scores) for r in kept.collect()}
     assert got == {k: (["en", "de", "fr"][k % 3], "x", 7) for k in range(30)}
     assert keep_known(no_documents, model).count() == 0
+
+
+def test_every_labelled_language_is_kept(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sounds = {f"l{k:03}": [letters[k // 26 + 3 * j] + letters[k % 26] + letters[(7 * k + 5 * j) % 26] for j in range(4)] for k in range(130)}
+    texts = {lang: [" ".join(random.Random(f"{lang}{i}").choices(s, k=60)) for i in range(4)] for lang, s in sounds.items()}
+    # The last ones are the rarest, which a bound on languages would drop.
+    rows = [(t, lang) for n, (lang, ts) in enumerate(sorted(texts.items())) for t in ts[: 3 if n < 100 else 2]]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    many = fit_text_model(table)
+    assert many.languages == tuple(sorted(sounds))
+    got = {r.doc_id: r.lang for r in keep_known(make_documents(spark, [(k, texts[lang][3], "s") for k, lang in enumerate(sorted(sounds))]).withColumn("lang", F.lit(None).cast("string")), many).collect()}
+    assert sum(got.get(k) == lang for k, lang in enumerate(sorted(sounds))) >= 125
+    with pytest.raises(ValueError, match="129 labelled languages"):
+        fit_text_model(table, most_languages=129)
