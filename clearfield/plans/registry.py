@@ -290,7 +290,7 @@ def link_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sphere_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres of one sphere of the arm at configurations taken from the suppliers."""
+    """Centres of one sphere of the arm, turned only, at configurations taken from the suppliers; ``arm_poses`` has them all."""
     model = robot.parse_urdf(robot.DEMO_URDF)
     o = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     q = F.array((F.col("s_suppkey") % 13) / 4.0, F.lit(0.0), F.lit(0.0))
@@ -298,6 +298,16 @@ def sphere_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses.where("sphere_id = 1").select("config_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in "xyz"])
 
 
+def arm_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres and Jacobians (row-major, 3 x joints) of every sphere of the arm, at all its joints' configurations taken from the suppliers."""
+    model = robot.parse_urdf(robot.DEMO_URDF)
+    o = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    q = F.array((F.col("s_suppkey") % 13) / 4.0, (F.col("s_suppkey") % 7) / 10.0, (F.col("s_suppkey") % 5) / 3.0)
+    poses = robot.sphere_poses(o.select(F.col("s_suppkey").alias("config_id"), q.alias("q")), model)
+    jac = [(F.round(F.get("jac", F.lit(k)), 9) + F.lit(0.0)).alias(f"j{'xyz'[k // model.dof]}{k % model.dof}") for k in range(3 * model.dof)]
+    return poses.select("config_id", "sphere_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in "xyz"], *jac)
+
+
 def frame_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.reuse_pattern(_event_frames(spark, sf_dir), 0.5)
 
@@ -560,6 +570,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lse_bound_audit": lse_bound_audit,
     "reference_sdf": reference_sdf,
     "sphere_poses": sphere_poses,
+    "arm_poses": arm_poses,
     "link_distance": link_distance,
     "frame_reuse": frame_reuse,
     "frame_stream": frame_stream,
