@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clearfield.llm.bpe import encode_documents
 from clearfield.llm.common import Durable
@@ -33,9 +35,25 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return training_order(docs).select(*docs.columns)
 
 
+def in_written_order(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows, a selection of table's columns, with place: a long that rises in the order in which the table was written.
+
+    Files are read packed by size, in any order, so place is the number of the file, which is that of the
+    range, and of the row in it. A table that was not read from files stands in order of its partitions.
+    """
+    try:
+        laid = table.select(*rows.columns, F.col("_metadata.file_name").alias("__name"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return rows.withColumn("place", F.monotonically_increasing_id())
+    part, file = (F.regexp_extract("__name", p, 1) for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    number = part.cast("long") * 1024 + F.coalesce(F.when(file != "", file.cast("long")), F.lit(0))
+    return laid.withColumn("place", F.shiftleft(number, 33) + F.col("__row")).drop("__name", "__row")
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
-    return encode_documents(docs.select("doc_id", "source", "lang", "text"), tokenizer_path()).select("doc_id", "source", "lang", "n_tokens", "ids")
+    """Token ids of every document of the mix, with place: its rank key in training order."""
+    placed = in_written_order(docs.select("doc_id", "source", "lang", "text"), docs)
+    return encode_documents(placed, tokenizer_path()).select("doc_id", "source", "lang", "n_tokens", "ids", "place")
 
 
 STAGES = [

@@ -8,6 +8,7 @@ from test_substring import brute as window_brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from clearfield.llm.mixing import training_order
 
 PROSE = {
     "en": ["the", "of", "and", "thing", "other", "whether", "ing", "ther"],
@@ -82,3 +83,21 @@ def test_empty_corpus(spark, tmp_path):
     docs, _ = documents(spark)
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_result_is_in_training_order(spark, tmp_path):
+    docs, rows = documents(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing"](spark, docs.where("text <> ''"), str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed.write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [r.doc_id for r in training_order(docs.where("text <> ''")).orderBy("position", "doc_id").collect()]
+    # Packed by size, files are read in another order than they were written in.
+    read = spark.read.parquet(str(tmp_path / "mixed"))
+    got = stages["encoding"](spark, read, str(tmp_path))
+    assert [r.doc_id for r in got.orderBy("place").collect()] == want
+    assert got.select("place").distinct().count() == len(want) > 60
+    assert len(list((tmp_path / "mixed").glob("*.parquet"))) > 1
