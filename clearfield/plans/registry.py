@@ -393,7 +393,10 @@ def voxel_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def depth_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxels.bounds(voxels.voxelize(shapes.depth_camera(spark), 0.04))
+    """Bounds of what each view measures, and as one more frame of the cloud of one point a voxel over all views."""
+    views = 10
+    seen = shapes.depth_camera(spark, views)
+    return voxels.bounds(voxels.voxelize(seen.unionByName(shapes.camera_cloud(seen, frame=views)), 0.04))
 
 
 def _prism(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import ray_ellipsoid
-
 
 def uniform(seed: int, *key: Column) -> Column:
     """A uniform number in [0, 1) that depends on the key and the seed alone."""
@@ -24,46 +24,87 @@ def gauss(seed: int, *key: Column) -> Column:
     return F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * math.pi * b)
 
 
+def camera_axes(views: int, centre: tuple[float, float, float], distance: float) -> list[tuple[np.ndarray, ...]]:
+    """Eye, right, up and forward of each view: a ring of alternating heights, then one camera above and one below."""
+    found, c = [], np.array(centre)
+    for view in range(views):
+        turn = 2 * math.pi * view / (views - 2)
+        if view < views - 2:
+            eye = np.array([c[0] + distance * math.cos(turn), c[1] + distance * math.sin(turn), c[2] + (-0.12 if view % 2 else 0.15)])
+        else:
+            side = 1 if view == views - 2 else -1
+            eye = c + np.array([0.08 * side, 0.0, distance * side])
+        ahead = (c - eye) / np.linalg.norm(c - eye)
+        right = np.cross(ahead, [0.0, 1.0, 0.0] if abs(ahead[2]) > 0.9 else [0.0, 0.0, 1.0])
+        right /= np.linalg.norm(right)
+        up = np.cross(right, ahead)
+        found.append((eye, right, up / np.linalg.norm(up), ahead))
+    return found
+
+
 def depth_camera(
     spark: SparkSession,
     views: int = 10,
-    rows: int = 48,
-    columns: int = 64,
+    rows: int = 72,
+    columns: int = 96,
     centre: tuple[float, float, float] = (0.0, 0.0, 0.75),
     radii: tuple[float, float, float] = (0.18, 0.13, 0.24),
-    distance: float = 0.8,
-    focal: float = 60.0,
-    noise: float = 0.002,
-    dropout: float = 0.1,
-    quantum: float = 0.001,
+    distance: float = 0.85,
+    vertical_fov: float = 50.0,
+    noise: float = 0.0012,
+    dropout: float = 0.06,
+    grazing: float = 0.22,
+    quantum: float = 0.0005,
     seed: int = 1,
 ) -> DataFrame:
-    """Points that pinhole cameras on a circle see of an ellipsoid: frame_id (view), point_id (pixel), x, y, z.
+    """Points that pinhole cameras see of an ellipsoid: frame_id (view), point_id (pixel), x, y, z.
 
-    Depth noise grows with the angle of incidence, pixels drop out at random, and coordinates are
-    rounded to a quantum.
+    All views but two stand on a ring, at alternating heights; the last two look from above and below. Noise
+    of the depth and dropout grow with the angle of incidence, depth is rounded to a quantum, and a quarter
+    of the depth's noise is added across the ray in each direction of the image.
     """
+    if views < 6:
+        raise ValueError("six views at least")
     pixel = spark.range(views * rows * columns).withColumnRenamed("id", "n")
     pixel = pixel.select(
         F.floor(F.col("n") / (rows * columns)).cast("long").alias("frame_id"), (F.col("n") % (rows * columns)).alias("point_id"),
         (F.floor(F.col("n") / columns) % rows).alias("r"), (F.col("n") % columns).alias("c"), "n",
     )
-    turn = 2 * math.pi * F.col("frame_id") / views
-    # The camera stands on a circle and looks at the centre; its axes are right, up and forward.
-    eye = (centre[0] + distance * F.cos(turn), centre[1] + distance * F.sin(turn), F.lit(centre[2]))
-    right, up = (-F.sin(turn), F.cos(turn), F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    ahead = (-F.cos(turn), -F.sin(turn), F.lit(0.0))
-    a, b = (F.col("c") + 0.5 - columns / 2) / focal, (rows / 2 - F.col("r") - 0.5) / focal
-    d = tuple(f + a * x + b * y for f, x, y in zip(ahead, right, up, strict=True))
-    size = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    unit = tuple(x / size for x in d)
-    seen = pixel.withColumn("t", ray_ellipsoid(eye, unit, centre, radii)).where(F.col("t").isNotNull() & (uniform(seed, F.col("n")) >= dropout))
-    p = tuple(e + F.col("t") * u for e, u in zip(eye, unit, strict=True))
-    normal = tuple((x - c) / (r * r) for x, c, r in zip(p, centre, radii, strict=True))
-    tilt = F.abs(sum((u * n for u, n in zip(unit[1:], normal[1:], strict=True)), unit[0] * normal[0])) / F.sqrt(sum((n * n for n in normal[1:]), normal[0] * normal[0]))
-    shift = noise * gauss(seed, F.col("n")) / F.greatest(tilt, F.lit(0.2))
-    world = tuple(e + (F.col("t") + shift) * u for e, u in zip(eye, unit, strict=True))
-    return seen.select("frame_id", "point_id", *[(F.round(w / quantum) * quantum).alias(k) for w, k in zip(world, "xyz", strict=True)])
+    axes = np.array(camera_axes(views, centre, distance))  # (views, 4, 3)
+    half, middle, radius = math.tan(math.radians(vertical_fov) / 2), np.array(centre), np.array(radii)
+
+    def run(frames):
+        for f in frames:
+            eye, right, up, ahead = (axes[f["frame_id"].to_numpy(), k] for k in range(4))
+            a = (2 * (f["c"].to_numpy() + 0.5) / columns - 1) * (columns / rows * half)
+            b = (1 - 2 * (f["r"].to_numpy() + 0.5) / rows) * half
+            d = ahead + a[:, None] * right + b[:, None] * up
+            d /= np.linalg.norm(d, axis=1, keepdims=True)
+            # Where the ray meets the ellipsoid: the near root if positive, else the far one.
+            o, w = (eye - middle) / radius, d / radius
+            qa, qb, qc = (w * w).sum(axis=1), 2 * (o * w).sum(axis=1), (o * o).sum(axis=1) - 1
+            disc = qb * qb - 4 * qa * qc
+            root = np.sqrt(np.maximum(disc, 0.0))
+            t = np.where(-qb - root > 0, -qb - root, -qb + root) / (2 * qa)
+            normal = (eye + t[:, None] * d - middle) / radius**2
+            away = 1 - np.clip(-(d * normal).sum(axis=1) / np.linalg.norm(normal, axis=1), 0.0, 1.0)
+            sigma = noise * (1 + 1.5 * away)
+            depth = np.round((t + sigma * f["g1"].to_numpy()) / quantum) * quantum
+            at = eye + depth[:, None] * d + (0.25 * sigma * f["g2"].to_numpy())[:, None] * right + (0.25 * sigma * f["g3"].to_numpy())[:, None] * up
+            seen = (disc >= 0) & (t > 0) & (f["draw"].to_numpy() >= np.minimum(0.8, dropout + grazing * away))
+            yield pd.DataFrame({"frame_id": f["frame_id"], "point_id": f["point_id"], "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]})[seen]
+
+    drawn = pixel.select("frame_id", "point_id", "r", "c", uniform(seed, F.col("n")).alias("draw"), *[gauss(seed + k, F.col("n")).alias(f"g{k}") for k in (1, 2, 3)])
+    return drawn.mapInPandas(run, "frame_id long, point_id long, x double, y double, z double")
+
+
+def camera_cloud(measured: DataFrame, voxel: float = 0.018, frame: int = 0, seed: int = 1) -> DataFrame:
+    """One cloud of all views of a camera: of each voxel one measurement, each as likely as another."""
+    from ..operators.voxels import reservoir
+
+    # Numbers of pixels repeat from view to view.
+    one = measured.select(F.lit(frame).cast("long").alias("frame_id"), F.expr("shiftleft(frame_id, 40) + point_id").alias("point_id"), *"xyz")
+    return reservoir(one, voxel, 1, seed)
 
 
 def box_surface(spark: SparkSession, n: int, lo: tuple[float, float, float], hi: tuple[float, float, float], frame: int = 0, seed: int = 1) -> DataFrame:
