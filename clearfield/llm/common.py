@@ -29,10 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder for intermediate tables that driver and executors all see.
 
     Taken from ``spark.checkpoint.dir`` of the session. A folder of our own is set only where the
-    setting is missing, which is a session on one machine.
+    setting is missing and the session runs on one machine (a local master); elsewhere it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = _STAGING.get("own")
         if known is None:
             known = _STAGING["own"] = "file://" + tempfile.mkdtemp(prefix="clearfield-")
@@ -52,6 +54,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix of underscores that no column begins with, for columns of an operator's own."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 #: Rows of an Arrow batch at most. Texts are long, and a batch is held a few times over on both sides.
 BATCH_ROWS = 1024
 

@@ -4,8 +4,9 @@ A window is ``window`` consecutive words of one document; every word covered by
 sequence also starts anywhere else (in the same document too) is removed. Windows are judged on the input.
 
 Each window has a minimiser, the leftmost of its smallest ``gram``-word hashes. Consecutive windows that share
-one, at the same place, form a super-k-mer (of at most window - gram + 1 windows). Equal windows have equal minimisers, so a minimiser that occurs in one super-k-mer only cannot
-hold a repeated window:
+one, at the same place, form a super-k-mer, of at most window - gram + 1 windows and ``MASK_BITS``: longer runs
+are cut at fixed distances from the minimiser, so that equal runs are cut alike. Equal windows have equal
+minimisers, so a minimiser that occurs in one super-k-mer only cannot hold a repeated window:
 
 1. One pass over the texts lists the super-k-mers as (minimiser, document, first word, windows), without text.
 2. Super-k-mers whose minimiser occurs again are cut from the texts as one packed string each, with all its
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Durable, gram_hashes, text_chunks, word_bounds, word_hashes
+from .common import Durable, free_prefix, gram_hashes, text_chunks, word_bounds, word_hashes
 
 WINDOW, GRAM, HOT = 35, 8, 512
+#: Windows of a super-k-mer at most: one bit each of a mask that is a signed long.
+MASK_BITS = 63
 
 
 def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -46,7 +49,11 @@ def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_kmers(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document, first word within it, windows and minimiser of each super-k-mer of a run of texts."""
+    """Document, first word within it, windows and minimiser of each super-k-mer of a run of texts.
+
+    A window shorter than ``gram`` is its own minimiser.
+    """
+    gram = min(gram, window)
     starts, ends, first = word_bounds(raw, offsets)
     none = np.zeros(0, np.int64)
     if len(starts) < window:
@@ -58,7 +65,8 @@ def super_kmers(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
     if not len(at):
         return none, none, none, none
     new = np.ones(len(at), bool)
-    new[1:] = (place[at[1:]] != place[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])
+    part = (place[at] - at) // MASK_BITS
+    new[1:] = (place[at[1:]] != place[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]]) | (part[1:] != part[:-1])
     heads = np.flatnonzero(new)
     head = at[heads]
     return doc[head], head - first[:-1][doc[head]], np.diff(np.append(heads, len(at))), grams[place[head]].view(np.int64)
@@ -207,21 +215,22 @@ def _count_hot(hot: DataFrame, window: int, store: Durable) -> DataFrame:
     kinds = keyed.groupBy("key", "packed").agg(F.sum(F.size("starts")).alias("times"))
     windows = store.put("windows", _single_windows(kinds, window))
     many = windows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1")
-    masks = windows.join(many, "h", "left_semi").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
+    # Written, so that its size is known: a small one is broadcast, beside a large one a hot key's rows can be split.
+    masks = store.put("masks", windows.join(many, "h", "left_semi").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask")))
     return keyed.join(masks, "key").select(F.col("row.id").alias("id"), F.col("row.mark").alias("mark"), "starts", "mask")
 
 
-def _drop_words(docs: DataFrame, window: int, names: tuple[str, str, str]) -> DataFrame:
+def _drop_words(docs: DataFrame, window: int, names: tuple[str, str, str], spanned: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text"), batch.column("__spans")
+            texts, spans = batch.column("text"), batch.column(spanned)
             sizes, gone, kept = [], [], []
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().split()
                 sizes.append(len(words))
                 found = spans[i].as_py()
                 if found:
-                    first = np.concatenate([np.add.outer(s["starts"], [k for k in range(window) if s["mask"] >> k & 1]).ravel() for s in found])
+                    first = np.concatenate([np.add.outer(s["starts"], [k for k in range(MASK_BITS) if s["mask"] >> k & 1]).ravel() for s in found])
                     edges = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edges, first, 1)
                     np.subtract.at(edges, first + window, 1)
@@ -231,13 +240,13 @@ def _drop_words(docs: DataFrame, window: int, names: tuple[str, str, str]) -> Da
                 else:
                     gone.append(0)
                 kept.append(b" ".join(words).decode())
-            rest = [batch.column(c) for c in batch.schema.names if c != "__spans"]
+            rest = [batch.column(c) for c in batch.schema.names if c != spanned]
             yield pa.RecordBatch.from_arrays(
                 [*rest, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                names=[*(c for c in batch.schema.names if c != "__spans"), *names],
+                names=[*(c for c in batch.schema.names if c != spanned), *names],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "__spans")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != spanned)
     return docs.mapInArrow(run, f"{fields}, {names[0]} long, {names[1]} long, {names[2]} string")
 
 
@@ -246,17 +255,20 @@ def repeated_spans(docs: DataFrame, store: Durable, window: int = WINDOW, gram:
 
     A span (starts, mask) stands for the words starts + k of each bit k of mask that is set.
     docs: row (struct of id and mark, which names a row) and text. Rows without any do not appear.
+    Rows of one name are copies: each counts as a place, and they share one result, gathered as sets.
     """
+    if window < 1 or not 1 <= gram <= 200:
+        raise ValueError("a window has one word or more, a minimiser 1 to 200")
     listed = store.put("listed", _list_super_kmers(docs, window, gram))
     # Written, so that both sides of the join are plain exchanges and a hot minimiser's rows can be split.
     again = store.put("again", listed.groupBy("low").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     wanted = listed.join(again, "low").select("row", F.struct("low", "start", "n", (F.col("times") > hot).alias("hot")).alias("s"))
-    spans = wanted.groupBy("row").agg(F.collect_list("s").alias("spans"))
+    spans = wanted.groupBy("row").agg(F.collect_set("s").alias("spans"))
     cut = store.put("cut", _cut_super_kmers(docs.join(spans, _same(docs["row"], spans["row"])).select(docs["row"], "text", "spans"), window))
     store.drop("listed", "again")
 
     found = _count_buckets(cut.where("not hot"), window).unionByName(_count_hot(cut.where("hot"), window, store))
-    return found.groupBy("id", "mark").agg(F.collect_list(F.struct("starts", "mask")).alias("spans"))
+    return found.groupBy("id", "mark").agg(F.collect_set(F.struct("starts", "mask")).alias("spans"))
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -268,8 +280,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
 
     docs needs doc_id and text; other columns are kept unless they have one of the new names, which
     then hold the new values. A null or empty text has no words. Texts of fewer than ``window`` words
-    lose none. Rows that are equal, or share a doc_id, count as separate places; a null doc_id is a
-    place too.
+    lose none; any window of one word or more is exact. Rows that are equal, or share a doc_id, count as
+    separate places; a null doc_id is a place too. Equal texts of one doc_id lose all their windows, at a
+    cost in proportion to their number. A text of any length is worked on whole, in one task. An empty
+    table gives an empty result.
     """
     names = ("n_words", "n_removed", "kept_text")
     return _removed(docs.drop(*names), window, gram, hot, names)
@@ -280,9 +294,10 @@ def _removed(docs: DataFrame, window: int, gram: int, hot: int, names: tuple[str
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     row = F.struct(F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
     spans = repeated_spans(docs.select(row.alias("row"), "text"), store, window, gram, hot)
-    spans = spans.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left")
-    return _drop_words(joined.drop("__id", "__mark"), window, names)
+    p = free_prefix(docs.columns)
+    spans = spans.select(F.col("id").alias(f"{p}id"), F.col("mark").alias(f"{p}mark"), F.col("spans").alias(f"{p}spans"))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}id")) & (mark == F.col(f"{p}mark")), "left")
+    return _drop_words(joined.drop(f"{p}id", f"{p}mark"), window, names, f"{p}spans")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -291,7 +306,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Texts that lose nothing stay as they are, white space included; others become their kept words
     joined by one space. Every row stays, also one that loses all its words.
     """
-    cut = _removed(docs, window, GRAM, HOT, ("__words", "__gone", "__kept"))
-    text = F.when(F.col("__gone") > 0, F.col("__kept")).otherwise(F.col("text"))
+    p = free_prefix(docs.columns)
+    cut = _removed(docs, window, GRAM, HOT, (f"{p}words", f"{p}gone", f"{p}kept"))
+    text = F.when(F.col(f"{p}gone") > 0, F.col(f"{p}kept")).otherwise(F.col("text"))
     columns = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return cut.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

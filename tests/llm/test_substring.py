@@ -1,9 +1,11 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from conftest_llm import make_documents, words_of
+from pyspark.sql import functions as F
 
 from clearfield.llm.common import text_chunks
 from clearfield.llm.substring import cut_repeats, remove_repeats, super_kmers
@@ -42,6 +44,41 @@ def test_passages_copies_and_periods(spark, hot):
     assert found(remove_repeats(docs, hot=hot)) == brute(rows, 35)
 
 
+@pytest.mark.parametrize("window", [1, 2, 5, 7, 8, 9, 35, 70, 100, 150])
+@pytest.mark.parametrize("hot", [1, 512])
+def test_any_window(spark, window, hot):
+    shared, line = words_of(260, 1, 10**6), words_of(7, 2, 10**6)
+    texts = [words_of(k % 9, 50 + k, 10**6) + shared[17 * k % 40 : 260 - 13 * k % 60] + words_of(k % 5, 90 + k, 10**6) for k in range(12)]
+    texts += [line * 40, line[:3] * 90, ["same"] * (window + 1), ["one"] * window, words_of(400, 3, 30), shared, []]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = make_documents(spark, [(i, t, "s") for i, t in rows])
+    assert found(remove_repeats(docs, window=window, hot=hot)) == brute(rows, window)
+
+
+def test_bad_windows(spark, no_documents):
+    for window, gram in ((0, 8), (35, 0), (35, 300)):
+        with pytest.raises(ValueError):
+            remove_repeats(no_documents, window=window, gram=gram)
+
+
+@pytest.mark.parametrize("ids", ["one", "null"])
+def test_many_equal_rows(spark, ids):
+    """Rows equal in doc_id and text cost in proportion to their number."""
+    text = " ".join(words_of(171, 1))
+    docs = spark.range(3000).select(F.lit(7 if ids == "one" else None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    other = make_documents(spark, [(8, " ".join(words_of(20, 2) + words_of(171, 1)[10:60]), "s"), (7, " ".join(words_of(90, 5)), "s")]).select("doc_id", "text")
+    t = time.monotonic()
+    got = {(r.doc_id, r.n_words, r.n_removed): r.n for r in remove_repeats(docs.union(other)).groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()}
+    assert got == {(7 if ids == "one" else None, 171, 171): 3000, (8, 70, 50): 1, (7, 90, 0): 1}
+    assert time.monotonic() - t < 60
+
+
+def test_clashing_names(spark, odd_documents, odd_rows):
+    docs = odd_documents.withColumns({c: F.lit(c) for c in ("__spans", "__id", "__mark", "__kept", "__gone", "row", "low")})
+    assert found(remove_repeats(docs)) == brute([(i, t) for i, t, _ in odd_rows], 35)
+    assert {r["__spans"] + r["__gone"] for r in cut_repeats(docs).collect()} == {"__spans__gone"}
+
+
 def test_columns_and_untouched_texts(spark, odd_documents, odd_rows):
     cut = cut_repeats(odd_documents)
     assert cut.columns == odd_documents.columns
