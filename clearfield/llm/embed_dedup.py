@@ -110,15 +110,18 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)[None, :]
 
 
-def block_links(bucket: int, ids: np.ndarray, side: np.ndarray, x: np.ndarray, keys: np.ndarray, weights: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
-    """Links between two blocks of a bucket (or within one, where side is 0 only), as sums.
+def block_links(
+    bucket: int, same: bool, ids: np.ndarray, side: np.ndarray, x: np.ndarray, keys: np.ndarray, weights: np.ndarray, least: float
+) -> tuple[np.ndarray, ...]:
+    """Links between two blocks of a bucket, sides 0 and 1, or within one block (same), as sums.
 
-    Returns ids, links of each counted with the partners' weights, and the smallest id that its links
+    One of two blocks may be empty, as places in blocks are hashes; then there is nothing to count. Returns ids, links of each counted with the partners' weights, and the smallest id that its links
     within the two blocks reach. keys: (vectors, tables, probes).
     """
     p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = not len(q)
     q = p if same else q
+    if not len(p) or not len(q):
+        return ids[:0], ids[:0], ids[:0]
     i, j = np.nonzero(cosines(x[p], x[q]) >= least)
     if same:
         i, j = i[i < j], j[i < j]
@@ -155,7 +158,7 @@ def _compare(blocks: DataFrame, least: float) -> DataFrame:
             keys = np.array([r["keys"] for r in held], dtype=np.int64).reshape(len(held), TABLES, PROBES)
             return list(
                 block_links(
-                    held[0]["bucket"], np.array([r["vec_id"] for r in held]), np.array([r["side"] for r in held]),
+                    held[0]["bucket"], held[0]["i"] == held[0]["j"], np.array([r["vec_id"] for r in held]), np.array([r["side"] for r in held]),
                     np.stack([r["vector"] for r in held]), keys, np.array([r["weight"] for r in held]), least,
                 )
             )
@@ -187,7 +190,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, block: int = BLOCK) ->
     and dimension are compared. A vector that is null, empty, zero or holds null or non-finite values,
     or whose label is null, has no links and is its own component; so is a row whose vec_id is null
     (its component is null, it is kept). Equal vectors of a label are linked; rows that share a vec_id
-    are one node, whose n_links counts the other rows linked to each of them.
+    are one node, whose n_links counts the other rows linked to each of them. An empty table gives an
+    empty result; columns of other names are ignored, also those that are used inside.
+
+    n_links counts every link, so a group of N distinct vectors that are all alike costs N * N / 2
+    products, in blocks of about ``block`` vectors: quadratic in all, bounded in each task.
     """
     store = Durable(vectors.sparkSession)
     rows = store.put("vectors", _read(vectors))

@@ -53,6 +53,27 @@ def test_against_brute_force(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_empty_blocks_of_a_bucket(spark):
+    """Forty mutual neighbours in blocks of one and two, some of which are empty."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    rows = [(i, [float(x) for x in (centre + rng.normal(size=64) * 0.01).astype(np.float32)], 1, "w") for i in range(40)]
+    rows += [(100, [float(x) for x in rng.normal(size=64)], 1, "w")]
+    want = brute(rows, 0.98)
+    assert [n for _, n, _ in want[:40]] == [39] * 40
+    for block in (1, 2):
+        got = near_vectors(spark.createDataFrame(rows, SCHEMA), 0.98, block=block).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
+def test_links_at_the_bound(spark):
+    """A pair exactly at the cosine is a link; one just below is none."""
+    rows = [(0, [1.0, 0.0], 1, "w"), (1, [0.6, 0.8], 1, "w"), (2, [0.59, 0.81], 1, "w")]
+    least = float(cosines(np.array([[1.0, 0.0]]), np.array([[0.6, 0.8]], np.float32).astype(float))[0, 0])
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, SCHEMA), least).collect()}
+    assert got == {0: 1, 1: 2, 2: 1}
+
+
 def test_empty_table_and_null_number(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     got = near_vectors(spark.createDataFrame([(None, [1.0, 0.0], 1, "w"), (3, [1.0, 0.0], 1, "w")], SCHEMA)).collect()
