@@ -15,7 +15,7 @@ from .mixing import mix_sources
 from .sharding import shard
 from .spotsigs import compare_edited
 from .substring import remove_repeats
-from .token_counts import Ledger, deletes, inserts, piece_tokens, revisions
+from .token_counts import Ledger, count_tokens, deletes, inserts, revisions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,14 +112,12 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after an insert, a delete and a revision batch.
 
-    All documents are counted by version w1; toxic ones are deleted; those of low quality are counted
-    anew by version b4. Each batch but the first is delivered twice.
+    All documents are counted by one tokenizer (version byte); toxic ones are deleted; those of low quality
+    are counted anew by another (version multi). Each batch but the first is delivered twice.
     """
     store = Durable(spark)
-    documents = _table(spark, sf_dir, "documents")
-    counted = store.put(
-        "counted", documents.select("doc_id", "source", "lang", n_words(F.col("text")).alias("w1"), piece_tokens(F.col("text")).alias("b4"))
-    )
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = store.put("counted", count_tokens(documents, {v: tokenizer_path(f) for v, f in TOKENIZERS.items()}))
 
     def by(rows: DataFrame, version: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(version).alias("version"), F.col(version).alias("n_tokens"))
@@ -129,13 +127,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
     gone, again = counted.join(toxic, "doc_id", "left_semi"), counted.join(poor, "doc_id", "left_semi")
     ledger = Ledger(spark, f"{store.root}/ledger")
-    ledger.commit("load", inserts(by(counted, "w1")))
+    ledger.commit("load", inserts(by(counted, "byte")))
     for _ in range(2):
-        ledger.commit("toxic-out", deletes(by(gone, "w1")))
-        ledger.commit("poor-anew", revisions(by(again, "w1"), by(again, "b4")))
+        ledger.commit("toxic-out", deletes(by(gone, "byte")))
+        ledger.commit("poor-anew", revisions(by(again, "byte"), by(again, "multi")))
     return ledger.totals()
 
 
+#: Tokenizer versions of op10 and their files.
+TOKENIZERS = {"byte": "byte_bpe_50k.tiktoken", "multi": "byte_bpe_multi_50k.tiktoken"}
+
 #: Words as the operators take them: white space of ASCII only.
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -200,14 +201,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s GROUP BY conv_id
 """
 
-_OP10 = rf"""
-WITH l AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false)) AS toxic, bool_or(coalesce(quality = 0, false)) AS poor FROM labels GROUP BY doc_id),
-d AS (SELECT source, lang, coalesce(poor, false) AS poor, text FROM documents LEFT JOIN l ON documents.doc_id = l.doc_id WHERE NOT coalesce(toxic, false))
-SELECT source, lang, CASE WHEN poor THEN 'b4' ELSE 'w1' END AS version, count(*) AS n_docs,
-  CAST(sum(CASE WHEN poor THEN (strlen(coalesce(text, '')) + 3) // 4 ELSE len({_WORDS.format("coalesce(text, '')")}) END) AS BIGINT) AS n_tokens
-FROM d GROUP BY ALL
-"""
-
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -220,4 +213,4 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL = {"op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9, "op10_token_counts": _OP10}
+ORACLE_SQL = {"op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9}
