@@ -7,12 +7,14 @@ For each page or document the log posterior of a language is the sum of
     leading path segment), each through a reliability matrix counted on the table itself;
   - a host prior, smoothed hierarchically: host towards its registered domain, domain towards the table's
     mix. Its counts are sums of text posteriors over all rows, from grouped aggregation.
-A background model of letters without a language competes with the languages; a text it wins, or one without
-letters, is ``und``.
+A background model of letters without a language competes with the languages in the posterior: its text likelihood
+is that of letters drawn alike, any claim is as likely as another under it, and ``BACKGROUND`` is its prior. So
+a page of few or no letters is decided by what its markup, address and host say together, or is ``und``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,18 +22,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Durable, text_chunks
+from .common import Durable, small_batches, text_chunks
 
 UNKNOWN = "und"
 #: Slots of the hashed feature table, and how many independent pieces of evidence a text counts as at most.
 SLOTS, MOST_EVIDENCE = 1 << 16, 64.0
-#: Bound of the labelled sample: texts by language, and bytes taken into account by text.
+#: Bound of the labelled sample: distinct texts by language. They are read where they lie; what reaches the
+#: driver are sums by language and slot, so that neither copies nor long texts make it grow.
 SAMPLE_TEXTS = 500
+#: Weight of a text's features in the fit, in whole units, so that sums do not depend on their order.
+_UNIT = 1 << 24
 #: Labelled languages at most: model and plans grow with them, the table of claims with their square.
 MOST_LANGUAGES = 200
 #: Pseudo-counts with which a host's prior leans on its domain's, a domain's on the table's.
 LEAN = 4.0
+#: Prior probability that a page is in none of the languages.
+BACKGROUND = 0.5
 
 #: ISO country codes of top-level domains that suggest one of the languages (fixed values).
 SUFFIX_LANGUAGE = {
@@ -96,40 +104,46 @@ class TextModel:
 
 
 def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed: int = 3, most_languages: int = MOST_LANGUAGES) -> TextModel:
-    """Fit on at most ``per_language`` texts a language of rows (text, lang), chosen by hash of the text.
+    """Fit on at most ``per_language`` distinct texts a language of rows (text, lang), those of the smallest hashes.
 
-    Each row draws a hash, and of each language the share of draws that gives about the bound is kept;
-    sampled sizes stay below it. Null or empty texts and null languages are left out. Every language is
-    kept; more than ``most_languages`` are an error.
+    Copies of a text are drawn as one, however many there are. Null or empty texts and null languages are left
+    out. Every language is kept; more than ``most_languages`` are an error. Features of the drawn texts, whole
+    ones, are summed by language on the executors; SLOTS numbers a language reach the driver at most.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     drawn = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("draw"))
-    totals = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
-    if len(totals) > most_languages:
+    order = Window.partitionBy("lang").orderBy("draw")
+    # The limit on the rank is pushed below the shuffle, so that no language is gathered whole.
+    least = drawn.select("lang", "draw").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    cuts = {r["lang"]: r["cut"] for r in least.groupBy("lang").agg(F.max("draw").alias("cut")).limit(most_languages + 1).collect()}
+    if len(cuts) > most_languages:
         raise ValueError(f"more than {most_languages} labelled languages")
-    # A share of each language that holds the bound: hashes below share * 2^64, counted from the smallest.
-    shares = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, 0.8 * per_language / n))]) if totals else F.create_map().cast("map<string,double>")
-    picked = drawn.where((F.shiftrightunsigned("draw", 1) / F.lit(float(1 << 63))) < F.element_at(shares, F.col("lang")))
-    sample = picked.select("lang", "text").toArrow()
-    langs = sample.column("lang").to_pylist()
-    languages = tuple(sorted(set(langs)))
-    column = sample.column("text")
-    slots, of, at = [], [], 0
-    for chunk in column.chunks:
-        for lo, hi, raw, offsets in text_chunks(chunk):
-            s, before = _features(raw, offsets)
-            slots.append(s), of.append(np.repeat(np.arange(hi - lo), np.diff(before)) + at + lo)
-        at += len(chunk)
-    slots_, of_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, of))
+    if not cuts:
+        return TextModel((), np.zeros((SLOTS, 1)))
+    bounds = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    picked = drawn.where(F.col("draw") <= F.element_at(bounds, F.col("lang"))).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for lo, hi, raw, offsets in text_chunks(batch.column("text")):
+                slots, before = _features(raw, offsets)
+                n = np.diff(before)
+                # Each text counts by the square root of its features, so that a few long texts do not fill the model.
+                each = np.repeat(np.round(_UNIT / np.sqrt(np.maximum(n, 1))).astype(np.int64), n)
+                for lang in sorted(set(langs[lo:hi])):
+                    mine = np.repeat(np.array([x == lang for x in langs[lo:hi]]), n)
+                    at, inverse = np.unique(slots[mine], return_inverse=True)
+                    sums = np.zeros(len(at), np.int64)
+                    np.add.at(sums, inverse, each[mine])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums)], names=["lang", "slot", "weight"])
+
+    small_batches(labelled.sparkSession)
+    sums = picked.mapInArrow(run, "lang string, slot int, weight long").groupBy("lang", "slot").agg(F.sum("weight").alias("weight")).toArrow()
+    languages = tuple(sorted(cuts))
     numbers = {x: k for k, x in enumerate(languages)}
-    number = np.array([numbers[x] for x in langs], dtype=np.int64)
-    # Each text counts by the square root of its features, so that a few long texts do not fill the model.
-    n = np.bincount(of_, minlength=len(langs)).astype(np.float64)
-    each = 1.0 / np.sqrt(np.maximum(n, 1.0))
     counts = np.zeros((SLOTS, len(languages) + 1))
-    for k in range(len(languages)):
-        mine = number[of_] == k
-        counts[:, k] = np.bincount(slots_[mine], weights=each[of_[mine]], minlength=SLOTS)
+    counts[sums.column("slot").to_numpy(), [numbers[x] for x in sums.column("lang").to_pylist()]] = sums.column("weight").to_numpy()
     counts[:, :-1] /= np.maximum(counts[:, :-1].sum(axis=0), 1e-9)
     # The background has seen every slot alike; languages give a little of their mass to unseen slots.
     weights = np.log(0.9 * counts + 0.1 / SLOTS)
@@ -162,9 +176,16 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: Labels under country codes below which names are registered (fixed values).
+REGISTRY_LABELS = "ac co com edu go gob gouv gov gv mil ne net nom or org"
+UK_LABELS = "ltd me nhs plc police sch"
+
+
 def domain_of(host: Column) -> Column:
-    """Registered domain of a host, taken as its last two labels."""
-    return F.substring_index(host, ".", -2)
+    """Registered domain of a host: its last two labels, three where the last two are a country's registry; an IP address whole."""
+    registry = rf"(^|\.)(({REGISTRY_LABELS.replace(' ', '|')})\.[a-z][a-z]|({UK_LABELS.replace(' ', '|')})\.uk)$"
+    address = host.rlike(r"^[0-9.]+$") | F.startswith(host, F.lit("["))
+    return F.when(address, host).when(host.rlike(registry), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def address_language(url: Column, languages: tuple[str, ...]) -> Column:
@@ -271,11 +292,12 @@ def is_noise(k: int) -> Column:
     return (F.col("features") == 0) | (F.array_max(F.slice("scores", 1, k)) < 0) if k else F.lit(True)
 
 
-def decide(rows: DataFrame, evidence: Evidence) -> DataFrame:
-    """rows with lang and confidence.
+def decide(rows: DataFrame, evidence: Evidence, background: float = BACKGROUND) -> DataFrame:
+    """rows with lang and confidence: the most probable language and its posterior, ``und`` where the background is.
 
     rows: scores and features of text_scores, and host, declared and suggested, each of which may be
-    null, which is no evidence. Columns lang and confidence are replaced.
+    null, which is no evidence. background: its prior; at 0 it does not compete. Columns lang and
+    confidence are replaced; ties go to the first language by code point, before the background.
     """
     languages, k = evidence.languages, len(evidence.languages)
     kept = [c for c in rows.columns if c not in ("lang", "confidence")]
@@ -294,27 +316,29 @@ def decide(rows: DataFrame, evidence: Evidence) -> DataFrame:
     joined = joined.withColumn("__rest", rest).withColumn("__sum", F.aggregate("__rest", F.lit(0.0), lambda a, x: a + x))
     leaning = F.transform(F.arrays_zip(F.col("__rest").alias("c"), F.col("dp").alias("o")), lambda z: (z["c"] + LEAN * z["o"]) / (F.col("__sum") + LEAN))
     joined = joined.withColumns({"__prior": F.coalesce(leaning, base), "__claim": claim("declared"), "__hint": claim("suggested")})
+    share = math.log(1.0 - background)
     fused = F.transform(
         F.arrays_zip(F.slice("scores", 1, k).alias("s"), F.col("__prior").alias("h"), F.col("__claim").alias("d"), F.col("__hint").alias("a")),
-        lambda z: z["s"] + F.ln(z["h"]) + z["d"] + z["a"],
+        lambda z: z["s"] + F.ln(z["h"]) + z["d"] + z["a"] + F.lit(share),
     )
+    if background:
+        # Under the background a claim is any of the languages alike.
+        claims = sum((F.when(F.col(c).isin(list(languages)), F.lit(-math.log(k))).otherwise(0.0) for c in ("declared", "suggested")), F.lit(math.log(background)))
+        fused = F.concat(fused, F.array(claims))
     joined = with_posterior(joined, fused, "__q")
     best = F.array_position("__q", F.array_max("__q")).cast("int")
-    named = F.element_at(F.array(*[F.lit(x) for x in languages]), best)
-    noise = is_noise(k)
-    return joined.select(
-        *kept,
-        F.when(noise, F.lit(UNKNOWN)).otherwise(named).alias("lang"),
-        F.when(noise, F.lit(0.0)).otherwise(F.round(F.array_max("__q"), 6)).alias("confidence"),
-    )
+    named = F.element_at(F.array(*[F.lit(x) for x in (*languages, UNKNOWN)]), best)
+    return joined.select(*kept, named.alias("lang"), F.round(F.array_max("__q"), 6).alias("confidence"))
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     """One row per page: page_id, host, declared, suggested, features, lang, confidence.
 
     pages needs page_id, url and html; other columns are ignored. A null or empty page has no features
-    and is ``und``, whatever it declares; a null or malformed url has no host and suggests nothing.
-    Repeated rows are rows; rows of a table without any letters are all ``und``.
+    and declares nothing; a null or malformed url has no host and suggests nothing. Such a page is what the
+    rest of its evidence says, ``und`` where there is none. confidence is the posterior of lang, ``und``
+    included. Repeated rows are rows; a page of any length is read whole, in one task; an empty table gives
+    an empty result.
     """
     store = Durable(pages.sparkSession)
     rows = pages.select(
@@ -333,8 +357,9 @@ def keep_known(docs: DataFrame, model: TextModel) -> DataFrame:
     """docs with lang as identified, without those in no language of the model.
 
     The lang column counts as declared, the source as host. What goes is ``und``: texts without a word
-    of letters, null and empty ones too, and texts that noise explains better than every language. docs
-    needs text, lang and source.
+    of letters, null and empty ones too, and texts that noise explains better than every language: what a
+    text is kept for is its own letters, whatever its source or label say. docs needs text, lang and source;
+    all its columns come back under their names, repeated rows as often as they are there.
     """
     store = Durable(docs.sparkSession)
     claims = {"declared": F.col("lang"), "suggested": F.lit(None).cast("string"), "host": F.col("source")}
@@ -342,7 +367,7 @@ def keep_known(docs: DataFrame, model: TextModel) -> DataFrame:
     evidence = gather(store.put("scored", text_scores(rows, model)), model.languages, store)
     # Columns of docs stand aside under numbers, so that none is taken for one of these.
     held = docs.select(*[c.alias(n) for n, c in claims.items()], "text", *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)])
-    # Noise is what decide would call unknown. It goes before, by scores alone: a filter on the decision would be
-    # pushed below the steps that make it, and repeat them.
-    named = decide(text_scores(held, model).where(~is_noise(len(model.languages))), evidence)
+    # Noise goes before the decision, by scores alone: a filter on the decision would be pushed below the steps that
+    # make it, and repeat them.
+    named = decide(text_scores(held, model).where(~is_noise(len(model.languages))), evidence, background=0.0)
     return named.select(*[(F.col("lang") if c == "lang" else F.col(f"__{i}")).alias(c) for i, c in enumerate(docs.columns)])
