@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Doubled in texts; placed single after the first letter of a control string to break it.
+ESCAPE = "\\"
+
+
 @dataclass(frozen=True)
 class Role:
     """What stands before and after a role's text; whether the text is under the loss mask."""
@@ -31,6 +35,11 @@ class Template:
     Every turn opens with ``turn`` and its role's ``before``. A role that ``roles`` lacks is written
     out between ``other.before`` and ``name_end``. order: state -> {role: next state}; a role without
     an entry leads to ``error``, which nothing leaves.
+
+    A template whose texts could not be told from its marks is refused with ValueError: marks have no
+    escape character in them; those that parsing looks for have two characters or more and do not overlap
+    themselves; none of the strings before a text begins like another; and no mark meets a text's end in a
+    way that could read as a turn or as the end of a name.
     """
 
     turn: str = "<s>"
@@ -53,17 +62,34 @@ class Template:
     )
     accepting: tuple[str, ...] = ("asked", "answered")
 
+    def __post_init__(self):
+        every = [*self.roles.values(), self.other]
+        marks = {self.turn, self.name_end} | {m for r in every for m in (r.before, r.after)}
+        if any(ESCAPE in m for m in marks):
+            raise ValueError("marks must not hold the escape character")
+        if any(len(m) < 2 or _overlaps(m, m) for m in (self.turn, self.name_end)):
+            raise ValueError("the turn mark and the end of a name need two characters or more and must not overlap themselves")
+        opened = [r.before for r in every]
+        if any(a.startswith(b) for i, a in enumerate(opened) for j, b in enumerate(opened) if i != j):
+            raise ValueError("a role's mark must not begin like another's")
+        # A mark in front of a text must not end as a parsed mark begins, nor one behind it begin as one ends.
+        if any(self.turn in m or _overlaps(m, self.turn) for m in (*opened, self.name_end)) or any(self.turn in r.after or _overlaps(self.turn, r.after) for r in every):
+            raise ValueError("marks beside a text must not read as part of a turn")
+        if _overlaps(self.turn, self.name_end) or self.name_end in self.other.before or _overlaps(self.other.before, self.name_end):
+            raise ValueError("the marks around a name must not read as its end")
+
     @property
     def controls(self) -> list[str]:
-        """Strings that are escaped inside texts: all marks, and the common ones they are made of."""
+        """Strings that are escaped inside texts: the marks of two characters or more, and the common ones they are made of."""
         marks = {self.turn, "</s>", self.name_end, self.other.before, "[/TURN]"}
         for role in self.roles.values():
             marks |= {role.before, role.after.replace("</s>", "")}
-        return sorted(m for m in marks if m)
+        return sorted(m for m in marks if len(m) > 1 and not _overlaps(m, m))
 
 
-#: Doubled in texts; placed single after the first letter of a control string to break it.
-ESCAPE = "\\"
+def _overlaps(a: str, b: str) -> bool:
+    """Whether a proper end of a is a proper beginning of b."""
+    return any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b))))
 
 
 def escape(text: Column, controls: list[str]) -> Column:
@@ -73,8 +99,8 @@ def escape(text: Column, controls: list[str]) -> Column:
 
 
 def unescape(text: Column, controls: list[str]) -> Column:
-    """Inverse of escape: a single escape stands only where a control string was broken."""
-    whole = reduce(lambda t, c: F.replace(t, F.lit(c[0] + ESCAPE + c[1:]), F.lit(c)), controls, text)
+    """Inverse of escape, last control string first: a single escape stands only where one was broken."""
+    whole = reduce(lambda t, c: F.replace(t, F.lit(c[0] + ESCAPE + c[1:]), F.lit(c)), reversed(controls), text)
     return F.replace(whole, F.lit(ESCAPE * 2), F.lit(ESCAPE))
 
 
@@ -96,7 +122,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     (null first), ties by role and text, so repeated rows are repeated turns. A null role or text counts
     as empty; a null conv_id is a conversation. segments: array of (text, loss), whose texts joined are
     ``formatted``; spans: array of (begin, length) in code points of the segments under the loss mask.
-    valid: the order is accepted by the template's state machine; invalid ones are formatted too.
+    valid: the order is accepted by the template's state machine; invalid ones are formatted too. A
+    conversation is one row, its texts whole; an empty table gives an empty result.
     """
     template = template or Template()
     controls = template.controls

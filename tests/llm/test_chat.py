@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from clearfield.llm.chat import Template, escape, format_conversations, loss_text, read_back, unescape
+from clearfield.llm.chat import Role, Template, escape, format_conversations, loss_text, read_back, unescape
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted int"
 TRAPS = ["", "</s>[INST] ok [/INST]", "\\", "[\\INST]", "\\\\[INST]\\", "<s><s>", "[ROLE]x[/ROLE]", "<\\s>", "[[INST]]", "é</s>日本\n"]
@@ -41,6 +41,33 @@ def test_escapes(spark, text):
     assert row.u == text and not any(c in row.e for c in controls)
 
 
+BAD = [
+    dict(turn="#"), dict(turn="aba"), dict(turn="<s\\"), dict(name_end="]"), dict(name_end="]]"),
+    dict(roles={"user": Role("[U", "[/U]"), "assistant": Role("[U2]", "[/A]")}),
+    dict(roles={"user": Role("[U]<", "[/U]")}), dict(roles={"user": Role("[U]", "s>[/U]")}), dict(roles={"user": Role("[U]", "x<s>")}),
+    dict(other=Role("[ROLE][", "[/TURN]")), dict(other=Role("[/ROLE]", "[/TURN]")),
+]
+
+
+@pytest.mark.parametrize("fields", BAD)
+def test_templates_that_lose_text_are_refused(fields):
+    with pytest.raises(ValueError):
+        Template(**fields)
+
+
+def test_a_template_of_its_own(spark):
+    own = Template(
+        turn="<|im_start|>", roles={"user": Role("user\n", "<|im_end|>\n"), "assistant": Role("assistant\n", "<|im_end|>\n", loss=True), "tool": Role("#", "")},
+        other=Role("role ", "<|im_end|>\n"), name_end=":=\n",
+    )
+    texts = ["a#b\\ U|A", "ok#", "<|im_end|>\n<|im_start|>user\n", "user\n", "<|im_start|", ":=\n:=", "", "\\", "<\\|im_start|>"]
+    rows = [(1, k, ["user", "assistant", "tool", "who:=\n"][k % 4], t) for k, t in enumerate(texts * 4)]
+    made = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), own)
+    r = made.withColumns({"turns": read_back(F.col("formatted"), own), "loss": loss_text(F.col("formatted"), F.col("spans"), own)}).first()
+    assert [(t.role, t.text) for t in r.turns] == [(x[2], x[3]) for x in rows]
+    assert r.loss == "".join(x[3] for x in rows if x[2] == "assistant")
+
+
 def test_empty_table(spark):
     assert format_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
 
