@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_words
+from .common import free_prefix, n_words
 
 BUCKET_ROWS, MOST_BUCKETS = 64, 1 << 14
 _NEW = ("size", "source_size", "target", "taken", "copies", "position")
@@ -111,56 +111,62 @@ def mix_sources(docs: DataFrame, schedules: tuple[Schedule, ...] = CURRICULUM, b
     docs needs doc_id, source and text, or in place of text a column named by ``size`` that holds the
     words already counted; null sources are one source, last in order. Rows
     equal in doc_id and size may swap places. Columns with the new names are replaced. An empty table,
-    or one without words, gives zero targets.
+    or one without words, gives zero targets. Sources are taken to be names of collections, so that one
+    row for each (targets are windows over them) fits a task.
     """
-    return _mix(docs, schedules, budget, most, seed, size, keep=False)
+    return _mix(docs, schedules, budget, most, seed, size)
 
 
-def _mix(docs: DataFrame, schedules: tuple[Schedule, ...], budget: float, most: float, seed: int, size: str | None, keep: bool) -> DataFrame:
+def _mix(
+    docs: DataFrame, schedules: tuple[Schedule, ...], budget: float, most: float, seed: int, size: str | None, keep: str | None = None
+) -> DataFrame:
+    """mix_sources; with keep, also the source's schedule and the document's place in it, under that prefix."""
     new = _NEW
-    sized = docs.withColumn("__w", F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else n_words(F.col("text")))
+    p = keep or free_prefix(docs.columns)
+    w, src, nul, b, h, i, s, o, kind, place = (p + x for x in ("words", "src", "nul", "bucket", "hash", "inside", "sum", "offset", "kind", "at"))
+    sized = docs.withColumn(w, F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else n_words(F.col("text")))
     columns = [c for c in docs.columns if c not in new]
     # A null source is told apart by a flag, so that windows and the join deal rows out alike, once.
-    keys = ["__src", "__nul", "__b"]
-    base = sized.select(*columns, F.col("__w").alias("size")).withColumns(
-        {"__src": F.coalesce("source", F.lit("")), "__nul": F.col("source").isNull(), "__h": F.xxhash64("doc_id", F.col("size"), F.lit(seed))}
+    keys = [src, nul, b]
+    base = sized.select(*[F.col(f"`{c}`") for c in columns], F.col(w).alias("size")).withColumns(
+        {src: F.coalesce("source", F.lit("")), nul: F.col("source").isNull(), h: F.xxhash64("doc_id", F.col("size"), F.lit(seed))}
     )
     # Count the rows to choose how finely the order is cut; the cut changes no result.
     n, buckets = docs.count(), 1
     while buckets < MOST_BUCKETS and buckets * BUCKET_ROWS < n:
         buckets *= 2
     bits = buckets.bit_length() - 1
-    base = base.withColumn("__b", F.shiftrightunsigned(F.col("__h"), 64 - bits).cast("int") if bits else F.lit(0))
-    cells = base.groupBy(*keys).agg(F.sum("size").alias("__s"))
-    before = Window.partitionBy("__src", "__nul").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("__o", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
-    sizes = cells.groupBy("__src", "__nul").agg(F.sum("__s").alias("source_size"))
-    named = sizes.select(F.when(~F.col("__nul"), F.col("__src")).alias("source"), "source_size")
+    base = base.withColumn(b, F.shiftrightunsigned(F.col(h), 64 - bits).cast("int") if bits else F.lit(0))
+    cells = base.groupBy(*keys).agg(F.sum("size").alias(s))
+    before = Window.partitionBy(src, nul).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.withColumn(o, F.coalesce(F.sum(s).over(before), F.lit(0))).drop(s)
+    sizes = cells.groupBy(src, nul).agg(F.sum(s).alias("source_size"))
+    named = sizes.select(F.when(~F.col(nul), F.col(src)).alias("source"), "source_size")
     targets = source_targets(named, schedules, budget, most).select(
-        F.coalesce("source", F.lit("")).alias("__src"), F.col("source").isNull().alias("__nul"), "source_size", F.col("kind").alias("__kind"), "target"
+        F.coalesce("source", F.lit("")).alias(src), F.col("source").isNull().alias(nul), "source_size", F.col("kind").alias(kind), "target"
     )
-    known = offsets.join(targets, ["__src", "__nul"]).select(*(F.col(k).alias(f"{k}2") for k in keys), "__o", "source_size", "__kind", "target")
+    known = offsets.join(targets, [src, nul]).select(*(F.col(k).alias(f"{k}2") for k in keys), o, "source_size", kind, "target")
 
-    inside = Window.partitionBy(*keys).orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys).orderBy(h, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        base.withColumn("__i", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        base.withColumn(i, F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(known, [F.col(k) == F.col(f"{k}2") for k in keys])
-        .withColumn("__at", F.col("__o") + F.col("__i"))
+        .withColumn(place, F.col(o) + F.col(i))
     )
     goal = F.round("target").cast("long")
-    words, at, total = F.col("size"), F.col("__at"), F.col("source_size")
+    words, at, total = F.col("size"), F.col(place), F.col("source_size")
     rounds = F.when(total > 0, F.floor(goal / total)).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least(words, goal - rounds * total - at)).cast("long")
     taken = rounds * words + part
     begun = F.when(goal > 0, F.least(F.lit(1.0), at / goal))
     position = F.lit(None).cast("double")
-    for i, s in enumerate(schedules):
-        position = F.when(F.col("__kind") == i, s.when(begun)).otherwise(position)
+    for k, schedule in enumerate(schedules):
+        position = F.when(F.col(kind) == k, schedule.when(begun)).otherwise(position)
     return (
         placed.withColumn("taken", taken)
         .withColumn("copies", (rounds + (2 * part >= F.greatest(words, F.lit(1))).cast("long")).cast("int"))
         .withColumn("position", F.when(F.col("taken") > 0, position))
-        .select(*columns, *new, *(("__kind", "__at") if keep else ()))
+        .select(*[F.col(f"`{c}`") for c in columns], *new, *((kind, place) if keep else ()))
     )
 
 
@@ -169,14 +175,15 @@ def training_order(docs: DataFrame, schedules: tuple[Schedule, ...] = CURRICULUM
 
     Columns of docs, then position. A document's second copy stands where its source's order comes round
     to it again. Documents that are not taken, and the rounding of the last one of each source, are the
-    only rows that go.
+    only rows that go. Nulls, ties, repeated rows and empty tables are as in ``mix_sources``.
     """
-    mixed = _mix(docs, schedules, budget, most, seed, None, keep=True)
+    p = free_prefix(docs.columns)
+    mixed = _mix(docs, schedules, budget, most, seed, None, keep=p)
     columns = [c for c in docs.columns if c not in _NEW]
-    again = mixed.where("copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    begun = F.least(F.lit(1.0), (F.col("__at") + F.col("__k") * F.col("source_size")) / F.greatest(F.round("target"), F.lit(1.0)))
+    again = mixed.where("copies > 0").withColumn(f"{p}k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    begun = F.least(F.lit(1.0), (F.col(f"{p}at") + F.col(f"{p}k") * F.col("source_size")) / F.greatest(F.round("target"), F.lit(1.0)))
     position = F.lit(1.0)
     for i, s in enumerate(schedules):
-        position = F.when(F.col("__kind") == i, s.when(begun)).otherwise(position)
-    placed = again.withColumn("position", position).select(*columns, "position")
+        position = F.when(F.col(f"{p}kind") == i, s.when(begun)).otherwise(position)
+    placed = again.withColumn("position", position).select(*[F.col(f"`{c}`") for c in columns], "position")
     return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import free_prefix
+
 #: Rows of a numbering bucket aimed at, and the most buckets there are (their offsets meet in one task).
 BUCKET_ROWS, MOST_BUCKETS = 64, 1 << 14
 ROUNDS, WALKS = 6, 64
@@ -56,16 +58,18 @@ def numbered(df: DataFrame, *identity: Column, seed: int = 0, name: str = "__n")
     buckets = 1
     while buckets < MOST_BUCKETS and buckets * BUCKET_ROWS < n:
         buckets *= 2
-    hashed = df.withColumn("__h", F.xxhash64(*identity, F.lit(seed)))
+    p = free_prefix([*df.columns, name])
+    h, b, c, o = (p + x for x in ("hash", "bucket", "count", "offset"))
+    hashed = df.withColumn(h, F.xxhash64(*identity, F.lit(seed)))
     bits = buckets.bit_length() - 1
-    bucket = F.shiftrightunsigned(F.col("__h"), 64 - bits).cast("int") if bits else F.lit(0)
-    hashed = hashed.withColumn("__b", bucket)
-    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
-    inside = Window.partitionBy("__b").orderBy("__h", *identity)
-    placed = hashed.join(F.broadcast(offsets), "__b")  # at most MOST_BUCKETS rows of two numbers
-    return placed.withColumn(name, F.col("__o") + F.row_number().over(inside) - 1).drop("__h", "__b", "__o"), n
+    bucket = F.shiftrightunsigned(F.col(h), 64 - bits).cast("int") if bits else F.lit(0)
+    hashed = hashed.withColumn(b, bucket)
+    counts = hashed.groupBy(b).agg(F.count(F.lit(1)).alias(c))
+    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(b, F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o))
+    inside = Window.partitionBy(b).orderBy(h, *identity)
+    placed = hashed.join(F.broadcast(offsets), b)  # at most MOST_BUCKETS rows of two numbers
+    return placed.withColumn(name, F.col(o) + F.row_number().over(inside) - 1).drop(h, b, o), n
 
 
 def shard(df: DataFrame, shards: int, *identity: str, seed: int = 0) -> DataFrame:
@@ -73,20 +77,29 @@ def shard(df: DataFrame, shards: int, *identity: str, seed: int = 0) -> DataFram
 
     identity: the columns that tell rows apart; equal rows may swap places. Shard sizes differ by one
     row at most. Null identities count as values. An empty df gives an empty result. Columns named
-    shard or slot are replaced.
+    shard or slot are replaced; any other name is kept.
     """
+    if shards < 1:
+        raise ValueError("there is one shard or more")
     plain = df.drop("shard", "slot")
-    rows, n = numbered(plain, *(F.col(c) for c in identity), seed=seed)
-    at = feistel(F.col("__n"), max(n, 1), seed)
+    p = free_prefix(plain.columns)
+    number, place = f"{p}number", f"{p}place"
+    rows, n = numbered(plain, *(F.col(f"`{c}`") for c in identity), seed=seed, name=number)
+    at = feistel(F.col(number), max(n, 1), seed)
     return (
-        rows.withColumn("__p", at)
-        .withColumn("shard", F.pmod("__p", F.lit(shards)).cast("int"))
-        .withColumn("slot", ((F.col("__p") - F.col("shard")) / shards).cast("long"))
-        .drop("__p", "__n")
+        rows.withColumn(place, at)
+        .withColumn("shard", F.pmod(place, F.lit(shards)).cast("int"))
+        .withColumn("slot", ((F.col(place) - F.col("shard")) / shards).cast("long"))
+        .drop(place, number)
     )
 
 
 def write_shards(df: DataFrame, path: str, shards: int, *identity: str, seed: int = 0) -> None:
-    """Write the shuffled rows as one folder per shard, in slot order within files."""
+    """Write the shuffled rows as one folder per shard, in slot order within files of a million slots at most.
+
+    Nulls, texts of any length and repeated rows are written as they are, each row once; an empty df writes
+    no shard. Columns named shard or slot are replaced. Writing again with the same rows, identity and seed
+    gives the same shards and slots, so a lost executor's files are rewritten alike.
+    """
     placed = shard(df, shards, *identity, seed=seed)
     placed.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -29,8 +29,8 @@ def count(text):
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 
 
-def check(spark, docs, rows):
-    got = mix_sources(docs).collect()
+def check(spark, docs, rows, got=None):
+    got = mix_sources(docs).collect() if got is None else got
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in got) == sorted((i is None, i or 0, count(t)) for i, t, _ in rows)
     sizes = {}
     for _, t, s in rows:
@@ -50,6 +50,25 @@ def test_against_brute_force(spark, odd_documents, odd_rows):
     check(spark, odd_documents, odd_rows)
 
 
+def test_query(spark, odd_documents, odd_rows, tmp_path):
+    from clearfield.llm.queries import op1_mixing
+
+    odd_documents.write.parquet(str(tmp_path / "documents.parquet"))
+    got = check(spark, None, odd_rows, op1_mixing(spark, str(tmp_path)).collect())
+    again = op1_mixing(spark, str(tmp_path)).collect()
+    key = sorted(map(repr, got))
+    assert key == sorted(map(repr, again))
+    for r in got:  # copies of a document: whole rounds, and one more where half of it is taken
+        assert r.copies == r.taken // max(r["size"], 1) + (r["size"] > 0 and 2 * (r.taken % r["size"]) >= r["size"]) or r["size"] == 0
+
+
+def test_internal_names_of_columns(spark, odd_documents, odd_rows):
+    docs = odd_documents.withColumns({c: F.lit(c) for c in ("__w", "__src", "__nul", "__b", "__h", "__i", "__at", "__k", "___kind")})
+    got = check(spark, docs, odd_rows)
+    assert {r["__at"] + r["___kind"] for r in got} == {"__at___kind"}
+    assert {r["__k"] for r in training_order(docs).collect()} == {"__k"}
+
+
 def test_many_documents_and_reruns(spark):
     rows = [(i, " ".join(words_of(i % 37, i)), ["x", "y", "z", None, "Ü", "a"][0 if i % 3 else i % 6]) for i in range(900)]
     docs = make_documents(spark, rows)
