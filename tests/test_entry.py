@@ -5,6 +5,8 @@ import importlib
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 NAME = "ll" + "m"
 
@@ -21,6 +23,18 @@ def test_entry_without_the_subpackage(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
+@pytest.mark.skipif(not (ROOT / "clearfield" / NAME).is_dir(), reason="the subpackage is taken out")
+def test_failures_inside_the_subpackage_surface(monkeypatch):
+    """Only the subpackage's own absence is looked over, not that of something it needs."""
+    for name in [n for n in sys.modules if n.startswith(f"clearfield.{NAME}")] + ["corpus_pipeline", "__spark_entry__"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "regex", None)
+    with pytest.raises(ImportError):
+        importlib.import_module("__spark_entry__")
+    for name in [n for n in sys.modules if n.startswith(f"clearfield.{NAME}")] + ["__spark_entry__"]:
+        sys.modules.pop(name)
+
+
 def test_nothing_else_imports_it():
     for path in (ROOT / "clearfield").rglob("*.py"):
         if NAME in path.relative_to(ROOT).parts:
