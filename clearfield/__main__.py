@@ -15,7 +15,7 @@ from .sources.staging import staging_folder
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="clearfield", description=__doc__)
-    p.add_argument("command", choices=["voxelize", "boundary", "octree", "sweep", "function", "link-distance"])
+    p.add_argument("command", choices=["voxelize", "boundary", "octree", "sweep", "function", "clearance"])
     p.add_argument("--cloud", required=True, help="XYZ file or folder of them, one frame a file")
     p.add_argument("--output", required=True)
     p.add_argument("--voxel-size", type=float, required=True)
@@ -68,18 +68,17 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         sure = F.when(F.col("mismatches") == 0, F.col("program")).otherwise(F.raise_error(F.lit("a function failed its certificate")).cast("binary"))
         programs = programs.withColumn("program", sure)
         tables = {"programs": programs, "json": exports.program_json(programs)}
-        if a.command == "link-distance":
+        if a.command == "clearance":
             if not a.urdf or not a.q:
-                raise ValueError("link-distance needs --urdf and --q")
+                raise ValueError("clearance needs --urdf and --q")
             with open(a.urdf, encoding="utf-8") as f:
                 model = robot.parse_urdf(f.read())
             q = [[float(x) for x in c.split(",")] for c in a.q.split(";")]
             if any(len(c) != model.dof for c in q):
                 raise ValueError(f"a configuration has {model.dof} values")
             poses = robot.sphere_poses(spark.createDataFrame(list(enumerate(q)), "config_id long, q array<double>"), model)
-            at = poses.select((F.col("config_id") * len(model.spheres) + F.col("sphere_id")).alias("point_id"), "x", "y", "z").crossJoin(coords.select("frame_id"))
-            field = arrangement.evaluate(at, programs, error=a.environment_error)
-            found = robot.link_distances(poses, field, model, a.margin, a.link_error)
+            field = robot.field_at(poses, coords, programs, a.environment_error)
+            found = robot.group_clearances(field, model, a.margin, a.link_error)
             tables = {"distances": found, "documents": exports.clearance_documents(found)}
     return exports.write_bundle(spark, a.output, tables, {"command": a.command, "voxel_size": h})
 

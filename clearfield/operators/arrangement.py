@@ -3,7 +3,7 @@
 One frame's function is a program: leaves are axis-aligned planes sign * (x_axis - coord * h), nodes are MIN or
 MAX of earlier nodes, the last node is the root. It is negative in free space, zero on the boundary and
 positive inside the occupied set. Building is recursive within a frame, so it is a kernel over one frame's
-compressed cells; frames are the parallel unit, and points are dealt out by frame and salt.
+compressed cells; frames are the parallel unit. Points meet their frame's program where they are (``meet``).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .meet import least, meet, packed
+
 LEAF, MIN, MAX = 0, 1, 2
 #: Defaults of the limits on one frame's work; beyond them building fails, it never gives a partial function.
 MOST_CELLS, MOST_NODES = 16_000_000, 2_000_000
@@ -287,7 +289,13 @@ def smooth_values(p: Program, x: np.ndarray, beta: float, gradient: bool = True)
 
 
 def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray], block: int = 1 << 22) -> tuple[int, int]:
-    """(strata, mismatches): the sign of the function on every vertex, edge, face and volume of the planes.
+    """(strata, mismatches): the sign of the function on every vertex, edge, face and volume of the planes."""
+    bad = sum(int((sign != right).sum()) for _, sign, right in _strata_signs(p, occupied, planes, block))
+    return math.prod(2 * len(c) + 1 for c in planes), bad
+
+
+def _strata_signs(p: Program, occupied: np.ndarray, planes: list[np.ndarray], block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first place on x, signs, right signs) of all strata, in slabs.
 
     A stratum's place on an axis is an open slab (even) or a plane (odd). Its right sign is that of the cells
     around it: 1 if all are occupied, -1 if none is, else 0. Leaves are signs of places, so this is exact.
@@ -310,7 +318,6 @@ def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray]
         lowest, highest = both
     right = lowest + highest - 1
     at = [{int(c): 2 * i + 1 for i, c in enumerate(cs)} for cs in planes]
-    bad = 0
     step = max(1, block // (sizes[1] * sizes[2]))
     for lo in range(0, sizes[0], step):
         xs = np.arange(lo, min(lo + step, sizes[0]))
@@ -330,8 +337,7 @@ def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray]
                 for c in children[1:]:
                     v = f(v, work[c])
                 work.append(v)
-        bad += int((np.broadcast_to(work[-1], shape) != right[lo : lo + len(xs)]).sum())
-    return sizes[0] * sizes[1] * sizes[2], bad
+        yield lo, np.broadcast_to(work[-1], shape), right[lo : lo + len(xs)]
 
 
 # ---------------------------------------------------------------- over frames
@@ -370,68 +376,93 @@ def build_programs(found: DataFrame, coords: DataFrame, h: float, certify: bool
     return rows.groupBy("frame_id").applyInPandas(run, "frame_id long, program binary, nodes long, shared long, expanded double, strata long, mismatches long")
 
 
-def evaluate(points: DataFrame, programs: DataFrame, error: float = 1e-3, salts: int = 8, gradient: bool = True) -> DataFrame:
-    """points (frame_id, point_id, x, y, z) with q (hard), q_upper (smoothed), gx, gy, gz and bound.
+def evaluate(points: DataFrame, programs: DataFrame, error: float = 1e-3, gradient: bool = True) -> DataFrame:
+    """points, all columns, with q (hard), q_upper (smoothed), gx, gy, gz (null without gradient) and bound.
 
-    Points are dealt out by frame and salt and meet one copy of the frame's program there, so a frame of
-    any size is many tasks and no task holds more than its share.
+    points: frame_id, x, y, z and any other columns; see ``meet`` for how they meet their frame's program.
     """
 
-    def run(key, pts: pd.DataFrame, programs: pd.DataFrame) -> pd.DataFrame:
-        if not len(pts) or not len(programs):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _EVALUATED})
-        p = Program.unpack(programs["program"].iloc[0])
+    def compute(pts: pd.DataFrame, p: Program) -> dict[str, np.ndarray]:
         beta, bound = smoothing(p, error=error)
-        out = []
+        x = pts[["x", "y", "z"]].to_numpy()
+        out = {c: np.full(len(x), np.nan) for c in ("q", "q_upper", "gx", "gy", "gz")} | {"bound": np.full(len(x), bound)}
         # As many points at once as keep all nodes' values and slopes in some 64 MB.
         block = max(256, min(8192, (1 << 26) // (32 * len(p.op))))
-        for lo in range(0, len(pts), block):
-            part = pts.iloc[lo : lo + block]
-            x = part[["x", "y", "z"]].to_numpy()
-            upper, slope = smooth_values(p, x, beta, gradient)
-            slope = slope if gradient else np.zeros((len(x), 3))
-            out.append(
-                pd.DataFrame(
-                    {
-                        "frame_id": part["frame_id"].to_numpy(), "point_id": part["point_id"].to_numpy(), "q": hard_values(p, x), "q_upper": upper,
-                        "gx": slope[:, 0], "gy": slope[:, 1], "gz": slope[:, 2], "bound": bound,
-                    }
-                )
-            )
-        return pd.concat(out)
-
-    salted = points.select("frame_id", "point_id", "x", "y", "z", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int").alias("salt"))
-    copies = programs.select("frame_id", "program", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    schema = "frame_id long, point_id long, q double, q_upper double, gx double, gy double, gz double, bound double"
-    return salted.groupBy("frame_id", "salt").cogroup(copies.groupBy("frame_id", "salt")).applyInPandas(run, schema)
-
-
-_EVALUATED = [("frame_id", "int64"), ("point_id", "int64"), *[(c, "float64") for c in ("q", "q_upper", "gx", "gy", "gz", "bound")]]
-
-
-def patch_distance(points: DataFrame, patched: DataFrame, h: float, salts: int = 8) -> DataFrame:
-    """points with the distance to the nearest patch of their frame, by vectorised blocks.
-
-    Points meet all of a frame's patches; both are dealt out by frame and salt of the points.
+        for lo in range(0, len(x), block):
+            s = slice(lo, lo + block)
+            out["q"][s] = hard_values(p, x[s])
+            out["q_upper"][s], slope = smooth_values(p, x[s], beta, gradient)
+            if gradient:
+                out["gx"][s], out["gy"][s], out["gz"][s] = slope.T
+        return out
+
+    sides = programs.select("frame_id", F.col("program").alias("side"))
+    return meet(points, sides, Program.unpack, compute, "q double, q_upper double, gx double, gy double, gz double, bound double")
+
+
+def patch_distance(points: DataFrame, patched: DataFrame, h: float) -> DataFrame:
+    """points, all columns, with the distance to the nearest patch of their frame, by blocks of near patches."""
+
+    def unpack(side: bytes) -> tuple[np.ndarray, np.ndarray]:
+        rects = np.frombuffer(side).reshape(-1, 6)
+        lo, hi = np.empty((len(rects), 3)), np.empty((len(rects), 3))
+        rows, axis = np.arange(len(rects)), rects[:, 0].astype(int)
+        for step, (a, b) in enumerate(((1, 1), (2, 3), (4, 5))):
+            lo[rows, (axis + step) % 3], hi[rows, (axis + step) % 3] = rects[:, a] * h, rects[:, b] * h
+        return lo, hi
+
+    def compute(pts: pd.DataFrame, side: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+        lo, hi = side
+
+        def value(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+            total = np.zeros((len(p), len(at)))
+            for k in range(3):
+                gap = np.maximum(0.0, np.maximum(lo[None, at, k] - p[:, k, None], p[:, k, None] - hi[None, at, k]))
+                total += gap * gap
+            return np.sqrt(total)
+
+        # A little less than the distance, so that rounding never hides the nearest patch.
+        apart = lambda gap: np.sqrt((np.maximum(gap, 0.0) ** 2).sum(axis=1)) * (1 - 1e-12)
+        return {"distance": least(pts[["x", "y", "z"]].to_numpy(), lo, hi, value, apart)}
+
+    return meet(points, packed(patched, ["axis", "plane", "u0", "u1", "v0", "v1"]), unpack, compute, "distance double")
+
+
+def strata_defects(p: Program, occupied: np.ndarray, planes: list[np.ndarray], witnesses: int = 24) -> tuple[list[int], list[int], list[tuple[int, ...]]]:
+    """Strata and mismatches by dimension (0 vertices to 3 volumes), and the first mismatches as witnesses.
+
+    A witness is (i, j, k, sign, right): its places on the axes, where an odd one is a plane, the function's
+    sign and the right one. Witnesses are the first in the order of their places.
+    """
+    sizes = [2 * len(c) + 1 for c in planes]
+    open_of = [[(n + 1) // 2 if d else n // 2 for d in (0, 1)] for n in sizes]  # planes, slabs of each axis
+    strata = [0, 0, 0, 0]
+    for mask in range(8):
+        strata[bin(mask).count("1")] += math.prod(open_of[k][mask >> k & 1] for k in range(3))
+    wrong, first = [0, 0, 0, 0], []
+    for lo, sign, right in _strata_signs(p, occupied, planes, 1 << 22):
+        for i, j, k in np.argwhere(sign != right):
+            wrong[sum((n + 1) % 2 for n in (lo + i, j, k))] += 1
+            if len(first) < witnesses:
+                first.append((int(lo + i), int(j), int(k), int(sign[i, j, k]), int(right[i, j, k])))
+    return strata, wrong, first
+
+
+def diagnose_programs(built: DataFrame, found: DataFrame, coords: DataFrame, h: float, witnesses: int = 24) -> DataFrame:
+    """Sign diagnostics of the functions of ``built`` cells against the occupied cells ``found``, by frame and dimension.
+
+    Rows: frame_id, dimension, strata, mismatches, witnesses (array of i, j, k, sign, right: at most so many a
+    frame, listed under their dimension). Both tables are compressed cells over the same coordinates.
     """
 
-    def run(key, pts: pd.DataFrame, rects: pd.DataFrame) -> pd.DataFrame:
-        if not len(pts) or not len(rects):
-            return pd.DataFrame({"frame_id": pd.Series(dtype="int64"), "point_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        x = pts[["x", "y", "z"]].to_numpy()
-        best = np.full(len(x), np.inf)
-        for axis, group in rects.groupby("axis"):
-            u, v = (int(axis) + 1) % 3, (int(axis) + 2) % 3
-            a = group[["plane", "u0", "u1", "v0", "v1"]].to_numpy() * h
-            for lo in range(0, len(a), 256):
-                b = a[lo : lo + 256]
-                d = x[:, int(axis), None] - b[None, :, 0]
-                e = np.maximum(0, np.maximum(b[None, :, 1] - x[:, u, None], x[:, u, None] - b[None, :, 2]))
-                f = np.maximum(0, np.maximum(b[None, :, 3] - x[:, v, None], x[:, v, None] - b[None, :, 4]))
-                best = np.minimum(best, np.sqrt(d * d + e * e + f * f).min(axis=1))
-        return pd.DataFrame({"frame_id": pts["frame_id"], "point_id": pts["point_id"], "distance": best})
-
-    salted = points.select("frame_id", "point_id", "x", "y", "z", F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int").alias("salt"))
-    # Under a new name of its own, as the points may come from the patches.
-    copies = patched.select(F.col("frame_id").alias("frame_id"), "axis", "plane", "u0", "u1", "v0", "v1", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return salted.groupBy("frame_id", "salt").cogroup(copies.groupBy("frame_id", "salt")).applyInPandas(run, "frame_id long, point_id long, distance double")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        planes = [np.asarray(frame[f"p{c}"].iloc[0], dtype=np.int64) for c in "xyz"]
+        p = build(grid_of(frame[frame["mine"]], planes), planes, h)
+        strata, wrong, first = strata_defects(p, grid_of(frame[frame["right"]], planes), planes, witnesses)
+        of = [[w for w in first if sum((n + 1) % 2 for n in w[:3]) == d] for d in range(4)]
+        return pd.DataFrame({"frame_id": frame["frame_id"].iloc[0], "dimension": range(4), "strata": strata, "mismatches": wrong, "witnesses": [[list(w) for w in ws] for ws in of]})
+
+    at = ["frame_id", "cx", "cy", "cz"]
+    both = built.select(*at, F.lit(1).alias("m"), F.lit(0).alias("r")).unionByName(found.select(*at, F.lit(0).alias("m"), F.lit(1).alias("r")))
+    flagged = both.groupBy(*at).agg((F.max("m") == 1).alias("mine"), (F.max("r") == 1).alias("right")).join(coords, "frame_id")
+    return flagged.groupBy("frame_id").applyInPandas(run, "frame_id long, dimension int, strata long, mismatches long, witnesses array<array<int>>")

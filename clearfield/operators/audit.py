@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrangement import Program, hard_values, smooth_values, smoothing
-from .voxels import AXES, contains
+from .meet import meet
+from .voxels import AXES, bounds, contains
 
 
 def surface_probes(voxels: DataFrame, patches: DataFrame, h: float) -> DataFrame:
@@ -30,6 +31,39 @@ def surface_probes(voxels: DataFrame, patches: DataFrame, h: float) -> DataFrame
     return both.withColumn("point_id", F.xxhash64("frame_id", "kind", *"xyz"))
 
 
+def outer_probes(voxels: DataFrame, h: float) -> DataFrame:
+    """26 points around each frame's bounds and the middle of them: a voxel beyond, the middle and a voxel beyond on each axis.
+
+    The middle is moved off the planes by h / 8. Kind outer; those outside the bounds are free.
+    """
+    at = bounds(voxels)
+    for a in AXES:
+        low, high = F.col(f"min_{a}") - 1, F.col(f"max_{a}") + 2
+        at = at.withColumn(a[1], F.explode(F.array(low * F.lit(h), ((low + high) / 2 + 0.125) * F.lit(h), high * F.lit(h))))
+    inside = [F.col(a[1]).between(F.col(f"min_{a}") * F.lit(h), (F.col(f"max_{a}") + 1) * F.lit(h)) for a in AXES]
+    out = at.where(~(inside[0] & inside[1] & inside[2])).select("frame_id", F.lit("outer").alias("kind"), *"xyz")
+    return out.withColumn("point_id", F.xxhash64("frame_id", "kind", *"xyz"))
+
+
+#: Steps of the three axes of a sequence that fills a cube evenly: powers of 1 / 1.2207..., the root of x^4 = x + 1.
+STEPS = (0.8191725133961645, 0.6710436067037893, 0.5497004779019703)
+
+
+def random_probes(voxels: DataFrame, h: float, count: int, seed: float = 0.5) -> DataFrame:
+    """``count`` points of each frame spread evenly over its bounds and a voxel around them; kind random.
+
+    Point n lies at the fractions of seed + n * STEPS, so that it can be told without the others.
+    """
+    at = bounds(voxels).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(count))))
+
+    def share(k: int) -> Column:
+        run = F.lit(seed) + F.col("n") * F.lit(STEPS[k])
+        return run - F.floor(run)
+
+    places = [((F.col(f"min_{a}") - 1 + share(k) * (F.col(f"max_{a}") - F.col(f"min_{a}") + 3)) * F.lit(h)).alias(a[1]) for k, a in enumerate(AXES)]
+    return at.select("frame_id", F.lit("random").alias("kind"), *places, F.xxhash64("frame_id", F.lit("random"), "n").alias("point_id"))
+
+
 def distance_errors(probes: DataFrame, values: DataFrame, distances: DataFrame, voxels: DataFrame, h: float) -> DataFrame:
     """Rows (frame_id, point_id, what, error) of how values and distances differ at the same probes.
 
@@ -40,7 +74,7 @@ def distance_errors(probes: DataFrame, values: DataFrame, distances: DataFrame,
     """
     key = ["frame_id", "point_id"]
     filled = contains(probes.select(*key, *"xyz"), voxels, h).select(*key, "inside")
-    rows = values.select(*key, "q", "q_upper").join(distances, key).join(filled, key)
+    rows = values.select(*key, "q", "q_upper").join(distances.select(*key, "distance"), key).join(filled, key)
     rows = rows.withColumn("signed", F.when(F.col("inside"), -F.col("distance")).otherwise(F.col("distance")))
     sdf = -F.col("q_upper") - F.col("signed")
     named = [
@@ -74,10 +108,7 @@ def zero_rays(rays: DataFrame, programs: DataFrame, error: float, steps: int = 4
     The smoothed function is never below the hard one, so its zero never lies deeper.
     """
 
-    def run(key, frame: pd.DataFrame, programs: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(programs):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("frame_id", "int64"), ("ray_id", "int64"), ("t", "float64"), ("t_smooth", "float64"), ("gap", "float64"), ("ok", "bool"))})
-        p = Program.unpack(programs["program"].iloc[0])
+    def compute(frame: pd.DataFrame, p: Program) -> dict[str, np.ndarray]:
         beta, _ = smoothing(p, error=error)
         a, b = frame[["x", "y", "z"]].to_numpy(), frame[["ix", "iy", "iz"]].to_numpy()
 
@@ -89,16 +120,13 @@ def zero_rays(rays: DataFrame, programs: DataFrame, error: float, steps: int = 4
                 hi, lo = np.where(inside, t, hi), np.where(inside, lo, t)
             return hi
 
-        def smooth(x: np.ndarray) -> np.ndarray:
-            return smooth_values(p, x, beta, False)[0]
-
-        t, s = zero(lambda x: hard_values(p, x)), zero(smooth)
+        t, s = zero(lambda x: hard_values(p, x)), zero(lambda x: smooth_values(p, x, beta, False)[0])
         ok = (hard_values(p, a) < 0) & (hard_values(p, b) > 0)
-        gap = np.abs(t - s) * np.linalg.norm(b - a, axis=1)
-        return pd.DataFrame({"frame_id": frame["frame_id"], "ray_id": frame["ray_id"], "t": t, "t_smooth": s, "gap": gap, "ok": ok})
+        return {"t": t, "t_smooth": s, "gap": np.abs(t - s) * np.linalg.norm(b - a, axis=1), "ok": ok}
 
-    schema = "frame_id long, ray_id long, t double, t_smooth double, gap double, ok boolean"
-    return rays.groupBy("frame_id").cogroup(programs.select("frame_id", "program").groupBy("frame_id")).applyInPandas(run, schema)
+    sides = programs.select("frame_id", F.col("program").alias("side"))
+    found = meet(rays, sides, Program.unpack, compute, "t double, t_smooth double, gap double, ok boolean")
+    return found.select("frame_id", "ray_id", "t", "t_smooth", "gap", "ok")
 
 
 def zero_cells(programs: DataFrame, lo: tuple[float, float, float], step: float, n: tuple[int, int, int], error: float = 0.0) -> DataFrame:

@@ -7,10 +7,14 @@ Compressed cells are the boxes between neighbouring supports; index 0 and the la
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import written
+from .meet import box_values, meet, packed, unpacked
 from .voxels import AXES, KEY
 
 
@@ -55,10 +59,26 @@ def patches(faces: DataFrame) -> DataFrame:
     )
 
 
+def numbered_within(rows: DataFrame, by: list[str], coarse: list, order: list, name: str, kind: str = "int") -> DataFrame:
+    """rows with gapless numbers from 0 within ``by``, in the order of coarse and then of order.
+
+    Counted in two steps, so that no task holds all rows of a group: rows are numbered among those of equal
+    ``coarse`` columns, and begin where the counts of those before end.
+    """
+    keys = [f"k{i}" for i in range(len(coarse))]
+    keyed = rows.withColumns({k: F.col(c) if isinstance(c, str) else c for k, c in zip(keys, coarse, strict=True)})
+    counts = keyed.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("k_n"))
+    before = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, *keys, F.coalesce(F.sum("k_n").over(before), F.lit(0)).alias("k_start"))
+    inside = Window.partitionBy(*by, *keys).orderBy(*order)
+    placed = keyed.withColumn("k_at", F.row_number().over(inside) - 1).join(starts, [*by, *keys])
+    return placed.withColumn(name, (F.col("k_start") + F.col("k_at")).cast(kind)).select(*rows.columns, name)
+
+
 def number_patches(patched: DataFrame) -> DataFrame:
     """patches with patch_id, from 0 in each frame, by side, plane, v0 and u0."""
-    order = Window.partitionBy("frame_id").orderBy(2 * F.col("axis") + F.when(F.col("sign") > 0, 1).otherwise(0), "plane", "v0", "u0")
-    return patched.withColumn("patch_id", F.row_number().over(order) - 1)
+    side = 2 * F.col("axis") + F.when(F.col("sign") > 0, 1).otherwise(0)
+    return numbered_within(patched, ["frame_id"], [side, "plane"], ["v0", "u0"], "patch_id")
 
 
 def patch_corners(patched: DataFrame, h: float) -> DataFrame:
@@ -187,16 +207,42 @@ def merge_boxes(boxes: DataFrame, axis: int) -> DataFrame:
     )
 
 
-def free_prisms(free: DataFrame, axis: int, passes: int = 2) -> DataFrame:
-    """Free prisms of a sweep along an axis, merged along x, y and z in ``passes`` rounds."""
-    boxes = sweep_rectangles(free, axis).drop("slab")
+def free_prisms(free: DataFrame, axis: int, passes: int = 4) -> DataFrame:
+    """Free prisms of a sweep along an axis, merged along x, y and z until nothing merges, ``passes`` rounds at most.
+
+    Each round is written, so that its plan does not grow with the rounds and its size says whether it is the last.
+    """
+    boxes = written(sweep_rectangles(free, axis).drop("slab"))
+    n = boxes.count()
     for _ in range(passes):
         for k in range(3):
             boxes = merge_boxes(boxes, k)
+        boxes, before = written(boxes), n
+        n = boxes.count()
+        if n == before:
+            break
     return boxes
 
 
-def best_axis(free: DataFrame, passes: int = 2) -> DataFrame:
+def prism_adjacency(prisms: DataFrame) -> DataFrame:
+    """Pairs of free prisms that touch in a face: axis, lower corners (fx .. of the one before, tx .. of the one after), the area shared, and its place.
+
+    One prism ends on the plane on which the other begins, and their cross-sections overlap: an equi-join on
+    the plane. place numbers the pairs of a frame by area, largest first, then by axis and corners.
+    """
+    out = None
+    for k, c in enumerate("xyz"):
+        u, v = (d for d in "xyz" if d != c)
+        a = prisms.select("frame_id", F.col(f"hi{c}").alias("plane"), *[F.col(f"{e}{d}").alias(f"a{e}{d}") for e in ("lo", "hi") for d in "xyz"])
+        b = prisms.select("frame_id", F.col(f"lo{c}").alias("plane"), *[F.col(f"{e}{d}").alias(f"b{e}{d}") for e in ("lo", "hi") for d in "xyz"])
+        shared = [F.least(f"ahi{d}", f"bhi{d}") - F.greatest(f"alo{d}", f"blo{d}") for d in (u, v)]
+        met = a.join(b, ["frame_id", "plane"]).where((shared[0] > 0) & (shared[1] > 0))
+        one = met.select("frame_id", F.lit(k).alias("axis"), *[F.col(f"{s}lo{d}").alias(f"{n}{d}") for s, n in (("a", "f"), ("b", "t")) for d in "xyz"], (shared[0] * shared[1]).alias("area"))
+        out = one if out is None else out.unionByName(one)
+    return numbered_within(out, ["frame_id"], [-F.col("area")], ["axis", *[f"{n}{d}" for n in "ft" for d in "xyz"]], "place")
+
+
+def best_axis(free: DataFrame, passes: int = 4) -> DataFrame:
     """The sweep axis of fewest prisms for each frame, the first on a tie, with its tree's size.
 
     A tree of n boxes and the six outer halfspaces has 7 n + 7 nodes and 6 n + 6 leaf references.
@@ -217,14 +263,19 @@ def closed_free(points: DataFrame, prisms: DataFrame, coords: DataFrame, h: floa
     its sign is asked for, so that a box decides by comparisons.
     """
     outer = coords.select("frame_id", *[f(f"p{c}").alias(f"{e}_{c}") for c in "xyz" for e, f in (("a", F.array_min), ("b", F.array_max))])
-    rows = points.join(outer, "frame_id")
     out = F.greatest(*[F.greatest(F.col(f"a_{c}") * F.lit(h) - F.col(c), F.col(c) - F.col(f"b_{c}") * F.lit(h)) for c in "xyz"])
-    rows = rows.withColumn("outer", -out).select("frame_id", "point_id", *"xyz", "outer")
-    boxed = rows.join(prisms, "frame_id").where(" and ".join(f"{c} >= lo{c} * {h!r}D and {c} <= hi{c} * {h!r}D" for c in "xyz"))
-    depth = F.greatest(*[F.greatest(F.col(f"lo{c}") * F.lit(h) - F.col(c), F.col(c) - F.col(f"hi{c}") * F.lit(h)) for c in "xyz"])
-    inner = boxed.groupBy("frame_id", "point_id").agg(F.min(depth).alias("inner"))
-    joined = rows.join(inner, ["frame_id", "point_id"], "left")
-    return joined.withColumn("q_sign", F.signum(F.least("outer", F.coalesce("inner", F.lit(1.0)))).cast("int")).drop("outer", "inner")
+    rows = points.join(outer, "frame_id").withColumn("outer", -out).drop(*[f"{e}_{c}" for c in "xyz" for e in "ab"])
+    # A frame without free cells inside its bounds still has a side, an empty one.
+    listed = prisms.select("frame_id", *[f"{e}{c}" for e in ("lo", "hi") for c in "xyz"])
+    empty = coords.select("frame_id", *[F.lit(None).cast("long").alias(f"{e}{c}") for e in ("lo", "hi") for c in "xyz"])
+
+    def compute(pts: pd.DataFrame, boxes: np.ndarray) -> dict[str, np.ndarray]:
+        boxes = boxes[~np.isnan(boxes).any(axis=1)]
+        inner = box_values(pts[["x", "y", "z"]].to_numpy(), boxes[:, :3] * h, boxes[:, 3:] * h)
+        return {"q_sign": np.sign(np.minimum(pts["outer"].to_numpy(), inner)).astype(np.int32)}
+
+    sides = packed(listed.unionByName(empty), [f"{e}{c}" for e in ("lo", "hi") for c in "xyz"])
+    return meet(rows, sides, unpacked(6), compute, "q_sign int").drop("outer")
 
 
 def strictly_free(points: DataFrame, prisms: DataFrame, coords: DataFrame, voxels: DataFrame, h: float) -> DataFrame:
@@ -243,7 +294,7 @@ def strictly_free(points: DataFrame, prisms: DataFrame, coords: DataFrame, voxel
 
 
 def free_adjacency(free: DataFrame, coords: DataFrame) -> DataFrame:
-    """Pairs of free cells that share a face, with its area in voxel faces, largest first by nothing but order asked.
+    """Pairs of free cells that share a face, with its area in voxel faces.
 
     Neighbours along an axis differ by one compressed index, so this is an equi-join.
     """

@@ -5,10 +5,13 @@ mesh_vertex(vertex_id, x, y, z); mesh_face(face_id, v array<int>); tet(tet_id, v
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cross, dot, length, minus
+from .meet import meet, packed, unpacked
 
 
 def parse_off(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
@@ -107,29 +110,107 @@ def coplanar_groups(vertices: DataFrame, faces: DataFrame, digits: int = 9) -> D
 
 
 def points_in_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """points with ``inside`` of a closed mesh: parity of crossings of a ray along x.
+    """points, all columns, with ``inside`` of a closed mesh: parity of crossings of a ray along x.
 
-    Triangles are metadata-sized beside points and meet each of them; edges count half-open in y and z,
-    so a ray through an edge or vertex crosses one triangle of each side.
+    Edges count half-open in y and z, so a ray through an edge or vertex crosses one triangle of each side.
+    Points and triangles are taken in blocks; a block of points looks at the triangles before it only.
     """
-    t = triangles(vertices, faces).select(*[F.col(f"{c}{k}") for c in "abc" for k in "xyz"])
-    pairs = points.select("point_id", "x", "y", "z").join(t, how="cross")
+    columns = [f"{c}{k}" for c in "abc" for k in "xyz"]
+    sides = packed(triangles(vertices, faces).withColumn("frame_id", F.lit(0)), columns)
+
+    def compute(pts: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
+        x = pts[["x", "y", "z"]].to_numpy(dtype=np.float64)
+        inside = np.zeros(len(x), bool)
+        corners = t.reshape(-1, 3, 3)
+        low, high = corners.min(axis=1), corners.max(axis=1)
+        order = np.lexsort((x[:, 1], np.floor(x[:, 2] * 16)))
+        for at in range(0, len(x), 512):
+            mine = order[at : at + 512]
+            p = x[mine]
+            near = np.flatnonzero((low[:, 1:] <= p[:, 1:].max(axis=0)).all(axis=1) & (high[:, 1:] >= p[:, 1:].min(axis=0)).all(axis=1) & (high[:, 0] > p[:, 0].min()))
+            for s in range(0, len(near), 512):
+                inside[mine] ^= crossings(p, corners[near[s : s + 512]]) % 2 == 1
+        return {"inside": inside}
+
+    # All points meet the one mesh, whatever frames they are of.
+    columns = points.columns
+    held = points.select(F.lit(0).cast("long").alias("frame_id"), *[F.col(f"`{c}`").alias("of_frame" if c == "frame_id" else c) for c in columns])
+    found = meet(held, sides, unpacked(9), compute, "inside boolean")
+    return found.select(*[F.col("of_frame").alias(c) if c == "frame_id" else F.col(f"`{c}`") for c in columns if c != "inside"], "inside")
+
+
+def crossings(p: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """Triangles (m, 3, 3) that a ray along x from each point (n, 3) crosses."""
+    y, z = p[:, 1, None], p[:, 2, None]
+    odd = np.zeros((len(p), len(corners)), bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i in range(3):
+            a, b = corners[:, i], corners[:, (i + 1) % 3]
+            spans = (a[None, :, 2] > z) != (b[None, :, 2] > z)
+            odd ^= spans & (y < (b[:, 1] - a[:, 1]) * (z - a[:, 2]) / (b[:, 2] - a[:, 2]) + a[:, 1])
+        a = corners[:, 0]
+        n = np.cross(corners[:, 1] - a, corners[:, 2] - a)
+        at = a[:, 0] - ((y - a[:, 1]) * n[:, 1] + (z - a[:, 2]) * n[:, 2]) / n[:, 0]
+        return (odd & (n[None, :, 0] != 0) & (at > p[:, 0, None])).sum(axis=1)
+
+
+def points_in_tets(points: DataFrame, vertices: DataFrame, tets: DataFrame) -> DataFrame:
+    """points (frame_id, x, y, z, any other columns) with ``tets``: how many closed tetrahedra of their frame hold each.
+
+    vertices: frame_id, vertex_id, x, y, z; tets: frame_id, tet_id, v.
+    """
+    t = tets.select("frame_id", *[F.get("v", F.lit(k)).alias(f"v{k}") for k in range(4)])
+    for k in range(4):
+        t = t.join(vertices.select("frame_id", F.col("vertex_id").alias(f"v{k}"), *[F.col(c).alias(f"{c}{k}") for c in "xyz"]), ["frame_id", f"v{k}"])
+
+    def compute(pts: pd.DataFrame, side: np.ndarray) -> dict[str, np.ndarray]:
+        x, corners = pts[["x", "y", "z"]].to_numpy(), side.reshape(-1, 4, 3)
+        count = np.zeros(len(x), np.int64)
+        for s in range(0, len(corners), 256):
+            c = corners[s : s + 256]
+            held = np.ones((len(x), len(c)), bool)
+            for k in range(4):
+                a, b, d = (c[:, i] for i in range(4) if i != k)
+                n = np.cross(b - a, d - a)
+                inner = np.einsum("mi,mi->m", n, c[:, k] - a)
+                held &= (np.einsum("nmi,mi->nm", x[:, None, :] - a[None], n) * np.sign(inner) >= 0)
+            count += held.sum(axis=1)
+        return {"tets": count}
+
+    return meet(points, packed(t, [f"{c}{k}" for k in range(4) for c in "xyz"]), unpacked(12), compute, "tets long")
+
+
+def cluster_faces(tets: DataFrame, clusters: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Outward triangles of clusters of tetrahedra: frame_id, cluster_id and the corners ax .. cz.
+
+    tets: frame_id, tet_id, v; clusters: frame_id, tet_id, cluster_id. A face that two tetrahedra of a cluster
+    share is inside it. A face is turned away from the vertex opposite to it.
+    """
+    v = [F.get("v", F.lit(k)) for k in range(4)]
+    sides = F.array(*[F.struct(F.array_sort(F.array(*[v[k] for k in range(4) if k != i])).alias("f"), v[i].alias("o")) for i in range(4)])
+    each = tets.join(clusters, ["frame_id", "tet_id"]).select("frame_id", "cluster_id", F.explode(sides).alias("s")).select("frame_id", "cluster_id", "s.f", "s.o")
+    outer = each.groupBy("frame_id", "cluster_id", "f").agg(F.count(F.lit(1)).alias("uses"), F.max("o").alias("vo")).where("uses = 1")
+    out = outer.select("frame_id", "cluster_id", "vo", *[F.get("f", F.lit(k)).alias(f"v{c}") for k, c in enumerate("abc")])
+    for c in "abco":
+        out = out.join(vertices.select("frame_id", F.col("vertex_id").alias(f"v{c}"), *[F.col(k).alias(f"{c}{k}") for k in "xyz"]), ["frame_id", f"v{c}"])
+    n = cross(minus(_corner("b"), _corner("a")), minus(_corner("c"), _corner("a")))
+    turned = dot(n, minus(_corner("o"), _corner("a"))) > 0
+    ends = [F.when(turned, F.col(f"c{k}")).otherwise(F.col(f"b{k}")).alias(f"b{k}") for k in "xyz"] + [F.when(turned, F.col(f"b{k}")).otherwise(F.col(f"c{k}")).alias(f"c{k}") for k in "xyz"]
+    return out.select("frame_id", "cluster_id", *[f"a{k}" for k in "xyz"], *ends)
 
-    def side(p: str, q: str) -> Column:
-        return (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col("z") - F.col(f"{p}z")) - (F.col(f"{q}z") - F.col(f"{p}z")) * (F.col("y") - F.col(f"{p}y"))
 
-    # Crossing number of the projected triangle: edges whose half-open z range holds the point, left of it.
-    def crosses(p: str, q: str) -> Column:
-        spans = (F.col(f"{p}z") > F.col("z")) != (F.col(f"{q}z") > F.col("z"))
-        left = F.col("y") < (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col("z") - F.col(f"{p}z")) / (F.col(f"{q}z") - F.col(f"{p}z")) + F.col(f"{p}y")
-        return F.when(spans, left.cast("int")).otherwise(0)
+def validity(faces: DataFrame, by: list[str]) -> DataFrame:
+    """By mesh: faces, edges, edges not used twice, and edges used twice in the same direction (0, 0 for a closed, oriented mesh).
 
-    within = (crosses("a", "b") + crosses("b", "c") + crosses("c", "a")) % 2 == 1
-    n = cross(minus(_corner("b"), _corner("a")), minus(_corner("c"), _corner("a")))
-    at = F.col("ax") - ((F.col("y") - F.col("ay")) * n[1] + (F.col("z") - F.col("az")) * n[2]) / F.when(n[0] != 0, n[0])
-    hit = within & (n[0] != 0) & (at > F.col("x"))
-    parity = pairs.groupBy("point_id").agg((F.sum(F.coalesce(hit.cast("int"), F.lit(0))) % 2 == 1).alias("inside"))
-    return points.join(parity, "point_id")
+    faces: the columns of by, face_id and v, with vertex numbers of the mesh.
+    """
+    v = [F.get("v", F.lit(k)) for k in range(3)]
+    sides = F.array(*[F.struct(F.least(v[i], v[(i + 1) % 3]).alias("a"), F.greatest(v[i], v[(i + 1) % 3]).alias("b"), (v[i] < v[(i + 1) % 3]).cast("int").alias("up")) for i in range(3)])
+    each = faces.select(*by, F.explode(sides).alias("e")).groupBy(*by, "e.a", "e.b").agg(F.count(F.lit(1)).alias("uses"), F.sum("e.up").alias("ups"))
+    return each.groupBy(*by).agg(
+        (F.sum("uses") / 3).cast("long").alias("faces"), F.count(F.lit(1)).alias("edges"), F.count_if(F.col("uses") != 2).alias("open_edges"),
+        F.count_if((F.col("uses") == 2) & (F.col("ups") != 1)).alias("turned_edges"),
+    )
 
 
 def tet_neighbours(tets: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .meet import box_values, meet, packed, unpacked
 from .voxels import AXES, bounds
 
 NODE = ["frame_id", "level", "nx", "ny", "nz"]
@@ -116,13 +119,22 @@ def shared_leaves(planes: DataFrame) -> DataFrame:
 
 
 def union_values(points: DataFrame, found: DataFrame, h: float) -> DataFrame:
-    """points with q, the minimum over a frame's cells of the maximum of their planes: inside iff q <= 0.
+    """points, all columns, with q, the minimum over a frame's cells of the maximum of their planes: inside iff q <= 0.
 
-    Two aggregates in place of a tree: a cell's value is the greatest of its six planes.
+    A cell's value is the greatest of its six planes; only cells that can be the least are looked at.
     """
-    boxes = found.select("frame_id", *[f"lo{c}" for c in "xyz"], *[(F.col(f"lo{c}") + F.col(f"w{c}")).alias(f"hi{c}") for c in "xyz"])
-    value = F.greatest(*[F.greatest(F.col(f"lo{c}") * F.lit(h) - F.col(c), F.col(c) - F.col(f"hi{c}") * F.lit(h)) for c in "xyz"])
-    return points.join(boxes, "frame_id").groupBy("frame_id", "point_id").agg(F.min(value).alias("q"))
+    sides = [f"lo{c}" for c in "xyz"] + [f"w{c}" for c in "xyz"]
+
+    def compute(pts: pd.DataFrame, cells: np.ndarray) -> dict[str, np.ndarray]:
+        return {"q": box_values(pts[["x", "y", "z"]].to_numpy(), cells[:, :3] * h, (cells[:, :3] + cells[:, 3:]) * h)}
+
+    return meet(points, packed(found, sides), unpacked(6), compute, "q double")
+
+
+def cell_sources(voxels: DataFrame) -> DataFrame:
+    """Provenance of the exact cut: voxels with the level and node of the cell that holds each."""
+    cut = exact_cut(voxels).drop("voxels")
+    return _leveled(voxels).join(cut, NODE).select("frame_id", *AXES, "level", "nx", "ny", "nz")
 
 
 def tree_size(found: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrangement import evaluate
+
 MOVABLE = ("revolute", "continuous", "prismatic")
 
 
@@ -189,39 +191,58 @@ def sphere_poses(configurations: DataFrame, model: Model) -> DataFrame:
     return configurations.select("config_id", "q").mapInPandas(run, "config_id long, sphere_id int, x double, y double, z double, jac array<double>")
 
 
-def link_distances(poses: DataFrame, field: DataFrame, model: Model, margin: float = 0.0, error: float = 1e-3) -> DataFrame:
+def sphere_clearances(field: DataFrame, model: Model, margin: float = 0.0) -> DataFrame:
+    """field with clearance, radius, link_index and joint of each sphere; the last two are null on the static base.
+
+    field: the smoothed function at sphere centres (``sphere_poses`` evaluated in frames), with sphere_id and
+    q_upper. Clearance is -q_upper - radius - margin.
+    """
+    of = {i: (g, name) for g, (name, members) in enumerate(groups(model)) for i in members}
+    rows = [(i, sphere.radius, *of.get(i, (None, None))) for i, sphere in enumerate(model.spheres)]
+    table = F.broadcast(field.sparkSession.createDataFrame(rows, "sphere_id int, radius double, link_index int, joint string"))  # one row a sphere of the model
+    return field.join(table, "sphere_id", "left").withColumn("clearance", -F.col("q_upper") - F.col("radius") - F.lit(margin))
+
+
+def group_clearances(field: DataFrame, model: Model, margin: float = 0.0, error: float = 1e-3) -> DataFrame:
     """Smooth clearance of each group and its gradient in the joints, by frame and configuration.
 
-    poses: sphere_poses; field: the smoothed function at the centres (frame_id, point_id, q_upper, gx, gy,
-    gz), whose point_id is config_id * spheres + sphere_id. Clearance is -q_upper - radius - margin; a
-    group's is its smooth minimum, -log(sum exp(-alpha c)) / alpha, and its gradient the weighted mean of
-    the spheres'. All of it is joins and grouped sums.
+    field: frame_id, config_id, sphere_id, jac, q_upper, gx, gy, gz. A group's clearance is the smooth minimum of
+    its spheres', -log(sum exp(-alpha c)) / alpha, and its gradient the weighted mean of theirs. Spheres of the
+    static base are in no group. One grouped list of a group's spheres, whose number the model bounds.
     """
-    spark = poses.sparkSession
-    n, dof, alpha = len(model.spheres), model.dof, link_alpha(model, error)
-    rows = [(i, g, name, model.spheres[i].radius) for g, (name, members) in enumerate(groups(model)) for i in members]
-    table = F.broadcast(spark.createDataFrame(rows, "sphere_id int, link_index int, joint string, radius double"))
-    at = poses.withColumn("point_id", F.col("config_id") * n + F.col("sphere_id")).join(table, "sphere_id")
-    c = at.join(field, "point_id").withColumn("clearance", -F.col("q_upper") - F.col("radius") - F.lit(margin))
-    key = ["frame_id", "config_id", "link_index", "joint"]
-    low = c.groupBy(*key).agg(F.min(F.struct("clearance", "sphere_id")).alias("m"), F.count(F.lit(1)).alias("spheres"))
-    joined = c.join(low, key).withColumn("w", F.exp(-F.lit(alpha) * (F.col("clearance") - F.col("m.clearance"))))
+    dof, alpha = model.dof, link_alpha(model, error)
+    c = sphere_clearances(field, model, margin).where("link_index is not null")
     # The gradient of clearance is minus the function's, through the sphere's Jacobian.
     slope = [-(F.get("jac", F.lit(k)) * F.col("gx") + F.get("jac", F.lit(dof + k)) * F.col("gy") + F.get("jac", F.lit(2 * dof + k)) * F.col("gz")) for k in range(dof)]
-    sums = joined.groupBy(*key).agg(
-        F.first("m").alias("m"), F.first("spheres").alias("spheres"), F.sum("w").alias("total"), *[F.sum(F.col("w") * s).alias(f"g{k}") for k, s in enumerate(slope)]
-    )
-    return sums.select(
+    key = ["frame_id", "config_id", "link_index", "joint"]
+    listed = c.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("clearance", "sphere_id", *[s.alias(f"g{k}") for k, s in enumerate(slope)]))).alias("s"))
+    low = F.get("s", F.lit(0))
+    weighed = listed.withColumn("low", low).withColumn("w", F.transform("s", lambda x: F.exp(-F.lit(alpha) * (x["clearance"] - F.col("low.clearance")))))
+    weighed = weighed.withColumn("total", F.aggregate("w", F.lit(0.0), lambda a, x: a + x)).withColumn("spheres", F.size("s").cast("long"))
+
+    def mean(k: int) -> Column:
+        both = F.zip_with("w", "s", lambda w, x: w * x[f"g{k}"])
+        return F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.col("total")
+
+    return weighed.select(
         *key,
-        (F.col("m.clearance") - F.log("total") / alpha).alias("distance"),
-        F.col("m.clearance").alias("hard_min"),
-        F.col("m.sphere_id").alias("nearest_sphere"),
+        (F.col("low.clearance") - F.log("total") / alpha).alias("distance"),
+        F.col("low.clearance").alias("hard_min"),
+        F.col("low.sphere_id").alias("nearest_sphere"),
         "spheres",
         F.when(F.col("spheres") > 1, F.log(F.col("spheres").cast("double")) / alpha).otherwise(0.0).alias("bound"),
-        F.array(*[F.col(f"g{k}") / F.col("total") for k in range(dof)]).alias("gradient"),
+        F.array(*[mean(k) for k in range(dof)]).alias("gradient"),
     )
 
 
+def field_at(poses: DataFrame, frames: DataFrame, programs: DataFrame, error: float = 1e-3) -> DataFrame:
+    """The smoothed function of every frame (frames: frame_id) at every sphere of every pose: that is the question asked.
+
+    So the result has as many rows as poses times frames; poses stay dealt out as they are.
+    """
+    return evaluate(poses.crossJoin(frames.select("frame_id")), programs, error=error)
+
+
 #: A small arm of our own: a turning column, a lifting carriage and a swinging tool.
 DEMO_URDF = """
 <robot name="post">

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .meet import meet
+
 Tree = int | tuple
 MOST_DEPTH = 128
 
@@ -115,6 +117,44 @@ def from_json(text: str) -> tuple[Tree, list[tuple[float, float, float, float]]]
     return restore(rows), planes
 
 
+#: Rows (node_id, op, leaf_id, children) of a shared graph, children before parents, root last.
+Shared = list[tuple[int, str, int, list[int]]]
+
+
+def shared_json(text: str) -> tuple[Shared, list[tuple[float, float, float, float]]]:
+    """The shared graph of to_json without writing it out as a tree, with the checks of restore, and its planes."""
+    data = json.loads(text)
+    by = {n["id"]: n for n in data["nodes"]}
+    if len(by) != len(data["nodes"]) or not by or data["root"] not in by:
+        raise ValueError("node ids must be unique and the root one of them")
+    planes = [(*leaf["normal"], leaf["offset"]) for leaf in sorted(data["leaves"], key=lambda x: x["id"])]
+    order: list[int] = []
+    state: dict[int, int] = {}
+    stack = [data["root"]]
+    while stack:
+        i = stack[-1]
+        if i not in by:
+            raise ValueError(f"unknown node {i}")
+        n = by[i]
+        if state.get(i) is None:
+            state[i] = 0
+            if (n["op"] == "LEAF" and not 0 <= n["leaf"] < len(planes)) or (n["op"] != "LEAF" and (n["op"] not in ("MIN", "MAX") or not n["children"])):
+                raise ValueError(f"bad node {i}")
+            for c in n["children"]:
+                if state.get(c) == 0:
+                    raise ValueError("not acyclic")
+                if c not in state:
+                    stack.append(c)
+        else:
+            stack.pop()
+            if state[i] == 0:
+                state[i] = 1
+                order.append(i)
+    if len(order) != len(by):
+        raise ValueError("some nodes are not reachable from the root")
+    return [(i, by[i]["op"], by[i]["leaf"], by[i]["children"]) for i in order], planes
+
+
 def boolean_text(tree: Tree) -> str:
     """Set expression with | for union and & for intersection."""
     if isinstance(tree, int):
@@ -149,6 +189,27 @@ def values(tree: Tree, planes: list[tuple[float, float, float, float]], x: np.nd
     return work[-1]
 
 
+def evaluate_json(points: DataFrame, texts: DataFrame) -> DataFrame:
+    """points, all columns, with q of the tree in their frame's JSON text (frame_id, json); a text that fails its checks is an error."""
+
+    def unpack(side: bytes) -> tuple[Shared, list[tuple[float, float, float, float]]]:
+        return shared_json(side.decode())
+
+    def compute(pts: pd.DataFrame, side: tuple[Shared, list[tuple[float, float, float, float]]]) -> dict[str, np.ndarray]:
+        rows, planes = side
+        x = pts[["x", "y", "z"]].to_numpy()
+        work: dict[int, np.ndarray] = {}
+        for i, op, leaf, children in rows:
+            if op == "LEAF":
+                a, b, c, d = planes[leaf]
+                work[i] = a * x[:, 0] + b * x[:, 1] + c * x[:, 2] - d
+            else:
+                work[i] = (np.minimum if op == "MIN" else np.maximum).reduce([work[k] for k in children])
+        return {"q": work[rows[-1][0]]}
+
+    return meet(points, texts.select("frame_id", F.encode("json", "UTF-8").alias("side")), unpack, compute, "q double")
+
+
 def cluster_tree(planes: DataFrame) -> DataFrame:
     """One row a frame with the tree of its clusters, MIN over cells of MAX of their planes, simplified, as JSON.
 

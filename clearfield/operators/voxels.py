@@ -133,6 +133,11 @@ def summarize(rows: DataFrame, by: str, value: str) -> DataFrame:
     )
 
 
+def median_of(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Lower median of repeated measurements: by, n, median (the value of nearest rank, never a mean of two)."""
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.expr(f"percentile_disc(0.5) within group (order by `{value}`)").alias("median"))
+
+
 def reservoir(points: DataFrame, h: float, keep: int, seed: int) -> DataFrame:
     """A seeded uniform sample of at most ``keep`` points of each voxel: those of the smallest hashes."""
     order = Window.partitionBy(*KEY).orderBy(F.xxhash64("frame_id", "point_id", F.lit(seed)), "point_id")

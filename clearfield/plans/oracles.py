@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.octree import sibling_covers
+import math
 
 #: Voxel sizes of the registered queries.
 H, FINE = 0.1, 0.05
@@ -89,10 +89,6 @@ def _surface(h: float = H, *more: str, points: str = _POINTS) -> str:
     return "WITH " + ", ".join([_base(h, points), _FACES, *more]) + "\n"
 
 
-def _sizes_list() -> str:
-    return "[" + ", ".join(str(len(c)) for c in sibling_covers()) + "]"
-
-
 _SUMMARY_OF = """SELECT frame_id, max(voxels) FILTER (what = 'v') AS voxels, max(voxels) FILTER (what = 'f') AS faces,
   max(voxels) FILTER (what = 'p') AS patches, max(voxels) FILTER (what = 's') AS supports FROM (
   SELECT frame_id, 'v' AS what, count(*) AS voxels FROM vox GROUP BY ALL UNION ALL SELECT frame_id, 'f', count(*) FROM faces GROUP BY ALL
@@ -123,13 +119,95 @@ def _prisms(axis: int) -> tuple[str, str]:
         f"r{axis} AS (SELECT t.* FROM st{axis} t JOIN pk{axis} p USING (frame_id, slab) WHERE p.b >= p.a UNION ALL SELECT t.* FROM ac{axis} t JOIN pk{axis} p USING (frame_id, slab) WHERE p.b < p.a)"
     )
     last = f"r{axis}"
-    for turn in range(2):
+    for turn in range(4):
         for c in "xyz":
             parts.append(_merge(f"m{axis}{turn}{c}", last, c))
             last = f"m{axis}{turn}{c}"
     return ", ".join(parts), last
 
 
+#: Fewest disjoint boxes that make up each mask of a node's eight children, by adding boxes one at a time.
+_COVERS = """sp AS (SELECT * FROM (VALUES (0, 1), (0, 2), (1, 1)) t(lo, w)),
+bxs AS (SELECT (SELECT bit_or(1 << (4 * i + 2 * j + k)) FROM (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j), (SELECT unnest([0, 1]) AS k)
+    WHERE i >= a.lo AND i < a.lo + a.w AND j >= b.lo AND j < b.lo + b.w AND k >= c.lo AND k < c.lo + c.w) AS m FROM sp a, sp b, sp c),
+cov AS (SELECT 0 AS mask, 0 AS n UNION SELECT cov.mask | m, n + 1 FROM cov, bxs WHERE cov.mask & m = 0 AND n < 8),
+fewest AS (SELECT mask, min(n) AS n FROM cov GROUP BY mask)"""
+
+_NATIONS = """bx AS (SELECT *, x0 + k % 4 + 1 AS x1, y0 + k % 2 + 1 AS y1, z0 + k % 3 + 2 AS z1 FROM
+  (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS BIGINT) AS frame_id, n_nationkey % 3 - 1 AS x0, n_nationkey % 5 - 2 AS y0, n_nationkey % 2 + 1 AS z0 FROM nation))"""
+
+#: Sharpness of the functions of single boxes for an error: five nested minima of two.
+_WEIGHT = 5 * math.log(2.0)
+
+
+def _box_function(error: float, keys: str) -> str:
+    """Relations w0 .. w5 over ``pnt`` (keys, frame_id, x, y, z): the function of a box, minima of two in the order in which
+    the box is cut, with its smoothed value v and gradient dx, dy, dz."""
+    b = f"{_WEIGHT / error!r}::DOUBLE"
+
+    def step(name: str, source: str, a: str, c: str, slopes: dict[str, tuple[str, str]]) -> str:
+        carried = "xa, xb, ya, yb, za, zb, q"
+        grads = ", ".join(f"w * ({p}) + (1 - w) * ({r}) AS {d}" for d, (p, r) in slopes.items())
+        return f"""{name} AS (SELECT {keys}, {carried}, least(a, c) + ln(1 + (1 - e) / (1 + e)) / {b} AS v, {grads} FROM (
+    SELECT *, CASE WHEN a <= c THEN 1 / (1 + e) ELSE e / (1 + e) END AS w FROM (SELECT *, exp(-{b} * abs(a - c)) AS e FROM (SELECT *, {a} AS a, {c} AS c FROM {source}))))"""
+
+    start = f"""w0 AS (SELECT {keys}, x - x0 * {H}::DOUBLE AS xa, x1 * {H}::DOUBLE - x AS xb, y - y0 * {H}::DOUBLE AS ya, y1 * {H}::DOUBLE - y AS yb, z - z0 * {H}::DOUBLE AS za, z1 * {H}::DOUBLE - z AS zb,
+    least(xa, xb, ya, yb, za, zb) AS q FROM pnt JOIN bx USING (frame_id))"""
+    zero = ("0.0::DOUBLE", "0.0::DOUBLE")
+    return ", ".join([
+        start,
+        step("w1", "w0", "za", "zb", {"dx": zero, "dy": zero, "dz": ("1", "-1")}),
+        step("w2", "w1", "v", "yb", {"dx": zero, "dy": ("dy", "-1"), "dz": ("dz", "0")}),
+        step("w3", "w2", "ya", "v", {"dx": zero, "dy": ("1", "dy"), "dz": ("0", "dz")}),
+        step("w4", "w3", "v", "xb", {"dx": ("dx", "-1"), "dy": ("dy", "0"), "dz": ("dz", "0")}),
+        step("w5", "w4", "xa", "v", {"dx": ("1", "dx"), "dy": ("0", "dy"), "dz": ("0", "dz")}),
+    ])
+
+
+#: Spheres of the arm: on the column as they are, on the carriage (m = 1) by their place before the lift, on the tool (t = 1) before the swing.
+_POSES = """cf AS (SELECT s_suppkey AS config_id, (s_suppkey % 13) / 4.0::DOUBLE AS q1, (s_suppkey % 7) / 10.0::DOUBLE AS q2, (s_suppkey % 5) / 3.0::DOUBLE AS q3 FROM supplier),
+sph AS (SELECT * FROM (VALUES (0, 0, 0, 0.0, 0.0, 0.1, 0.05, NULL, NULL), (1, 0, 0, 0.0, 0.1, 0.0, 0.04, 0, 'turn'), (2, 0, 0, 0.0, 0.3, 0.0, 0.03, 0, 'turn'), (3, 0, 0, 0.05 * cos(0.5), 0.2 + 0.05 * sin(0.5), 0.0, 0.02, 0, 'turn'),
+  (4, 1, 0, 0.0, 0.2, 0.1, 0.04, 1, 'lift'), (5, 1, 1, 0.2, 0.3, 0.0, 0.03, 2, 'swing'), (6, 1, 1, 0.3, 0.3, 0.05, 0.02, 2, 'swing')) s(sphere_id, m, t, px, py, pz, radius, link_index, joint)),
+u1 AS (SELECT *, CASE WHEN t = 1 THEN px * cos(q3) + pz * sin(q3) ELSE px END AS ux, CASE WHEN t = 1 THEN pz * cos(q3) - px * sin(q3) ELSE pz END AS uz,
+  t * (pz * cos(q3) - px * sin(q3)) AS dux, t * (-px * cos(q3) - pz * sin(q3)) AS duz FROM cf, sph),
+u2 AS (SELECT *, CASE WHEN m = 1 THEN 0.1 + cos(0.1) * ux + sin(0.1) * (uz + q2) ELSE px END AS a, py AS b, CASE WHEN m = 1 THEN cos(0.1) * (uz + q2) - sin(0.1) * ux ELSE pz END AS c,
+  cos(0.1) * dux + sin(0.1) * duz AS da, cos(0.1) * duz - sin(0.1) * dux AS dc FROM u1),
+poses AS (SELECT config_id, sphere_id, radius, link_index, joint, x, y, z, CASE WHEN sphere_id = 0 THEN 0 ELSE -y END AS jx0, CASE WHEN sphere_id = 0 THEN 0 ELSE x END AS jy0, 0.0::DOUBLE AS jz0,
+  m * sin(0.1) * cos(q1) AS jx1, m * sin(0.1) * sin(q1) AS jy1, m * cos(0.1) AS jz1, da * cos(q1) AS jx2, da * sin(q1) AS jy2, dc AS jz2 FROM (
+  SELECT *, CASE WHEN sphere_id = 0 THEN px ELSE a * cos(q1) - b * sin(q1) END AS x, CASE WHEN sphere_id = 0 THEN py ELSE a * sin(q1) + b * cos(q1) END AS y, CASE WHEN sphere_id = 0 THEN pz ELSE 0.2 + c END AS z FROM u2))"""
+
+_AT_SPHERES = f"{_NATIONS}, {_POSES}, pnt AS (SELECT poses.*, frame_id FROM poses, bx)"
+_SPHERE_KEYS = "frame_id, config_id, sphere_id, radius, link_index, joint, jx0, jy0, jz0, jx1, jy1, jz1, jx2, jy2, jz2"
+_ALPHA = f"{math.log(3.0) / 1e-3!r}::DOUBLE"
+
+#: Strata around the first compressed cell of each frame, with the signs of the frame without it and with it.
+_STRATA = """firstc AS (SELECT frame_id, min((cx * 100000 + cy) * 100000 + cz) AS id FROM cells GROUP BY frame_id),
+fc AS (SELECT frame_id, id // 10000000000 AS fx, id // 100000 % 100000 AS fy, id % 100000 AS fz FROM firstc),
+st AS (SELECT frame_id, fx, fy, fz, 2 * fx + a AS i, 2 * fy + b AS j, 2 * fz + c AS k FROM fc, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c)),
+sa AS (SELECT st.*, (i + dx * (i & 1)) // 2 AS cx, (j + dy * (j & 1)) // 2 AS cy, (k + dz * (k & 1)) // 2 AS cz FROM st, (SELECT unnest([-1, 1]) AS dx), (SELECT unnest([-1, 1]) AS dy), (SELECT unnest([-1, 1]) AS dz)
+  WHERE (i & 1 = 1 OR dx = 1) AND (j & 1 = 1 OR dy = 1) AND (k & 1 = 1 OR dz = 1)),
+ss AS (SELECT s.frame_id, i, j, k, (1 - (i & 1)) + (1 - (j & 1)) + (1 - (k & 1)) AS dimension, count(*) AS n, count(c.cx) AS held, count(c.cx) FILTER (c.cx <> fx OR c.cy <> fy OR c.cz <> fz) AS less
+  FROM sa s LEFT JOIN cells c ON c.frame_id = s.frame_id AND c.cx = s.cx AND c.cy = s.cy AND c.cz = s.cz GROUP BY s.frame_id, i, j, k),
+sg AS (SELECT *, CASE WHEN held = n THEN 1 WHEN held = 0 THEN -1 ELSE 0 END AS "right", CASE WHEN less = n THEN 1 WHEN less = 0 THEN -1 ELSE 0 END AS got FROM ss),
+wit AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY i, j, k) AS r FROM sg WHERE got <> "right")"""
+
+_EVENT_SETS = """p AS (SELECT event_type AS sensor_id, event_id // 40 AS frame_id, event_id % 3 / 3.0 AS x, user_id % 2 / 2.0 AS y, event_id % 2 / 2.0 AS z FROM events),
+      s AS (SELECT sensor_id, frame_id, list_sort(list(DISTINCT [floor(x / 0.5), floor(y / 0.5), floor(z / 0.5)])) AS key FROM p GROUP BY ALL)"""
+
+_PRISM_SIZES = "m AS (SELECT CAST(n_nationkey AS BIGINT) AS mesh, CAST(3 + n_nationkey % 6 AS BIGINT) AS n, n_nationkey + 1.0 AS r FROM nation)"
+
+_NORMAL = """CASE {0} WHEN 0 THEN {1} WHEN 1 THEN {2} ELSE {3} END"""
+
+
+def _turned(which: str) -> list[str]:
+    return [_NORMAL.format(which, *v) for v in ((0.6, 0.0, 0.8), (0.8, 0.6, 0.0), (0.0, 0.8, 0.6))]
+
+
+_N, _M = _turned("(l_linenumber % 3)"), _turned("(l_orderkey % 3)")
+_LINE_POINT = ["(l_quantity / 50)", "(l_discount * 10)", "(l_extendedprice / 1e5)"]
+_SCALED = [f"(({x} - {c}) / {r})" for x, c, r in zip(_LINE_POINT, (0.5, 0.4, 0.6), (0.4, 0.3, 0.5), strict=True)]
+_TURNED = [f"(({n}) / {r})" for n, r in zip(_N, (0.4, 0.3, 0.5), strict=True)]
+
 _P = [_prisms(k) for k in range(3)]
 _ALL_PRISMS = ", ".join(p for p, _ in _P)
 
@@ -162,10 +240,20 @@ ORACLE_SQL: dict[str, str] = {
       FROM (SELECT DISTINCT frame_id, cx FROM cells) x JOIN (SELECT DISTINCT frame_id, cy FROM cells) y USING (frame_id) JOIN (SELECT DISTINCT frame_id, cz FROM cells) z USING (frame_id)""",
     "octree_levels": f"WITH {_base(H)}, {_NODES} SELECT * FROM nodes",
     "octree_exact_cut": f"WITH {_base(H, _LINES)}, {_NODES} SELECT * FROM cut",
-    "octree_rect_cover": f"""WITH {_base(H)}, {_NODES}, kids AS (SELECT frame_id, bit_or(1 << CAST(4 * (nx & 1) + 2 * (ny & 1) + (nz & 1) AS INTEGER)) AS mask FROM cut WHERE level = 0 GROUP BY frame_id, nx >> 1, ny >> 1, nz >> 1),
-      n AS (SELECT frame_id, sum({_sizes_list()}[mask + 1]) AS n FROM kids GROUP BY 1 UNION ALL SELECT frame_id, count(*) FROM cut WHERE level > 0 GROUP BY 1), v AS (SELECT frame_id, count(*) AS voxels FROM vox GROUP BY 1)
+    "octree_rect_cover": f"""WITH RECURSIVE {_base(H)}, {_NODES}, {_COVERS}, kids AS (SELECT frame_id, bit_or(1 << CAST(4 * (nx & 1) + 2 * (ny & 1) + (nz & 1) AS INTEGER)) AS mask FROM cut WHERE level = 0 GROUP BY frame_id, nx >> 1, ny >> 1, nz >> 1),
+      n AS (SELECT frame_id, sum(f.n) AS n FROM kids JOIN fewest f USING (mask) GROUP BY 1 UNION ALL SELECT frame_id, count(*) FROM cut WHERE level > 0 GROUP BY 1), v AS (SELECT frame_id, count(*) AS voxels FROM vox GROUP BY 1)
       SELECT frame_id, CAST(sum(n) AS BIGINT) AS cells, any_value(voxels) AS voxels FROM n JOIN v USING (frame_id) GROUP BY frame_id""",
-    "octree_partition_check": f"WITH {_base(H)} SELECT frame_id, 0::BIGINT AS uncovered, 0::BIGINT AS overlapping, 0::BIGINT AS outside FROM vox GROUP BY frame_id",
+    "octree_partition_check": f"""WITH {_base(H)}, {_NODES}, {_BOXES}, k AS (SELECT *, w * w * w AS n, ((lox % 3) + 3) % 3 <> 0 AS kept FROM boxes)
+      SELECT frame_id, CAST(sum(CASE WHEN kept THEN 0 ELSE n END) AS BIGINT) AS uncovered, CAST(sum(CASE WHEN kept AND ((loy % 3) + 3) % 3 = 1 THEN n ELSE 0 END) AS BIGINT) AS overlapping,
+      CAST(sum(CASE WHEN kept AND ((loz % 4) + 4) % 4 = 2 THEN n ELSE 0 END) AS BIGINT) AS outside FROM k GROUP BY frame_id""",
+    "octree_rect_check": f"""WITH RECURSIVE {_base(H)}, {_NODES}, {_COVERS}, kids AS (SELECT frame_id, bit_or(1 << CAST(4 * (nx & 1) + 2 * (ny & 1) + (nz & 1) AS INTEGER)) AS mask FROM cut WHERE level = 0 GROUP BY frame_id, nx >> 1, ny >> 1, nz >> 1),
+      n AS (SELECT frame_id, sum(f.n) AS n FROM kids JOIN fewest f USING (mask) GROUP BY 1 UNION ALL SELECT frame_id, count(*) FROM cut WHERE level > 0 GROUP BY 1), v AS (SELECT frame_id, count(*) AS voxels FROM vox GROUP BY 1)
+      SELECT frame_id, 0::BIGINT AS uncovered, 0::BIGINT AS overlapping, 0::BIGINT AS outside, CAST(sum(n) AS BIGINT) AS cells, any_value(voxels) AS covered FROM n JOIN v USING (frame_id) GROUP BY frame_id""",
+    "cell_sources": f"""WITH {_base(H)}, {_NODES} SELECT v.frame_id, v.ix, v.iy, v.iz, c.level, c.nx, c.ny, c.nz FROM vox v JOIN bounds b USING (frame_id) JOIN cut c ON c.frame_id = v.frame_id
+      AND c.nx = (v.ix - b.min_ix) >> c.level AND c.ny = (v.iy - b.min_iy) >> c.level AND c.nz = (v.iz - b.min_iz) >> c.level""",
+    "convexity_check": f"""WITH {_base(H)}, {_NODES}, {_BOXES}, k AS (SELECT *, lox + a * w + 1 AS x, loy + b * w AS y, loz + c * w AS z FROM boxes, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c)),
+      far AS (SELECT frame_id, cell_id, (x > lox + w)::INT + (x < lox)::INT + (y > loy + w)::INT + (y < loy)::INT + (z > loz + w)::INT + (z < loz)::INT AS n FROM k)
+      SELECT frame_id, count(DISTINCT cell_id) AS clusters, CAST(sum(n) AS BIGINT) AS beyond FROM far GROUP BY frame_id""",
     "aabb_planes": f"WITH {_base(H)}, {_NODES}, {_BOXES} SELECT frame_id, cell_id, axis, sign, coord, round(sign * (coord * {H}::DOUBLE), 9) + 0.0 AS \"offset\" FROM bp",
     "shared_leaves": f"""WITH {_base(H)}, {_NODES}, {_BOXES}, l AS (SELECT frame_id, axis, sign, coord, count(*) AS "references", min(cell_id) AS first_cell FROM bp GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY first_cell, axis, sign) - 1 AS leaf_id FROM l""",
@@ -181,6 +269,9 @@ ORACLE_SQL: dict[str, str] = {
       CASE k.axis WHEN 0 THEN (a.hiy - a.loy) * (a.hiz - a.loz) WHEN 1 THEN (a.hix - a.lox) * (a.hiz - a.loz) ELSE (a.hix - a.lox) * (a.hiy - a.loy) END AS area
       FROM free a JOIN (SELECT unnest([0, 1, 2]) AS axis) k ON true JOIN free b ON b.frame_id = a.frame_id
       AND b.cx = a.cx + CASE WHEN k.axis = 0 THEN 1 ELSE 0 END AND b.cy = a.cy + CASE WHEN k.axis = 1 THEN 1 ELSE 0 END AND b.cz = a.cz + CASE WHEN k.axis = 2 THEN 1 ELSE 0 END""",
+    "prism_adjacency": _surface(H, _SUPPORTS, _CELLS, _FREE, _P[2][0])
+    + f""", e AS ({" UNION ALL ".join(f"SELECT a.frame_id, {k} AS axis, " + ", ".join(f"{s}.lo{d} AS {n}{d}" for s, n in (("a", "f"), ("b", "t")) for d in "xyz") + f", (least(a.hi{u}, b.hi{u}) - greatest(a.lo{u}, b.lo{u})) * (least(a.hi{v}, b.hi{v}) - greatest(a.lo{v}, b.lo{v})) AS area FROM {_P[2][1]} a JOIN {_P[2][1]} b ON a.frame_id = b.frame_id AND a.hi{c} = b.lo{c} AND greatest(a.lo{u}, b.lo{u}) < least(a.hi{u}, b.hi{u}) AND greatest(a.lo{v}, b.lo{v}) < least(a.hi{v}, b.hi{v})" for k, (c, u, v) in enumerate((("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))))})
+      SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY area DESC, axis, fx, fy, fz, tx, ty, tz) - 1 AS INTEGER) AS place FROM e""",
     "axis_selection": _surface(H, _SUPPORTS, _CELLS, _FREE, _ALL_PRISMS)
     + f""", n AS ({" UNION ALL ".join(f"SELECT frame_id, {k} AS axis, count(*) AS prisms FROM {last} GROUP BY frame_id" for k, (_, last) in enumerate(_P))})
       SELECT frame_id, axis, prisms, 7 * prisms + 7 AS nodes, 6 * prisms + 6 AS leaf_references FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY prisms, axis) AS r FROM n) WHERE r = 1""",
@@ -189,16 +280,42 @@ ORACLE_SQL: dict[str, str] = {
     "strata_certificate": _surface(H, _SUPPORTS)
     + """, m AS (SELECT frame_id, axis, 2 * count(*) + 1 AS n FROM planes GROUP BY ALL)
       SELECT frame_id, CAST(product(n) AS BIGINT) AS strata, 0::BIGINT AS mismatches FROM m GROUP BY frame_id""",
-    "lse_bound_audit": f"""WITH {_base(H)}, {_HALF} SELECT frame_id, count(*) AS probes, 0::BIGINT AS below, 0::BIGINT AS beyond_bound, 0::BIGINT AS false_free, 0::BIGINT AS too_steep FROM half GROUP BY frame_id""",
-    "reference_sdf": _surface(H, _PATCHES)
-    + f""", w AS (SELECT p.frame_id, point_id, plane * {H}::DOUBLE AS pl, u0 * {H}::DOUBLE AS a, u1 * {H}::DOUBLE AS b, v0 * {H}::DOUBLE AS c, v1 * {H}::DOUBLE AS d,
+    "sign_diagnostics": _surface(H, _SUPPORTS, _CELLS, _STRATA)
+    + """, m AS (SELECT frame_id, max(n) FILTER (axis = 0) AS a, max(n) FILTER (axis = 1) AS b, max(n) FILTER (axis = 2) AS c FROM (SELECT frame_id, axis, count(*) AS n FROM planes GROUP BY ALL) GROUP BY frame_id),
+      d AS (SELECT frame_id, unnest([0, 1, 2, 3]) AS dimension, unnest([a * b * c, (a + 1) * b * c + a * (b + 1) * c + a * b * (c + 1), (a + 1) * (b + 1) * c + (a + 1) * b * (c + 1) + a * (b + 1) * (c + 1), (a + 1) * (b + 1) * (c + 1)]) AS strata FROM m)
+      SELECT d.frame_id, CAST(d.dimension AS INTEGER) AS dimension, CAST(any_value(d.strata) AS BIGINT) AS strata, count(w.r) AS mismatches, count(w.r) FILTER (w.r <= 24) AS witnesses
+      FROM d LEFT JOIN wit w ON w.frame_id = d.frame_id AND w.dimension = d.dimension GROUP BY d.frame_id, d.dimension""",
+    "sign_witnesses": _surface(H, _SUPPORTS, _CELLS, _STRATA)
+    + """SELECT frame_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, CAST(got AS INTEGER) AS got, CAST("right" AS INTEGER) AS "right" FROM wit WHERE r <= 24""",
+    "exported_sign": f"WITH {_base(H)}, {_HALF} SELECT frame_id, kx, ky, kz, sign FROM signs",
+    "box_programs": f"WITH {_NATIONS} SELECT frame_id, 6::BIGINT + 5 AS nodes, 6::BIGINT + 5 AS shared, 6::BIGINT + 5 AS expanded, 5::BIGINT * 5 * 5 AS strata, 0::BIGINT AS mismatches FROM bx",
+    "box_values": f"""WITH {_NATIONS}, pnt AS (SELECT s_suppkey AS point_id, frame_id, s_suppkey % 11 / 10.0::DOUBLE - 0.31 AS x, s_suppkey % 7 / 10.0::DOUBLE - 0.33 AS y, s_suppkey % 9 / 20.0::DOUBLE + 0.07 AS z FROM supplier, bx),
+      {_box_function(0.02, "frame_id, point_id")}
+      SELECT frame_id, point_id, round(q, 9) + 0.0 AS q, round(v, 9) + 0.0 AS q_upper, round(dx, 9) + 0.0 AS gx, round(dy, 9) + 0.0 AS gy, round(dz, 9) + 0.0 AS gz, 0.02::DOUBLE AS bound FROM w5""",
+    "box_spheres": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)} SELECT frame_id, config_id, sphere_id, joint, round(-v - radius - 0.01, 6) AS clearance FROM w5""",
+    "box_clearance": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)},
+      c AS (SELECT *, -v - radius AS clearance, {", ".join(f"-(jx{k} * dx + jy{k} * dy + jz{k} * dz) AS s{k}" for k in range(3))} FROM w5 WHERE joint IS NOT NULL),
+      l AS (SELECT frame_id, config_id, joint, link_index, min(clearance) AS low, count(*) AS spheres FROM c GROUP BY ALL),
+      e AS (SELECT c.*, low, spheres, exp(-{_ALPHA} * (clearance - low)) AS w FROM c JOIN l USING (frame_id, config_id, joint, link_index))
+      SELECT frame_id, config_id, joint, CAST(link_index AS INTEGER) AS link_index, round(any_value(low) - ln(sum(w)) / {_ALPHA}, 6) + 0.0 AS distance, round(any_value(low), 6) + 0.0 AS hard_min,
+      round(CASE WHEN any_value(spheres) > 1 THEN ln(any_value(spheres)) / {_ALPHA} ELSE 0 END, 6) + 0.0 AS bound, CAST(min(sphere_id) FILTER (clearance = low) AS INTEGER) AS nearest_sphere, any_value(spheres) AS spheres,
+      {", ".join(f"round(sum(w * s{k}) / sum(w), 6) + 0.0 AS g{k}" for k in range(3))} FROM e GROUP BY frame_id, config_id, joint, link_index""",
+    "arm_poses": f"""WITH {_POSES} SELECT config_id, CAST(sphere_id AS INTEGER) AS sphere_id, {", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in ["x", "y", "z"])}, {", ".join(f"round(CAST(j{c}{k} AS DOUBLE), 9) + 0.0 AS j{c}{k}" for c in "xyz" for k in range(3))} FROM poses""",
+    "lse_bound_audit": f"""WITH {_base(H)}, {_HALF} SELECT frame_id, {", ".join(f"count(*) FILTER (sign = {v}) AS {n}" for v, n in ((-1, "free"), (0, "zero"), (1, "filled")))},
+      0::BIGINT AS below, 0::BIGINT AS beyond_bound, 0::BIGINT AS false_free, 0::BIGINT AS too_steep FROM signs GROUP BY frame_id""",
+    "reference_sdf": _surface(H, _PATCHES, _MOVED)
+    + f""", w AS (SELECT p.frame_id, point_id, inside, plane * {H}::DOUBLE AS pl, u0 * {H}::DOUBLE AS a, u1 * {H}::DOUBLE AS b, v0 * {H}::DOUBLE AS c, v1 * {H}::DOUBLE AS d,
       CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS s, CASE axis WHEN 0 THEN y WHEN 1 THEN z ELSE x END AS u, CASE axis WHEN 0 THEN z WHEN 1 THEN x ELSE y END AS v
-      FROM pts p JOIN patches q ON p.frame_id = q.frame_id)
-      SELECT frame_id, point_id, round(min(sqrt((s - pl) * (s - pl) + greatest(0, a - u, u - b) * greatest(0, a - u, u - b) + greatest(0, c - v, v - d) * greatest(0, c - v, v - d))), 9) AS distance FROM w GROUP BY frame_id, point_id""",
+      FROM flagged p JOIN patches q ON p.frame_id = q.frame_id),
+      d AS (SELECT frame_id, point_id, any_value(inside) AS inside, min(sqrt((s - pl) * (s - pl) + greatest(0, a - u, u - b) * greatest(0, a - u, u - b) + greatest(0, c - v, v - d) * greatest(0, c - v, v - d))) AS d FROM w GROUP BY frame_id, point_id)
+      SELECT frame_id, point_id, round(d, 9) AS distance, round(CASE WHEN inside THEN -d ELSE d END, 9) + 0.0 AS signed FROM d""",
     "sphere_poses": """SELECT s_suppkey AS config_id, round(-sin((s_suppkey % 13) / 4.0) * 0.1, 9) + 0.0 AS x, round(cos((s_suppkey % 13) / 4.0) * 0.1, 9) + 0.0 AS y, 0.2::DOUBLE AS z FROM supplier""",
-    "frame_reuse": """WITH p AS (SELECT event_type AS sensor_id, event_id // 40 AS frame_id, event_id % 3 / 3.0 AS x, user_id % 2 / 2.0 AS y, event_id % 2 / 2.0 AS z FROM events),
-      s AS (SELECT sensor_id, frame_id, list_sort(list(DISTINCT [floor(x / 0.5), floor(y / 0.5), floor(z / 0.5)])) AS key FROM p GROUP BY ALL)
+    "frame_reuse": f"""WITH {_EVENT_SETS}
       SELECT sensor_id, CAST(frame_id AS BIGINT) AS frame_id, CAST(len(key) AS BIGINT) AS voxels, coalesce(key = lag(key) OVER (PARTITION BY sensor_id ORDER BY frame_id), false) AS hit FROM s""",
+    "frame_reuse_of_two": f"""WITH {_EVENT_SETS}, a AS (SELECT *, lag(key) OVER (PARTITION BY sensor_id ORDER BY frame_id) AS last FROM s),
+      runs AS (SELECT sensor_id, frame_id, key, lag(key, 2) OVER (PARTITION BY sensor_id ORDER BY frame_id) AS before FROM a WHERE last IS NULL OR last <> key)
+      SELECT a.sensor_id, CAST(a.frame_id AS BIGINT) AS frame_id, CAST(len(a.key) AS BIGINT) AS voxels, r.frame_id IS NULL OR coalesce(r.key = r.before, false) AS hit
+      FROM a LEFT JOIN runs r ON r.sensor_id = a.sensor_id AND r.frame_id = a.frame_id""",
     "frame_equality": f"""WITH {_base(0.2)}, d AS (SELECT pair, ix, iy, iz, sum(s) AS s FROM (SELECT frame_id AS pair, ix, iy, iz, 1 AS s FROM vox UNION ALL SELECT frame_id + 1, ix, iy, iz, -1 FROM vox) GROUP BY ALL)
       SELECT pair, count(*) FILTER (s <> 0) AS differing FROM d GROUP BY pair""",
     "preprocess_voxel": f"WITH {_base(H)} SELECT frame_id, ix, iy, iz, count(*) AS points, round(avg(x), 9) + 0.0 AS x, round(avg(y), 9) + 0.0 AS y, round(avg(z), 9) + 0.0 AS z FROM pv GROUP BY ALL",
@@ -213,8 +330,18 @@ ORACLE_SQL: dict[str, str] = {
       round(least(1, (p + z * z / (2 * points) + z * sqrt(p * (1 - p) / points + z * z / (4 * points * points))) / (1 + z * z / points)), 9) AS high FROM k""",
     "voxel_reservoir": f"WITH {_base(0.2, _LINES)} SELECT frame_id, ix, iy, iz, least(3, count(*)) AS kept FROM pv GROUP BY ALL",
     "mesh_volume": "SELECT CAST(n_nationkey + 1 AS DOUBLE) AS scale, round(3.0 * power(CAST(n_nationkey + 1 AS DOUBLE), 3), 6) AS volume, round(14.0 * power(CAST(n_nationkey + 1 AS DOUBLE), 2), 6) AS area FROM nation",
-    "mesh_edges": "SELECT * FROM (VALUES ('flat', 12::BIGINT), ('convex', 17::BIGINT), ('reflex', 1::BIGINT)) t(kind, edges)",
-    "mesh_coplanar": "SELECT * FROM (VALUES (4::BIGINT, 3.0::DOUBLE), (4, 3.0), (2, 2.0), (2, 2.0), (2, 1.0), (2, 1.0), (2, 1.0), (2, 1.0)) t(faces, area)",
+    "mesh_edges": f"""WITH {_PRISM_SIZES}, t AS (SELECT *, 2 * r * sin(pi() / n) AS side FROM m)
+      SELECT mesh, 'convex' AS kind, 3 * n AS edges, round(2 * n * side + n, 6) AS length FROM t
+      UNION ALL SELECT mesh, 'flat', 3 * n - 6, round(n * sqrt(1 + side * side) + 2 * coalesce((SELECT sum(2 * r * sin(pi() * i / n)) FROM (SELECT unnest(range(2, n - 1)) AS i)), 0), 6) FROM t""",
+    "mesh_coplanar": f"""WITH {_PRISM_SIZES} SELECT n - 2 AS faces, round(n / 2.0 * r * r * sin(2 * pi() / n), 6) AS area FROM m, (SELECT unnest([0, 1]))
+      UNION ALL SELECT 2, round(2 * r * sin(pi() / n), 6) FROM (SELECT n, r, unnest(range(n)) FROM m)""",
+    "mesh_validity": f"""WITH {_PRISM_SIZES}, t AS (SELECT *, CASE WHEN mesh % 3 = 0 THEN 1 ELSE 0 END AS gone, CASE WHEN mesh % 2 = 1 THEN 1 ELSE 0 END AS turned FROM m)
+      SELECT mesh, 4 * n - 4 - gone AS faces, 6 * n - 6 AS edges, CAST(3 * gone AS BIGINT) AS open_edges, CAST(turned * (3 - CASE WHEN n > 3 THEN gone ELSE 0 END) AS BIGINT) AS turned_edges FROM t""",
+    "points_in_tets": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation),
+      p AS (SELECT s_suppkey AS point_id, s_suppkey % 17 / 8.0::DOUBLE + 0.0123 AS x, s_suppkey % 13 / 7.0::DOUBLE + 0.0231 AS y, s_suppkey % 7 / 5.0::DOUBLE + 0.0317 AS z FROM supplier)
+      SELECT frame_id, point_id, x <= s AND y <= s AND z <= s AS inside FROM p, c""",
+    "cluster_meshes": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation)
+      SELECT frame_id, 12::BIGINT AS faces, 6::BIGINT AS planes, round(s * s * s, 9) AS volume, round(6 * s * s, 9) AS area FROM c""",
     "points_in_mesh": """WITH p AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS frame_id, l_quantity / 25.0 + 0.0123 AS x, l_discount * 20.0 + 0.0321 AS y, l_extendedprice / 6e4 AS z FROM lineitem)
       SELECT frame_id, count(*) AS points, count(*) FILTER (x > 0 AND y > 0 AND z > 0 AND z < 1 AND ((x < 2 AND y < 1) OR (x < 1 AND y < 2))) AS inside FROM p GROUP BY frame_id""",
     "tet_neighbours": """WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS tet_id FROM part)
@@ -228,14 +355,39 @@ ORACLE_SQL: dict[str, str] = {
       t AS (SELECT frame_id, axis, sign, plane, sum(CASE WHEN k IN (1, 3) THEN 1 WHEN k = 2 AND abs(d) = 2 THEN 2 ELSE 0 END) AS corners FROM c GROUP BY ALL)
       SELECT f.frame_id, f.axis, f.sign, f.plane, count(*) AS faces, CAST(any_value(t.corners) AS BIGINT) AS corners FROM faces f JOIN t ON f.frame_id = t.frame_id AND f.axis = t.axis AND f.sign = t.sign AND f.plane = t.plane
       GROUP BY f.frame_id, f.axis, f.sign, f.plane""",
-    "probe_audit": _surface(H, _PATCHES)
-    + """SELECT frame_id, 'centre' AS kind, count(*) AS probes, 0::BIGINT AS wrong_centres, 0::BIGINT AS wrong_corners FROM vox GROUP BY 1
-      UNION ALL SELECT frame_id, 'corner', count(*), 0, 0 FROM (SELECT DISTINCT frame_id, ix + a, iy + b, iz + c FROM vox, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c)) GROUP BY 1
-      UNION ALL SELECT frame_id, 'flank', 2 * count(*), 0, 0 FROM patches GROUP BY 1""",
-    "zero_rays": _surface(H, _PATCHES) + "SELECT frame_id, count(*) AS rays, 0::BIGINT AS bad_ends, 0::BIGINT AS off_plane, 0::BIGINT AS too_deep FROM patches GROUP BY frame_id",
+    "probe_audit": f"""WITH {_base(H)}, {_FACES}, {_PATCHES}, {_HALF}, {_BOUNDS}, n AS (SELECT bounds.*, i FROM bounds, (SELECT unnest(range(1, 65)) AS i)),
+      rp AS (SELECT frame_id, i, {", ".join(f"(min_i{c} - 1 + (0.5 + i * {a!r}::DOUBLE - floor(0.5 + i * {a!r}::DOUBLE)) * (max_i{c} - min_i{c} + 3)) * {H}::DOUBLE AS {c}" for c, a in zip("xyz", (0.8191725133961645, 0.6710436067037893, 0.5497004779019703), strict=True))} FROM n),
+      rv AS (SELECT frame_id, i, {", ".join(f"{_index(c, H)} AS i{c}" for c in "xyz")} FROM rp), rs AS (SELECT r.frame_id, v.ix IS NOT NULL AS held FROM rv r LEFT JOIN vox v ON v.frame_id = r.frame_id AND v.ix = r.ix AND v.iy = r.iy AND v.iz = r.iz)
+      SELECT frame_id, 'centre' AS kind, count(*) AS probes, 0::BIGINT AS free, 0::BIGINT AS zero, count(*) AS filled FROM vox GROUP BY 1
+      UNION ALL SELECT frame_id, 'corner', count(*), count(*) FILTER (sign < 0), count(*) FILTER (sign = 0), count(*) FILTER (sign > 0) FROM signs WHERE kx & 1 = 0 AND ky & 1 = 0 AND kz & 1 = 0 GROUP BY 1
+      UNION ALL SELECT frame_id, 'flank', 2 * count(*), count(*), 0, count(*) FROM patches GROUP BY 1
+      UNION ALL SELECT frame_id, 'outer', 26, 26, 0, 0 FROM bounds
+      UNION ALL SELECT frame_id, 'random', count(*), count(*) FILTER (NOT held), 0, count(*) FILTER (held) FROM rs GROUP BY 1""",
+    "zero_rays": _surface(H, _PATCHES) + "SELECT frame_id, count(*) AS good_ends, count(*) * 0.5::DOUBLE AS sum_t, count(*) AS in_order FROM patches GROUP BY frame_id",
     "patch_meshes": _surface(H, _PATCHES) + "SELECT frame_id, 4 * count(*) AS vertices, count(*) AS faces FROM patches GROUP BY frame_id",
-    "xyz_round_trip": f"WITH {_POINTS} SELECT frame_id, count(*) AS points, 0::BIGINT AS changed FROM pts GROUP BY frame_id",
-    "hull_containment": f"WITH {_base(0.2)}, {_NODES} SELECT frame_id, count(*) AS cells, 0::BIGINT AS beyond FROM cut GROUP BY frame_id",
+    "xyz_round_trip": f"""WITH {_POINTS} SELECT frame_id, count(*) AS points, count(*) FILTER (point_id % 3 = 0 AND (x <> round(x, 2) OR y <> round(y, 2) OR z <> round(z, 2))) AS changed FROM pts GROUP BY frame_id""",
+    "cloud_round_trip": f"""WITH {_POINTS} SELECT kind, row_number() OVER (PARTITION BY kind, frame_id ORDER BY point_id) - 1 AS n, x, y, z FROM pts, (SELECT unnest(['ply', 'off', 'xyz']) AS kind)""",
+    "repeat_median": "SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS median FROM events GROUP BY event_type",
+    "plane_values": f"""WITH v AS (SELECT l_orderkey % 100 AS bucket, {" + ".join(f"({n}) * {p}" for n, p in zip(_N, _LINE_POINT, strict=True))} - l_tax AS value,
+      {" + ".join(f"({n}) * ({m})" for n, m in zip(_N, _M, strict=True))} >= 1 - 1e-12 AND abs(l_tax - l_discount) <= 0.015 AS same FROM lineitem)
+      SELECT bucket, count(*) AS lines, round(sum(value), 6) AS total, round(max(value), 9) AS most, count(*) FILTER (same) AS same FROM v GROUP BY bucket""",
+    "ray_hits": f"""WITH v AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, {" + ".join(f"{d} * {d}" for d in _TURNED)} AS a, 2 * ({" + ".join(f"{o} * {d}" for o, d in zip(_SCALED, _TURNED, strict=True))}) AS b, {" + ".join(f"{o} * {o}" for o in _SCALED)} - 1 AS c FROM lineitem),
+      r AS (SELECT point_id, b * b - 4 * a * c AS disc, (-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) AS near, (-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a) AS far FROM v)
+      SELECT point_id, round(CASE WHEN disc >= 0 THEN CASE WHEN near > 0 THEN near WHEN far > 0 THEN far END END, 6) AS distance FROM r""",
+    "ideal_solids": f"WITH {_POINTS} SELECT frame_id, count(*) AS points, count(*) FILTER (x BETWEEN -0.1 AND 0.2 AND y BETWEEN -0.05 AND 0.15 AND z BETWEEN 0.0 AND 0.3) AS inside FROM pts GROUP BY frame_id",
+    "hull_containment": f"WITH {_base(0.2)}, {_NODES}, {_BOXES} SELECT frame_id, count(*) AS cells, 0::BIGINT AS beyond, max(lox + w) AS most_x FROM boxes GROUP BY frame_id",
+    "swept_hulls": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS frame_id, 12::BIGINT AS planes, CAST(3 * (n_nationkey + 2) + 6 AS BIGINT) AS offsets, 6::BIGINT + 6 * 2 AS normals FROM nation",
+    "tree_texts": """WITH k AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, n_nationkey % 3 + 1 AS n FROM nation), c AS (SELECT frame_id, n, unnest(range(n)) AS i FROM k),
+      t AS (SELECT frame_id, n, '(' || array_to_string(list_sort(list_transform(range(6), lambda j: 'H' || (6 * i + j))), ' & ') || ')' AS b, 'max(' || array_to_string(list_transform(list_sort(list_transform(range(6), lambda j: 'h' || (6 * i + j))), lambda h: h || '(p)'), ', ') || ')' AS f, i FROM c),
+      o AS (SELECT frame_id, n, string_agg(b, ' | ' ORDER BY i) AS b, string_agg(f, ', ' ORDER BY i) AS f FROM t GROUP BY ALL)
+      SELECT frame_id, CASE WHEN n > 1 THEN '(' || b || ')' ELSE b END AS boolean, CASE WHEN n > 1 THEN 'min(' || f || ')' ELSE f END AS scalar, CAST(CASE WHEN n > 1 THEN 3 ELSE 2 END AS INTEGER) AS depth,
+      CAST(6 * n AS INTEGER) AS "references", CAST(7 * n + CASE WHEN n > 1 THEN 1 ELSE 0 END AS INTEGER) AS nodes, CAST(6 * n + CASE WHEN n > 1 THEN n ELSE 0 END AS INTEGER) AS arrows, CAST(6 * n AS INTEGER) AS planes FROM o""",
+    "zero_set": f"""WITH {_NATIONS}, g AS (SELECT bx.*, i, j, k2, -0.35 + 0.07::DOUBLE * i AS x, -0.45 + 0.07::DOUBLE * j AS y, 0.05 + 0.07::DOUBLE * k2 AS z FROM bx, (SELECT unnest(range(14)) AS i), (SELECT unnest(range(12)) AS j), (SELECT unnest(range(11)) AS k2)),
+      v AS (SELECT *, x0 * {H}::DOUBLE <= x AND x <= x1 * {H}::DOUBLE AND y0 * {H}::DOUBLE <= y AND y <= y1 * {H}::DOUBLE AND z0 * {H}::DOUBLE <= z AND z <= z1 * {H}::DOUBLE AS held FROM g),
+      e AS (SELECT a.frame_id, 0 AS axis, a.i, a.j, a.k2, CASE WHEN b.held THEN a.x0 ELSE a.x1 END * {H}::DOUBLE AS zero FROM v a JOIN v b ON a.frame_id = b.frame_id AND b.i = a.i + 1 AND b.j = a.j AND b.k2 = a.k2 WHERE a.held <> b.held
+        UNION ALL SELECT a.frame_id, 1, a.i, a.j, a.k2, CASE WHEN b.held THEN a.y0 ELSE a.y1 END * {H}::DOUBLE FROM v a JOIN v b ON a.frame_id = b.frame_id AND b.i = a.i AND b.j = a.j + 1 AND b.k2 = a.k2 WHERE a.held <> b.held
+        UNION ALL SELECT a.frame_id, 2, a.i, a.j, a.k2, CASE WHEN b.held THEN a.z0 ELSE a.z1 END * {H}::DOUBLE FROM v a JOIN v b ON a.frame_id = b.frame_id AND b.i = a.i AND b.j = a.j AND b.k2 = a.k2 + 1 WHERE a.held <> b.held)
+      SELECT frame_id, CAST(axis AS INTEGER) AS axis, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(k2 AS INTEGER) AS k, round(zero, 9) AS zero FROM e""",
     "strided_patches": _surface(H, _PATCHES)
     + """, n AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY 2 * axis + CASE WHEN sign > 0 THEN 1 ELSE 0 END, plane, v0, u0) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS n FROM patches)
       SELECT frame_id, CAST(i AS INTEGER) AS patch_id FROM n WHERE n <= 16 OR i = 0 OR (i * 16) // n > ((i - 1) * 16) // n""",
@@ -244,7 +396,12 @@ ORACLE_SQL: dict[str, str] = {
       SELECT frame_id, count(*) AS points, count(*) FILTER (n >= 12) AS moved FROM k GROUP BY frame_id""",
     "tet_clusters": "SELECT CAST(n_nationkey AS BIGINT) AS frame_id, 6::BIGINT AS tets, 1::BIGINT AS clusters FROM nation",
 }
-ORACLE_SQL["frame_stream"] = f"SELECT *, true AS certified, 0::BIGINT AS outside FROM ({ORACLE_SQL['frame_reuse']})"
+ORACLE_SQL["frame_stream"] = f"""WITH {_EVENT_SETS}, vx AS (SELECT sensor_id, frame_id, unnest(key) AS v FROM s), vo AS (SELECT sensor_id, frame_id, v[1] AS ix, v[2] AS iy, v[3] AS iz FROM vx),
+  sides AS (SELECT * FROM (VALUES (0,-1,-1,0,0),(0,1,1,0,0),(1,-1,0,-1,0),(1,1,0,1,0),(2,-1,0,0,-1),(2,1,0,0,1)) t(axis, sign, dx, dy, dz)),
+  pl AS (SELECT DISTINCT v.sensor_id, v.frame_id, axis, CASE axis WHEN 0 THEN v.ix WHEN 1 THEN v.iy ELSE v.iz END + CASE WHEN sign > 0 THEN 1 ELSE 0 END AS plane FROM vo v CROSS JOIN sides
+    WHERE NOT EXISTS (SELECT 1 FROM vo n WHERE n.sensor_id = v.sensor_id AND n.frame_id = v.frame_id AND n.ix = v.ix + dx AND n.iy = v.iy + dy AND n.iz = v.iz + dz)),
+  m AS (SELECT sensor_id, frame_id, axis, 2 * count(*) + 1 AS n FROM pl GROUP BY ALL), t AS (SELECT sensor_id, frame_id, CAST(product(n) AS BIGINT) AS strata FROM m GROUP BY ALL)
+  SELECT r.*, t.strata, true AS certified, 0::BIGINT AS outside FROM ({ORACLE_SQL["frame_reuse"]}) r JOIN t USING (sensor_id, frame_id)"""
 
 #: Numbers that are 32 bits wide in the results.
 _NARROW = {

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.geometry import inside_ellipsoid, wilson
+from ..functions.geometry import cross, dot, inside_box, inside_ellipsoid, length, minus, plane_value, ray_ellipsoid, same_plane, wilson
 from ..operators import arrangement, audit, boundary, clusters, meshes, octree, robot, trees, voxels
 from ..sources import exports
 from ..sources import points as sources
 from ..sources import shapes
-from ..sources.staging import staging_folder
+from ..sources.staging import staging_folder, written
 from ..streaming import frames
 from . import oracles
 from .oracles import FINE, H
@@ -31,14 +34,16 @@ def _voxels(spark: SparkSession, sf_dir: str, h: float = H) -> DataFrame:
 
 
 class _Surface:
-    """The usual chain from points to compressed cells."""
+    """The usual chain from points to compressed cells; with keep, its tables are written once for several readers."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, h: float = H):
+    def __init__(self, spark: SparkSession, sf_dir: str, h: float = H, keep: bool = False, found: DataFrame | None = None):
+        kept = written if keep else lambda df: df
+        self.h = h
         self.points = _embed(spark, sf_dir)
-        self.voxels = voxels.voxelize(self.points, h)
-        self.faces = boundary.exposed_faces(self.voxels)
+        self.voxels = kept(voxels.voxelize(self.points, h) if found is None else found)
+        self.faces = kept(boundary.exposed_faces(self.voxels))
         self.supports = boundary.supports(self.faces)
-        self.coords = boundary.coordinates(self.supports)
+        self.coords = kept(boundary.coordinates(self.supports))
         self.cells = boundary.cells(self.voxels, self.coords)
 
     @property
@@ -48,10 +53,31 @@ class _Surface:
     @cached_property
     def free(self) -> DataFrame:
         """Free compressed cells, written once: every sweep and merge below starts from them."""
-        spark = self.cells.sparkSession
-        path = f"{staging_folder(spark)}/free"
-        boundary.free_cells(self.cells, self.coords).write.parquet(path)
-        return spark.read.parquet(path)
+        return written(boundary.free_cells(self.cells, self.coords))
+
+    def programs(self, **options) -> DataFrame:
+        return arrangement.build_programs(self.cells, self.coords, self.h, **options)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of one small file, dealt out to all cores before each of them becomes much work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _boxes_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of one box a nation: frames whose functions have a closed form."""
+    k = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
+    for c, (start, size) in zip("xyz", ((k["frame_id"] % 3 - 1, k["frame_id"] % 4 + 1), (k["frame_id"] % 5 - 2, k["frame_id"] % 2 + 1), (k["frame_id"] % 2 + 1, k["frame_id"] % 3 + 2)), strict=True):
+        k = k.withColumn(f"i{c}", F.explode(F.sequence(start, start + size - 1)))
+    return k
+
+
+def _arm(spark: SparkSession, sf_dir: str) -> tuple[robot.Model, DataFrame]:
+    """The arm and the poses of its spheres at configurations taken from the suppliers."""
+    model = robot.parse_urdf(robot.DEMO_URDF)
+    o = _spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"))
+    q = F.array((F.col("s_suppkey") % 13) / 4.0, (F.col("s_suppkey") % 7) / 10.0, (F.col("s_suppkey") % 5) / 3.0)
+    return model, robot.sphere_poses(o.select(F.col("s_suppkey").alias("config_id"), q.alias("q")), model)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +196,36 @@ def octree_rect_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def octree_partition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _voxels(spark, sf_dir)
-    return octree.partition_violations(octree.rectangular_cells(v), v)
+    """What is found in a partition that was damaged: cells left out, doubled, and moved to where nothing is."""
+    v = written(_voxels(spark, sf_dir))
+    whole = written(_boxes(v))
+    kept = whole.where("pmod(lox, 3) != 0")
+    moved = kept.where("pmod(loz, 4) = 2").withColumn("lox", F.col("lox") - 1000)
+    return octree.partition_violations(kept.unionByName(kept.where("pmod(loy, 3) = 1")).unionByName(moved), v)
+
+
+def octree_rect_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rectangular cells, undamaged: every voxel once and no other; with their number and volume."""
+    v = written(_voxels(spark, sf_dir))
+    cells = written(octree.rectangular_cells(v))
+    sizes = cells.groupBy("frame_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.col("wx") * F.col("wy") * F.col("wz")).alias("covered"))
+    return octree.partition_violations(cells, v).join(sizes, "frame_id")
+
+
+def cell_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return octree.cell_sources(_voxels(spark, sf_dir))
+
+
+def convexity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of each cell of the exact cut, moved up a voxel in x, beyond the cell's own planes: the upper four."""
+    cells = octree.number_cells(_boxes(_voxels(spark, sf_dir)))
+    p = octree.box_planes(cells.drop("cell_id"), H)
+    normal = [F.when(F.col("axis") == k, F.col("sign")).otherwise(0).cast("double").alias(f"n{c}") for k, c in enumerate("xyz")]
+    planes = p.select("frame_id", F.col("cell_id").cast("long").alias("cluster_id"), *normal, "offset")
+    corner = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    at = [((F.col(f"lo{c}") + F.shiftright("k", i).bitwiseAND(1) * F.col(f"w{c}") + (1 if c == "x" else 0)) * F.lit(H)).alias(c) for i, c in enumerate("xyz")]
+    found = clusters.convexity_violations(corner.select("frame_id", F.col("cell_id").cast("long").alias("cluster_id"), *at), planes, 1e-9)
+    return found.groupBy("frame_id").agg(F.count(F.lit(1)).alias("clusters"), F.sum("beyond").alias("beyond"))
 
 
 def _boxes(found: DataFrame) -> DataFrame:
@@ -197,7 +251,7 @@ def tree_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_union_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _embed(spark, sf_dir)
     q = octree.union_values(_neighbours(p), _boxes(voxels.voxelize(p, H)), H)
-    return q.withColumn("q", F.round("q", 9))
+    return q.select("frame_id", "point_id", F.round("q", 9).alias("q"))
 
 
 def free_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,43 +275,81 @@ def free_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary.free_adjacency(s.free, s.coords)
 
 
+def prism_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of merged prisms that share a part of a face, numbered by area."""
+    return boundary.prism_adjacency(boundary.free_prisms(_Surface(spark, sf_dir, keep=True).free, 2))
+
+
 def axis_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.best_axis(_Surface(spark, sf_dir).free)
+    return boundary.best_axis(_Surface(spark, sf_dir, keep=True).free)
 
 
 def strict_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True)
     p = _probes(s.voxels)
     free = boundary.strictly_free(p.select("frame_id", "point_id", *"xyz"), boundary.free_prisms(s.free, 2), s.coords, s.voxels, H)
     return p.join(free, ["frame_id", "point_id"]).select("frame_id", "kx", "ky", "kz", "free")
 
 
 def direct_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
-    p = _probes(s.voxels)
-    q = arrangement.evaluate(p, arrangement.build_programs(s.cells, s.coords, H), gradient=False)
-    return p.join(q, ["frame_id", "point_id"]).select("frame_id", "kx", "ky", "kz", F.signum("q").cast("int").alias("sign"))
+    s = _Surface(spark, sf_dir, keep=True)
+    q = arrangement.evaluate(_probes(s.voxels), s.programs(), gradient=False)
+    return q.select("frame_id", "kx", "ky", "kz", F.signum("q").cast("int").alias("sign"))
+
+
+def exported_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of the functions written as JSON, read back with all checks and evaluated by the general trees."""
+    s = _Surface(spark, sf_dir, keep=True)
+    texts = exports.program_json(s.programs())
+    return trees.evaluate_json(_probes(s.voxels), texts).select("frame_id", "kx", "ky", "kz", F.signum(F.round("q", 9)).cast("int").alias("sign"))
 
 
 def direct_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
-    return arrangement.build_programs(s.cells, s.coords, H, intern=False).select("frame_id", "nodes", "shared", "expanded")
+    return _Surface(spark, sf_dir, keep=True).programs(intern=False).select("frame_id", "nodes", "shared", "expanded")
+
+
+def box_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the functions of single boxes, stored, shared and written out, with strata and mismatches."""
+    s = _Surface(spark, sf_dir, keep=True, found=_boxes_of_nations(spark, sf_dir))
+    return s.programs(intern=False, certify=True).select("frame_id", "nodes", "shared", F.col("expanded").cast("long").alias("expanded"), "strata", "mismatches")
 
 
 def strata_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
-    return arrangement.build_programs(s.cells, s.coords, H, certify=True).select("frame_id", "strata", "mismatches")
+    s = _Surface(spark, sf_dir, keep=True)
+    return s.programs(certify=True).select("frame_id", "strata", "mismatches")
+
+
+def _first_cells(found: DataFrame) -> DataFrame:
+    return found.groupBy("frame_id").agg(F.min(F.struct("cx", "cy", "cz")).alias("c")).select("frame_id", "c.*")
+
+
+def sign_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mismatches by dimension of functions built without the first cell of each frame, and how many witnesses there are."""
+    s = _Surface(spark, sf_dir, keep=True)
+    cells = written(s.cells)
+    wrong = cells.join(_first_cells(cells), ["frame_id", "cx", "cy", "cz"], "left_anti")
+    found = arrangement.diagnose_programs(wrong, cells, s.coords, H)
+    return found.select("frame_id", "dimension", "strata", "mismatches", F.size("witnesses").cast("long").alias("witnesses"))
+
+
+def sign_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The witnesses of sign_diagnostics: place on each axis, sign and right sign."""
+    s = _Surface(spark, sf_dir, keep=True)
+    cells = written(s.cells)
+    wrong = cells.join(_first_cells(cells), ["frame_id", "cx", "cy", "cz"], "left_anti")
+    w = arrangement.diagnose_programs(wrong, cells, s.coords, H).select("frame_id", F.explode("witnesses").alias("w"))
+    return w.select("frame_id", *[F.get("w", F.lit(i)).alias(c) for i, c in enumerate(("i", "j", "k", "got", "right"))])
 
 
 def lse_bound_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
-    p = _probes(s.voxels)
-    q = arrangement.evaluate(p, arrangement.build_programs(s.cells, s.coords, H))
+    """Probes of each sign, and those that break the bound, the order, the sign or the slope of the smoothed function."""
+    s = _Surface(spark, sf_dir, keep=True)
+    q = arrangement.evaluate(_probes(s.voxels), s.programs())
     gap = F.col("q_upper") - F.col("q")
     steep = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz"))
     slack = 1e-12
     return q.groupBy("frame_id").agg(
-        F.count(F.lit(1)).alias("probes"),
+        *[F.count_if(F.signum("q") == v).alias(n) for v, n in ((-1, "free"), (0, "zero"), (1, "filled"))],
         F.count_if(gap < -slack).alias("below"),
         F.count_if(gap > F.col("bound") + slack).alias("beyond_bound"),
         F.count_if((F.col("q") > 0) & (F.col("q_upper") <= 0)).alias("false_free"),
@@ -265,28 +357,52 @@ def lse_bound_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def box_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard and smoothed values, gradients and bounds of single boxes, at points taken from the suppliers."""
+    s = _Surface(spark, sf_dir, keep=True, found=_boxes_of_nations(spark, sf_dir))
+    k = F.col("s_suppkey")
+    at = _spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"))
+    p = at.select(k.alias("point_id"), (k % 11 / 10.0 - 0.31).alias("x"), (k % 7 / 10.0 - 0.33).alias("y"), (k % 9 / 20.0 + 0.07).alias("z")).crossJoin(s.coords.select("frame_id"))
+    q = arrangement.evaluate(p, s.programs(), error=0.02)
+    return q.select("frame_id", "point_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("q", "q_upper", "gx", "gy", "gz", "bound")])
+
+
 def reference_sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
-    p = _embed(spark, sf_dir)
-    d = arrangement.patch_distance(p, s.patches, H)
-    return d.withColumn("distance", F.round("distance", 9))
+    """Distance of moved points to the patches, and the same with the sign of the closed union: positive in free space."""
+    s = _Surface(spark, sf_dir, keep=True)
+    p = _spread(_neighbours(s.points))
+    d = voxels.contains(arrangement.patch_distance(p, s.patches, H), s.voxels, H)
+    signed = F.when(F.col("inside"), -F.col("distance")).otherwise(F.col("distance"))
+    return d.select("frame_id", "point_id", F.round("distance", 9).alias("distance"), (F.round(signed, 9) + F.lit(0.0)).alias("signed"))
 
 
-def link_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clearances of a small arm in every frame, at configurations taken from the orders."""
-    model = robot.parse_urdf(robot.DEMO_URDF)
-    o = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    q = F.array((F.col("s_suppkey") % 13) / 4.0, (F.col("s_suppkey") % 7) / 10.0, (F.col("s_suppkey") % 5) / 3.0)
-    poses = robot.sphere_poses(o.select(F.col("s_suppkey").alias("config_id"), q.alias("q")), model)
-    s = _Surface(spark, sf_dir)
-    ids = s.coords.select("frame_id")
-    n = len(model.spheres)
-    # Every configuration meets every frame: that is the question asked.
-    at = poses.select((F.col("config_id") * n + F.col("sphere_id")).alias("point_id"), *"xyz").crossJoin(ids)
-    field = arrangement.evaluate(at, arrangement.build_programs(s.cells, s.coords, H))
-    found = robot.link_distances(poses, field, model)
-    rounded = [F.round(F.get("gradient", F.lit(k)), 6).alias(f"g{k}") for k in range(model.dof)]
-    return found.select("frame_id", "config_id", "joint", F.round("distance", 6).alias("distance"), F.round("hard_min", 6).alias("hard_min"), "spheres", *rounded)
+def clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clearances of a small arm in every frame, at configurations taken from the suppliers."""
+    model, poses = _arm(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True)
+    return _clearances(robot.field_at(poses, s.coords, s.programs()), model)
+
+
+def box_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against single boxes, whose functions have a closed form."""
+    model, poses = _arm(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True, found=_boxes_of_nations(spark, sf_dir))
+    return _clearances(robot.field_at(poses, s.coords, s.programs()), model)
+
+
+def _clearances(field: DataFrame, model: robot.Model) -> DataFrame:
+    found = robot.group_clearances(field, model)
+    rounded = [(F.round(F.get("gradient", F.lit(k)), 6) + F.lit(0.0)).alias(f"g{k}") for k in range(model.dof)]
+    exact = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("distance", "hard_min", "bound")]
+    return found.select("frame_id", "config_id", "joint", "link_index", *exact, "nearest_sphere", "spheres", *rounded)
+
+
+def box_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clearance and joint of every sphere against single boxes; those of the static base have no joint."""
+    model, poses = _arm(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True, found=_boxes_of_nations(spark, sf_dir))
+    c = robot.sphere_clearances(robot.field_at(poses, s.coords, s.programs()), model, margin=0.01)
+    return c.select("frame_id", "config_id", "sphere_id", "joint", F.round("clearance", 6).alias("clearance"))
 
 
 def sphere_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,10 +416,7 @@ def sphere_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arm_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres and Jacobians (row-major, 3 x joints) of every sphere of the arm, at all its joints' configurations taken from the suppliers."""
-    model = robot.parse_urdf(robot.DEMO_URDF)
-    o = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    q = F.array((F.col("s_suppkey") % 13) / 4.0, (F.col("s_suppkey") % 7) / 10.0, (F.col("s_suppkey") % 5) / 3.0)
-    poses = robot.sphere_poses(o.select(F.col("s_suppkey").alias("config_id"), q.alias("q")), model)
+    model, poses = _arm(spark, sf_dir)
     jac = [(F.round(F.get("jac", F.lit(k)), 9) + F.lit(0.0)).alias(f"j{'xyz'[k // model.dof]}{k % model.dof}") for k in range(3 * model.dof)]
     return poses.select("config_id", "sphere_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in "xyz"], *jac)
 
@@ -312,10 +425,15 @@ def frame_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.reuse_pattern(_event_frames(spark, sf_dir), 0.5)
 
 
+def frame_reuse_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits where the last two distinct sets of voxels are kept."""
+    return frames.reuse_pattern(_event_frames(spark, sf_dir), 0.5, capacity=2)
+
+
 def frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same frames as a stream with state, each built, certified and reused."""
     done = frames.run_recorded(_event_frames(spark, sf_dir), 0.5, staging_folder(spark))
-    return done.select("sensor_id", "frame_id", "voxels", "hit", "certified", "outside")
+    return done.select("sensor_id", "frame_id", "voxels", "hit", "strata", "certified", "outside")
 
 
 def _event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,15 +477,69 @@ def smooth_distance_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     At the points of every frame, and at centres, corners and either side of patches. See ``audit.distance_errors``.
     """
-    s = _Surface(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True)
     probes = audit.surface_probes(s.voxels, s.patches, H).unionByName(
         s.points.select("frame_id", F.lit("point").alias("kind"), *"xyz", F.xxhash64("frame_id", F.lit("point"), "point_id").alias("point_id"))
     )
-    q = arrangement.evaluate(probes, arrangement.build_programs(s.cells, s.coords, H), gradient=False)
+    probes = written(probes)
+    q = arrangement.evaluate(probes, s.programs(), gradient=False)
     errors = audit.distance_errors(probes, q, arrangement.patch_distance(probes, s.patches, H), s.voxels, H)
     return voxels.summarize(errors.withColumn("by", F.struct("frame_id", "what")), "by", "error").select("by.*", "n", "max_error", "mean_error", "rmse", "p95")
 
 
+def repeat_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower median of repeated measurements, taken from the events."""
+    return voxels.median_of(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value"), "event_type", "value")
+
+
+#: Unit normals of planes, and a ray's ellipsoid.
+NORMALS = [(0.6, 0.8, 0.0), (0.0, 0.6, 0.8), (0.8, 0.0, 0.6)]
+ELLIPSOID = ((0.5, 0.4, 0.6), (0.4, 0.3, 0.5))
+
+
+def _normal(which) -> tuple:
+    return tuple(F.when(which == 0, a[0]).when(which == 1, a[1]).otherwise(a[2]) for a in zip(*NORMALS, strict=True))
+
+
+def plane_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as points against planes, and whether two planes of a line are one."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    n, m = _normal(F.col("l_linenumber") % 3), _normal(F.col("l_orderkey") % 3)
+    p = (F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_extendedprice") / 1e5)
+    value = plane_value(n, F.col("l_tax"), p)
+    same = same_plane(n, F.col("l_tax"), m, F.col("l_discount"), 0.015)
+    return t.groupBy((F.col("l_orderkey") % 100).alias("bucket")).agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(value), 6).alias("total"), F.round(F.max(value), 9).alias("most"), F.count_if(same).alias("same"))
+
+
+def ray_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays from order lines against an ellipsoid: the distance to the near root, the far one from inside, null if missed."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    origin = (F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_extendedprice") / 1e5)
+    hit = ray_ellipsoid(origin, _normal(F.col("l_linenumber") % 3), *ELLIPSOID)
+    return t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"), F.round(hit, 6).alias("distance"))
+
+
+def ideal_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in a box of each embedding frame."""
+    p = _embed(spark, sf_dir)
+    held = inside_box(tuple(F.col(c) for c in "xyz"), (-0.1, -0.05, 0.0), (0.2, 0.15, 0.3))
+    return p.groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count_if(held).alias("inside"))
+
+
+def cloud_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as PLY, OFF and XYZ files, one a frame, and read back by splits."""
+    p = _embed(spark, sf_dir)
+    folder, out = staging_folder(spark), None
+    for kind in ("ply", "off", "xyz"):
+        exports.write_clouds(p, f"{folder}/{kind}", kind)
+        back = sources.read_cloud(spark, f"{folder}/{kind}", kind)
+        # A file's points by its own name: x, y and z of the n-th point of each file.
+        n = F.row_number().over(Window.partitionBy("frame_id").orderBy("point_id")) - 1
+        one = back.select(F.lit(kind).alias("kind"), n.cast("long").alias("n"), *"xyz")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed membership of moved points against an ideal ellipsoid."""
     p = _embed(spark, sf_dir)
@@ -418,14 +590,82 @@ def mesh_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.crossJoin(one).select("scale", F.round(F.col("volume") * F.pow("scale", F.lit(3)), 6).alias("volume"), F.round(F.col("area") * F.pow("scale", F.lit(2)), 6).alias("area"))
 
 
+def _prisms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Upright prisms over regular polygons, one a nation: tables vertex (with mesh) and face (with mesh and k, its number there)."""
+    m = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("mesh")).withColumn("n", 3 + F.col("mesh") % 6)
+    at = m.select("mesh", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    turn, r = 2 * math.pi * F.col("i") / F.col("n"), F.col("mesh") + 1
+    v = at.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "mesh", (F.col("mesh") * 64 + F.col("level") * 32 + F.col("i")).cast("int").alias("vertex_id"), (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"), (F.col("mesh") * 10.0 + F.col("level")).alias("z")
+    )
+    base, i, j = F.col("mesh") * 64, F.col("i"), (F.col("i") + 1) % F.col("n")
+    inner = (i >= 1) & (i <= F.col("n") - 2)
+    quads = [
+        (inner, (base, base + i + 1, base + i), i - 1),
+        (inner, (base + 32, base + 32 + i, base + 33 + i), F.col("n") - 3 + i),
+        (F.lit(True), (base + i, base + j, base + 32 + j), 2 * F.col("n") - 4 + 2 * i),
+        (F.lit(True), (base + i, base + 32 + j, base + 32 + i), 2 * F.col("n") - 3 + 2 * i),
+    ]
+    listed = F.filter(F.array(*[F.when(where, F.struct(k.alias("k"), F.array(*[x.cast("int") for x in ring]).alias("v"))) for where, ring, k in quads]), lambda x: x.isNotNull())
+    f = at.select("mesh", F.explode(listed).alias("f")).select("mesh", "f.k", (F.col("mesh") * 100 + F.col("f.k")).cast("int").alias("face_id"), "f.v")
+    return v, f
+
+
 def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _prism(spark)
-    return meshes.edge_kinds(v, f).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"))
+    """Edges of the prisms by kind, with their length."""
+    v, f = _prisms(spark, sf_dir)
+    e = meshes.edge_kinds(v, f).withColumn("mesh", F.floor(F.col("a") / 64))
+    return e.groupBy("mesh", "kind").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("length"), 6).alias("length"))
 
 
 def mesh_coplanar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _prism(spark)
-    return meshes.coplanar_groups(v, f).select("faces", "area")
+    """Planes of the prisms with the number and area of their faces."""
+    v, f = _prisms(spark, sf_dir)
+    return meshes.coplanar_groups(v, f).select("faces", F.round("area", 6).alias("area"))
+
+
+def mesh_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open and turned edges of the prisms, some of which lack a face or have one turned inside out."""
+    _, f = _prisms(spark, sf_dir)
+    hurt = f.where(~((F.col("k") == 1) & (F.col("mesh") % 3 == 0)))
+    turned = F.when((F.col("k") == 0) & (F.col("mesh") % 2 == 1), F.reverse("v")).otherwise(F.col("v"))
+    return meshes.validity(hurt.select("mesh", "face_id", turned.alias("v")), ["mesh"])
+
+
+def _cubes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cubes of six tetrahedra, of side (key + 1) / 10, one a nation: tables vertex and tet."""
+    corners = [(i, float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)]
+    six = [(k, [0, a, a | b, 7]) for k, (a, b) in enumerate([(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2)])]
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
+    # Under a new name of its own, so that the two can meet again by frame.
+    v = n.select((F.col("frame_id") + 0).alias("frame_id")).crossJoin(F.broadcast(spark.createDataFrame(corners, "vertex_id long, x double, y double, z double")))  # eight rows
+    side = (F.col("frame_id") + 1) / 10
+    t = n.crossJoin(F.broadcast(spark.createDataFrame(six, "tet_id long, v array<long>")))  # six rows
+    return v.select("frame_id", "vertex_id", *[(F.col(c) * side).alias(c) for c in "xyz"]), t
+
+
+def points_in_tets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as points against the tetrahedra of each cube."""
+    v, t = _cubes(spark, sf_dir)
+    k = F.col("s_suppkey")
+    p = _spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")).select(k.alias("point_id"), (k % 17 / 8.0 + 0.0123).alias("x"), (k % 13 / 7.0 + 0.0231).alias("y"), (k % 7 / 5.0 + 0.0317).alias("z"))
+    found = meshes.points_in_tets(p.crossJoin(t.select("frame_id").distinct()), v, t)
+    return found.select("frame_id", "point_id", (F.col("tets") > 0).alias("inside"))
+
+
+def cluster_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The convex clusters of the cubes as outward meshes: faces, planes, volume and area."""
+    v, t = _cubes(spark, sf_dir)
+    v, t = written(v), written(t)
+    m = meshes.cluster_faces(t, clusters.agglomerate_frames(v, t), v)
+    a, b, c = (tuple(F.col(f"{p}{k}") for k in "xyz") for p in "abc")
+    n = cross(minus(b, a), minus(c, a))
+    unit = [F.round(x / length(n), 6) + F.lit(0.0) for x in n]
+    flat = F.struct(*[u.alias(f"u{k}") for k, u in enumerate(unit)], F.round(dot(tuple(unit), a), 6).alias("o"))
+    sums = m.groupBy("frame_id", "cluster_id").agg(
+        F.count(F.lit(1)).alias("faces"), F.count_distinct(flat).alias("planes"), F.round(F.sum(dot(a, cross(b, c)) / 6), 9).alias("volume"), F.round(F.sum(length(n) / 2), 9).alias("area")
+    )
+    return sums.select("frame_id", "faces", "planes", "volume", "area")
 
 
 def points_in_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +673,7 @@ def points_in_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = _prism(spark)
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     at = t.select(
-        F.monotonically_increasing_id().alias("point_id"), F.year("l_shipdate").cast("long").alias("frame_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"), F.year("l_shipdate").cast("long").alias("frame_id"),
         (F.col("l_quantity") / 25.0 + 0.0123).alias("x"), (F.col("l_discount") * 20.0 + 0.0321).alias("y"), (F.col("l_extendedprice") / 6e4).alias("z"),
     )
     return meshes.points_in_mesh(at, v, f).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count_if("inside").alias("inside"))
@@ -467,17 +707,17 @@ def face_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signs of the function at centres, corners and either side of patches, by kind."""
-    s = _Surface(spark, sf_dir)
-    p = audit.surface_probes(s.voxels, s.patches, H)
-    q = arrangement.evaluate(p, arrangement.build_programs(s.cells, s.coords, H), gradient=False)
-    rows = p.select("frame_id", "point_id", "kind").join(q, ["frame_id", "point_id"])
-    return rows.groupBy("frame_id", "kind").agg(F.count(F.lit(1)).alias("probes"), F.count_if((F.col("kind") == "centre") & (F.col("q") <= 0)).alias("wrong_centres"), F.count_if((F.col("kind") == "corner") & (F.col("q") < 0)).alias("wrong_corners"))
+    """Signs of the function by kind of probe: centres, corners, either side of patches, around the frame and at random."""
+    s = _Surface(spark, sf_dir, keep=True)
+    p = audit.surface_probes(s.voxels, s.patches, H).unionByName(audit.outer_probes(s.voxels, H)).unionByName(audit.random_probes(s.voxels, H, 64))
+    rows = arrangement.evaluate(p, s.programs(), gradient=False)
+    signs = [F.count_if(F.signum("q") == v).alias(n) for v, n in ((-1, "free"), (0, "zero"), (1, "filled"))]
+    return rows.groupBy("frame_id", "kind").agg(F.count(F.lit(1)).alias("probes"), *signs)
 
 
 def zero_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zeros along rays through each patch, from a quarter voxel outside to a quarter voxel inside."""
-    s = _Surface(spark, sf_dir)
+    """Zeros along rays through each patch, from a quarter voxel outside to a quarter voxel inside: on the patch, half way."""
+    s = _Surface(spark, sf_dir, keep=True)
     p = s.patches
     mid = {k: (F.col(f"{k}0") + F.col(f"{k}1")) / 2 for k in "uv"}
 
@@ -486,9 +726,9 @@ def zero_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
         return grid * H
 
     rays = p.select("frame_id", F.xxhash64(*p.columns).alias("ray_id"), *[at(k, 0.25).alias(c) for k, c in enumerate("xyz")], *[at(k, -0.25).alias(f"i{c}") for k, c in enumerate("xyz")])
-    z = audit.zero_rays(rays, arrangement.build_programs(s.cells, s.coords, H), 1e-3)
+    z = audit.zero_rays(rays, s.programs(), 1e-3)
     return z.groupBy("frame_id").agg(
-        F.count(F.lit(1)).alias("rays"), F.count_if(~F.col("ok")).alias("bad_ends"), F.count_if(F.abs(F.col("t") - 0.5) > 1e-9).alias("off_plane"), F.count_if(F.col("t_smooth") > F.col("t") + 1e-9).alias("too_deep")
+        F.count_if("ok").alias("good_ends"), F.round(F.sum("t"), 6).alias("sum_t"), F.count_if(F.col("t_smooth") <= F.col("t") + 1e-9).alias("in_order")
     )
 
 
@@ -497,11 +737,13 @@ def patch_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xyz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as text and back: every third written with two digits only, the others in full."""
     p = _embed(spark, sf_dir)
-    lines = p.select("point_id").join(p, "point_id").select("frame_id", "point_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]).alias("raw"))
-    back = sources.parse_xyz(lines).select("frame_id", "point_id", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    short = F.col("point_id") % 3 == 0
+    lines = p.select("frame_id", "point_id", F.concat_ws(" ", *[F.when(short, F.round(c, 2)).otherwise(F.col(c)).cast("string") for c in "xyz"]).alias("raw"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    back = sources.parse_xyz(lines).join(p.select("frame_id", "point_id", *[F.col(c).alias(f"b{c}") for c in "xyz"]), ["frame_id", "point_id"])
     same = (F.col("x") == F.col("bx")) & (F.col("y") == F.col("by")) & (F.col("z") == F.col("bz"))
-    return p.join(back, ["frame_id", "point_id"]).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count_if(~same).alias("changed"))
+    return back.groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), F.count_if(~same).alias("changed"))
 
 
 def hull_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,7 +751,11 @@ def hull_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _boxes(_voxels(spark, sf_dir, 0.2)).withColumn("group_id", F.lit(0).cast("long"))
     planes = clusters.box_hulls(b)
     far = sum((F.col(f"n{c}") * F.col(f"lo{c}") + F.greatest(F.lit(0), F.col(f"n{c}")) * F.col(f"w{c}") for c in "yz"), F.col("nx") * F.col("lox") + F.greatest(F.lit(0), F.col("nx")) * F.col("wx"))
-    return b.join(planes, ["frame_id", "group_id"]).groupBy("frame_id").agg(F.count_distinct("lox", "loy", "loz").alias("cells"), F.count_if(far > F.col("offset")).alias("beyond"))
+    # A plane of a hull is touched by a box, and none lies beyond it.
+    return b.join(planes, ["frame_id", "group_id"]).groupBy("frame_id").agg(
+        F.count_distinct("lox", "loy", "loz").alias("cells"), F.count_if(far > F.col("offset")).alias("beyond"),
+        F.max(F.when((F.col("nx") == 1) & (F.col("ny") == 0) & (F.col("nz") == 0), F.col("offset"))).alias("most_x"),
+    )
 
 
 def strided_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,15 +773,45 @@ def jet_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tet_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convex clusters of the six tetrahedra of a cube, once for each nation."""
-    corners = [(i, float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)]
-    six = [(k, [0, a, a | b, 7]) for k, (a, b) in enumerate([(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2)])]
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
-    v = n.select((F.col("frame_id") + 0).alias("frame_id")).crossJoin(F.broadcast(spark.createDataFrame(corners, "vertex_id long, x double, y double, z double")))
-    t = n.crossJoin(F.broadcast(spark.createDataFrame(six, "tet_id long, v array<long>")))
+    v, t = _cubes(spark, sf_dir)
     c = clusters.agglomerate_frames(v, t)
     return c.groupBy("frame_id").agg(F.count(F.lit(1)).alias("tets"), F.count_distinct("cluster_id").alias("clusters"))
 
 
+def swept_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls of a cube and the same moved by the nation's key on all axes: twelve planes, whose offsets are known."""
+    k = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") + 1).cast("long").alias("frame_id"))
+    b = k.withColumn("low", F.explode(F.array(F.lit(0).cast("long"), F.col("frame_id"))))
+    boxes = b.select("frame_id", F.lit(0).cast("long").alias("group_id"), *[F.col("low").alias(f"lo{c}") for c in "xyz"], *[F.lit(1).cast("long").alias(f"w{c}") for c in "xyz"])
+    p = clusters.box_hulls(boxes)
+    return p.groupBy("frame_id").agg(F.count(F.lit(1)).alias("planes"), F.sum("offset").alias("offsets"), F.sum(F.abs("nx") + F.abs("ny") + F.abs("nz")).alias("normals"))
+
+
+def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of one to three cells in their text forms, simplified, with their sizes, after a round trip through JSON."""
+    k = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for f in frame["frame_id"]:
+                cells = [("MAX", *range(6 * i, 6 * i + 6)) for i in range(f % 3 + 1)]
+                # As a builder would leave it: nested, with a cell twice.
+                raw = ("MIN", ("MIN", *cells), cells[0])
+                tree, planes = trees.from_json(trees.to_json(trees.simplify(raw), [(1.0, 0.0, 0.0, float(i)) for i in range(6 * len(cells))]))
+                rows.append((f, trees.boolean_text(tree), trees.scalar_text(tree), trees.depth(tree), trees.leaf_references(tree), len(trees.serialize(tree)), trees.dot_text(tree).count("->"), len(planes)))
+            yield pd.DataFrame(rows, columns=["frame_id", "boolean", "scalar", "depth", "references", "nodes", "arrows", "planes"])
+
+    return k.mapInPandas(run, "frame_id long, boolean string, scalar string, depth int, references int, nodes int, arrows int, planes int")
+
+
+def zero_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zeros of single boxes' functions on the edges of a grid."""
+    s = _Surface(spark, sf_dir, keep=True, found=_boxes_of_nations(spark, sf_dir))
+    z = audit.zero_cells(_spread(written(s.programs())), (-0.35, -0.45, 0.05), 0.07, (14, 12, 11))
+    return z.select("frame_id", "axis", "i", "j", "k", F.round("zero", 9).alias("zero"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "surface_summary": flagship,
     "xyz_lines": xyz_lines,
@@ -558,6 +834,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "octree_exact_cut": octree_exact_cut,
     "octree_rect_cover": octree_rect_cover,
     "octree_partition_check": octree_partition_check,
+    "octree_rect_check": octree_rect_check,
+    "cell_sources": cell_sources,
+    "convexity_check": convexity_check,
     "aabb_planes": aabb_planes,
     "shared_leaves": shared_leaves,
     "tree_size": tree_size,
@@ -565,6 +844,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "free_prisms": free_prisms,
     "sweep_rectangles": sweep_rectangles,
     "free_adjacency": free_adjacency,
+    "prism_adjacency": prism_adjacency,
     "axis_selection": axis_selection,
     "strict_free": strict_free,
     "direct_sign": direct_sign,
@@ -574,14 +854,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reference_sdf": reference_sdf,
     "sphere_poses": sphere_poses,
     "arm_poses": arm_poses,
-    "link_distance": link_distance,
+    "clearance": clearance,
+    "box_clearance": box_clearance,
+    "box_spheres": box_spheres,
+    "box_values": box_values,
+    "box_programs": box_programs,
+    "exported_sign": exported_sign,
+    "sign_diagnostics": sign_diagnostics,
+    "sign_witnesses": sign_witnesses,
     "frame_reuse": frame_reuse,
+    "frame_reuse_of_two": frame_reuse_of_two,
     "frame_stream": frame_stream,
     "frame_equality": frame_equality,
     "preprocess_voxel": preprocess_voxel,
     "displacement_stats": displacement_stats,
     "error_summary": error_summary,
     "smooth_distance_error": smooth_distance_error,
+    "repeat_median": repeat_median,
+    "plane_values": plane_values,
+    "ray_hits": ray_hits,
+    "ideal_solids": ideal_solids,
+    "cloud_round_trip": cloud_round_trip,
     "confusion": confusion,
     "wilson_ci": wilson_ci,
     "voxel_reservoir": voxel_reservoir,
@@ -589,6 +882,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mesh_volume": mesh_volume,
     "mesh_edges": mesh_edges,
     "mesh_coplanar": mesh_coplanar,
+    "mesh_validity": mesh_validity,
+    "points_in_tets": points_in_tets,
+    "cluster_meshes": cluster_meshes,
     "points_in_mesh": points_in_mesh,
     "tet_neighbours": tet_neighbours,
     "cluster_tree": cluster_tree,
@@ -602,5 +898,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strided_patches": strided_patches,
     "jet_smoothing": jet_smoothing,
     "tet_clusters": tet_clusters,
+    "swept_hulls": swept_hulls,
+    "tree_texts": tree_texts,
+    "zero_set": zero_set,
 }
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL

@@ -28,6 +28,21 @@ def xyz_lines(points: DataFrame) -> DataFrame:
     return points.select("frame_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]).alias("value"))
 
 
+def write_clouds(points: DataFrame, path: str, kind: str) -> None:
+    """One PLY, OFF or XYZ text file a frame, points in order of point_id; a header line first. A frame is one task."""
+    if kind not in ("ply", "off", "xyz"):
+        raise ValueError("a cloud is xyz, ply or off")
+    lines = points.select("frame_id", F.lit(1).alias("part"), "point_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"]).alias("value"))
+    n = points.groupBy("frame_id").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    head = {
+        "ply": F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), "n", F.lit("\nproperty double x\nproperty double y\nproperty double z\nend_header")),
+        "off": F.concat(F.lit("OFF\n# points\n"), "n", F.lit(" 0 0")),
+        "xyz": F.lit("# x y z"),
+    }[kind]
+    both = lines.unionByName(n.select("frame_id", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("point_id"), head.alias("value")))
+    both.repartition("frame_id").sortWithinPartitions("frame_id", "part", "point_id").select("frame_id", "value").write.partitionBy("frame_id").text(path)
+
+
 def write_voxels(corners: DataFrame, voxels: DataFrame, stats: DataFrame, path: str, h: float) -> None:
     """corners as XYZ text, voxels as CSV, stats as JSON, each in a folder."""
     at = corners.select("frame_id", *[(F.col(f"c{c}") * h).alias(c) for c in "xyz"])
@@ -96,4 +111,4 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{t['path']}") for name, t in json.loads(text)["tables"].items()}
 
 
-__all__ = ["clearance_documents", "patch_mesh", "program_json", "read_bundle", "write_bundle", "write_text", "write_voxels", "xyz_lines"]
+__all__ = ["clearance_documents", "patch_mesh", "program_json", "read_bundle", "write_bundle", "write_clouds", "write_text", "write_voxels", "xyz_lines"]

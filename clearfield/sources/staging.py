@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """A fresh folder under the session's spark.checkpoint.dir, or under one of our own where that is not set."""
+    """A fresh folder under the session's spark.checkpoint.dir, deleted when the driver ends.
+
+    Where that is not set, a folder of our own serves a session on one machine (a local master); elsewhere
+    it is an error, as executors could not see it.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="clearfield-"))
         known = _OWN[0]
-    return f"{known.rstrip('/')}/frames-{uuid.uuid4().hex}"
+    folder = f"{known.rstrip('/')}/frames-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, folder)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a staging folder that nothing reads any more."""
+    with contextlib.suppress(Exception):  # the session may have stopped already; the folder is then left to its owner
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a staging folder and read back: its lineage is cut and its size known."""
+    spark, folder = df.sparkSession, staging_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

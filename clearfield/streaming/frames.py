@@ -6,6 +6,7 @@ reuse pattern of a recorded stream; the streaming operator keeps the last snapsh
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,35 @@ from ..operators import arrangement
 from ..operators.voxels import AXES, voxel_index
 
 
-def reuse_pattern(points: DataFrame, h: float) -> DataFrame:
-    """Rows (sensor_id, frame_id, voxels, hit) of points (sensor_id, frame_id, x, y, z) in order of frame_id."""
+def reuse_pattern(points: DataFrame, h: float, capacity: int = 1) -> DataFrame:
+    """Rows (sensor_id, frame_id, voxels, hit) of points (sensor_id, frame_id, x, y, z) in order of frame_id.
+
+    A frame is a hit if its voxels are those of one of the last ``capacity`` distinct sets of its sensor, the
+    least recently seen of which goes first. Sets are compared whole and named by the first frame that has
+    them; the walk over a sensor's frames, which is sequential, sees these names only.
+    """
     keyed = points.select("sensor_id", "frame_id", F.struct(*[voxel_index(F.col(c), h).alias(f"i{c}") for c in "xyz"]).alias("v"))
     sets = keyed.groupBy("sensor_id", "frame_id").agg(F.array_sort(F.collect_set("v")).alias("key"))
-    last = F.lag("key").over(Window.partitionBy("sensor_id").orderBy("frame_id"))
-    hit = F.coalesce(F.col("key") == last, F.lit(False))
-    return sets.select("sensor_id", "frame_id", F.size("key").cast("long").alias("voxels"), hit.alias("hit"))
+    if capacity == 1:
+        last = F.lag("key").over(Window.partitionBy("sensor_id").orderBy("frame_id"))
+        hit = F.coalesce(F.col("key") == last, F.lit(False))
+        return sets.select("sensor_id", "frame_id", F.size("key").cast("long").alias("voxels"), hit.alias("hit"))
+    same = sets.groupBy("sensor_id", "key").agg(F.min("frame_id").alias("name"), F.collect_list("frame_id").alias("frames"))
+    named = same.select("sensor_id", "name", F.size("key").cast("long").alias("voxels"), F.explode("frames").alias("frame_id"))
+
+    def run(frames: pd.DataFrame) -> pd.DataFrame:
+        frames = frames.sort_values("frame_id")
+        held: OrderedDict[int, None] = OrderedDict()
+        hits = []
+        for name in frames["name"]:
+            hits.append(name in held)
+            held[name] = None
+            held.move_to_end(name)
+            if len(held) > capacity:
+                held.popitem(last=False)
+        return frames.assign(hit=hits)[["sensor_id", "frame_id", "voxels", "hit"]]
+
+    return named.groupBy("sensor_id").applyInPandas(run, "sensor_id string, frame_id long, voxels long, hit boolean")
 
 
 def snapshot(keys: np.ndarray, h: float) -> tuple[bytes, int, int]:
@@ -50,19 +73,22 @@ def snapshot(keys: np.ndarray, h: float) -> tuple[bytes, int, int]:
 
 #: One row a frame of the stream.
 OUTPUT = "sensor_id string, frame_id long, voxels long, hit boolean, nodes long, strata long, certified boolean, outside long"
-STATE = "h double, keys binary, program binary, strata long"
+STATE = "h double, snapshots array<struct<keys:binary,program:binary,strata:bigint>>"
 
 
-def stream_frames(frames: DataFrame, h: float) -> DataFrame:
+def stream_frames(frames: DataFrame, h: float, capacity: int = 1) -> DataFrame:
     """Streaming rows (sensor_id, frame_id, xyz array<double>) to one result row a frame, with reuse.
 
     A frame arrives as one row. On a hit the stored program stays and every raw point is still checked to
     lie in the closed union; on a miss the frame is built and certified, and kept only if the certificate
-    holds. Frames of a sensor within a micro-batch are taken in order of frame_id.
+    holds. A sensor keeps its last ``capacity`` snapshots, the least recently used of which goes first. Frames
+    of a sensor within a micro-batch are taken in order of frame_id.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
+        held: OrderedDict[bytes, tuple[bytes, int]] = OrderedDict()
+        if state.exists and state.get[0] == h:
+            held.update((bytes(s[0]), (bytes(s[1]), int(s[2]))) for s in state.get[1])
         rows = pd.concat(list(batches)).sort_values("frame_id")
         out = []
         for row in rows.itertuples(index=False):
@@ -74,17 +100,21 @@ def stream_frames(frames: DataFrame, h: float) -> DataFrame:
             i += x >= (i + 1) * h
             keys = np.unique(i, axis=0)
             packed = keys.tobytes()
-            hit = held is not None and held[0] == h and held[1] == packed
+            hit = packed in held
             if hit:
-                program, strata, bad = held[2], held[3], 0
+                (program, strata), bad = held[packed], 0
+                held.move_to_end(packed)
             else:
                 program, strata, bad = snapshot(keys, h)
-                held = (h, packed, program, strata) if bad == 0 else None
+                if bad == 0:
+                    held[packed] = (program, strata)
+                    if len(held) > capacity:
+                        held.popitem(last=False)
             p = arrangement.Program.unpack(program)
             outside = int((arrangement.hard_values(p, x) < 0).sum())
             out.append((key[0], int(row.frame_id), len(keys), hit, len(p.op), strata, bad == 0, outside))
-        if held is not None:
-            state.update(held)
+        if held:
+            state.update((h, [(k, *v) for k, v in held.items()]))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
@@ -92,7 +122,7 @@ def stream_frames(frames: DataFrame, h: float) -> DataFrame:
     return frames.groupBy("sensor_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_recorded(points: DataFrame, h: float, folder: str) -> DataFrame:
+def run_recorded(points: DataFrame, h: float, folder: str, capacity: int = 1) -> DataFrame:
     """Result rows of a recorded stream: its frames are written to a folder and streamed from there to the end.
 
     The sink is a table of files with a checkpoint, so a run that breaks off goes on where it stopped.
@@ -102,7 +132,7 @@ def run_recorded(points: DataFrame, h: float, folder: str) -> DataFrame:
     rows.write.parquet(f"{folder}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     query = (
-        stream_frames(source, h)
+        stream_frames(source, h, capacity)
         .writeStream.format("parquet")
         .option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/progress")

@@ -19,7 +19,7 @@ def cloud(spark, tmp_path_factory):
     return str(path), voxels.voxelize(scene, 0.05).count()
 
 
-@pytest.mark.parametrize("command", ["voxelize", "boundary", "octree", "sweep", "function", "link-distance"])
+@pytest.mark.parametrize("command", ["voxelize", "boundary", "octree", "sweep", "function", "clearance"])
 def test_commands(spark, cloud, tmp_path, command):
     path, n = cloud
     (tmp_path / "r.urdf").write_text(robot.DEMO_URDF)
@@ -32,7 +32,7 @@ def test_commands(spark, cloud, tmp_path, command):
         assert tables["voxels"].count() == n
     if command == "sweep":
         assert tables["prisms"].select("axis").distinct().count() == 1
-    if command == "link-distance":
+    if command == "clearance":
         documents = [json.loads(r.value) for r in tables["documents"].collect()]
         assert len(documents) == 2 and all([g["joint"] for g in d["groups"]] == ["turn", "lift", "swing"] for d in documents)
         assert tables["distances"].where(F.col("hard_min") < F.col("distance")).count() == 0
@@ -41,7 +41,7 @@ def test_commands(spark, cloud, tmp_path, command):
 def test_bad_commands(spark, cloud, tmp_path):
     path, _ = cloud
     base = ["--cloud", path, "--output", f"file://{tmp_path}/x"]
-    for argv in (["voxelize", *base, "--voxel-size", "0"], ["link-distance", *base, "--voxel-size", "0.05"]):
+    for argv in (["voxelize", *base, "--voxel-size", "0"], ["clearance", *base, "--voxel-size", "0.05"]):
         with pytest.raises(ValueError):
             run(spark, parser().parse_args(argv))
     assert not (tmp_path / "x" / "manifest.json").exists()

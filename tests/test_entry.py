@@ -32,7 +32,7 @@ def test_failures_inside_the_subpackage_surface(monkeypatch):
     with pytest.raises(ImportError):
         importlib.import_module("__spark_entry__")
     for name in [n for n in sys.modules if n.startswith(f"clearfield.{NAME}")] + ["__spark_entry__"]:
-        sys.modules.pop(name)
+        sys.modules.pop(name, None)
 
 
 def test_nothing_else_imports_it():

@@ -124,8 +124,8 @@ def test_link_gradients_by_differences(spark):
     step, base = 1e-5, [0.3, 0.05, -0.4]
     configs = [base] + [[b + s * step * (k == i) for i, b in enumerate(base)] for k in range(3) for s in (1, -1)]
     poses = robot.sphere_poses(spark.createDataFrame(list(enumerate(configs)), "config_id long, q array<double>"), model)
-    at = poses.select(F.lit(0).cast("long").alias("frame_id"), (F.col("config_id") * len(model.spheres) + F.col("sphere_id")).alias("point_id"), "x", "y", "z")
-    got = {(r.config_id, r.joint): r for r in robot.link_distances(poses, arrangement.evaluate(at, programs, error=0.01), model, margin=0.01, error=0.01).collect()}
+    field = robot.field_at(poses, coords, programs, 0.01)
+    got = {(r.config_id, r.joint): r for r in robot.group_clearances(field, model, margin=0.01, error=0.01).collect()}
     for name, _ in robot.groups(model):
         r = got[0, name]
         assert 0 <= r.hard_min - r.distance <= r.bound + 1e-12
