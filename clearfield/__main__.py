@@ -7,18 +7,29 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import arrangement, boundary, octree, robot, voxels
-from .sources import exports
-from .sources.points import read_xyz
+from .operators import arrangement, audit, boundary, clusters, hulls, octree, robot, voxels
+from .operators.boundary import numbered_within
+from .sources import exports, shapes
+from .sources.points import read_cloud
 from .sources.staging import staging_folder
+from .streaming import manifest
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="clearfield", description=__doc__)
-    p.add_argument("command", choices=["voxelize", "boundary", "octree", "sweep", "function", "clearance"])
-    p.add_argument("--cloud", required=True, help="XYZ file or folder of them, one frame a file")
-    p.add_argument("--output", required=True)
+    p.add_argument("command", choices=["voxelize", "boundary", "octree", "sweep", "hull", "function", "diagnose", "distance", "clearance", "stream", "camera"])
+    p.add_argument("--cloud", help="file or folder of them, one frame a file")
+    p.add_argument("--format", choices=["xyz", "ply", "off"], default="xyz")
+    p.add_argument("--output", help="folder of the bundle; a stream's frames name their own")
     p.add_argument("--voxel-size", type=float, required=True)
+    p.add_argument("--preprocess", choices=["none", "voxel", "jet"], default="none")
+    p.add_argument("--manifest", help="stream: lines of cloud, output and configuration, tab separated")
+    p.add_argument("--reuse", type=int, default=1, help="stream: environments held")
+    for name in ("points", "voxels", "cells", "nodes", "strata"):
+        p.add_argument(f"--most-{name}", type=int, help="stream: work limit of a frame")
+    p.add_argument("--inflation", type=float, default=0.1, help="hull: volume added, as a share")
+    p.add_argument("--fill-distance", type=float, default=1.0, help="hull: distance of added points from boxes, in voxels")
+    p.add_argument("--views", type=int, default=10, help="camera: views")
     p.add_argument("--sweep", choices=["x", "y", "z", "best-axis"], default="best-axis")
     p.add_argument("--urdf")
     p.add_argument("--q", help="joint values, comma separated; several configurations by semicolons")
@@ -33,6 +44,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     h = a.voxel_size
     if not h > 0:
         raise ValueError("the voxel size must be positive")
+    if a.command == "stream":
+        return stream(spark, a)
+    if not a.output or (not a.cloud and a.command != "camera"):
+        raise ValueError("--cloud and --output are wanted")
+    if a.command == "camera":
+        seen = shapes.depth_camera(spark, a.views)
+        return exports.write_bundle(spark, a.output, {"views": seen, "cloud": shapes.camera_cloud(seen, h)}, {"command": a.command, "voxel_size": h})
     # Text is parsed once and voxels are found once; everything else reads these tables.
     folder = staging_folder(spark)
 
@@ -40,7 +58,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    points = staged("points", read_xyz(spark, a.cloud))
+    points = staged("points", read_cloud(spark, a.cloud, a.format))
+    if a.preprocess == "voxel":
+        points = staged("centres", numbered_within(voxels.preprocess_voxel(points, h), ["frame_id"], ["ix"], ["iy", "iz"], "point_id", "long").select("frame_id", "point_id", *"xyz"))
+    elif a.preprocess == "jet":
+        points = staged("smoothed", clusters.jet_smooth(points, 4 * h).select("frame_id", "point_id", *"xyz"))
     v = staged("voxels", voxels.voxelize(points, h))
     faces = staged("faces", boundary.exposed_faces(v))
     planes = boundary.supports(faces)
@@ -62,12 +84,23 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         else:
             prisms = boundary.free_prisms(free, "xyz".index(a.sweep))
         tables = {"prisms": prisms, "supports": planes}
+    elif a.command == "hull":
+        found = hulls.approximate_frames(v, hulls.Budget(a.inflation, a.fill_distance), h)
+        tables = {"clusters": found, "size": octree.tree_size(octree.rectangular_cells(v))}
+    elif a.command == "diagnose":
+        tables = {"diagnostics": arrangement.diagnose_programs(cells, cells, coords, h), "supports": planes}
     else:
-        programs = arrangement.build_programs(cells, coords, h, certify=True)
+        programs = staged("programs", arrangement.build_programs(cells, coords, h, certify=True))
         # No result without a certificate: a mismatch stops the command.
         sure = F.when(F.col("mismatches") == 0, F.col("program")).otherwise(F.raise_error(F.lit("a function failed its certificate")).cast("binary"))
         programs = programs.withColumn("program", sure)
         tables = {"programs": programs, "json": exports.program_json(programs)}
+        if a.command == "distance":
+            patched = staged("patches", boundary.patches(faces))
+            probes = staged("probes", audit.surface_probes(v, patched, h).unionByName(audit.outer_probes(v, h)).unionByName(audit.random_probes(v, h, 64)))
+            q = staged("values", arrangement.evaluate(probes, programs, error=a.environment_error))
+            errors = audit.distance_errors(probes, q, arrangement.patch_distance(probes, patched, h), v, h)
+            tables |= {"samples": q, "validation": voxels.summarize(errors.withColumn("by", F.struct("frame_id", "what")), "by", "error").select("by.*", "n", "max_error", "mean_error", "rmse", "p95")}
         if a.command == "clearance":
             if not a.urdf or not a.q:
                 raise ValueError("clearance needs --urdf and --q")
@@ -83,6 +116,25 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     return exports.write_bundle(spark, a.output, tables, {"command": a.command, "voxel_size": h})
 
 
+def stream(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Carry out the frames of a manifest in order, a status line each; returns how many there were and how many hits."""
+    if not a.manifest or not a.urdf:
+        raise ValueError("stream needs --manifest and --urdf")
+    with open(a.urdf, encoding="utf-8") as f:
+        model = robot.parse_urdf(f.read())
+    with open(a.manifest, encoding="utf-8", newline="") as f:
+        text = f.read()
+    given = {n: getattr(a, f"most_{n}") for n in ("points", "voxels", "cells", "nodes", "strata")}
+    limits = manifest.Limits(**{n: x for n, x in given.items() if x is not None})
+    held = manifest.Environments(a.voxel_size, limits, a.reuse)
+    q = [float(x) for x in a.q.split(",")] if a.q else None
+    frames, hits = 0, 0
+    for status in manifest.run_manifest(spark, text, model, held, q, a.margin, a.environment_error, a.link_error):
+        print(manifest.status_line(status), flush=True)
+        frames, hits = frames + 1, hits + status["cache_hit"]
+    return {"command": "stream", "frames": frames, "hits": hits}
+
+
 def main() -> None:
     spark = SparkSession.builder.appName("clearfield").getOrCreate()
     print(run(spark, parser().parse_args()))

@@ -353,7 +353,9 @@ def grid_of(cells: pd.DataFrame, planes: list[np.ndarray], most_cells: int = MOS
     return grid
 
 
-def build_programs(found: DataFrame, coords: DataFrame, h: float, certify: bool = False, intern: bool = True) -> DataFrame:
+def build_programs(
+    found: DataFrame, coords: DataFrame, h: float, certify: bool = False, intern: bool = True, most_cells: int = MOST_CELLS, most_nodes: int = MOST_NODES
+) -> DataFrame:
     """One row a frame: program (binary), nodes (stored), shared (after sharing), expanded, strata, mismatches.
 
     found: occupied compressed cells; coords: px, py, pz. strata and mismatches are null unless certify is
@@ -362,8 +364,8 @@ def build_programs(found: DataFrame, coords: DataFrame, h: float, certify: bool
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         planes = [np.asarray(frame[f"p{c}"].iloc[0], dtype=np.int64) for c in "xyz"]
-        grid = grid_of(frame, planes)
-        p = build(grid, planes, h, intern)
+        grid = grid_of(frame, planes, most_cells)
+        p = build(grid, planes, h, intern, most_nodes)
         strata, bad = strata_mismatches(p, grid, planes) if certify else (None, None)
         return pd.DataFrame(
             {

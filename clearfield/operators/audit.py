@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrangement import Program, hard_values, smooth_values, smoothing
+from .arrangement import Program, evaluate, hard_values, smooth_values, smoothing
 from .meet import meet
+from .trees import evaluate_json
 from .voxels import AXES, bounds, contains
 
 
@@ -100,6 +101,34 @@ def strided(rows: DataFrame, order: list[str], count: int) -> DataFrame:
     return sized.where((F.col("__i") == 0) | (now > before) | (F.col("__n") <= count)).drop("__i", "__n")
 
 
+def exported_differences(points: DataFrame, programs: DataFrame, texts: DataFrame, count: int = 24, tolerance: float = 1e-12) -> DataFrame:
+    """By frame: ``count`` strided points, and those where the exported text and the program differ by more than the tolerance."""
+    some = strided(points, ["x", "y", "z"], count)
+    ours = evaluate(some, programs, gradient=False).withColumnRenamed("q", "ours")
+    both = evaluate_json(ours, texts)
+    return both.groupBy("frame_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.abs(F.col("q") - F.col("ours")) > tolerance).alias("differing"))
+
+
+def clearance_differences(found: DataFrame, spheres: DataFrame, alpha: float, tolerance: float = 1e-9) -> DataFrame:
+    """Group clearances against a recomputation from the spheres' rows by joins and sums: by frame, groups and those that differ.
+
+    found: ``robot.group_clearances``; spheres: ``robot.sphere_clearances`` at the same margin. Checked are the
+    number of spheres, the hard minimum and its sphere, the smooth minimum, and that it lies within its bound.
+    """
+    key = ["frame_id", "config_id", "link_index"]
+    one = spheres.where("link_index is not null").select(*key, "sphere_id", "clearance")
+    low = one.groupBy(*key).agg(F.min("clearance").alias("low"), F.count(F.lit(1)).alias("n"))
+    sums = one.join(low, key).groupBy(*key).agg(
+        F.first("low").alias("low"), F.first("n").alias("n"), F.sum(F.exp(-alpha * (F.col("clearance") - F.col("low")))).alias("w"),
+        F.min(F.when(F.col("clearance") == F.col("low"), F.col("sphere_id"))).alias("nearest"),
+    )
+    both = found.join(sums, key, "full")
+    smooth = F.col("low") - F.log("w") / alpha
+    good = (F.col("n") == F.col("spheres")) & (F.col("nearest") == F.col("nearest_sphere")) & (F.abs(F.col("low") - F.col("hard_min")) <= tolerance)
+    good = good & (F.abs(smooth - F.col("distance")) <= tolerance) & (F.col("hard_min") - F.col("distance")).between(-tolerance, F.col("bound") + tolerance)
+    return both.groupBy("frame_id").agg(F.count(F.lit(1)).alias("groups"), F.count_if(~F.coalesce(good, F.lit(False))).alias("differing"))
+
+
 def zero_rays(rays: DataFrame, programs: DataFrame, error: float, steps: int = 40) -> DataFrame:
     """Where the hard and the smoothed function change sign along rays from free space to the inside.
 

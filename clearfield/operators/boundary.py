@@ -110,6 +110,22 @@ def supports(faces: DataFrame) -> DataFrame:
     return found.withColumn("support_id", F.row_number().over(order) - 1)
 
 
+def support_patches(patched: DataFrame) -> DataFrame:
+    """Each support with the numbers of its patches, ascending: frame_id, axis, coord, signs, patches. patched: with patch_id."""
+    bit = F.when(F.col("sign") < 0, 1).otherwise(2)
+    listed = F.array_sort(F.collect_list("patch_id"))  # of one plane of one frame
+    return patched.groupBy("frame_id", "axis", F.col("plane").alias("coord")).agg(F.bit_or(bit).cast("int").alias("signs"), listed.alias("patches"))
+
+
+def registry_violations(planes: DataFrame) -> DataFrame:
+    """By frame: supports, those whose number is not their place by axis and coordinate, and places that none or several have."""
+    placed = numbered_within(planes, ["frame_id"], ["axis"], ["coord"], "at")
+    used = planes.groupBy("frame_id", "support_id").agg(F.count(F.lit(1)).alias("n"))
+    doubled = used.groupBy("frame_id").agg(F.count_if(F.col("n") > 1).alias("doubled"))
+    wrong = placed.groupBy("frame_id").agg(F.count(F.lit(1)).alias("supports"), F.count_if(F.col("at") != F.col("support_id")).alias("misplaced"))
+    return wrong.join(doubled, "frame_id")
+
+
 def coordinates(planes: DataFrame) -> DataFrame:
     """One row a frame with px, py, pz: the ascending support coordinates of each axis."""
     return planes.groupBy("frame_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("axis") == k, F.col("coord")))).alias(f"p{c}") for k, c in enumerate("xyz")])

@@ -19,8 +19,25 @@ from pyspark.sql import functions as F
 def hull_planes(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Facet planes (nx, ny, nz, offset) of the convex hull of integer points, exact, normals outward and primitive.
 
-    Incremental: facets that a new point sees give way to a fan over their horizon. Coplanar facets come out
-    as one plane. Points must not all be coplanar.
+    Coplanar facets come out as one plane. Points must not all be coplanar.
+    """
+    planes = set()
+    for p, _, _, n in _facets(points):
+        g = np.gcd.reduce([abs(k) for k in n])
+        m = tuple(int(k // g) for k in n)
+        planes.add((*m, sum(a * b for a, b in zip(m, p, strict=True))))
+    return sorted(planes)
+
+
+def hull_volume(points: list[tuple[int, int, int]]) -> Fraction:
+    """Exact volume of the convex hull of integer points that are not all coplanar."""
+    return Fraction(sum(sum(a * b for a, b in zip(n, p, strict=True)) for p, _, _, n in _facets(points)), 6)
+
+
+def _facets(points: list[tuple[int, int, int]]) -> list[tuple]:
+    """Triangles (p, q, r, normal) of the hull, normals outward.
+
+    Incremental: facets that a new point sees give way to a fan over their horizon.
     """
     pts = sorted(set(points))
 
@@ -52,12 +69,7 @@ def hull_planes(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int,
         hidden = [f for f in facets if f not in seen]
         fan = [(p, q, x, normal(p, q, x)) for p, q in sides if (q, p) not in sides]
         facets = hidden + [f for f in fan if any(f[3])]
-    planes = set()
-    for p, _, _, n in facets:
-        g = np.gcd.reduce([abs(k) for k in n])
-        m = tuple(int(k // g) for k in n)
-        planes.add((*m, dot(m, p)))
-    return sorted(planes)
+    return facets
 
 
 def box_hulls(cells: DataFrame) -> DataFrame:

@@ -115,8 +115,18 @@ def points_in_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame) ->
     Edges count half-open in y and z, so a ray through an edge or vertex crosses one triangle of each side.
     Points and triangles are taken in blocks; a block of points looks at the triangles before it only.
     """
-    columns = [f"{c}{k}" for c in "abc" for k in "xyz"]
-    sides = packed(triangles(vertices, faces).withColumn("frame_id", F.lit(0)), columns)
+    # All points meet the one mesh, whatever frames they are of.
+    columns = points.columns
+    held = points.select(F.lit(0).cast("long").alias("frame_id"), *[F.col(f"`{c}`").alias("of_frame" if c == "frame_id" else c) for c in columns])
+    found = points_in_triangles(held, triangles(vertices, faces).withColumn("frame_id", F.lit(0).cast("long")))
+    return found.select(*[F.col("of_frame").alias(c) if c == "frame_id" else F.col(f"`{c}`") for c in columns if c != "inside"], "inside")
+
+
+_CORNERS = [f"{c}{k}" for c in "abc" for k in "xyz"]
+
+
+def points_in_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """points, all columns, with ``inside`` of the closed mesh of their frame, given as rows frame_id, ax .. cz."""
 
     def compute(pts: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
         x = pts[["x", "y", "z"]].to_numpy(dtype=np.float64)
@@ -132,11 +142,37 @@ def points_in_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame) ->
                 inside[mine] ^= crossings(p, corners[near[s : s + 512]]) % 2 == 1
         return {"inside": inside}
 
-    # All points meet the one mesh, whatever frames they are of.
-    columns = points.columns
-    held = points.select(F.lit(0).cast("long").alias("frame_id"), *[F.col(f"`{c}`").alias("of_frame" if c == "frame_id" else c) for c in columns])
-    found = meet(held, sides, unpacked(9), compute, "inside boolean")
-    return found.select(*[F.col("of_frame").alias(c) if c == "frame_id" else F.col(f"`{c}`") for c in columns if c != "inside"], "inside")
+    return meet(points, packed(triangles, _CORNERS), unpacked(9), compute, "inside boolean")
+
+
+def points_on_triangles(points: DataFrame, triangles: DataFrame, band: float) -> DataFrame:
+    """points, all columns, with ``on``: whether a triangle of their frame (rows frame_id, ax .. cz) lies within the band.
+
+    Within its plane by the band, and inside its edges, moved out by as much.
+    """
+
+    def compute(pts: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
+        x, corners = pts[["x", "y", "z"]].to_numpy(dtype=np.float64), t.reshape(-1, 3, 3)
+        on = np.zeros(len(x), bool)
+        for s in range(0, len(corners), 256):
+            c = corners[s : s + 256]
+            n = np.cross(c[:, 1] - c[:, 0], c[:, 2] - c[:, 0])
+            n /= np.linalg.norm(n, axis=1)[:, None]
+            near = np.abs(np.einsum("nmi,mi->nm", x[:, None] - c[None, :, 0], n)) <= band
+            for k in range(3):
+                side = np.cross(n, c[:, (k + 1) % 3] - c[:, k])
+                side /= np.linalg.norm(side, axis=1)[:, None]
+                near &= np.einsum("nmi,mi->nm", x[:, None] - c[None, :, k], side) >= -band
+            on |= near.any(axis=1)
+        return {"on": on}
+
+    return meet(points, packed(triangles, _CORNERS), unpacked(9), compute, "on boolean")
+
+
+def sides(points: DataFrame, triangles: DataFrame, band: float) -> DataFrame:
+    """points, all columns, with ``side`` of their frame's closed mesh: boundary (within the band), bounded or unbounded."""
+    both = points_on_triangles(points_in_triangles(points, triangles), triangles, band)
+    return both.withColumn("side", F.when(F.col("on"), "boundary").when(F.col("inside"), "bounded").otherwise("unbounded")).drop("on", "inside")
 
 
 def crossings(p: np.ndarray, corners: np.ndarray) -> np.ndarray:

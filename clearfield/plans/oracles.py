@@ -234,6 +234,11 @@ ORACLE_SQL: dict[str, str] = {
       SELECT p.*, corner, CASE WHEN corner = 2 OR (corner = 1 AND sign > 0) OR (corner = 3 AND sign < 0) THEN u1 ELSE u0 END AS cu,
         CASE WHEN corner = 2 OR (corner = 3 AND sign > 0) OR (corner = 1 AND sign < 0) THEN v1 ELSE v0 END AS cv FROM patches p, (SELECT unnest([0, 1, 2, 3]) AS corner))""",
     "support_planes": _surface(H, _SUPPORTS) + "SELECT * FROM supports",
+    "support_patches": _surface(H, _PATCHES)
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY 2 * axis + CASE WHEN sign > 0 THEN 1 ELSE 0 END, plane, v0, u0) - 1 AS id FROM patches)
+      SELECT frame_id, axis, plane AS coord, bit_or(CASE WHEN sign < 0 THEN 1 ELSE 2 END) AS signs, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS patches FROM n GROUP BY frame_id, axis, plane""",
+    "registry_check": _surface(H, _SUPPORTS)
+    + """SELECT frame_id, count(*) AS supports, count(*) FILTER (support_id % 5 = 2) AS misplaced, count(*) FILTER (support_id % 5 = 3) AS doubled FROM supports GROUP BY frame_id""",
     "canonical_cells": _surface(H, _SUPPORTS, _CELLS) + "SELECT *, voxels = wx * wy * wz AS full FROM cells",
     "cell_box_sums": _surface(H, _SUPPORTS, _CELLS)
     + """SELECT x.frame_id, x.cx, y.cy, z.cz, CAST((SELECT count(*) FROM cells k WHERE k.frame_id = x.frame_id AND k.cx <= x.cx AND k.cy <= y.cy AND k.cz <= z.cz) AS BIGINT) AS prefix
@@ -293,6 +298,8 @@ ORACLE_SQL: dict[str, str] = {
       {_box_function(0.02, "frame_id, point_id")}
       SELECT frame_id, point_id, round(q, 9) + 0.0 AS q, round(v, 9) + 0.0 AS q_upper, round(dx, 9) + 0.0 AS gx, round(dy, 9) + 0.0 AS gy, round(dz, 9) + 0.0 AS gz, 0.02::DOUBLE AS bound FROM w5""",
     "box_spheres": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)} SELECT frame_id, config_id, sphere_id, joint, round(-v - radius - 0.01, 6) AS clearance FROM w5""",
+    "frame_audit": """SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (SELECT 3 * count(*) FROM supplier) AS groups, (SELECT 3 * count(*) FROM supplier WHERE s_suppkey % 7 = 0) AS differing FROM nation""",
+    "exported_audit": f"WITH {_POINTS} SELECT frame_id, least(24, count(*)) AS samples, 0::BIGINT AS differing FROM pts GROUP BY frame_id",
     "box_clearance": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)},
       c AS (SELECT *, -v - radius AS clearance, {", ".join(f"-(jx{k} * dx + jy{k} * dy + jz{k} * dz) AS s{k}" for k in range(3))} FROM w5 WHERE joint IS NOT NULL),
       l AS (SELECT frame_id, config_id, joint, link_index, min(clearance) AS low, count(*) AS spheres FROM c GROUP BY ALL),
@@ -329,6 +336,9 @@ ORACLE_SQL: dict[str, str] = {
       SELECT frame_id, points, outside, round(greatest(0, (p + z * z / (2 * points) - z * sqrt(p * (1 - p) / points + z * z / (4 * points * points))) / (1 + z * z / points)), 9) AS low,
       round(least(1, (p + z * z / (2 * points) + z * sqrt(p * (1 - p) / points + z * z / (4 * points * points))) / (1 + z * z / points)), 9) AS high FROM k""",
     "voxel_reservoir": f"WITH {_base(0.2, _LINES)} SELECT frame_id, ix, iy, iz, least(3, count(*)) AS kept FROM pv GROUP BY ALL",
+    "case_suite": """SELECT name, points, 0::BIGINT AS off_surface FROM (VALUES ('cube_surface', 2048::BIGINT), ('l_surface', 2048), ('u_surface', 2048), ('thin_wall_surface', 2048), ('staircase_surface', 2048),
+      ('two_objects_surface', 2048), ('narrow_corridor_surface', 2048), ('cylinder_surface', 2048), ('torus_surface', 2048), ('hollow_box_surfaces', 1536 + 512), ('plane_patch', 1024), ('ellipsoid_sparse', 256),
+      ('ellipsoid_surface', 2048), ('ellipsoid_dense', 8192), ('ellipsoid_noise_2mm', 2048), ('ellipsoid_noise_8mm', 2048), ('ellipsoid_partial', 1024), ('ellipsoid_duplicates', 3 * 2048), ('ellipsoid_outliers', 2048 + 6)) t(name, points)""",
     "mesh_volume": "SELECT CAST(n_nationkey + 1 AS DOUBLE) AS scale, round(3.0 * power(CAST(n_nationkey + 1 AS DOUBLE), 3), 6) AS volume, round(14.0 * power(CAST(n_nationkey + 1 AS DOUBLE), 2), 6) AS area FROM nation",
     "mesh_edges": f"""WITH {_PRISM_SIZES}, t AS (SELECT *, 2 * r * sin(pi() / n) AS side FROM m)
       SELECT mesh, 'convex' AS kind, 3 * n AS edges, round(2 * n * side + n, 6) AS length FROM t
@@ -340,6 +350,12 @@ ORACLE_SQL: dict[str, str] = {
     "points_in_tets": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation),
       p AS (SELECT s_suppkey AS point_id, s_suppkey % 17 / 8.0::DOUBLE + 0.0123 AS x, s_suppkey % 13 / 7.0::DOUBLE + 0.0231 AS y, s_suppkey % 7 / 5.0::DOUBLE + 0.0317 AS z FROM supplier)
       SELECT frame_id, point_id, x <= s AND y <= s AND z <= s AS inside FROM p, c""",
+    "mesh_sides": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation),
+      p AS (SELECT s_suppkey % 5 / 4.0::DOUBLE AS x, s_suppkey % 7 / 6.0::DOUBLE AS y, s_suppkey % 3 / 2.0::DOUBLE AS z FROM supplier),
+      k AS (SELECT frame_id, x <= s AND y <= s AND z <= s AS closed, x > 0 AND x < s AND y > 0 AND y < s AND z > 0 AND z < s AS "open" FROM p, c)
+      SELECT frame_id, count(*) FILTER ("open") AS bounded, count(*) FILTER (closed AND NOT "open") AS boundary, count(*) FILTER (NOT closed) AS unbounded, 0::BIGINT AS differing FROM k GROUP BY frame_id""",
+    "mesh_documents": f"""WITH {_PRISM_SIZES}, t AS (SELECT *, 2 * r * sin(pi() / n) AS side FROM m)
+      SELECT mesh, 2 * n AS vertices, 6 * n - 6 AS edges, 4 * n - 4 AS faces, round(2 * n * side + n + n * sqrt(1 + side * side) + 2 * coalesce((SELECT sum(2 * r * sin(pi() * i / n)) FROM (SELECT unnest(range(2, n - 1)) AS i)), 0), 6) AS length FROM t""",
     "cluster_meshes": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation)
       SELECT frame_id, 12::BIGINT AS faces, 6::BIGINT AS planes, round(s * s * s, 9) AS volume, round(6 * s * s, 9) AS area FROM c""",
     "points_in_mesh": """WITH p AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS frame_id, l_quantity / 25.0 + 0.0123 AS x, l_discount * 20.0 + 0.0321 AS y, l_extendedprice / 6e4 AS z FROM lineitem)
@@ -377,6 +393,7 @@ ORACLE_SQL: dict[str, str] = {
     "ideal_solids": f"WITH {_POINTS} SELECT frame_id, count(*) AS points, count(*) FILTER (x BETWEEN -0.1 AND 0.2 AND y BETWEEN -0.05 AND 0.15 AND z BETWEEN 0.0 AND 0.3) AS inside FROM pts GROUP BY frame_id",
     "hull_containment": f"WITH {_base(0.2)}, {_NODES}, {_BOXES} SELECT frame_id, count(*) AS cells, 0::BIGINT AS beyond, max(lox + w) AS most_x FROM boxes GROUP BY frame_id",
     "swept_hulls": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS frame_id, 12::BIGINT AS planes, CAST(3 * (n_nationkey + 2) + 6 AS BIGINT) AS offsets, 6::BIGINT + 6 * 2 AS normals FROM nation",
+    "hull_approximation": f"WITH {_NATIONS} SELECT frame_id, CAST((x1 - x0) * (y1 - y0) * (z1 - z0) AS BIGINT) AS voxels, 6 AS planes, CAST((x1 - x0) * (y1 - y0) * (z1 - z0) AS DOUBLE) AS volume, 0.0::DOUBLE AS bound FROM bx",
     "tree_texts": """WITH k AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, n_nationkey % 3 + 1 AS n FROM nation), c AS (SELECT frame_id, n, unnest(range(n)) AS i FROM k),
       t AS (SELECT frame_id, n, '(' || array_to_string(list_sort(list_transform(range(6), lambda j: 'H' || (6 * i + j))), ' & ') || ')' AS b, 'max(' || array_to_string(list_transform(list_sort(list_transform(range(6), lambda j: 'h' || (6 * i + j))), lambda h: h || '(p)'), ', ') || ')' AS f, i FROM c),
       o AS (SELECT frame_id, n, string_agg(b, ' | ' ORDER BY i) AS b, string_agg(f, ', ' ORDER BY i) AS f FROM t GROUP BY ALL)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import cross, dot, inside_box, inside_ellipsoid, length, minus, plane_value, ray_ellipsoid, same_plane, wilson
-from ..operators import arrangement, audit, boundary, clusters, meshes, octree, robot, trees, voxels
+from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, octree, robot, trees, voxels
 from ..sources import exports
 from ..sources import points as sources
-from ..sources import shapes
+from ..sources import shapes, suite
 from ..sources.staging import staging_folder, written
 from ..streaming import frames
 from . import oracles
@@ -174,6 +174,18 @@ def support_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Surface(spark, sf_dir).supports
 
 
+def support_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each support with the numbers of its patches, joined by commas."""
+    p = boundary.support_patches(boundary.number_patches(_Surface(spark, sf_dir).patches))
+    return p.select("frame_id", "axis", "coord", "signs", F.array_join(F.transform("patches", lambda x: x.cast("string")), ",").alias("patches"))
+
+
+def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found in a registry of supports some of which had their numbers changed."""
+    s = _Surface(spark, sf_dir).supports
+    return boundary.registry_violations(s.withColumn("support_id", F.when(F.col("support_id") % 5 == 2, F.col("support_id") + 1).otherwise(F.col("support_id"))))
+
+
 def canonical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Surface(spark, sf_dir).cells
 
@@ -397,6 +409,22 @@ def _clearances(field: DataFrame, model: robot.Model) -> DataFrame:
     return found.select("frame_id", "config_id", "joint", "link_index", *exact, "nearest_sphere", "spheres", *rounded)
 
 
+def frame_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group clearances recomputed from their spheres; every seventh configuration's results are moved before."""
+    model, poses = _arm(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True, found=_boxes_of_nations(spark, sf_dir))
+    field = written(robot.field_at(poses, s.coords, s.programs()))
+    found = robot.group_clearances(field, model).withColumn("distance", F.col("distance") + F.when(F.col("config_id") % 7 == 0, 0.5).otherwise(0.0))
+    return audit.clearance_differences(found, robot.sphere_clearances(field, model), robot.link_alpha(model, 1e-3))
+
+
+def exported_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported functions against the programs at strided points of each frame."""
+    s = _Surface(spark, sf_dir, keep=True)
+    programs = written(s.programs())
+    return audit.exported_differences(s.points, programs, exports.program_json(programs))
+
+
 def box_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clearance and joint of every sphere against single boxes; those of the static base have no joint."""
     model, poses = _arm(spark, sf_dir)
@@ -571,6 +599,17 @@ def depth_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.bounds(voxels.voxelize(seen.unionByName(shapes.camera_cloud(seen, frame=views)), 0.04))
 
 
+def case_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of each named cloud of known size, and those that lie off its surface."""
+    out = None
+    for c in suite.suite(spark):
+        if c.count is not None:
+            off = F.count_if(c.off > 1e-9) if c.off is not None else F.lit(0).cast("long")
+            one = c.points.agg(F.count(F.lit(1)).alias("points"), off.alias("off_surface")).select(F.lit(c.name).alias("name"), "points", "off_surface")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _prism(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     n = len(PRISM_RING)
     vertices = [(i + n * k, float(x), float(y), float(k)) for k in range(2) for i, (x, y) in enumerate(PRISM_RING)]
@@ -653,6 +692,30 @@ def points_in_tets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("frame_id", "point_id", (F.col("tets") > 0).alias("inside"))
 
 
+def mesh_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as points by side of each cube's outer mesh, and those off its boundary where mesh and tetrahedra differ."""
+    v, t = (written(x) for x in _cubes(spark, sf_dir))
+    m = written(meshes.cluster_faces(t, t.select("frame_id", "tet_id", F.lit(0).alias("cluster_id")), v))
+    k = F.col("s_suppkey")
+    p = _spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")).select(k.alias("point_id"), (k % 5 / 4.0).alias("x"), (k % 7 / 6.0).alias("y"), (k % 3 / 2.0).alias("z"))
+    placed = meshes.sides(p.crossJoin(t.select("frame_id").distinct()), m, 1e-9)
+    both = meshes.points_in_tets(placed, v, t)
+    return both.groupBy("frame_id").agg(
+        *[F.count_if(F.col("side") == s).alias(s) for s in ("bounded", "boundary", "unbounded")],
+        F.count_if((F.col("side") != "boundary") & ((F.col("side") == "bounded") != (F.col("tets") > 0))).alias("differing"),
+    )
+
+
+def mesh_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prisms as JSON documents, read back: how many vertices, edges and faces, and the edges' length."""
+    v, f = _prisms(spark, sf_dir)
+    texts = exports.mesh_documents(v, f, lambda vertex: F.floor(vertex / 64))
+    kind = "struct<vertices:array<struct<x:double>>,edges:array<struct<length:double,left:int,right:int>>,faces:array<struct<area:double>>>"
+    d = texts.select("mesh", F.from_json("value", kind).alias("d"))
+    total = F.aggregate("d.edges", F.lit(0.0), lambda a, e: a + e["length"])
+    return d.select("mesh", F.size("d.vertices").cast("long").alias("vertices"), F.size("d.edges").cast("long").alias("edges"), F.size("d.faces").cast("long").alias("faces"), F.round(total, 6).alias("length"))
+
+
 def cluster_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The convex clusters of the cubes as outward meshes: faces, planes, volume and area."""
     v, t = _cubes(spark, sf_dir)
@@ -787,6 +850,12 @@ def swept_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("frame_id").agg(F.count(F.lit(1)).alias("planes"), F.sum("offset").alias("offsets"), F.sum(F.abs("nx") + F.abs("ny") + F.abs("nz")).alias("normals"))
 
 
+def hull_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Convex clusters of single boxes: however the octree cuts a box, its hull is the box."""
+    c = hulls.approximate_frames(_boxes_of_nations(spark, sf_dir), h=H)
+    return c.select("frame_id", "voxels", F.size("planes").alias("planes"), "volume", "bound")
+
+
 def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of one to three cells in their text forms, simplified, with their sizes, after a round trip through JSON."""
     k = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
@@ -828,6 +897,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_patches": line_patches,
     "patch_corners": patch_corners,
     "support_planes": support_planes,
+    "support_patches": support_patches,
+    "registry_check": registry_check,
     "canonical_cells": canonical_cells,
     "cell_box_sums": cell_box_sums,
     "octree_levels": octree_levels,
@@ -857,6 +928,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clearance": clearance,
     "box_clearance": box_clearance,
     "box_spheres": box_spheres,
+    "frame_audit": frame_audit,
+    "exported_audit": exported_audit,
     "box_values": box_values,
     "box_programs": box_programs,
     "exported_sign": exported_sign,
@@ -879,12 +952,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wilson_ci": wilson_ci,
     "voxel_reservoir": voxel_reservoir,
     "depth_camera": depth_camera,
+    "case_suite": case_suite,
     "mesh_volume": mesh_volume,
     "mesh_edges": mesh_edges,
     "mesh_coplanar": mesh_coplanar,
     "mesh_validity": mesh_validity,
     "points_in_tets": points_in_tets,
     "cluster_meshes": cluster_meshes,
+    "mesh_sides": mesh_sides,
+    "mesh_documents": mesh_documents,
     "points_in_mesh": points_in_mesh,
     "tet_neighbours": tet_neighbours,
     "cluster_tree": cluster_tree,
@@ -899,6 +975,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jet_smoothing": jet_smoothing,
     "tet_clusters": tet_clusters,
     "swept_hulls": swept_hulls,
+    "hull_approximation": hull_approximation,
     "tree_texts": tree_texts,
     "zero_set": zero_set,
 }

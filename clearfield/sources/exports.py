@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import arrangement, boundary
+from ..operators import arrangement, boundary, meshes
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -84,6 +85,30 @@ def program_json(programs: DataFrame) -> DataFrame:
     return programs.select("frame_id", "program").mapInPandas(run, "frame_id long, json string")
 
 
+def mesh_documents(vertices: DataFrame, faces: DataFrame, by: Callable[[Column], Column]) -> DataFrame:
+    """One JSON document a mesh: vertices, edges with length and the faces on both sides (-1 for none), faces with their plane.
+
+    by: the mesh of a vertex number. A mesh is metadata of its points, so its lists fit a row.
+    """
+
+    def of(name: str) -> Column:
+        return by(F.col(name))
+
+    e = meshes.edges(faces)
+    for c in ("a", "b"):
+        e = e.join(vertices.select(F.col("vertex_id").alias(c), *[F.col(k).alias(f"{c}{k}") for k in "xyz"]), c)
+    span = F.sqrt(sum(((F.col(f"b{k}") - F.col(f"a{k}")) * (F.col(f"b{k}") - F.col(f"a{k}")) for k in "yz"), (F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax"))))
+    listed = [
+        vertices.groupBy(of("vertex_id").alias("mesh")).agg(F.array_sort(F.collect_list(F.struct("vertex_id", "x", "y", "z"))).alias("vertices")),
+        e.withColumn("length", span).groupBy(of("a").alias("mesh")).agg(F.array_sort(F.collect_list(F.struct("a", "b", "length", "left", "right"))).alias("edges")),
+        meshes.face_planes(vertices, faces).join(faces.select("face_id", "v"), "face_id").withColumn("first", F.get("v", F.lit(0))).groupBy(of("first").alias("mesh")).agg(
+            F.array_sort(F.collect_list(F.struct("face_id", "v", "nx", "ny", "nz", "d", "area"))).alias("faces")
+        ),
+    ]
+    joined = listed[0].join(listed[1], "mesh").join(listed[2], "mesh")
+    return joined.select("mesh", F.to_json(F.struct(F.lit(1).alias("schema"), "vertices", "edges", "faces")).alias("value"))
+
+
 def clearance_documents(distances: DataFrame) -> DataFrame:
     """One JSON document a frame and configuration with its groups in order of their joints."""
     group = F.struct("link_index", "joint", "distance", "hard_min", "nearest_sphere", "spheres", "bound", "gradient")
@@ -111,4 +136,4 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{t['path']}") for name, t in json.loads(text)["tables"].items()}
 
 
-__all__ = ["clearance_documents", "patch_mesh", "program_json", "read_bundle", "write_bundle", "write_clouds", "write_text", "write_voxels", "xyz_lines"]
+__all__ = ["clearance_documents", "mesh_documents", "patch_mesh", "program_json", "read_bundle", "write_bundle", "write_clouds", "write_text", "write_voxels", "xyz_lines"]

@@ -7,6 +7,7 @@ from clearfield.__main__ import parser, run
 from clearfield.operators import robot, voxels
 from clearfield.sources import exports, shapes
 from clearfield.sources.points import parse_ply
+from clearfield.streaming.manifest import parse_manifest
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def cloud(spark, tmp_path_factory):
     return str(path), voxels.voxelize(scene, 0.05).count()
 
 
-@pytest.mark.parametrize("command", ["voxelize", "boundary", "octree", "sweep", "function", "clearance"])
+@pytest.mark.parametrize("command", ["voxelize", "boundary", "octree", "sweep", "hull", "function", "diagnose", "distance", "clearance", "camera"])
 def test_commands(spark, cloud, tmp_path, command):
     path, n = cloud
     (tmp_path / "r.urdf").write_text(robot.DEMO_URDF)
@@ -28,6 +29,10 @@ def test_commands(spark, cloud, tmp_path, command):
     made = run(spark, parser().parse_args(argv))
     tables = exports.read_bundle(spark, out)
     assert made["command"] == command and all(t.count() for t in tables.values())
+    if command == "hull":
+        assert tables["clusters"].agg(F.sum("voxels")).first()[0] == n and tables["clusters"].count() < tables["size"].first()["cells"]
+    if command == "diagnose":
+        assert tables["diagnostics"].agg(F.sum("mismatches")).first()[0] == 0
     if command == "voxelize":
         assert tables["voxels"].count() == n
     if command == "sweep":
@@ -38,6 +43,40 @@ def test_commands(spark, cloud, tmp_path, command):
         assert tables["distances"].where(F.col("hard_min") < F.col("distance")).count() == 0
 
 
+@pytest.mark.parametrize("how", ["voxel", "jet"])
+def test_preprocessing(spark, cloud, tmp_path, how):
+    path, n = cloud
+    out = f"file://{tmp_path}/out"
+    run(spark, parser().parse_args(["voxelize", "--cloud", path, "--output", out, "--voxel-size", "0.05", "--preprocess", how]))
+    assert 0 < exports.read_bundle(spark, out)["voxels"].count() <= 1.2 * n
+
+
+def test_stream(spark, tmp_path, capsys):
+    """Four frames, the third equal to the second in occupancy: false, false, true, false; with room for two, true at last."""
+    (tmp_path / "r.urdf").write_text(robot.DEMO_URDF)
+    clouds = {"a": "0.61 0.02 0.03\n0.62 0.12 0.33\n", "b": "0.61 0.02 0.03\n", "c": "# moved in its voxel\n0.63 0.01 0.04\n0.61 0.02 0.03\n"}
+    for name, text in clouds.items():
+        (tmp_path / f"{name}.xyz").write_text(text)
+    lines = ["# frames", "", *(f"{tmp_path}/{c}.xyz\tfile://{tmp_path}/{i}.json" + ("\t0.1,0.2,0.3\r" if i == 1 else "") for i, c in enumerate("abca"))]
+    (tmp_path / "m.txt").write_text("\n".join(lines) + "\n")
+    base = ["stream", "--manifest", str(tmp_path / "m.txt"), "--urdf", str(tmp_path / "r.urdf"), "--q", "0,0,0", "--voxel-size", "0.05"]
+    assert run(spark, parser().parse_args(base)) == {"command": "stream", "frames": 4, "hits": 1}
+    status = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["cache_hit"] for x in status] == [False, False, True, False] and all(x["outside"] == 0 for x in status)
+    one, two, three = (json.loads((tmp_path / f"{i}.json").read_text()) for i in (0, 1, 3))
+    assert one["groups"] == three["groups"] != two["groups"] and [g["joint"] for g in one["groups"]] == ["turn", "lift", "swing"]
+    assert run(spark, parser().parse_args([*base, "--reuse", "2"]))["hits"] == 2
+    for limit in ("points", "voxels", "cells", "nodes", "strata"):
+        with pytest.raises(Exception, match=f"more than 1 {limit}"):
+            run(spark, parser().parse_args([*base, f"--most-{limit}", "1"]))
+
+
+@pytest.mark.parametrize("line", ["one", "a\tb\tc\td", "\tb", "a\tb\t1,x"])
+def test_bad_manifests(line):
+    with pytest.raises(ValueError, match="line 2"):
+        parse_manifest(f"# x\n{line}\n")
+
+
 def test_bad_commands(spark, cloud, tmp_path):
     path, _ = cloud
     base = ["--cloud", path, "--output", f"file://{tmp_path}/x"]
