@@ -235,6 +235,61 @@ def cluster_faces(tets: DataFrame, clusters: DataFrame, vertices: DataFrame) ->
     return out.select("frame_id", "cluster_id", *[f"a{k}" for k in "xyz"], *ends)
 
 
+def points_in_clusters(points: DataFrame, triangles: DataFrame) -> DataFrame:
+    """points, all columns, with q: the least over their frame's clusters of the greatest of their faces' planes.
+
+    triangles: frame_id, cluster_id, ax .. cz, turned outward; a convex cluster holds a point iff its value is <= 0.
+    """
+
+    def compute(pts: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
+        x, of, corners = pts[["x", "y", "z"]].to_numpy(dtype=np.float64), t[:, 0], t[:, 1:].reshape(-1, 3, 3)
+        n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+        n /= np.linalg.norm(n, axis=1)[:, None]
+        offset = np.einsum("mi,mi->m", n, corners[:, 0])
+        best = np.full(len(x), np.inf)
+        for c in np.unique(of):
+            mine, worst = np.flatnonzero(of == c), np.full(len(x), -np.inf)
+            for s in range(0, len(mine), 256):
+                at = mine[s : s + 256]
+                worst = np.maximum(worst, (x @ n[at].T - offset[at]).max(axis=1))
+            best = np.minimum(best, worst)
+        return {"q": best}
+
+    return meet(points, packed(triangles, ["cluster_id", *_CORNERS]), unpacked(10), compute, "q double")
+
+
+def support_planes(triangles: DataFrame, angle: float = 0.0) -> DataFrame:
+    """Fewer planes of convex clusters: frame_id, cluster_id, nx, ny, nz, offset, faces, area.
+
+    triangles: frame_id, cluster_id, ax .. cz, turned outward. Faces are taken by area, largest first, and join
+    the first plane whose normal is within ``angle`` (radians) of theirs; at 0 those of one plane are one, exactly
+    but for rounding. A plane's normal is that of its faces, weighted by area; its offset is the greatest of all
+    corners of the cluster, so that the planes hold the whole cluster: nothing is cut off, something may be added.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        corners = frame[_CORNERS].to_numpy(dtype=np.float64).reshape(-1, 3, 3)
+        n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+        area = np.linalg.norm(n, axis=1) / 2
+        unit, points = n / (2 * area)[:, None], corners.reshape(-1, 3)
+        least, sums, firsts, members = np.cos(angle) - 1e-12, [], [], []
+        for i in sorted(range(len(n)), key=lambda i: (-round(area[i], 12), *np.round(unit[i], 12))):
+            k = next((k for k, first in enumerate(firsts) if unit[first] @ unit[i] >= least), None)
+            if k is None:
+                firsts.append(i), sums.append(n[i].copy()), members.append([i])
+            else:
+                sums[k] += n[i]
+                members[k].append(i)
+        head, out = frame.iloc[0], []
+        for total, mine in zip(sums, members, strict=True):
+            normal = total / np.linalg.norm(total)
+            out.append((head["frame_id"], head["cluster_id"], *normal, float((points @ normal).max()), len(mine), float(area[mine].sum())))
+        return pd.DataFrame(out, columns=["frame_id", "cluster_id", "nx", "ny", "nz", "offset", "faces", "area"])
+
+    schema = "frame_id long, cluster_id long, nx double, ny double, nz double, offset double, faces long, area double"
+    return triangles.groupBy("frame_id", "cluster_id").applyInPandas(run, schema)
+
+
 def validity(faces: DataFrame, by: list[str]) -> DataFrame:
     """By mesh: faces, edges, edges not used twice, and edges used twice in the same direction (0, 0 for a closed, oriented mesh).
 

@@ -12,8 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .boundary import numbered_within
 from .meet import box_values, meet, packed, unpacked
 from .voxels import AXES, bounds
 
@@ -97,8 +97,7 @@ def rectangular_cells(voxels: DataFrame) -> DataFrame:
 
 def number_cells(found: DataFrame) -> DataFrame:
     """cells with cell_id, from 0 in each frame, by lower corner."""
-    order = Window.partitionBy("frame_id").orderBy("lox", "loy", "loz")
-    return found.withColumn("cell_id", F.row_number().over(order) - 1)
+    return numbered_within(found, ["frame_id"], ["lox"], ["loy", "loz"], "cell_id")
 
 
 def box_planes(found: DataFrame, h: float) -> DataFrame:
@@ -114,8 +113,7 @@ def box_planes(found: DataFrame, h: float) -> DataFrame:
 def shared_leaves(planes: DataFrame) -> DataFrame:
     """Distinct planes of a frame with leaf_id, their references and the cells that use them first."""
     found = planes.groupBy("frame_id", "axis", "sign", "coord").agg(F.count(F.lit(1)).alias("references"), F.min("cell_id").alias("first_cell"))
-    order = Window.partitionBy("frame_id").orderBy("first_cell", "axis", "sign")
-    return found.withColumn("leaf_id", F.row_number().over(order) - 1)
+    return numbered_within(found, ["frame_id"], [F.floor(F.col("first_cell") / 1024)], ["first_cell", "axis", "sign"], "leaf_id")
 
 
 def union_values(points: DataFrame, found: DataFrame, h: float) -> DataFrame:

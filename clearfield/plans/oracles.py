@@ -353,7 +353,10 @@ ORACLE_SQL: dict[str, str] = {
     "mesh_sides": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation),
       p AS (SELECT s_suppkey % 5 / 4.0::DOUBLE AS x, s_suppkey % 7 / 6.0::DOUBLE AS y, s_suppkey % 3 / 2.0::DOUBLE AS z FROM supplier),
       k AS (SELECT frame_id, x <= s AND y <= s AND z <= s AS closed, x > 0 AND x < s AND y > 0 AND y < s AND z > 0 AND z < s AS "open" FROM p, c)
-      SELECT frame_id, count(*) FILTER ("open") AS bounded, count(*) FILTER (closed AND NOT "open") AS boundary, count(*) FILTER (NOT closed) AS unbounded, 0::BIGINT AS differing FROM k GROUP BY frame_id""",
+      SELECT frame_id, count(*) FILTER ("open") AS bounded, count(*) FILTER (closed AND NOT "open") AS boundary, count(*) FILTER (NOT closed) AS unbounded,
+      count(*) FILTER (closed) AS in_tets, count(*) FILTER (closed) AS in_planes, 0::BIGINT AS differing FROM k GROUP BY frame_id""",
+    "reduced_planes": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation)
+      SELECT frame_id, 6::BIGINT AS planes, 12::BIGINT AS faces, round(3 * s, 9) AS offsets, round(6 * s * s, 9) AS area FROM c""",
     "mesh_documents": f"""WITH {_PRISM_SIZES}, t AS (SELECT *, 2 * r * sin(pi() / n) AS side FROM m)
       SELECT mesh, 2 * n AS vertices, 6 * n - 6 AS edges, 4 * n - 4 AS faces, round(2 * n * side + n + n * sqrt(1 + side * side) + 2 * coalesce((SELECT sum(2 * r * sin(pi() * i / n)) FROM (SELECT unnest(range(2, n - 1)) AS i)), 0), 6) AS length FROM t""",
     "cluster_meshes": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation)

@@ -693,17 +693,27 @@ def points_in_tets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mesh_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as points by side of each cube's outer mesh, and those off its boundary where mesh and tetrahedra differ."""
+    """Suppliers as points by side of each cube's outer mesh, and how many the tetrahedra and the planes hold, and those off the boundary where they differ."""
     v, t = (written(x) for x in _cubes(spark, sf_dir))
     m = written(meshes.cluster_faces(t, t.select("frame_id", "tet_id", F.lit(0).alias("cluster_id")), v))
     k = F.col("s_suppkey")
     p = _spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")).select(k.alias("point_id"), (k % 5 / 4.0).alias("x"), (k % 7 / 6.0).alias("y"), (k % 3 / 2.0).alias("z"))
     placed = meshes.sides(p.crossJoin(t.select("frame_id").distinct()), m, 1e-9)
-    both = meshes.points_in_tets(placed, v, t)
+    both = meshes.points_in_clusters(meshes.points_in_tets(placed, v, t), m)
+    off, held = F.col("side") != "boundary", F.col("side") == "bounded"
     return both.groupBy("frame_id").agg(
         *[F.count_if(F.col("side") == s).alias(s) for s in ("bounded", "boundary", "unbounded")],
-        F.count_if((F.col("side") != "boundary") & ((F.col("side") == "bounded") != (F.col("tets") > 0))).alias("differing"),
-    )
+        F.count_if(F.col("tets") > 0).alias("in_tets"), F.count_if(F.col("q") <= 1e-9).alias("in_planes"),
+        F.count_if(off & ((held != (F.col("tets") > 0)) | (held != (F.col("q") < 0)))).alias("differing"),
+    )
+
+
+def reduced_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support planes of the cubes' twelve faces: one a side, at 0 or at the side's length."""
+    v, t = (written(x) for x in _cubes(spark, sf_dir))
+    m = meshes.cluster_faces(t, t.select("frame_id", "tet_id", F.lit(0).alias("cluster_id")), v)
+    p = meshes.support_planes(m, 0.01)
+    return p.groupBy("frame_id").agg(F.count(F.lit(1)).alias("planes"), F.sum("faces").alias("faces"), F.round(F.sum("offset"), 9).alias("offsets"), F.round(F.sum("area"), 9).alias("area"))
 
 
 def mesh_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -960,6 +970,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "points_in_tets": points_in_tets,
     "cluster_meshes": cluster_meshes,
     "mesh_sides": mesh_sides,
+    "reduced_planes": reduced_planes,
     "mesh_documents": mesh_documents,
     "points_in_mesh": points_in_mesh,
     "tet_neighbours": tet_neighbours,

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clearfield.operators import hulls
+from clearfield.operators import hulls, meshes
 from clearfield.operators.clusters import hull_planes, hull_volume
 from clearfield.sources import suite
 
@@ -61,6 +61,27 @@ def test_distance_certificate():
     assert hulls.certify_distance(((0, 0, 0), (4, 1, 1)), planes, boxes, 1.01, 1)[0] == "work"
 
 
+@pytest.mark.parametrize("angle", [0.0, 0.3, 1.0])
+def test_support_planes_hold_the_cluster(spark, angle):
+    """A ball of triangles: fewer planes the wider the angle, and never a corner beyond one."""
+    rows, n = [], 12
+    at = [[(np.sin(np.pi * i / n) * np.cos(2 * np.pi * j / n), np.sin(np.pi * i / n) * np.sin(2 * np.pi * j / n), np.cos(np.pi * i / n)) for j in range(n)] for i in range(n + 1)]
+    for i in range(n):
+        for j in range(n):
+            a, b, c, d = at[i][j], at[i + 1][j], at[i + 1][(j + 1) % n], at[i][(j + 1) % n]
+            rows += [(0, 0, *map(float, (*p, *q, *r))) for p, q, r in ((a, b, c), (a, c, d)) if np.linalg.norm(np.cross(np.subtract(q, p), np.subtract(r, p))) > 1e-9]
+    names = [f"{c}{k}" for c in "abc" for k in "xyz"]
+    df = spark.createDataFrame(rows, "frame_id long, cluster_id long, " + ", ".join(f"{c} double" for c in names))
+    got = meshes.support_planes(df, angle).collect()
+    points = np.array(rows)[:, 2:].reshape(-1, 3)
+    assert sum(r.faces for r in got) == len(rows) and all((points @ [r.nx, r.ny, r.nz]).max() <= r.offset + 1e-12 for r in got)
+    assert all(np.dot([r.nx, r.ny, r.nz], [r.nx, r.ny, r.nz]) == pytest.approx(1) for r in got)
+    # Trapezia of two triangles each, and the triangles at the poles.
+    assert len(got) == n * n if angle == 0 else len(got) < n * n / 2
+    inside = spark.createDataFrame([(0, k, *(0.98 * x for x in p)) for k, p in enumerate(points[:50].tolist())], "frame_id long, k long, x double, y double, z double")
+    assert meshes.points_in_clusters(inside, df).where("q > 0").count() == 0
+
+
 def test_scene_and_suite(spark):
     cases = suite.suite(spark)
     assert len(cases) == 20 and len({c.name for c in cases}) == 20 and cases[0].points.count() > 100
