@@ -1,4 +1,8 @@
-"""From raw documents to token ids: language, near copies, repeated passages, mix of sources, encoding."""
+"""From raw documents to token ids: language, near copies, repeated passages, mix of sources, encoding.
+
+Every stage takes all columns of documents and gives them back under their names, further ones too, but for the
+last, which gives ids. An empty table stays empty through all of them; texts of any length are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -16,22 +20,39 @@ from clearfield.llm.substring import cut_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, with the language identified."""
+    """Documents in a known language, with the language identified.
+
+    Null, empty and letterless texts go, and those that noise explains better than every language; a null lang
+    or source is no evidence; repeated rows are kept as often as they are there. Without any labelled row
+    nothing is known, and nothing stays. A tie goes to the first language by code point.
+    """
     return keep_known(docs, fit_text_model(docs.select("text", "lang")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    The smallest doc_id of a group stays; rows that share it are one document, the first by text. Texts
+    without words are alike to nothing and stay, so do rows without a doc_id.
+    """
     return keep_one(docs, percent=80, words=5)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 35 words and more that occur again."""
+    """Documents without the passages of 35 words and more that occur again.
+
+    Every row stays, also one that loses all its words; a null text stays null. Repeated rows, if there are any,
+    are each other's repeats.
+    """
     return cut_repeats(docs, window=35)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them, in training order."""
+    """Whole documents as often as the mix takes them, in training order.
+
+    Documents without words are not taken. A null source is a source of its own, last in order; ties in
+    position go by doc_id.
+    """
     return training_order(docs).select(*docs.columns)
 
 
@@ -51,7 +72,10 @@ def in_written_order(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with place: its rank key in training order."""
+    """Token ids of every document of the mix, with place: its rank key in training order.
+
+    A null or empty text has no tokens; each copy of a document is a row.
+    """
     placed = in_written_order(docs.select("doc_id", "source", "lang", "text"), docs)
     return encode_documents(placed, tokenizer_path()).select("doc_id", "source", "lang", "n_tokens", "ids", "place")
 
