@@ -320,7 +320,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with n_tokens, ids (token ids of the whole text) and decoded (their text).
 
     docs needs text; other columns are kept unless they have one of the new names. A null text counts
-    as empty: no tokens and an empty decoded text.
+    as empty: no tokens and an empty decoded text. A text of any length is encoded whole, by one task;
+    repeated rows are rows; an empty table gives an empty result.
     """
     return _encode(docs, path, False)
 
@@ -329,7 +330,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256 in place of what encode_documents adds.
 
     The digests are of the decimal ids joined by one space and of the decoded text, in UTF-8. A null
-    text counts as empty.
+    text counts as empty; for the rest see ``encode_documents``.
     """
     return _encode(docs, path, True)
 

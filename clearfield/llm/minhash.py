@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Durable, components, lists_of, mix, shingle_sets
+from .common import Durable, components, free_prefix, lists_of, mix, shingle_sets
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, small: i
     docs needs doc_id and text; other columns, whatever their names, are ignored. A null or empty
     text, or one of white space, has an empty set, is linked with nothing and is its own component.
     Rows that share a doc_id are one node: they get one component, by the links of any of them. A row
-    whose doc_id is null is returned with a null component and kept.
+    whose doc_id is null is returned with a null component and kept. An empty table gives an empty result.
+
+    Shingles are compared as 64-bit hashes, on full sets too: among 10^9 distinct shingles a collision is likely
+    somewhere, and its effect is one shingle more in common in the pairs that hold both.
     """
     spark = docs.sparkSession
     store = Durable(spark)
@@ -198,12 +201,13 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     stays. Rows without a doc_id stay.
     """
     found = near_duplicates(docs, percent, words)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    twice = kept.groupBy("__id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("__id")
+    id_ = free_prefix(docs.columns) + "id"
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias(id_))
+    twice = kept.groupBy(id_).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(id_)
     known = docs.where("doc_id is not null")
-    unique = known.join(kept.join(twice, "__id", "left_anti"), F.col("doc_id") == F.col("__id"), "left_semi")
+    unique = known.join(kept.join(twice, id_, "left_anti"), F.col("doc_id") == F.col(id_), "left_semi")
     if not twice.isEmpty():
-        again = known.join(twice, F.col("doc_id") == F.col("__id"), "left_semi")
+        again = known.join(twice, F.col("doc_id") == F.col(id_), "left_semi")
         row = F.struct(F.coalesce("text", F.lit("")), *[F.col(f"`{c}`") for c in docs.columns])
         unique = unique.unionByName(again.groupBy("doc_id").agg(F.min(row).alias("r")).select(*[F.col(f"r.`{c}`") for c in docs.columns]))
     return unique.unionByName(docs.where("doc_id is null"))
