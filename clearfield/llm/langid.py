@@ -112,14 +112,25 @@ def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed:
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     drawn = rows.select("lang", "text", F.xxhash64("text", F.lit(seed)).alias("draw"))
-    order = Window.partitionBy("lang").orderBy("draw")
-    # The limit on the rank is pushed below the shuffle, so that no language is gathered whole.
-    least = drawn.select("lang", "draw").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    cuts = {r["lang"]: r["cut"] for r in least.groupBy("lang").agg(F.max("draw").alias("cut")).limit(most_languages + 1).collect()}
-    if len(cuts) > most_languages:
+    known = Durable(labelled.sparkSession).put("draws", drawn.select("lang", "draw").distinct())
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(totals) > most_languages:
         raise ValueError(f"more than {most_languages} labelled languages")
-    if not cuts:
+    if not totals:
         return TextModel((), np.zeros((SLOTS, 1)))
+    # Draws spread evenly over all numbers, so a share of them that is four times too large holds the smallest ones;
+    # only these are ranked, and no language is gathered whole. Where it held too few, the share would be doubled.
+    wide, shares = 4.0, {}
+    while True:
+        shares = {lang: min(1.0, wide * per_language / n) for lang, n in totals.items()}
+        share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+        near = known.where((F.col("draw").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) <= share)
+        least = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("r") <= per_language)
+        found = {r["lang"]: r for r in least.groupBy("lang").agg(F.max("draw").alias("cut"), F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+        if all(shares[x] == 1.0 or (x in found and found[x]["n"] == per_language) for x in totals):
+            break
+        wide *= 2
+    cuts = {lang: found[lang]["cut"] for lang in totals}
     bounds = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
     picked = drawn.where(F.col("draw") <= F.element_at(bounds, F.col("lang"))).groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
