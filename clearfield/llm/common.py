@@ -130,11 +130,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Whole texts of an Arrow string column in runs of about CHUNK_BYTES.
+def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Whole texts of an Arrow string column in runs of about ``most`` bytes.
 
     Yields (first row, end row, bytes, offsets); null counts as empty. A text longer than
-    CHUNK_BYTES is a run of its own, never cut.
+    that is a run of its own, never cut.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -147,14 +147,14 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each document the number of its first word."""
-    inside = ~_IS_SPACE[raw]
+def word_bounds(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each document the number of its first word; outside: which bytes part words."""
+    inside = ~outside[raw]
     before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
     before[1:] = inside[:-1]
     after[:-1] = inside[1:]

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .chat import format_conversations, loss_text, read_back
+from .clusters import cluster_vectors
+from .collocations import collocations
 from .common import Durable, n_words
 from .embed_dedup import near_vectors
 from .langid import fit_text_model, identify_pages
+from .lines import remove_common_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .sharding import shard
@@ -134,6 +137,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 components around 40 centroids, after 5 rounds."""
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt=2)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten of them or more share."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_common_lines(docs, least=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest collocations of each language over all documents."""
+    return collocations(_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, percent=100)
+
+
 #: Tokenizer versions of op10 and their files.
 TOKENIZERS = {"byte": "byte_bpe_50k.tiktoken", "multi": "byte_bpe_multi_50k.tiktoken"}
 
@@ -201,6 +220,63 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s GROUP BY conv_id
 """
 
+_VECTORS = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM v WHERE vec_id IS NOT NULL QUALIFY c < 40)"""
+_ASSIGNED = """,
+a{0} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(d * 64 + c) % 64 AS cluster, min(d * 64 + c) // 64 AS distance FROM (
+  SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{0}) GROUP BY vec_id)"""
+_MOVED = """,
+s{0} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{0}) GROUP BY ALL),
+c{1} AS MATERIALIZED (SELECT c, coalesce(t.m, c{0}.m) AS m
+  FROM c{0} LEFT JOIN (SELECT cluster, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{0} GROUP BY cluster) t ON c = cluster)"""
+_OP11 = (
+    _VECTORS
+    + "".join(_ASSIGNED.format(i) + _MOVED.format(i, i + 1) for i in range(5))
+    + _ASSIGNED.format(5)
+    + """
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.m, ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.c = a5.cluster
+"""
+)
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP12 = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM t),
+k AS (SELECT *, trim({_LOWER.format("line")}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+f AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+_OP13 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM p),
+g AS (SELECT lang, unnest(list_transform(range(1, len(words) + 2 - m), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS phrase, m
+  FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(words) >= m),
+f AS MATERIALIZED (SELECT lang, phrase, m, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, m, n AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND n >= 100),
+i AS (SELECT lang, a, array_to_string(words[s:s + q - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - q + 2)) AS s
+  FROM (SELECT *, unnest(range(2, m)) AS q FROM c))),
+h AS (SELECT lang, phrase, max(a) AS held FROM i GROUP BY ALL),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c LEFT JOIN h ON c.lang = h.lang AND c.phrase = h.phrase WHERE held IS NULL OR 100 * held < 100 * a),
+s AS (SELECT k.lang, k.phrase, a, x.n AS l, y.n AS r, t.n AS n, k, (1000::HUGEINT * a * t.n) // (x.n::HUGEINT * y.n) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.words[1:k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.words[k + 1:k.m], ' ') JOIN t ON t.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -212,5 +288,11 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_clusters": op11_clusters,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_collocations": op13_collocations,
 }
-ORACLE_SQL = {"op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9}
+ORACLE_SQL = {
+    "op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9,
+    "op11_clusters": _OP11, "op12_line_dedup": _OP12, "op13_collocations": _OP13,
+}
