@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import arrangement, audit, boundary, clusters, hulls, octree, robot, voxels
+from .operators import arrangement, audit, boundary, clusters, hulls, octree, robot, sweep, voxels
 from .operators.boundary import numbered_within
 from .sources import exports, shapes
 from .sources.points import read_cloud
@@ -31,6 +32,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fill-distance", type=float, default=1.0, help="hull: distance of added points from boxes, in voxels")
     p.add_argument("--views", type=int, default=10, help="camera: views")
     p.add_argument("--sweep", choices=["x", "y", "z", "best-axis"], default="best-axis")
+    limits = sweep.Limits()
+    p.add_argument("--max-cells", type=int, default=limits.cells, help="sweep: compressed cells of a frame beyond which it falls back to its obstacles")
+    p.add_argument("--max-updates", type=int, default=limits.updates, help="sweep: cells covered by events of an axis, likewise")
+    p.add_argument("--max-prisms", type=int, default=limits.prisms, help="sweep: free rectangles of an axis, likewise")
+    p.add_argument("--max-passes", type=int, default=4, help="sweep: rounds of merging")
     p.add_argument("--urdf")
     p.add_argument("--q", help="joint values, comma separated; several configurations by semicolons")
     p.add_argument("--margin", type=float, default=0.0)
@@ -76,14 +82,16 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         found = octree.rectangular_cells(v)
         tables = {"levels": octree.levels(v), "cells": octree.number_cells(found), "planes": octree.box_planes(found, h), "size": octree.tree_size(found)}
     elif a.command == "sweep":
-        free = boundary.free_cells(cells, coords)
-        if a.sweep == "best-axis":
-            best = boundary.best_axis(free)
-            made = [boundary.free_prisms(free, k).withColumn("axis", F.lit(k)).join(best.select("frame_id", "axis"), ["frame_id", "axis"], "left_semi") for k in range(3)]
-            prisms = made[0].unionByName(made[1]).unionByName(made[2])
-        else:
-            prisms = boundary.free_prisms(free, "xyz".index(a.sweep))
-        tables = {"prisms": prisms, "supports": planes}
+        patched = staged("patches", boundary.patches(faces))
+        limits = sweep.Limits(a.max_cells, a.max_updates, a.max_prisms)
+        axes = range(3) if a.sweep == "best-axis" else ["xyz".index(a.sweep)]
+        spaces = [sweep.free_space(patched, coords, k, limits, a.max_passes) for k in axes]
+        best = staged("selection", sweep.best_axis(spaces, v))
+        made = [s.prisms.withColumn("axis", F.lit(s.axis)) for s in spaces]
+        status = [s.status.withColumn("axis", F.lit(s.axis)) for s in spaces]
+        prisms = reduce(DataFrame.unionByName, made).join(best.where("not fallback").select("frame_id", "axis"), ["frame_id", "axis"], "left_semi")
+        obstacles = sweep.obstacle_boxes(v, best.where("fallback"))
+        tables = {"selection": best, "candidates": reduce(DataFrame.unionByName, status), "prisms": prisms, "obstacles": obstacles, "supports": planes, "patches": patched}
     elif a.command == "hull":
         found = hulls.approximate_frames(v, hulls.Budget(a.inflation, a.fill_distance), h)
         tables = {"clusters": found, "size": octree.tree_size(octree.rectangular_cells(v))}

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.staging import written
 from .meet import box_values, meet, packed, unpacked
 from .voxels import AXES, KEY
 
@@ -152,23 +151,66 @@ def cells(voxels: DataFrame, coords: DataFrame) -> DataFrame:
     return sized.select(*at, "voxels", "wx", "wy", "wz", (F.col("voxels") == F.col("wx") * F.col("wy") * F.col("wz")).alias("full"))
 
 
-def box_sums(found: DataFrame) -> DataFrame:
-    """cells with the inclusive three-dimensional prefix sum of occupied cells, by three running sums.
+def _blocks_with(c: str, levels: int) -> Column:
+    """Dyadic blocks (level, number) that hold an index, of those that prefixes are made of: the even ones."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("l"), F.expr(f"cast({c} as long)").alias("at")))
+    placed = F.transform(every, lambda s: F.struct(s["l"].alias("l"), F.call_function("shiftright", s["at"], s["l"]).alias("b")))
+    return F.filter(placed, lambda s: s["b"].bitwiseAND(1) == 0)
+
+
+def _blocks_of(c: str, levels: int) -> Column:
+    """The dyadic blocks that the indices from 0 to c are made of: one for each bit of c + 1."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("l"), F.expr(f"cast({c} + 1 as long)").alias("at")))
+    placed = F.transform(every, lambda s: F.struct(s["l"].alias("l"), F.call_function("shiftright", s["at"], s["l"]).alias("b")))
+    return F.transform(F.filter(placed, lambda s: s["b"].bitwiseAND(1) == 1), lambda s: F.struct(s["l"].alias("l"), (s["b"] - 1).alias("b")))
+
+
+def dominance_counts(found: DataFrame, corners: DataFrame) -> DataFrame:
+    """corners (frame_id, cx, cy, cz), distinct, with ``prefix``: cells of the frame at or below the corner in every axis.
 
-    Only the grid lines that hold cells are walked: the dense grid is never built.
+    An offline sweep up z over a tree of dyadic blocks in x and y: a cell is listed in the blocks that hold it, a corner
+    in those that its prefix is made of, and within a block pair a running sum over z counts. That is n log^2 n rows for
+    n cells and corners, wherever they lie; no grid is built. Corners with a negative index have 0.
     """
-    occupied = found.select("frame_id", "cx", "cy", "cz")
-    xs, ys, zs = (occupied.select("frame_id", c).distinct() for c in ("cx", "cy", "cz"))
-    grid = xs.join(ys, "frame_id").join(zs, "frame_id").join(occupied.withColumn("o", F.lit(1)), ["frame_id", "cx", "cy", "cz"], "left")
-    total = grid.withColumn("s", F.coalesce("o", F.lit(0)).cast("long")).drop("o")
-    for a, (b, c) in {"cx": ("cy", "cz"), "cy": ("cx", "cz"), "cz": ("cx", "cy")}.items():
-        walk = Window.partitionBy("frame_id", b, c).orderBy(a).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        total = total.withColumn("s", F.sum("s").over(walk))
-    return total.withColumnRenamed("s", "prefix")
+    top = found.agg(*[F.max(c).alias(c) for c in ("cx", "cy")]).first()
+    asked = corners.select("frame_id", "cx", "cy", "cz").distinct()
+    if top["cx"] is None:
+        return asked.withColumn("prefix", F.lit(0).cast("long"))
+    lx, ly = (max(1, int(top[c])).bit_length() for c in ("cx", "cy"))
+    # Corners beyond all cells have the prefix of the last index.
+    placed = asked.where("cx >= 0 and cy >= 0").withColumn("qx", F.least("cx", F.lit(top["cx"]))).withColumn("qy", F.least("cy", F.lit(top["cy"])))
+    points = found.select("frame_id", F.explode(_blocks_with("cx", lx)).alias("x"), "cy", "cz").select("frame_id", "x", F.explode(_blocks_with("cy", ly)).alias("y"), "cz")
+    points = points.groupBy("frame_id", "x", "y", "cz").agg(F.count(F.lit(1)).alias("n"))
+    ask = placed.select("frame_id", "cx", "cy", "cz", F.explode(_blocks_of("qx", lx)).alias("x"), "qy").select("frame_id", "cx", "cy", "cz", "x", F.explode(_blocks_of("qy", ly)).alias("y"))
+    none = F.lit(None).cast(found.schema["cx"].dataType)
+    both = points.select("frame_id", "x", "y", "cz", none.alias("cx"), none.alias("cy"), "n").unionByName(ask.select("frame_id", "x", "y", "cz", "cx", "cy", F.lit(0).cast("long").alias("n")))
+    upward = Window.partitionBy("frame_id", "x", "y").orderBy("cz").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.withColumn("s", F.sum("n").over(upward)).where("cx is not null").groupBy("frame_id", "cx", "cy", "cz").agg(F.sum("s").alias("s"))
+    return asked.join(summed, ["frame_id", "cx", "cy", "cz"], "left").select("frame_id", "cx", "cy", "cz", F.coalesce("s", F.lit(0)).alias("prefix"))
+
+
+def box_sums(found: DataFrame) -> DataFrame:
+    """Each occupied cell with the number of cells at or below it in every axis: the prefix sums where they change."""
+    return dominance_counts(found, found)
+
+
+def box_counts(found: DataFrame, boxes: DataFrame) -> DataFrame:
+    """boxes (frame_id, lo*, hi* in cell indices, half open), distinct, with ``cells``: the occupied cells in each, by eight prefix sums."""
+    span = [f"{e}{c}" for e in ("lo", "hi") for c in "xyz"]
+    asked = boxes.select("frame_id", *span).distinct()
+    corners = [F.struct(*[(F.col(f"{'lh'[k >> i & 1]}{'oi'[k >> i & 1]}{c}") - 1).alias(f"c{c}") for i, c in enumerate("xyz")], F.lit((-1) ** (3 - k.bit_count())).alias("side")) for k in range(8)]
+    listed = asked.withColumn("k", F.explode(F.array(*corners))).select("frame_id", *span, "k.*")
+    sums = dominance_counts(found, listed)
+    met = listed.join(sums, ["frame_id", "cx", "cy", "cz"])
+    return met.groupBy("frame_id", *span).agg(F.sum(F.col("side") * F.col("prefix")).alias("cells"))
 
 
 def free_cells(found: DataFrame, coords: DataFrame) -> DataFrame:
-    """Bounded compressed cells that are not occupied, with their bounds lo*, hi* in voxels."""
+    """Bounded compressed cells that are not occupied, with their bounds lo*, hi* in voxels.
+
+    As many rows as a frame's grid of cells has: for the adjacency of single cells. Free space as such is the
+    sweep's (``operators.sweep``), whose size follows the patches.
+    """
     grid = coords
     for c in "xyz":
         grid = grid.withColumn(f"c{c}", F.explode(F.sequence(F.lit(1), F.size(f"p{c}") - 1)))
@@ -177,37 +219,6 @@ def free_cells(found: DataFrame, coords: DataFrame) -> DataFrame:
     return free.withColumns(bounds).drop("px", "py", "pz")
 
 
-def sweep_rectangles(free: DataFrame, axis: int) -> DataFrame:
-    """Free prisms of a sweep along an axis, before merging: each slab's free cells as rectangles.
-
-    Runs along one transverse axis join where the next row has the same run. Both orientations are
-    made and the one with fewer rectangles stays, runs along the second transverse axis on a tie.
-    """
-    s, u, v = (f"c{'xyz'[(axis + k) % 3]}" for k in range(3))
-    us, vs, ss = u[1], v[1], s[1]
-
-    def merged(row: str, col: str, turned: bool) -> DataFrame:
-        w = Window.partitionBy("frame_id", s, row).orderBy(col)
-        runs = (
-            free.withColumn("i", F.col(col) - F.row_number().over(w))
-            .groupBy("frame_id", s, row, "i")
-            .agg(*[f(x).alias(x) for f, x in ((F.min, f"lo{ss}"), (F.min, f"lo{us}"), (F.min, f"lo{vs}"), (F.max, f"hi{ss}"), (F.max, f"hi{us}"), (F.max, f"hi{vs}"))])
-        )
-        c = col[1]
-        stack = Window.partitionBy("frame_id", s, f"lo{c}", f"hi{c}").orderBy(row)
-        return (
-            runs.withColumn("i", F.col(row) - F.row_number().over(stack))
-            .groupBy("frame_id", s, f"lo{c}", f"hi{c}", "i")
-            .agg(*[f(x).alias(x) for f, x in ((F.min, f"lo{ss}"), (F.min, f"lo{row[1]}"), (F.max, f"hi{ss}"), (F.max, f"hi{row[1]}"))])
-            .select("frame_id", F.col(s).alias("slab"), *[f"{e}{c}" for e in ("lo", "hi") for c in "xyz"], F.lit(turned).alias("turned"))
-        )
-
-    both = merged(u, v, False).unionByName(merged(v, u, True))
-    count = both.groupBy("frame_id", "slab").agg(F.count_if(~F.col("turned")).alias("straight"), F.count_if(F.col("turned")).alias("across"))
-    best = count.select("frame_id", "slab", (F.col("across") < F.col("straight")).alias("turned"))
-    return both.join(best, ["frame_id", "slab", "turned"]).drop("turned")
-
-
 def merge_boxes(boxes: DataFrame, axis: int) -> DataFrame:
     """Boxes of one cross-section that touch along an axis become one: islands of hi == next lo."""
     a = "xyz"[axis]
@@ -223,23 +234,6 @@ def merge_boxes(boxes: DataFrame, axis: int) -> DataFrame:
     )
 
 
-def free_prisms(free: DataFrame, axis: int, passes: int = 4) -> DataFrame:
-    """Free prisms of a sweep along an axis, merged along x, y and z until nothing merges, ``passes`` rounds at most.
-
-    Each round is written, so that its plan does not grow with the rounds and its size says whether it is the last.
-    """
-    boxes = written(sweep_rectangles(free, axis).drop("slab"))
-    n = boxes.count()
-    for _ in range(passes):
-        for k in range(3):
-            boxes = merge_boxes(boxes, k)
-        boxes, before = written(boxes), n
-        n = boxes.count()
-        if n == before:
-            break
-    return boxes
-
-
 def prism_adjacency(prisms: DataFrame) -> DataFrame:
     """Pairs of free prisms that touch in a face: axis, lower corners (fx .. of the one before, tx .. of the one after), the area shared, and its place.
 
@@ -258,19 +252,6 @@ def prism_adjacency(prisms: DataFrame) -> DataFrame:
     return numbered_within(out, ["frame_id"], [-F.col("area")], ["axis", *[f"{n}{d}" for n in "ft" for d in "xyz"]], "place")
 
 
-def best_axis(free: DataFrame, passes: int = 4) -> DataFrame:
-    """The sweep axis of fewest prisms for each frame, the first on a tie, with its tree's size.
-
-    A tree of n boxes and the six outer halfspaces has 7 n + 7 nodes and 6 n + 6 leaf references.
-    """
-    counts = None
-    for axis in range(3):
-        one = free_prisms(free, axis, passes).groupBy("frame_id").agg(F.count(F.lit(1)).alias("prisms")).withColumn("axis", F.lit(axis))
-        counts = one if counts is None else counts.unionByName(one)
-    best = counts.groupBy("frame_id").agg(F.min(F.struct("prisms", "axis")).alias("b"))
-    return best.select("frame_id", "b.axis", "b.prisms", (7 * F.col("b.prisms") + 7).alias("nodes"), (6 * F.col("b.prisms") + 6).alias("leaf_references"))
-
-
 def closed_free(points: DataFrame, prisms: DataFrame, coords: DataFrame, h: float) -> DataFrame:
     """points with ``q_sign`` of the closure of free space: -1 inside a prism or beyond the outer planes,
     0 on their surface only, 1 elsewhere.
@@ -294,21 +275,6 @@ def closed_free(points: DataFrame, prisms: DataFrame, coords: DataFrame, h: floa
     return meet(rows, sides, unpacked(6), compute, "q_sign int").drop("outer")
 
 
-def strictly_free(points: DataFrame, prisms: DataFrame, coords: DataFrame, voxels: DataFrame, h: float) -> DataFrame:
-    """points with ``free``: in open free space, or on the closure's surface but in no occupied box.
-
-    Faces between prisms are free though the tree is 0 there; only such points are looked up (the zero
-    guard).
-    """
-    signed = closed_free(points, prisms, coords, h)
-    from .voxels import contains
-
-    zero = contains(signed.where("q_sign = 0").select("frame_id", "point_id", *"xyz"), voxels, h)
-    guard = zero.select("frame_id", "point_id", (~F.col("inside")).alias("clear"))
-    joined = signed.join(guard, ["frame_id", "point_id"], "left")
-    return joined.select("frame_id", "point_id", ((F.col("q_sign") < 0) | F.coalesce("clear", F.lit(False))).alias("free"))
-
-
 def free_adjacency(free: DataFrame, coords: DataFrame) -> DataFrame:
     """Pairs of free cells that share a face, with its area in voxel faces.
 

@@ -72,9 +72,13 @@ def touching(points: DataFrame, h: float) -> DataFrame:
 
 
 def contains(points: DataFrame, voxels: DataFrame, h: float) -> DataFrame:
-    """points with ``inside``: whether the closed union of the frame's voxels holds them."""
-    hits = touching(points.select("frame_id", "point_id", *"xyz"), h).join(voxels, KEY, "left_semi").select("frame_id", "point_id").distinct()
-    return points.join(hits.withColumn("hit", F.lit(True)), ["frame_id", "point_id"], "left").withColumn("inside", F.coalesce("hit", F.lit(False))).drop("hit")
+    """points with ``inside``: whether the closed union of the frame's voxels holds them.
+
+    Asked once for each place, and joined by place: points need no number.
+    """
+    at = ["frame_id", *"xyz"]
+    hits = touching(points.select(*at).distinct(), h).join(voxels, KEY, "left_semi").select(*at).distinct()
+    return points.join(hits.withColumn("hit", F.lit(True)), at, "left").select(*points.columns, F.coalesce("hit", F.lit(False)).alias("inside"))
 
 
 def count_outside(points: DataFrame, voxels: DataFrame, h: float) -> DataFrame:
@@ -88,12 +92,13 @@ def closed_sign(points: DataFrame, voxels: DataFrame, h: float) -> DataFrame:
 
     Inside are points all of whose touching boxes are occupied; outside those with none.
     """
-    boxes = touching(points.select("frame_id", "point_id", *"xyz"), h)
-    known = boxes.join(voxels.withColumn("o", F.lit(1)), KEY, "left").groupBy("frame_id", "point_id").agg(
+    at = ["frame_id", *"xyz"]
+    boxes = touching(points.select(*at).distinct(), h)
+    known = boxes.join(voxels.withColumn("o", F.lit(1)), KEY, "left").groupBy(*at).agg(
         F.count(F.lit(1)).alias("k"), F.sum(F.coalesce("o", F.lit(0))).alias("n")
     )
     sign = F.when(F.col("n") == F.col("k"), 1).when(F.col("n") == 0, -1).otherwise(0)
-    return points.join(known.select("frame_id", "point_id", sign.alias("sign")), ["frame_id", "point_id"])
+    return points.join(known.select(*at, sign.alias("sign")), at).select(*points.columns, "sign")
 
 
 def same_occupancy(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import math
 
 #: Voxel sizes of the registered queries.
 H, FINE = 0.1, 0.05
+#: Work limits of a sweep that some frames of the tables pass: compressed cells, cells that events cover, rectangles.
+TIGHT_CELLS, TIGHT_UPDATES, TIGHT_PRISMS = 850, 130, 100
 
 
 def _index(c: str, h: float) -> str:
@@ -210,6 +212,18 @@ _TURNED = [f"(({n}) / {r})" for n, r in zip(_N, (0.4, 0.3, 0.5), strict=True)]
 
 _P = [_prisms(k) for k in range(3)]
 _ALL_PRISMS = ", ".join(p for p, _ in _P)
+#: How far each frame and axis gets under the tight limits: events of plane i (from 0) come before slab i + 1 (from 1) is closed.
+_STATUS = f"""dims AS (SELECT frame_id, (count(*) FILTER (axis = 0) - 1) * (count(*) FILTER (axis = 1) - 1) * (count(*) FILTER (axis = 2) - 1) AS n FROM planes GROUP BY frame_id),
+ev AS (SELECT p.frame_id, p.axis, p.plane, (SELECT count(*) FROM planes q WHERE q.frame_id = p.frame_id AND q.axis = p.axis AND q.coord < p.plane) AS i,
+  (SELECT count(*) FROM planes q WHERE q.frame_id = p.frame_id AND q.axis = (p.axis + 1) % 3 AND q.coord >= p.u0 AND q.coord < p.u1)
+  * (SELECT count(*) FROM planes q WHERE q.frame_id = p.frame_id AND q.axis = (p.axis + 2) % 3 AND q.coord >= p.v0 AND q.coord < p.v1) AS n FROM patches p),
+eu AS (SELECT frame_id, axis, i, sum(sum(n)) OVER (PARTITION BY frame_id, axis ORDER BY i) AS n FROM ev GROUP BY frame_id, axis, i),
+rc AS ({" UNION ALL ".join(f"SELECT frame_id, {k} AS axis, slab, count(*) AS n FROM r{k} GROUP BY frame_id, slab" for k in range(3))}),
+rp AS (SELECT frame_id, axis, slab, sum(n) OVER (PARTITION BY frame_id, axis ORDER BY slab) AS n FROM rc),
+far AS (SELECT frame_id, axis, max(n) AS updates, min(i) FILTER (n > {TIGHT_UPDATES}) AS i FROM eu GROUP BY frame_id, axis),
+made AS (SELECT frame_id, axis, max(n) AS prisms, min(slab) FILTER (n > {TIGHT_PRISMS}) AS j FROM rp GROUP BY frame_id, axis),
+stat AS (SELECT far.frame_id, far.axis, CASE WHEN dims.n > {TIGHT_CELLS} THEN 'compressed_cell_limit' WHEN i IS NOT NULL AND (j IS NULL OR i + 1 <= j) THEN 'event_update_limit'
+  WHEN j IS NOT NULL THEN 'free_prism_limit' END AS reason, coalesce(prisms, 0) AS prisms, updates FROM far JOIN dims USING (frame_id) LEFT JOIN made USING (frame_id, axis))"""
 
 ORACLE_SQL: dict[str, str] = {
     "surface_summary": _surface(FINE, _PATCHES, _SUPPORTS) + _SUMMARY_OF,
@@ -241,8 +255,10 @@ ORACLE_SQL: dict[str, str] = {
     + """SELECT frame_id, count(*) AS supports, count(*) FILTER (support_id % 5 = 2) AS misplaced, count(*) FILTER (support_id % 5 = 3) AS doubled FROM supports GROUP BY frame_id""",
     "canonical_cells": _surface(H, _SUPPORTS, _CELLS) + "SELECT *, voxels = wx * wy * wz AS full FROM cells",
     "cell_box_sums": _surface(H, _SUPPORTS, _CELLS)
-    + """SELECT x.frame_id, x.cx, y.cy, z.cz, CAST((SELECT count(*) FROM cells k WHERE k.frame_id = x.frame_id AND k.cx <= x.cx AND k.cy <= y.cy AND k.cz <= z.cz) AS BIGINT) AS prefix
-      FROM (SELECT DISTINCT frame_id, cx FROM cells) x JOIN (SELECT DISTINCT frame_id, cy FROM cells) y USING (frame_id) JOIN (SELECT DISTINCT frame_id, cz FROM cells) z USING (frame_id)""",
+    + """SELECT x.frame_id, x.cx, x.cy, x.cz, CAST((SELECT count(*) FROM cells k WHERE k.frame_id = x.frame_id AND k.cx <= x.cx AND k.cy <= x.cy AND k.cz <= x.cz) AS BIGINT) AS prefix FROM cells x""",
+    "cell_box_counts": _surface(H, _SUPPORTS, _CELLS)
+    + """SELECT x.frame_id, x.cx - 1 AS lox, x.cy - 1 AS loy, x.cz - 1 AS loz, x.cx + 2 AS hix, x.cy + 2 AS hiy, x.cz + 2 AS hiz,
+      CAST((SELECT count(*) FROM cells k WHERE k.frame_id = x.frame_id AND abs(k.cx - x.cx) <= 1 AND abs(k.cy - x.cy) <= 1 AND abs(k.cz - x.cz) <= 1) AS BIGINT) AS cells FROM cells x""",
     "octree_levels": f"WITH {_base(H)}, {_NODES} SELECT * FROM nodes",
     "octree_exact_cut": f"WITH {_base(H, _LINES)}, {_NODES} SELECT * FROM cut",
     "octree_rect_cover": f"""WITH RECURSIVE {_base(H)}, {_NODES}, {_COVERS}, kids AS (SELECT frame_id, bit_or(1 << CAST(4 * (nx & 1) + 2 * (ny & 1) + (nz & 1) AS INTEGER)) AS mask FROM cut WHERE level = 0 GROUP BY frame_id, nx >> 1, ny >> 1, nz >> 1),
@@ -268,7 +284,10 @@ ORACLE_SQL: dict[str, str] = {
       FROM mv JOIN boxes USING (frame_id) GROUP BY frame_id, point_id""",
     "free_prisms": f"""WITH {_base(H)}, {_BOUNDS} SELECT frame_id, axis, (max_ix - min_ix + 1) * (max_iy - min_iy + 1) * (max_iz - min_iz + 1) - voxels AS free_voxels
       FROM bounds, (SELECT unnest([0, 1, 2]) AS axis) WHERE (max_ix - min_ix + 1) * (max_iy - min_iy + 1) * (max_iz - min_iz + 1) > voxels""",
-    "sweep_rectangles": _surface(H, _SUPPORTS, _CELLS, _FREE, _P[2][0]) + "SELECT * FROM r2",
+    "sweep_rectangles": _surface(H, _SUPPORTS, _CELLS, _FREE, _ALL_PRISMS)
+    + " UNION ALL ".join(f"SELECT frame_id, slab, lox, loy, loz, hix, hiy, hiz, {k} AS axis FROM r{k}" for k in range(3)),
+    "sweep_status": _surface(H, _PATCHES, _SUPPORTS, _CELLS, _FREE, _ALL_PRISMS, _STATUS)
+    + """SELECT frame_id, axis, coalesce(reason, '') AS reason, CASE WHEN reason IS NULL THEN prisms ELSE 0 END::BIGINT AS prisms, CASE WHEN reason IS NULL THEN updates ELSE 0 END::BIGINT AS updates FROM stat""",
     "free_adjacency": _surface(H, _SUPPORTS, _CELLS, _FREE)
     + """SELECT a.frame_id, k.axis, a.cx AS ax, a.cy AS ay, a.cz AS az,
       CASE k.axis WHEN 0 THEN (a.hiy - a.loy) * (a.hiz - a.loz) WHEN 1 THEN (a.hix - a.lox) * (a.hiz - a.loz) ELSE (a.hix - a.lox) * (a.hiy - a.loy) END AS area
@@ -277,10 +296,18 @@ ORACLE_SQL: dict[str, str] = {
     "prism_adjacency": _surface(H, _SUPPORTS, _CELLS, _FREE, _P[2][0])
     + f""", e AS ({" UNION ALL ".join(f"SELECT a.frame_id, {k} AS axis, " + ", ".join(f"{s}.lo{d} AS {n}{d}" for s, n in (("a", "f"), ("b", "t")) for d in "xyz") + f", (least(a.hi{u}, b.hi{u}) - greatest(a.lo{u}, b.lo{u})) * (least(a.hi{v}, b.hi{v}) - greatest(a.lo{v}, b.lo{v})) AS area FROM {_P[2][1]} a JOIN {_P[2][1]} b ON a.frame_id = b.frame_id AND a.hi{c} = b.lo{c} AND greatest(a.lo{u}, b.lo{u}) < least(a.hi{u}, b.hi{u}) AND greatest(a.lo{v}, b.lo{v}) < least(a.hi{v}, b.hi{v})" for k, (c, u, v) in enumerate((("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))))})
       SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY area DESC, axis, fx, fy, fz, tx, ty, tz) - 1 AS INTEGER) AS place FROM e""",
-    "axis_selection": _surface(H, _SUPPORTS, _CELLS, _FREE, _ALL_PRISMS)
-    + f""", n AS ({" UNION ALL ".join(f"SELECT frame_id, {k} AS axis, count(*) AS prisms FROM {last} GROUP BY frame_id" for k, (_, last) in enumerate(_P))})
-      SELECT frame_id, axis, prisms, 7 * prisms + 7 AS nodes, 6 * prisms + 6 AS leaf_references FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY prisms, axis) AS r FROM n) WHERE r = 1""",
-    "strict_free": f"WITH {_base(H)}, {_HALF} SELECT frame_id, kx, ky, kz, occupied = 0 AS free FROM signs",
+    "axis_selection": "WITH RECURSIVE "
+    + _surface(H, _PATCHES, _SUPPORTS, _CELLS, _FREE, _ALL_PRISMS, _STATUS, _NODES, _COVERS).removeprefix("WITH ")
+    + f""", kids AS (SELECT frame_id, bit_or(1 << CAST(4 * (nx & 1) + 2 * (ny & 1) + (nz & 1) AS INTEGER)) AS mask FROM cut WHERE level = 0 GROUP BY frame_id, nx >> 1, ny >> 1, nz >> 1),
+      o AS (SELECT frame_id, sum(n) AS m FROM (SELECT frame_id, sum(f.n) AS n FROM kids JOIN fewest f USING (mask) GROUP BY 1 UNION ALL SELECT frame_id, count(*) FROM cut WHERE level > 0 GROUP BY 1) GROUP BY frame_id),
+      n AS ({" UNION ALL ".join(f"SELECT frame_id, {k} AS axis, count(*) AS n FROM {last} GROUP BY frame_id" for k, (_, last) in enumerate(_P))}),
+      k AS (SELECT s.frame_id, s.axis, reason IS NOT NULL AS fallback, CASE WHEN reason IS NULL THEN coalesce(n.n, 0) ELSE 0 END AS prisms,
+        CASE WHEN reason IS NULL THEN 7 * coalesce(n.n, 0) + 7 ELSE 7 * m + (m > 1)::INT END AS nodes, CASE WHEN reason IS NULL THEN 6 * coalesce(n.n, 0) + 6 ELSE 6 * m END AS leaf_references
+        FROM stat s JOIN o USING (frame_id) LEFT JOIN n ON n.frame_id = s.frame_id AND n.axis = s.axis)
+      SELECT frame_id, axis, fallback, prisms, CAST(nodes AS BIGINT) AS nodes, CAST(leaf_references AS BIGINT) AS leaf_references
+      FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY fallback, nodes, leaf_references, prisms, axis) AS r FROM k) WHERE r = 1""",
+    "strict_free": _surface(H, _PATCHES, _SUPPORTS, _CELLS, _FREE, _ALL_PRISMS, _STATUS, _HALF)
+    + "SELECT frame_id, axis, kx, ky, kz, occupied = 0 AS free, reason IS NOT NULL AS fallback FROM signs JOIN stat USING (frame_id)",
     "direct_sign": f"WITH {_base(H)}, {_HALF} SELECT frame_id, kx, ky, kz, sign FROM signs",
     "strata_certificate": _surface(H, _SUPPORTS)
     + """, m AS (SELECT frame_id, axis, 2 * count(*) + 1 AS n FROM planes GROUP BY ALL)
@@ -428,9 +455,10 @@ _NARROW = {
     "support_planes": ["support_id"],
     "canonical_cells": ["cx", "cy", "cz"],
     "cell_box_sums": ["cx", "cy", "cz"],
+    "cell_box_counts": ["lox", "loy", "loz", "hix", "hiy", "hiz"],
     "aabb_planes": ["cell_id"],
     "shared_leaves": ["first_cell", "leaf_id"],
-    "sweep_rectangles": ["slab"],
+    "sweep_rectangles": ["slab", "axis"],
     "free_adjacency": ["ax", "ay", "az"],
 }
 for _name, _columns in _NARROW.items():

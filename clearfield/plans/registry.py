@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import cross, dot, inside_box, inside_ellipsoid, length, minus, plane_value, ray_ellipsoid, same_plane, wilson
-from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, octree, robot, trees, voxels
+from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, octree, robot, sweep, trees, voxels
 from ..sources import exports
 from ..sources import points as sources
 from ..sources import shapes, suite
@@ -33,6 +33,10 @@ def _voxels(spark: SparkSession, sf_dir: str, h: float = H) -> DataFrame:
     return voxels.voxelize(_embed(spark, sf_dir), h)
 
 
+#: Work limits that some frames of the tables pass, on some axes or all.
+TIGHT = sweep.Limits(oracles.TIGHT_CELLS, oracles.TIGHT_UPDATES, oracles.TIGHT_PRISMS)
+
+
 class _Surface:
     """The usual chain from points to compressed cells; with keep, its tables are written once for several readers."""
 
@@ -52,7 +56,7 @@ class _Surface:
 
     @cached_property
     def free(self) -> DataFrame:
-        """Free compressed cells, written once: every sweep and merge below starts from them."""
+        """Free compressed cells, written once."""
         return written(boundary.free_cells(self.cells, self.coords))
 
     def programs(self, **options) -> DataFrame:
@@ -194,6 +198,13 @@ def cell_box_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary.box_sums(_Surface(spark, sf_dir).cells)
 
 
+def cell_box_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied cells in the 3x3x3 cells around each occupied cell, by eight prefix sums."""
+    found = written(_Surface(spark, sf_dir).cells)
+    around = found.select("frame_id", *[(F.col(f"c{c}") - 1).alias(f"lo{c}") for c in "xyz"], *[(F.col(f"c{c}") + 2).alias(f"hi{c}") for c in "xyz"])
+    return boundary.box_counts(found, around)
+
+
 def octree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return octree.levels(_voxels(spark, sf_dir))
 
@@ -267,10 +278,11 @@ def cluster_union_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def free_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True)
     out = None
+    patched = written(s.patches)
     for axis in range(3):
-        merged = boundary.free_prisms(s.free, axis)
+        merged = sweep.free_prisms(patched, s.coords, axis)
         size = F.sum((F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy")) * (F.col("hiz") - F.col("loz")))
         one = merged.groupBy("frame_id").agg(size.alias("free_voxels")).withColumn("axis", F.lit(axis))
         out = one if out is None else out.unionByName(one)
@@ -278,8 +290,27 @@ def free_prisms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _Surface(spark, sf_dir)
-    return boundary.sweep_rectangles(s.free, 2)
+    """Free rectangles of every slab along each axis."""
+    s = _Surface(spark, sf_dir, keep=True)
+    patched = written(s.patches)
+    out = None
+    for axis in range(3):
+        one = sweep.sweep_rectangles(patched, s.coords, axis).withColumn("axis", F.lit(axis))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sweep_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each frame and axis under work limits that some pass: the limit, rectangles and cells that events covered."""
+    s = _Surface(spark, sf_dir, keep=True)
+    patched = written(s.patches)
+    out = None
+    for axis in range(3):
+        _, status = sweep.swept(patched, s.coords, axis, TIGHT)
+        done = [F.when(F.col("reason").isNull(), F.col(c)).otherwise(0).alias(c) for c in ("prisms", "updates")]
+        one = status.select("frame_id", F.lit(axis).alias("axis"), F.coalesce("reason", F.lit("")).alias("reason"), *done)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def free_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,18 +320,27 @@ def free_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prism_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of merged prisms that share a part of a face, numbered by area."""
-    return boundary.prism_adjacency(boundary.free_prisms(_Surface(spark, sf_dir, keep=True).free, 2))
+    s = _Surface(spark, sf_dir, keep=True)
+    return boundary.prism_adjacency(sweep.free_prisms(s.patches, s.coords, 2))
 
 
 def axis_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.best_axis(_Surface(spark, sf_dir, keep=True).free)
+    """The best axis of each frame under work limits that some frames pass on some axes: those fall back to their obstacles."""
+    s = _Surface(spark, sf_dir, keep=True)
+    patched = written(s.patches)
+    return sweep.best_axis([sweep.free_space(patched, s.coords, axis, TIGHT) for axis in range(3)], s.voxels)
 
 
 def strict_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether half-grid probes are strictly free by each axis' function, fallbacks included."""
     s = _Surface(spark, sf_dir, keep=True)
-    p = _probes(s.voxels)
-    free = boundary.strictly_free(p.select("frame_id", "point_id", *"xyz"), boundary.free_prisms(s.free, 2), s.coords, s.voxels, H)
-    return p.join(free, ["frame_id", "point_id"]).select("frame_id", "kx", "ky", "kz", "free")
+    patched, p = written(s.patches), written(_probes(s.voxels).drop("point_id"))
+    out = None
+    for axis in range(3):
+        space = sweep.free_space(patched, s.coords, axis, TIGHT)
+        one = sweep.strictly_free(p, space, s.coords, s.voxels, H).select("frame_id", F.lit(axis).alias("axis"), "kx", "ky", "kz", "free", "fallback")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def direct_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -913,6 +953,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cell_box_sums": cell_box_sums,
     "octree_levels": octree_levels,
     "octree_exact_cut": octree_exact_cut,
+    "cell_box_counts": cell_box_counts,
     "octree_rect_cover": octree_rect_cover,
     "octree_partition_check": octree_partition_check,
     "octree_rect_check": octree_rect_check,
@@ -924,6 +965,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_union_eval": cluster_union_eval,
     "free_prisms": free_prisms,
     "sweep_rectangles": sweep_rectangles,
+    "sweep_status": sweep_status,
     "free_adjacency": free_adjacency,
     "prism_adjacency": prism_adjacency,
     "axis_selection": axis_selection,

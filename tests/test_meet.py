@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clearfield.operators import arrangement, boundary, meet, meshes, octree, robot, voxels
+from clearfield.operators import arrangement, boundary, meet, meshes, octree, robot, sweep, voxels
 from clearfield.sources import exports, points
 from clearfield.streaming import frames
 
@@ -253,13 +253,13 @@ def test_streams_keep_the_last_sets(spark, tmp_path):
 def test_merging_stops_when_nothing_merges(spark):
     r = random.Random(9)
     keys = sorted({tuple(r.randrange(6) for _ in range(3)) for _ in range(60)})
-    cells, coords = shape(spark, keys)
-    free = boundary.free_cells(cells, coords)
+    _, coords = shape(spark, keys)
     v = spark.createDataFrame([(0, *k) for k in keys], "frame_id long, ix long, iy long, iz long")
+    patched = boundary.patches(boundary.exposed_faces(v))
     b = voxels.bounds(v).first()
     room = math.prod(b[f"max_{a}"] - b[f"min_{a}"] + 1 for a in ("ix", "iy", "iz")) - len(keys)
     for axis in range(3):
-        boxes = boundary.free_prisms(free, axis)
+        boxes = sweep.free_prisms(patched, coords, axis)
         assert boxes.agg(F.sum(F.expr("(hix - lox) * (hiy - loy) * (hiz - loz)"))).first()[0] == room
         again = boxes
         for k in range(3):

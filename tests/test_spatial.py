@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clearfield.functions.geometry import union_volume, wilson
-from clearfield.operators import boundary, meshes, octree, robot, voxels
+from clearfield.operators import boundary, meshes, octree, sweep, robot, voxels
 from clearfield.sources import points as sources
 from clearfield.sources import shapes
 from clearfield.streaming import frames
@@ -62,7 +62,7 @@ def test_boundary_octree_and_prisms_of_random_sets(spark, seed):
     assert cells.where("not full").count() == 0 and cells.agg(F.sum("voxels")).first()[0] == len(keys)
     spans = [max(k[a] for k in keys) - min(k[a] for k in keys) + 1 for a in range(3)]
     for axis in range(3):
-        prisms = boundary.free_prisms(boundary.free_cells(cells, coords), axis).collect()
+        prisms = sweep.free_prisms(boundary.patches(faces), coords, axis).collect()
         held = {(x, y, z) for p in prisms for x in range(p.lox, p.hix) for y in range(p.loy, p.hiy) for z in range(p.loz, p.hiz)}
         size = sum((p.hix - p.lox) * (p.hiy - p.loy) * (p.hiz - p.loz) for p in prisms)
         assert size == len(held) == math.prod(spans) - len(keys) and not held & set(keys)
