@@ -164,11 +164,16 @@ def fit_text_model(labelled: DataFrame, per_language: int = SAMPLE_TEXTS, seed:
 
 # ---------------------------------------------------------------- evidence from markup and address
 
-_TAGS = r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
+#: What is not text. Each ends at the page's end if not before, as browsers have it, so that every start of one
+#: matches and a page is read once, however many are left open.
+_TAGS = r"(?s)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[a-z/!?][^>]*(?:>|\z)"
 
 
 def page_text(html: Column) -> Column:
-    """Visible text of a page: scripts, styles, comments and tags become spaces; null stays null."""
+    """Visible text of a page: scripts, styles, comments and tags become spaces; null stays null.
+
+    What is left open hides the rest of the page; a ``<`` before anything but a letter and the marks / ! ? is text.
+    """
     bare = F.regexp_replace(html, f"(?i){_TAGS}", " ")
     for entity, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(letter))
@@ -176,8 +181,8 @@ def page_text(html: Column) -> Column:
 
 
 def declared_language(html: Column) -> Column:
-    """Primary subtag of the html element's lang attribute, lower case; null if there is none."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    """Primary subtag of the lang attribute of the first html element, lower case; null if there is none."""
+    found = F.lower(F.regexp_extract(F.regexp_extract(html, r"(?i)<html\b[^>]*", 0), r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     return F.when(found != "", found)
 
 

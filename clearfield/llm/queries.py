@@ -121,6 +121,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Durable(spark)
     documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     counted = store.put("counted", count_tokens(documents, {v: tokenizer_path(f) for v, f in TOKENIZERS.items()}))
+    return _kept_up(spark, sf_dir, store, counted)
+
+
+def ledger_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches as in op10_token_counts over counts that SQL has too: version byte in bytes, version multi in code points."""
+    store = Durable(spark)
+    text = F.coalesce("text", F.lit(""))
+    sizes = {"byte": F.octet_length(text), "multi": F.length(text)}
+    counted = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *(c.cast("long").alias(v) for v, c in sizes.items()))
+    return _kept_up(spark, sf_dir, store, store.put("counted", counted))
+
+
+def _kept_up(spark: SparkSession, sf_dir: str, store: Durable, counted: DataFrame) -> DataFrame:
+    """Totals after all batches; counted: doc_id, source, lang and a count a version."""
 
     def by(rows: DataFrame, version: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(version).alias("version"), F.col(version).alias("n_tokens"))
@@ -243,6 +257,15 @@ FROM a5 JOIN c5 ON c5.c = a5.cluster
 """
 )
 
+_LEDGER = """
+WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+p AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM t WHERE doc_id IS NOT NULL)),
+d AS (SELECT source, lang, coalesce(text, '') AS text, CASE WHEN doc_id IN (SELECT doc_id FROM p) THEN 'multi' ELSE 'byte' END AS version
+  FROM documents WHERE coalesce(doc_id NOT IN (SELECT doc_id FROM t WHERE doc_id IS NOT NULL), true))
+SELECT source, lang, version, count(*) AS n_docs, CAST(sum(CASE version WHEN 'byte' THEN strlen(text) ELSE length(text) END) AS BIGINT) AS n_tokens
+FROM d GROUP BY ALL
+"""
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP12 = f"""
@@ -258,7 +281,8 @@ FROM f GROUP BY doc_id
 
 _OP13 = rf"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM p),
 g AS (SELECT lang, unnest(list_transform(range(1, len(words) + 2 - m), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS phrase, m
   FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(words) >= m),
@@ -288,11 +312,12 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_counts": op10_token_counts,
+    "ledger_sizes": ledger_sizes,
     "op11_clusters": op11_clusters,
     "op12_line_dedup": op12_line_dedup,
     "op13_collocations": op13_collocations,
 }
 ORACLE_SQL = {
     "op4_chat": _OP4, "op7_substring": _OP7, "op8_minhash": _OP8, "op9_embedding_dedup": _OP9,
-    "op11_clusters": _OP11, "op12_line_dedup": _OP12, "op13_collocations": _OP13,
+    "ledger_sizes": _LEDGER, "op11_clusters": _OP11, "op12_line_dedup": _OP12, "op13_collocations": _OP13,
 }

@@ -59,7 +59,7 @@ def add_signatures(df: DataFrame, text: str, into: str, chain: int = CHAIN) -> D
     pairs = F.array_distinct(F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(F.col(words), i + 1))))
     # Hashes, as numbers in [0, 1), below the share of pairs that is wanted.
     n = F.size(f"{into}__p")
-    share = (F.lit(LEAST) - F.size(f"{into}__c")) / n
+    share = F.try_divide(F.lit(LEAST) - F.size(f"{into}__c"), n)  # a text without words has no pairs to share
     sampled = F.filter(f"{into}__p", lambda p: F.shiftrightunsigned(F.xxhash64(p, F.lit(1)), 11) / F.lit(float(1 << 53)) < F.col(f"{into}__r"))
     return (
         df.withColumn(words, F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != ""))

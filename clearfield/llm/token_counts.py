@@ -37,12 +37,16 @@ SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long
 
 
 def inserts(counts: DataFrame) -> DataFrame:
-    """Signed changes for documents counted for the first time: rows source, lang, version, n_tokens."""
+    """Signed changes for documents counted for the first time: rows source, lang, version, n_tokens.
+
+    A null count is 0 tokens of a document that counts; repeated rows count as often as they are there; null keys are
+    keys; an empty table changes nothing.
+    """
     return _signed(counts, 1)
 
 
 def deletes(counts: DataFrame) -> DataFrame:
-    """Signed changes that take back what was counted for documents that go."""
+    """Signed changes that take back what was counted for documents that go; nulls and repeated rows as in ``inserts``."""
     return _signed(counts, -1)
 
 
@@ -169,18 +173,34 @@ class Ledger:
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@lru_cache(maxsize=4)
-def byte_tokenizer(ranks: bytes) -> tiktoken.Encoding:
-    """Tokenizer of a file of lines ``token in base 64, rank``."""
+#: Runs of white space, as the pieces take it, of this length and more are counted apart: the pattern looks ahead from
+#: such a run with a stack as deep as the run is long.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+@lru_cache(maxsize=8)
+def byte_tokenizer(ranks: bytes, pieces: str = PIECES) -> tiktoken.Encoding:
+    """Tokenizer of a file of lines ``token in base 64, rank``, which cuts texts into these pieces."""
     pairs = (line.split() for line in ranks.splitlines() if line.strip())
-    return tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=pieces, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={})
+
+
+def n_tokens(text: str, ranks: bytes) -> int:
+    """Tokens of a whole text. The white space before a word is one piece but for its last character, and so is that at the end."""
+    by_pieces, total, at = byte_tokenizer(ranks), 0, 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        total += len(by_pieces.encode_ordinary(text[at : run.start()]))
+        total += len(byte_tokenizer(ranks, "(?s).+").encode_ordinary(text[run.start() : end]))
+        at = end
+    return total + len(by_pieces.encode_ordinary(text[at:]))
 
 
 def count_tokens(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     """docs, without text, with a column of token counts for each version: name -> path of a tokenizer file.
 
     docs needs text; columns with the name of a version are replaced. A null or empty text has 0 tokens;
-    special tokens in texts are ordinary text. All versions are counted in one pass, whole texts at a time;
+    special tokens in texts are ordinary text; runs of white space may be of any length. All versions are counted in one pass, whole texts at a time;
     nothing is dealt out. Repeated rows stay; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -193,13 +213,12 @@ def count_tokens(docs: DataFrame, versions: dict[str, str]) -> DataFrame:
     kept = [c for c in docs.columns if c != "text" and c not in versions]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [byte_tokenizer(f) for f in shared.value]
         for batch in batches:
-            counts: list[list[int]] = [[] for _ in known]
+            counts: list[list[int]] = [[] for _ in shared.value]
             for text in batch.column("text"):
                 t = text.as_py() or ""
-                for n, tokenizer in zip(counts, known, strict=True):
-                    n.append(len(tokenizer.encode_ordinary(t)))
+                for n, ranks in zip(counts, shared.value, strict=True):
+                    n.append(n_tokens(t, ranks))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(n, pa.int64()) for n in counts)], names=[*kept, *versions])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from conftest_llm import make_documents
@@ -159,6 +160,27 @@ def test_markup_and_addresses(spark):
     assert (r.t.split(), r.d, r.o, r.a) == (["a&b"], "de", "fr.example.co.uk", "de")
 
 
+def test_open_markup_hides_the_rest_of_a_page(spark):
+    pages = {
+        "a <b>c</b> d <!-- e": "a c d", "a <script>b</p> c": "a", "a <style >b</STYLE > c": "a c", "a < b, c <3": "a < b, c <3", "a <i b": "a", "<p>a</p": "a",
+        "<!---->a<!-- -- > --> b": "a b", "<scripts>a</scripts>": "a", "": "",
+    }
+    got = spark.createDataFrame([(p,) for p in pages], "h string").select("h", page_text(F.col("h")).alias("t")).collect()
+    assert {r.h: " ".join(r.t.split()) for r in got} == pages
+    langs = {"<html lang=de><html lang=fr>": "de", "<html><p lang=fr>": None, "<HTML a=b lang = 'Fr-x'>": "fr", "<html": None}
+    got = spark.createDataFrame([(p,) for p in langs], "h string").select("h", declared_language(F.col("h")).alias("d")).collect()
+    assert {r.h: r.d for r in got} == langs
+
+
+@pytest.mark.parametrize("part", ["<!--", "<", "<script>", "<script></script", "</script ", "<html ", "<html lang ", "<a <", "<!-->", "<style", "lang=", "&amp;", "<p>"])
+def test_a_megabyte_of_hostile_markup_takes_seconds(spark, part):
+    html = part * (1_000_000 // len(part))
+    began = time.time()
+    df = spark.createDataFrame([(html,)], "h string")
+    df.select(F.length(page_text(F.col("h"))), declared_language(F.col("h"))).collect()
+    assert time.time() - began < 10
+
+
 def test_keep_known(spark, model, no_documents):
     rows = [(k, text_of(lang, 40, k + 500), "s") for k, lang in enumerate(["en", "de", "fr"] * 10)]
     rows += [(100, None, "s"), (101, "", "s"), (102, "12 34 !! --", "s"), (103, "\x00\x01 ##", None)]

@@ -20,11 +20,14 @@ def folder(spark, odd_rows, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     rows = [r for r in odd_rows if r[0] not in (None, 18)]
     rows += [(100 + k, " ".join(words_of(60 + k, k % 3)), "abc"[k % 3]) for k in range(30)]
+    rows += [(200 + k, "one common line\n  ONE common Line\t\nNew York is a city. new york was a town, " + f"and {k}\n\n", "a") for k in range(60)]
     make_documents(spark, rows).repartition(3).write.parquet(f"{at}/documents.parquet")
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(5, 32))
     vectors = [(i, [float(x) for x in (centres[i % 5] + rng.normal(size=32) * [0.01, 0.1, 0.6][i % 3]).astype(np.float32)], i % 2) for i in range(200)]
     vectors += [(300, vectors[0][1], 0), (301, None, 0), (302, [0.0] * 32, 0), (303, vectors[0][1], None)]
+    flat = rng.normal(size=(90, 64)).astype(np.float32)
+    vectors += [(400 + i, [float(x) for x in flat[i % 70]], 7) for i in range(90)]
     spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<float>, label int, weight string").write.parquet(f"{at}/embeddings.parquet")
     turns = [(c, t, ["system", "user", "assistant", "tool", None][(c + t) % 5], [None, "</s>[INST]", "\\[OUT]\\", "plain", ""][(c * t) % 5], 1) for c in range(20) for t in range(c % 6)]
     spark.createDataFrame(turns, TURNS).write.parquet(f"{at}/conversations.parquet")

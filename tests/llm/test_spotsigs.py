@@ -174,3 +174,16 @@ def test_one_word_apart_without_anchors(spark):
     got = add_signatures(add_signatures(pairs, "a", "x"), "b", "y").select("k", likeness(F.col("x"), F.col("y")).alias("l"), F.size("x").alias("n"), F.size(F.split("a", " ")).alias("words")).collect()
     assert min(x.l for x in got) >= 0.8
     assert all(x.n >= min(x.words, LEAST) * 0.75 - 2.5 * math.sqrt(LEAST) * (x.words > LEAST) for x in got)  # a draw of about LEAST pairs
+
+
+def test_signatures_do_not_rest_on_an_optimizer_rule(spark):
+    rows = [(1, None), (2, ""), (3, "..."), (4, "the cat sat"), (5, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.s for r in add_signatures(df, "text", "s").collect()}
+    key = "spark.sql.optimizer.excludedRules"
+    spark.conf.set(key, "org.apache.spark.sql.catalyst.optimizer.CollapseProject")
+    try:
+        made = add_signatures(df, "text", "s")
+        assert {r.doc_id: r.s for r in made.collect()} == want and all(len(s) for s in want.values())
+    finally:
+        spark.conf.unset(key)

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 import uuid
 
 import pytest
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clearfield.llm.common import Durable, n_words
 from clearfield.llm.queries import TOKENIZERS, tokenizer_path
-from clearfield.llm.token_counts import SCHEMA, Ledger, byte_tokenizer, count_tokens, deletes, inserts, revisions
+from clearfield.llm import token_counts
+from clearfield.llm.token_counts import SCHEMA, Ledger, byte_tokenizer, count_tokens, deletes, inserts, n_tokens, revisions
 
 ROWS = "source string, lang string, version string, n_tokens long, n_docs string"
 
@@ -182,3 +185,28 @@ def test_durable_tables_are_cut_and_dropped(spark):
     df = store.put("t", spark.range(5))
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().toString()
     store.drop("t", "t", "unknown")
+
+
+def test_white_space_is_counted_as_the_library_does(monkeypatch):
+    with open(tokenizer_path(TOKENIZERS["byte"]), "rb") as f:
+        ranks = f.read()
+    long = token_counts.LONG_SPACE.pattern
+    monkeypatch.setattr(token_counts, "LONG_SPACE", re.compile(long.replace("1000", "2")))
+    r = random.Random(4)
+    spaces = [" ", " ", "\n", "\t", "\r", "\x85", "\xa0", "\u2003", "\u3000", "\x0b"]
+    parts = ["word", "12", "'s", "!", "\x1c", "\u200b", "é", ""]
+    for _ in range(500):
+        text = "".join("".join(r.choices(spaces, k=r.randrange(6))) + r.choice(parts) for _ in range(r.randrange(8)))
+        assert n_tokens(text, ranks) == len(byte_tokenizer(ranks).encode_ordinary(text)), repr(text)
+
+
+def test_a_million_spaces(spark):
+    texts = [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "\n" * 1_000_000 + "b" + "\t " * 500_000, "x" * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.byte for r in count_tokens(docs, {"byte": tokenizer_path(TOKENIZERS["byte"])}).collect()}
+    assert time.time() - began < 60
+    with open(tokenizer_path(TOKENIZERS["byte"]), "rb") as f:
+        ranks = f.read()
+    step = len(byte_tokenizer(ranks).encode_ordinary("a" + " " * 3001 + "b")) - len(byte_tokenizer(ranks).encode_ordinary("a" + " " * 2001 + "b"))
+    assert got[1] - n_tokens("a" + " " * 2000 + "b", ranks) == step * 998  # spaces merge with a period that divides 1000
