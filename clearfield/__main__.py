@@ -30,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--most-{name}", type=int, help="stream: work limit of a frame")
     p.add_argument("--inflation", type=float, default=0.1, help="hull: volume added, as a share")
     p.add_argument("--fill-distance", type=float, default=1.0, help="hull: distance of added points from boxes, in voxels")
+    p.add_argument("--max-hull-voxels", type=int, default=hulls.Budget().most_voxels, help="hull: voxels of a region; larger ones stay as they are and are counted")
+    p.add_argument("--max-hull-boxes", type=int, default=hulls.Budget().most_boxes, help="hull: parts of a distance certificate, likewise")
     p.add_argument("--views", type=int, default=10, help="camera: views")
     p.add_argument("--sweep", choices=["x", "y", "z", "best-axis"], default="best-axis")
     limits = sweep.Limits()
@@ -93,8 +95,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         obstacles = sweep.obstacle_boxes(v, best.where("fallback"))
         tables = {"selection": best, "candidates": reduce(DataFrame.unionByName, status), "prisms": prisms, "obstacles": obstacles, "supports": planes, "patches": patched}
     elif a.command == "hull":
-        found = hulls.approximate_frames(v, hulls.Budget(a.inflation, a.fill_distance), h)
-        tables = {"clusters": found, "size": octree.tree_size(octree.rectangular_cells(v))}
+        found = staged("clusters", hulls.approximate_frames(v, hulls.Budget(a.inflation, a.fill_distance, a.max_hull_voxels, a.max_hull_boxes), h))
+        tables = {"clusters": found, "report": hulls.report(found), "size": octree.tree_size(octree.rectangular_cells(v))}
     elif a.command == "diagnose":
         tables = {"diagnostics": arrangement.diagnose_programs(cells, cells, coords, h), "supports": planes}
     else:

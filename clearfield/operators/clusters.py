@@ -62,11 +62,12 @@ def _facets(points: list[tuple[int, int, int]]) -> list[tuple]:
 
     facets = [facet(*t) for t in itertools.combinations((a, b, c, d), 3)]
     for x in pts:
-        seen = [f for f in facets if dot(f[3], x) > dot(f[3], f[0])]
-        if not seen:
+        above = [dot(f[3], x) > dot(f[3], f[0]) for f in facets]
+        if not any(above):
             continue
+        seen = [f for f, over in zip(facets, above, strict=True) if over]
         sides = {(f[i], f[(i + 1) % 3]) for f in seen for i in range(3)}
-        hidden = [f for f in facets if f not in seen]
+        hidden = [f for f, over in zip(facets, above, strict=True) if not over]
         fan = [(p, q, x, normal(p, q, x)) for p, q in sides if (q, p) not in sides]
         facets = hidden + [f for f in fan if any(f[3])]
     return facets

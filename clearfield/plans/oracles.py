@@ -7,6 +7,7 @@ import math
 #: Voxel sizes of the registered queries.
 H, FINE = 0.1, 0.05
 #: Work limits of a sweep that some frames of the tables pass: compressed cells, cells that events cover, rectangles.
+FILL = 0.78  # distance of added points from boxes in hulls of shapes, in voxels
 TIGHT_CELLS, TIGHT_UPDATES, TIGHT_PRISMS = 850, 130, 100
 
 
@@ -423,6 +424,11 @@ ORACLE_SQL: dict[str, str] = {
     "ideal_solids": f"WITH {_POINTS} SELECT frame_id, count(*) AS points, count(*) FILTER (x BETWEEN -0.1 AND 0.2 AND y BETWEEN -0.05 AND 0.15 AND z BETWEEN 0.0 AND 0.3) AS inside FROM pts GROUP BY frame_id",
     "hull_containment": f"WITH {_base(0.2)}, {_NODES}, {_BOXES} SELECT frame_id, count(*) AS cells, 0::BIGINT AS beyond, max(lox + w) AS most_x FROM boxes GROUP BY frame_id",
     "swept_hulls": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS frame_id, 12::BIGINT AS planes, CAST(3 * (n_nationkey + 2) + 6 AS BIGINT) AS offsets, 6::BIGINT + 6 * 2 AS normals FROM nation",
+    "hull_shapes": f"""WITH k AS (SELECT CAST(n_nationkey AS BIGINT) AS k, 2 + n_nationkey % 3 AS a, 2 + n_nationkey % 4 AS b, 1 + n_nationkey % 2 AS c, 2 + n_nationkey % 4 AS n FROM nation),
+      s AS (SELECT k AS frame_id, CASE k % 3 WHEN 0 THEN (a + b - 1) * c WHEN 1 THEN 26 ELSE n * (n + 1) // 2 * c END AS voxels, CASE k % 3 WHEN 0 THEN (a - 1) * (b - 1) / (a + b - 2) ELSE 0.5 END AS d,
+        CASE k % 3 WHEN 0 THEN (a * b - (a - 1) * (b - 1) / 2) * c WHEN 1 THEN 27 ELSE (n * n - (n - 1) * (n - 1) / 2) * c END AS hull, CASE k % 3 WHEN 1 THEN 6 ELSE 7 END AS p FROM k)
+      SELECT frame_id, CAST(voxels AS BIGINT) AS voxels, d <= {FILL} AS whole, CASE WHEN d <= {FILL} THEN CAST(hull AS DOUBLE) ELSE 0.0::DOUBLE END AS volume, CAST(CASE WHEN d <= {FILL} THEN p ELSE 0 END AS BIGINT) AS planes,
+      true AS bound_right, true AS complete, d > {FILL} AS too_far FROM s""",
     "hull_approximation": f"WITH {_NATIONS} SELECT frame_id, CAST((x1 - x0) * (y1 - y0) * (z1 - z0) AS BIGINT) AS voxels, 6 AS planes, CAST((x1 - x0) * (y1 - y0) * (z1 - z0) AS DOUBLE) AS volume, 0.0::DOUBLE AS bound FROM bx",
     "tree_texts": """WITH k AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, n_nationkey % 3 + 1 AS n FROM nation), c AS (SELECT frame_id, n, unnest(range(n)) AS i FROM k),
       t AS (SELECT frame_id, n, '(' || array_to_string(list_sort(list_transform(range(6), lambda j: 'H' || (6 * i + j))), ' & ') || ')' AS b, 'max(' || array_to_string(list_transform(list_sort(list_transform(range(6), lambda j: 'h' || (6 * i + j))), lambda h: h || '(p)'), ', ') || ')' AS f, i FROM c),

@@ -903,7 +903,35 @@ def swept_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hull_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convex clusters of single boxes: however the octree cuts a box, its hull is the box."""
     c = hulls.approximate_frames(_boxes_of_nations(spark, sf_dir), h=H)
-    return c.select("frame_id", "voxels", F.size("planes").alias("planes"), "volume", "bound")
+    return c.select("frame_id", "voxels", F.size("planes").alias("planes"), F.round("volume", 9).alias("volume"), "bound")
+
+
+def _shapes_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of an L, a cube with a cavity or a staircase a nation, of sizes that go by its key."""
+    k = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
+    a, b, c, n = (F.lit(low) + F.col("frame_id") % m for low, m in ((2, 3), (2, 4), (1, 2), (2, 4)))
+    k = k.withColumns({"a": a, "b": b, "c": c, "n": n})
+    for axis in "xyz":
+        k = k.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    bent = (F.col("z") < F.col("c")) & (((F.col("x") < F.col("a")) & (F.col("y") == 0)) | ((F.col("y") < F.col("b")) & (F.col("x") == 0)))
+    hollow = (F.greatest("x", "y", "z") < 3) & ~((F.col("x") == 1) & (F.col("y") == 1) & (F.col("z") == 1))
+    stair = (F.col("z") < F.col("c")) & (F.col("x") + F.col("y") < F.col("n"))
+    held = F.when(F.col("frame_id") % 3 == 0, bent).when(F.col("frame_id") % 3 == 1, hollow).otherwise(stair)
+    at = [(F.col(axis) + F.col("frame_id") % m - 3).alias(f"i{axis}") for axis, m in zip("xyz", (7, 5, 4), strict=True)]
+    return k.where(held).select("frame_id", *at)
+
+
+def hull_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether frames that are no boxes become one cell within a distance, its volume and planes, and whether its bound is right."""
+    c = hulls.approximate_frames(_shapes_of_nations(spark, sf_dir), hulls.Budget(inflation=10.0, distance=oracles.FILL), H)
+    r = hulls.report(c).join(c.groupBy("frame_id").agg(F.sum("voxels").alias("voxels"), F.sum("volume").alias("volume")), "frame_id")
+    whole, k = F.col("clusters") == 1, F.col("frame_id")
+    notch = F.when(k % 3 == 0, (1 + k % 3) * (1 + k % 4) / (2 + k % 3 + k % 4)).otherwise(0.5)  # of the farthest point of the hull
+    right = ~whole | ((F.col("bound") >= notch - 1e-9) & (F.col("bound") <= oracles.FILL))
+    return r.select(
+        "frame_id", "voxels", whole.alias("whole"), F.when(whole, F.round("volume", 6)).otherwise(0.0).alias("volume"), F.when(whole, F.col("planes")).otherwise(0).alias("planes"),
+        right.alias("bound_right"), "complete", (F.col("refused_distance") > 0).alias("too_far"),
+    )
 
 
 def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1029,6 +1057,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tet_clusters": tet_clusters,
     "swept_hulls": swept_hulls,
     "hull_approximation": hull_approximation,
+    "hull_shapes": hull_shapes,
     "tree_texts": tree_texts,
     "zero_set": zero_set,
 }

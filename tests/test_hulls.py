@@ -17,48 +17,94 @@ def unit_cells(keys):
     return np.array([[*k, 1, 1, 1] for k in keys])
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_random_sets(seed):
+def gaps(x, lo, hi):
+    """Distance of points from the nearest box."""
+    d = np.maximum(0, np.maximum(lo[None] - x[:, None], x[:, None] - hi[None]))
+    return np.sqrt((d**2).sum(axis=2)).min(axis=1)
+
+
+@pytest.mark.parametrize("seed,h", [(0, 1.0), (1, 0.1), (2, 0.03), (3, 1.0)])
+def test_random_sets(seed, h):
     r = random.Random(seed)
-    keys = np.array(sorted({(x, y, z) for x in range(6) for y in range(5) for z in range(4) if r.random() < 0.85 or x + y < 3}))
+    keys = np.array(sorted({(x, y, z) for x in range(6) for y in range(5) for z in range(4) if r.random() < 0.85 or x + y < 3})) - 2
     budget = hulls.Budget(inflation=0.3, distance=1.0)
-    found = hulls.approximate(keys, unit_cells(keys), budget)
-    assert sorted(v for c in found.clusters for v in c[0]) == list(range(len(keys)))
-    assert found.accepted and sum(len(c[1]) for c in found.clusters) < 6 * len(keys)
-    assert sum(c[2] for c in found.clusters) <= Fraction(13, 10) * len(keys)
+    found = hulls.approximate(unit_cells(keys), budget, h)
+    assert sorted(j for c in found.cells for j in c.boxes) == list(range(len(keys)))
+    assert found.accepted and sum(len(c.planes) for c in found.cells) < 6 * len(keys) and sum(c.merged for c in found.cells) <= found.accepted
+    assert float(sum(c.volume for c in found.cells)) <= 1.3 * len(keys) * h**3 * (1 + 1e-12)
     rng = np.random.default_rng(seed)
-    for mine, planes, volume, bound in found.clusters:
-        corners = np.array([keys[i] + d for i in mine for d in itertools.product((0, 1), repeat=3)])
-        n, offset = np.array([p[:3] for p in planes]), np.array([p[3] for p in planes])
-        assert (corners @ n.T <= offset).all() and volume >= len(mine)
-        x = rng.uniform(corners.min(axis=0), corners.max(axis=0), (400, 3))
-        x = x[(x @ n.T <= offset).all(axis=1)]
-        gaps = np.maximum(0, np.maximum(keys[mine][None] - x[:, None], x[:, None] - keys[mine][None] - 1))
-        assert len(x) == 0 or np.sqrt((gaps**2).sum(axis=2)).min(axis=1).max() <= min(bound, budget.distance) + 1e-12
-        for p in planes:
-            a, b, c, o = hulls.support_plane(p, corners, 0.1)
-            assert all(Fraction(a) * Fraction(float(x) * 0.1) + Fraction(b) * Fraction(float(y) * 0.1) + Fraction(c) * Fraction(float(z) * 0.1) <= Fraction(o) for x, y, z in corners)
-            assert o == pytest.approx(max(corners @ np.array([a, b, c])) * 0.1, abs=1e-9)
-
-
-def test_budgets_refuse():
-    keys = np.array([(0, 0, 0), (1, 1, 0), (3, 3, 3)])
-    cells = unit_cells(keys)
-    assert len(hulls.approximate(keys, cells, hulls.Budget(inflation=0.0)).clusters) == 3
-    tight, loose = (hulls.approximate(keys, cells, hulls.Budget(inflation=50.0, distance=d)) for d in (0.1, 5.0))
-    assert len(tight.clusters) > 1 and tight.refused["distance"] and len(loose.clusters) == 1
-    assert hulls.approximate(keys, cells, hulls.Budget(inflation=50.0, distance=5.0, most_voxels=1)).refused["work"]
-    assert hulls.approximate(keys, cells, hulls.Budget(inflation=50.0, distance=0.9, most_boxes=2)).refused["work"]
+    for cell in found.cells:
+        lo = keys[cell.boxes]
+        corners = np.concatenate([lo + d for d in itertools.product((0, 1), repeat=3)])
+        for *n, offset in cell.planes:
+            assert all(sum(Fraction(a) * Fraction(float(x) * h) for a, x in zip(n, p)) <= Fraction(offset) for p in corners)
+        n, offset = np.array([p[:3] for p in cell.planes]), np.array([p[3] for p in cell.planes])
+        x = rng.uniform(corners.min(axis=0) * h, corners.max(axis=0) * h, (20_000, 3))
+        inside = (x @ n.T <= offset).all(axis=1)
+        box = np.prod(np.ptp(corners, axis=0)) * h**3
+        assert float(cell.volume) == pytest.approx(inside.mean() * box, abs=6 * box / np.sqrt(20_000))
+        assert not inside.any() or gaps(x[inside], lo * h, (lo + 1) * h).max() <= min(cell.bound, budget.distance * h) + 1e-12
+        for k in range(len(cell.planes)):  # every plane makes a face: without it there is more
+            rest = np.delete(np.arange(len(cell.planes)), k)
+            solid = hulls.Polyhedron(*[tuple(Fraction(v) for v in e) for e in ((-9.0, -9.0, -9.0), (9.0, 9.0, 9.0))])
+            for i in rest:
+                solid.cut(100 + int(i), tuple(map(Fraction, cell.planes[i])))
+            assert solid.volume() > cell.volume
+
+
+def test_polyhedron_against_hulls_of_random_points():
+    r = random.Random(5)
+    for _ in range(30):
+        points = [tuple(r.randrange(-4, 5) for _ in range(3)) for _ in range(r.randrange(5, 20))]
+        try:
+            planes = hull_planes(points)
+        except ValueError:
+            continue
+        solid = hulls.Polyhedron(*[tuple(Fraction(f(p[k] for p in points)) for k in range(3)) for f in (min, max)])
+        for i, p in enumerate(planes):
+            solid.cut(10 + i, tuple(map(Fraction, p)))
+        assert solid.volume() == hull_volume(points)
+        assert {p for ring in solid.faces.values() for p in ring} <= set(points)
+        assert len(solid.faces) == len(planes)
+
+
+def test_extreme_corners_keep_the_hull():
+    r = random.Random(8)
+    lo = np.array([[r.randrange(9) for _ in range(3)] for _ in range(30)])
+    hi = lo + np.array([[r.randrange(1, 4) for _ in range(3)] for _ in range(30)])
+    every = [tuple(int(x) for x in np.where(s, hi[i], lo[i])) for i in range(30) for s in itertools.product((False, True), repeat=3)]
+    few = [tuple(map(int, p)) for p in hulls.extreme_corners(lo, hi)]
+    assert len(few) < len(set(every)) and hull_planes(few) == hull_planes(every)
+
+
+def test_budgets_refuse_and_say_so():
+    cells = unit_cells([(0, 0, 0), (1, 1, 0), (3, 3, 3)])
+    assert len(hulls.approximate(cells, hulls.Budget(inflation=0.0)).cells) == 3
+    tight, loose = (hulls.approximate(cells, hulls.Budget(inflation=50.0, distance=d)) for d in (0.1, 5.0))
+    assert len(tight.cells) > 1 and tight.refused["distance"] and len(loose.cells) == 1 and loose.accepted == 2
+    assert hulls.approximate(cells, hulls.Budget(inflation=50.0, distance=5.0, most_voxels=1)).refused["work"] == 2
+    assert hulls.approximate(cells, hulls.Budget(inflation=50.0, distance=0.9, most_boxes=2)).refused["work"]
+
+
+def test_a_solid_cube_of_many_cells_is_one(spark):
+    cube = unit_cells(itertools.product(range(17), repeat=3))
+    found = hulls.approximate(cube)
+    assert len(found.cells) == 1 and found.cells[0].volume == 17**3 and len(found.cells[0].planes) == 6 and not found.refused["work"]
+    v = spark.createDataFrame([(f, *k) for f in (0, 1) for k in itertools.product(range(6), repeat=3) if f == 0 or k[0] + k[1] < 8], "frame_id long, ix long, iy long, iz long")
+    made = hulls.report(hulls.approximate_frames(v, hulls.Budget(most_voxels=100))).orderBy("frame_id").collect()
+    assert [r.complete for r in made] == [False, False] and all(r.refused_work == 1 for r in made)
+    made = hulls.report(hulls.approximate_frames(v)).orderBy("frame_id").collect()
+    assert made[0].clusters == 1 and made[0].inflation == 0 and all(r.complete and r.accepted for r in made) and made[1].inflation <= 0.1 and made[1].planes < made[1].box_planes
 
 
 def test_distance_certificate():
     corners = [(x, y, z) for x in (0, 4) for y in (0, 1) for z in (0, 1)]
-    planes = hull_planes(corners)
-    boxes = [((0, 0, 0), (1, 1, 1)), ((3, 0, 0), (4, 1, 1))]
+    planes = [tuple(map(float, p)) for p in hull_planes(corners)]
+    boxes = (np.array([(0, 0, 0), (3, 0, 0)]), np.array([(1, 1, 1), (4, 1, 1)]))
     assert hull_volume(corners) == 4
-    assert hulls.certify_distance(((0, 0, 0), (4, 1, 1)), planes, boxes, 1.01, 10_000)[0] == "near"
-    assert hulls.certify_distance(((0, 0, 0), (4, 1, 1)), planes, boxes, 0.9, 10_000)[0] == "far"
-    assert hulls.certify_distance(((0, 0, 0), (4, 1, 1)), planes, boxes, 1.01, 1)[0] == "work"
+    for distance, most, want in ((1.01, 10_000, "near"), (0.9, 10_000, "far"), (1.01, 1, "work")):
+        assert hulls.certify_distance((0, 0, 0), (4, 1, 1), planes, boxes, distance, most)[0] == want
+    assert 1 <= hulls.certify_distance((0, 0, 0), (4, 1, 1), planes, boxes, 1.01, 10_000)[1] <= 1.01
 
 
 @pytest.mark.parametrize("angle", [0.0, 0.3, 1.0])
