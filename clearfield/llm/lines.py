@@ -107,6 +107,7 @@ def remove_common_lines(docs: DataFrame, least: int = LEAST, min_chars: int = MI
     common = store.put("common", places.groupBy("key").agg(documents.alias("n")).where(F.col("n") >= least).select("key"))
     dropped = places.join(common, "key", "left_semi").groupBy("row").agg(F.collect_set("at").alias("at"))
     p = free_prefix(docs.columns)
-    dropped = dropped.select(F.col("row.id").alias(f"{p}id"), F.col("row.mark").alias(f"{p}mark"), F.col("at").alias(f"{p}at"))
+    # Merged at every size: a broadcast of a small table of lists would move texts on large inputs only.
+    dropped = dropped.select(F.col("row.id").alias(f"{p}id"), F.col("row.mark").alias(f"{p}mark"), F.col("at").alias(f"{p}at")).hint("merge")
     joined = docs.join(dropped, id_.eqNullSafe(F.col(f"{p}id")) & (mark == F.col(f"{p}mark")), "left")
     return _drop_lines(joined.drop(f"{p}id", f"{p}mark"), names, f"{p}at")
