@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrangement import Program, evaluate, hard_values, smooth_values, smoothing
+from .boundary import numbered_within
 from .meet import meet
 from .trees import evaluate_json
 from .voxels import AXES, bounds, contains
@@ -73,9 +74,10 @@ def distance_errors(probes: DataFrame, values: DataFrame, distances: DataFrame,
     less the distance), sdf (-q_upper less the distance, at every probe), and of the last those near (within
     h of a patch), boundary (at distance 0), outside and inside.
     """
-    key = ["frame_id", "point_id"]
-    filled = contains(probes.select(*key, *"xyz"), voxels, h).select(*key, "inside")
-    rows = values.select(*key, "q", "q_upper").join(distances.select(*key, "distance"), key).join(filled, key)
+    # Joined by place, at which values, distances and sides are the same; numbers of probes may be hashes.
+    key, at = ["frame_id", "point_id"], ["frame_id", *"xyz"]
+    known = values.select(*at, "q", "q_upper").dropDuplicates(at).join(distances.select(*at, "distance").dropDuplicates(at), at)
+    rows = contains(probes.select(*key, *"xyz"), voxels, h).join(known, at)
     rows = rows.withColumn("signed", F.when(F.col("inside"), -F.col("distance")).otherwise(F.col("distance")))
     sdf = -F.col("q_upper") - F.col("signed")
     named = [
@@ -91,11 +93,12 @@ def distance_errors(probes: DataFrame, values: DataFrame, distances: DataFrame,
     return rows.select(*key, F.explode(each).alias("e")).select(*key, "e.what", "e.error")
 
 
-def strided(rows: DataFrame, order: list[str], count: int) -> DataFrame:
-    """``count`` rows of each frame at even strides of an order: those whose number i has a new floor(i * count / n)."""
-    from pyspark.sql.window import Window
+def strided(rows: DataFrame, order: list[str], count: int, coarse: list) -> DataFrame:
+    """``count`` rows of each frame at even strides of an order: those whose number i has a new floor(i * count / n).
 
-    numbered = rows.withColumn("__i", F.row_number().over(Window.partitionBy("frame_id").orderBy(*order)) - 1)
+    coarse: columns or expressions that order rows as ``order`` does, in steps, so that no task numbers a whole frame.
+    """
+    numbered = numbered_within(rows, ["frame_id"], coarse, order, "__i", "long")
     sized = numbered.join(rows.groupBy("frame_id").agg(F.count(F.lit(1)).alias("__n")), "frame_id")
     now, before = F.floor(F.col("__i") * count / F.col("__n")), F.floor((F.col("__i") - 1) * count / F.col("__n"))
     return sized.where((F.col("__i") == 0) | (now > before) | (F.col("__n") <= count)).drop("__i", "__n")
@@ -103,7 +106,7 @@ def strided(rows: DataFrame, order: list[str], count: int) -> DataFrame:
 
 def exported_differences(points: DataFrame, programs: DataFrame, texts: DataFrame, count: int = 24, tolerance: float = 1e-12) -> DataFrame:
     """By frame: ``count`` strided points, and those where the exported text and the program differ by more than the tolerance."""
-    some = strided(points, ["x", "y", "z"], count)
+    some = strided(points, ["x", "y", "z"], count, [F.floor(F.col("x") * 256)])
     ours = evaluate(some, programs, gradient=False).withColumnRenamed("q", "ours")
     both = evaluate_json(ours, texts)
     return both.groupBy("frame_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.abs(F.col("q") - F.col("ours")) > tolerance).alias("differing"))
@@ -154,7 +157,7 @@ def zero_rays(rays: DataFrame, programs: DataFrame, error: float, steps: int = 4
         return {"t": t, "t_smooth": s, "gap": np.abs(t - s) * np.linalg.norm(b - a, axis=1), "ok": ok}
 
     sides = programs.select("frame_id", F.col("program").alias("side"))
-    found = meet(rays, sides, Program.unpack, compute, "t double, t_smooth double, gap double, ok boolean")
+    found = meet(rays, sides, Program.unpack, compute, "t double, t_smooth double, gap double, ok boolean", weight=lambda p: 4 * len(p.op))
     return found.select("frame_id", "ray_id", "t", "t_smooth", "gap", "ok")
 
 

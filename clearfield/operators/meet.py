@@ -20,17 +20,22 @@ from ..sources.staging import written
 MOST_BROADCAST = 64 << 20
 #: Points of a frame that are worked on together, points a task holds back for that, and points of a salt.
 TOGETHER, MOST_HELD, SALT_POINTS = 8192, 1 << 19, 1 << 18
+#: Numbers that a kernel holds for the points it works on together.
+MOST_NUMBERS = 1 << 24
 #: Sides that a task keeps unpacked.
 MOST_UNPACKED = 64
 
 Compute = Callable[[pd.DataFrame, object], dict[str, np.ndarray]]
 
 
-def meet(points: DataFrame, sides: DataFrame, unpack: Callable[[bytes], object], compute: Compute, added: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def meet(
+    points: DataFrame, sides: DataFrame, unpack: Callable[[bytes], object], compute: Compute, added: str, most_broadcast: int = MOST_BROADCAST, weight: Callable[[object], int] | None = None
+) -> DataFrame:
     """points, all columns, with the columns ``added`` (a schema) that compute gives for points of one frame.
 
     points: frame_id and whatever compute reads; sides: frame_id, side (binary), one row a frame. Points of
-    frames without a side do not appear. Columns of points named like an added one are replaced.
+    frames without a side do not appear. Columns of points named like an added one are replaced. compute gets at most
+    TOGETHER points at a time, and fewer where ``weight``, the numbers that a point takes beside a side, says so.
     """
     spark = points.sparkSession
     names = [a.split()[0] for a in added.split(", ")]
@@ -43,7 +48,9 @@ def meet(points: DataFrame, sides: DataFrame, unpack: Callable[[bytes], object],
     total = sides.agg(F.sum(F.length("side"))).first()[0] or 0
 
     def result(frame: pd.DataFrame, side: object) -> pd.DataFrame:
-        return pd.concat([frame.reset_index(drop=True), pd.DataFrame(compute(frame, side))], axis=1)[columns]
+        step = TOGETHER if weight is None else min(TOGETHER, max(1, MOST_NUMBERS // max(1, weight(side))))
+        parts = [pd.DataFrame(compute(frame.iloc[i : i + step], side)) for i in range(0, max(1, len(frame)), step)]
+        return pd.concat([frame.reset_index(drop=True), pd.concat(parts, ignore_index=True)], axis=1)[columns]
 
     if total <= most_broadcast:
         shared = spark.sparkContext.broadcast({r["frame_id"]: bytes(r["side"]) for r in sides.collect()})
@@ -78,7 +85,8 @@ def meet(points: DataFrame, sides: DataFrame, unpack: Callable[[bytes], object],
         return kept.mapInPandas(run, schema)
 
     counts = written(kept.groupBy("frame_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_POINTS)).cast("int").alias("salts")))
-    salted = kept.join(counts, "frame_id").withColumn("salt", F.floor(F.rand(1) * F.col("salts")).cast("int"))
+    # By the point's own columns: a task that is done again deals the same.
+    salted = kept.join(counts, "frame_id").withColumn("salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col("salts")).cast("int"))
     copies = sides.join(counts, "frame_id").select("frame_id", "side", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
     def grouped(frame: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:

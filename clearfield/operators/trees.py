@@ -207,7 +207,8 @@ def evaluate_json(points: DataFrame, texts: DataFrame) -> DataFrame:
                 work[i] = (np.minimum if op == "MIN" else np.maximum).reduce([work[k] for k in children])
         return {"q": work[rows[-1][0]]}
 
-    return meet(points, texts.select("frame_id", F.encode("json", "UTF-8").alias("side")), unpack, compute, "q double")
+    sides = texts.select("frame_id", F.encode("json", "UTF-8").alias("side"))
+    return meet(points, sides, unpack, compute, "q double", weight=lambda side: len(side[0]))
 
 
 def cluster_tree(planes: DataFrame) -> DataFrame:

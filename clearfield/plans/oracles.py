@@ -344,7 +344,8 @@ ORACLE_SQL: dict[str, str] = {
       FROM flagged p JOIN patches q ON p.frame_id = q.frame_id),
       d AS (SELECT frame_id, point_id, any_value(inside) AS inside, min(sqrt((s - pl) * (s - pl) + greatest(0, a - u, u - b) * greatest(0, a - u, u - b) + greatest(0, c - v, v - d) * greatest(0, c - v, v - d))) AS d FROM w GROUP BY frame_id, point_id)
       SELECT frame_id, point_id, round(d, 9) AS distance, round(CASE WHEN inside THEN -d ELSE d END, 9) + 0.0 AS signed FROM d""",
-    "sphere_poses": """SELECT s_suppkey AS config_id, round(-sin((s_suppkey % 13) / 4.0) * 0.1, 9) + 0.0 AS x, round(cos((s_suppkey % 13) / 4.0) * 0.1, 9) + 0.0 AS y, 0.2::DOUBLE AS z FROM supplier""",
+    "sphere_poses": f"""WITH {_POSES.replace("s_suppkey % 7) / 10.0", "0) / 10.0").replace("s_suppkey % 5) / 3.0", "0) / 3.0")}
+      SELECT config_id, CAST(sphere_id AS INTEGER) AS sphere_id, {", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in "xyz")} FROM poses""",
     "frame_reuse": f"""WITH {_EVENT_SETS}
       SELECT sensor_id, CAST(frame_id AS BIGINT) AS frame_id, CAST(len(key) AS BIGINT) AS voxels, coalesce(key = lag(key) OVER (PARTITION BY sensor_id ORDER BY frame_id), false) AS hit FROM s""",
     "frame_reuse_of_two": f"""WITH {_EVENT_SETS}, a AS (SELECT *, lag(key) OVER (PARTITION BY sensor_id ORDER BY frame_id) AS last FROM s),

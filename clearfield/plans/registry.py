@@ -474,12 +474,12 @@ def box_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sphere_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres of one sphere of the arm, turned only, at configurations taken from the suppliers; ``arm_poses`` has them all."""
+    """Centres of all spheres of the arm, turned only, at configurations taken from the suppliers."""
     model = robot.parse_urdf(robot.DEMO_URDF)
     o = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     q = F.array((F.col("s_suppkey") % 13) / 4.0, F.lit(0.0), F.lit(0.0))
     poses = robot.sphere_poses(o.select(F.col("s_suppkey").alias("config_id"), q.alias("q")), model)
-    return poses.where("sphere_id = 1").select("config_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in "xyz"])
+    return poses.select("config_id", "sphere_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in "xyz"])
 
 
 def arm_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -874,7 +874,7 @@ def hull_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strided_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen patches of each frame at even strides of their numbers."""
     p = boundary.number_patches(_Surface(spark, sf_dir).patches)
-    return audit.strided(p, ["patch_id"], 16).select("frame_id", "patch_id")
+    return audit.strided(p, ["patch_id"], 16, [F.floor(F.col("patch_id") / 4096)]).select("frame_id", "patch_id")
 
 
 def jet_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:

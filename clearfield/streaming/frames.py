@@ -1,11 +1,12 @@
 """Streams of frames with exact reuse: a frame whose occupied voxels equal the last one's keeps its results.
 
 The key is the whole sorted list of voxels and the voxel size; no hash stands in for it. A batch view gives the
-reuse pattern of a recorded stream; the streaming operator keeps the last snapshot of each sensor as state.
+reuse pattern of a recorded stream; the streaming operator keeps the last snapshots of each sensor as a list state.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..operators import arrangement
@@ -73,7 +74,65 @@ def snapshot(keys: np.ndarray, h: float) -> tuple[bytes, int, int]:
 
 #: One row a frame of the stream.
 OUTPUT = "sensor_id string, frame_id long, voxels long, hit boolean, nodes long, strata long, certified boolean, outside long"
-STATE = "h double, snapshots array<struct<keys:binary,program:binary,strata:bigint>>"
+
+
+class FrameReuse(StatefulProcessor):
+    """One sensor's frames: a list state holds its last snapshots, most recently used first, as whole keys and programs.
+
+    The voxel size and the capacity are part of the processor; a state that another size made is of no use and goes.
+    """
+
+    def __init__(self, h: float, capacity: int):
+        self.h, self.capacity = h, capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.size = handle.getValueState("size", "h double")
+        self.snapshots = handle.getListState("snapshots", "keys binary, program binary, strata bigint")
+
+    def _held(self) -> OrderedDict[bytes, tuple[bytes, int]]:
+        if not self.size.exists() or self.size.get()[0] != self.h:
+            return OrderedDict()
+        return OrderedDict((bytes(k), (bytes(p), int(n))) for k, p, n in reversed(list(self.snapshots.get())))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._held()
+        before = list(held)
+        # The frames of one micro-batch, whose size the source limits; a sensor's history is never read again.
+        batch = pd.concat(list(rows)).sort_values("frame_id", kind="stable")
+        for frame_id, xyz in zip(batch["frame_id"], batch["xyz"], strict=True):
+            yield pd.DataFrame([(key[0], int(frame_id), *self._frame(frame_id, xyz, held))], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        if list(held) != before:
+            self.size.update((self.h,))
+            if held:
+                self.snapshots.put([(k, *v) for k, v in reversed(held.items())])
+            else:
+                self.snapshots.clear()
+
+    def _frame(self, frame_id: int, xyz: np.ndarray, held: OrderedDict[bytes, tuple[bytes, int]]) -> tuple:
+        x = np.asarray(xyz, dtype=float).reshape(-1, 3)
+        if not len(x) or not np.isfinite(x).all():
+            raise ValueError(f"frame {frame_id} needs finite points")
+        i = np.floor(x / self.h).astype(np.int64)
+        i -= x < i * self.h
+        i += x >= (i + 1) * self.h
+        keys = np.unique(i, axis=0)
+        packed = keys.tobytes()
+        hit = packed in held
+        if hit:
+            (program, strata), bad = held[packed], 0
+            held.move_to_end(packed)
+        else:
+            program, strata, bad = snapshot(keys, self.h)
+            if bad == 0:
+                held[packed] = (program, strata)
+                if len(held) > self.capacity:
+                    held.popitem(last=False)
+        p = arrangement.Program.unpack(program)
+        outside = int((arrangement.hard_values(p, x) < 0).sum())
+        return (len(keys), hit, len(p.op), strata, bad == 0, outside)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_frames(frames: DataFrame, h: float, capacity: int = 1) -> DataFrame:
@@ -82,55 +141,54 @@ def stream_frames(frames: DataFrame, h: float, capacity: int = 1) -> DataFrame:
     A frame arrives as one row. On a hit the stored program stays and every raw point is still checked to
     lie in the closed union; on a miss the frame is built and certified, and kept only if the certificate
     holds. A sensor keeps its last ``capacity`` snapshots, the least recently used of which goes first. Frames
-    of a sensor within a micro-batch are taken in order of frame_id.
+    of a sensor within a micro-batch are taken in order of frame_id; a source that limits a micro-batch bounds what
+    a task holds. The session's state store becomes RocksDB, which list states ask for.
     """
+    if not h > 0 or capacity < 1:
+        raise ValueError("the voxel size must be positive, and a snapshot held at least")
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = frames.select("sensor_id", "frame_id", "xyz")
+    return rows.groupBy("sensor_id").transformWithStateInPandas(FrameReuse(h, capacity), OUTPUT, "append", "none")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: OrderedDict[bytes, tuple[bytes, int]] = OrderedDict()
-        if state.exists and state.get[0] == h:
-            held.update((bytes(s[0]), (bytes(s[1]), int(s[2]))) for s in state.get[1])
-        rows = pd.concat(list(batches)).sort_values("frame_id")
-        out = []
-        for row in rows.itertuples(index=False):
-            x = np.asarray(row.xyz, dtype=float).reshape(-1, 3)
-            if not len(x) or not np.isfinite(x).all():
-                raise ValueError(f"frame {row.frame_id} needs finite points")
-            i = np.floor(x / h).astype(np.int64)
-            i -= x < i * h
-            i += x >= (i + 1) * h
-            keys = np.unique(i, axis=0)
-            packed = keys.tobytes()
-            hit = packed in held
-            if hit:
-                (program, strata), bad = held[packed], 0
-                held.move_to_end(packed)
-            else:
-                program, strata, bad = snapshot(keys, h)
-                if bad == 0:
-                    held[packed] = (program, strata)
-                    if len(held) > capacity:
-                        held.popitem(last=False)
-            p = arrangement.Program.unpack(program)
-            outside = int((arrangement.hard_values(p, x) < 0).sum())
-            out.append((key[0], int(row.frame_id), len(keys), hit, len(p.op), strata, bad == 0, outside))
-        if held:
-            state.update((h, [(k, *v) for k, v in held.items()]))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    return frames.groupBy("sensor_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_recorded(points: DataFrame, h: float, folder: str, capacity: int = 1) -> DataFrame:
-    """Result rows of a recorded stream: its frames are written to a folder and streamed from there to the end.
-
-    The sink is a table of files with a checkpoint, so a run that breaks off goes on where it stopped.
+
+def record(frames: DataFrame, folder: str, frames_a_file: int = 64) -> int:
+    """Write frames (sensor_id, frame_id, xyz) as files that a stream reads in order of frame_id; returns how many files.
+
+    Files are ranges of frame_id of about ``frames_a_file`` rows; times of theirs rise in the order of ranges, after
+    those of files that are there, as file streams go by time.
+    """
+    spark = frames.sparkSession
+    n = frames.count()
+    if not n:
+        return 0
+    part = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+    frames.repartitionByRange(max(1, -(-n // frames_a_file)), "frame_id").sortWithinPartitions("frame_id").write.parquet(part)
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = paths(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    goal = paths(folder)
+    fs.mkdirs(goal)
+    there = [s.getModificationTime() for s in fs.listStatus(goal)]
+    # In the past, so that no file is newer than the clock, and later than all that came before.
+    names = sorted(s.getPath().getName() for s in fs.listStatus(paths(part)) if s.getPath().getName().startswith("part-"))
+    start = max([fs.getFileStatus(paths(part)).getModificationTime() - 1000 * len(names), *(t + 1000 for t in there)])
+    for i, name in enumerate(names):
+        fs.setTimes(paths(f"{part}/{name}"), start + 1000 * i, -1)
+        fs.rename(paths(f"{part}/{name}"), paths(f"{folder.rstrip('/')}/{name}"))
+    fs.delete(paths(part), True)
+    return len(names)
+
+
+def run_recorded(points: DataFrame, h: float, folder: str, capacity: int = 1, frames_a_file: int = 64, files_a_batch: int = 8) -> DataFrame:
+    """Result rows of a recorded stream: its frames are written to a folder and streamed from there, in order, to the end.
+
+    A micro-batch is ``files_a_batch`` files at most, so that what a task holds does not grow with the recording. The
+    sink is a table of files with a checkpoint, so a run that breaks off goes on where it stopped, and frames that
+    another call records in the same folder go on with the state of those before.
     """
     spark = points.sparkSession
     rows = frames_of(points)
-    rows.write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    record(rows, f"{folder}/in", frames_a_file)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{folder}/in")
     query = (
         stream_frames(source, h, capacity)
         .writeStream.format("parquet")
@@ -150,4 +208,4 @@ def frames_of(points: DataFrame) -> DataFrame:
     return points.groupBy("sensor_id", "frame_id").agg(F.flatten(F.transform(order, lambda p: F.array(p["x"], p["y"], p["z"]))).alias("xyz"))
 
 
-__all__ = ["AXES", "OUTPUT", "frames_of", "reuse_pattern", "run_recorded", "snapshot", "stream_frames"]
+__all__ = ["AXES", "OUTPUT", "FrameReuse", "frames_of", "record", "reuse_pattern", "run_recorded", "snapshot", "stream_frames"]

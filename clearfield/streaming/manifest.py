@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import arrangement, boundary, robot, voxels
 from ..sources import exports
 from ..sources.points import read_cloud
-from ..sources.staging import written
+from ..sources.staging import drop, kept, scope, written
 
 
 def parse_manifest(text: str) -> list[tuple[str, str, list[float] | None]]:
@@ -62,6 +62,10 @@ class Snapshot:
     coords: DataFrame
     programs: DataFrame
 
+    def drop(self) -> None:
+        for table in (self.voxels, self.coords, self.programs):
+            drop(table)
+
 
 @dataclass
 class Environments:
@@ -76,8 +80,13 @@ class Environments:
         """The environment of a frame's points (frame_id, point_id, x, y, z), and what is known of it.
 
         A held one serves if its voxels are the very same; every raw point is then still checked to lie in
-        their closed union. Else it is built and certified, and held only if the certificate is right.
+        their closed union. Else it is built and certified, and held only if the certificate is right. What is not
+        held any more, or is not needed beyond the frame, is deleted: the folders are those of the held ones.
         """
+        with scope(points.sparkSession):
+            return self._prepare(points)
+
+    def _prepare(self, points: DataFrame) -> tuple[Snapshot, dict]:
         points = written(points.withColumn("frame_id", F.lit(0).cast("long")))
         known = {"points": self.limits.check("points", points.count())}
         v = written(voxels.voxelize(points, self.h))
@@ -91,7 +100,10 @@ class Environments:
         known["outside"] = voxels.count_outside(points, found.voxels, self.h).first()["outside"]
         if known["outside"]:
             raise RuntimeError("points lie outside of their own voxels")
-        self.held = [found, *self.held][: self.capacity]
+        self.held = [found, *self.held]
+        for old in self.held[self.capacity :]:
+            old.drop()
+        self.held = self.held[: self.capacity]
         return found, known
 
     def _same(self, a: DataFrame, b: DataFrame) -> bool:
@@ -107,7 +119,7 @@ class Environments:
         programs = written(arrangement.build_programs(boundary.cells(v, coords), coords, self.h, certify=True, most_nodes=self.limits.nodes))
         if programs.first()["mismatches"]:
             raise RuntimeError("a function failed its certificate")
-        return Snapshot(v, count, coords, programs)
+        return Snapshot(kept(v), count, kept(coords), kept(programs))
 
 
 def run_manifest(
@@ -126,9 +138,10 @@ def run_manifest(
         kind = cloud.rsplit(".", 1)[-1].lower()
         snapshot, known = environments.prepare(read_cloud(spark, cloud, kind if kind in ("ply", "off") else "xyz"))
         prepared = time.monotonic()
-        poses = robot.sphere_poses(spark.createDataFrame([(0, at)], "config_id long, q array<double>"), model)
-        found = robot.group_clearances(robot.field_at(poses, snapshot.coords, snapshot.programs, environment_error), model, margin, link_error)
-        document = exports.clearance_documents(found.withColumn("frame_id", F.lit(i).cast("long"))).first()  # one configuration
+        with scope(spark):
+            poses = robot.sphere_poses(spark.createDataFrame([(0, at)], "config_id long, q array<double>"), model)
+            found = robot.group_clearances(robot.field_at(poses, snapshot.coords, snapshot.programs, environment_error), model, margin, link_error)
+            document = exports.clearance_documents(found.withColumn("frame_id", F.lit(i).cast("long"))).first()  # one configuration
         exports.write_text(spark, output, document["value"] + "\n")
         yield {"frame": i, "cloud": cloud, "output": output, **known, "prepare_seconds": prepared - begun, "query_seconds": time.monotonic() - prepared}
 
