@@ -374,6 +374,13 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL SELECT mesh, 'flat', 3 * n - 6, round(n * sqrt(1 + side * side) + 2 * coalesce((SELECT sum(2 * r * sin(pi() * i / n)) FROM (SELECT unnest(range(2, n - 1)) AS i)), 0), 6) FROM t""",
     "mesh_coplanar": f"""WITH {_PRISM_SIZES} SELECT n - 2 AS faces, round(n / 2.0 * r * r * sin(2 * pi() / n), 6) AS area FROM m, (SELECT unnest([0, 1]))
       UNION ALL SELECT 2, round(2 * r * sin(pi() / n), 6) FROM (SELECT n, r, unnest(range(n)) FROM m)""",
+    "surface_validity": """SELECT CAST(p_partkey AS BIGINT) AS mesh, CAST(12 * (p_partkey % 4 + 1) AS BIGINT) AS faces, 0::BIGINT AS flat_faces, CAST(p_partkey % 4 + 1 AS BIGINT) AS parts,
+      CAST(CASE WHEN p_partkey % 5 = 0 THEN (p_partkey % 4 + 1) // 2 ELSE 0 END AS BIGINT) AS inward_parts, p_partkey % 3 < 2 AND p_partkey % 4 > 0 AS crossed FROM part""",
+    # Sides of overlapping boxes share planes across, and those along where one begins in steps of the other's width; turned boxes face the other way.
+    "coplanar_regions": """WITH b AS (SELECT p_partkey AS mesh, unnest(range(0, p_partkey % 4 + 1)) AS box FROM part),
+      s AS (SELECT *, box * [0.5, 1.0, 2.0][CAST(mesh % 3 + 1 AS INTEGER)] AS x, CASE WHEN mesh % 5 = 0 AND box % 2 = 1 THEN -1 ELSE 1 END AS t FROM b),
+      q AS (SELECT mesh, axis, sign * t AS sign, sign * t * CASE axis WHEN 0 THEN x + (sign + 1) / 2 ELSE (sign + 1) / 2 END AS d FROM s, (SELECT unnest([0, 1, 2]) AS axis), (SELECT unnest([-1, 1]) AS sign))
+      SELECT CAST(mesh AS BIGINT) AS mesh, count(*) AS regions, CAST(2 * count(*) AS BIGINT) AS faces, count(DISTINCT (axis, sign, d)) AS planes, CAST(count(*) AS DOUBLE) AS area, 0.0::DOUBLE AS slack FROM q GROUP BY mesh""",
     "mesh_validity": f"""WITH {_PRISM_SIZES}, t AS (SELECT *, CASE WHEN mesh % 3 = 0 THEN 1 ELSE 0 END AS gone, CASE WHEN mesh % 2 = 1 THEN 1 ELSE 0 END AS turned FROM m)
       SELECT mesh, 4 * n - 4 - gone AS faces, 6 * n - 6 AS edges, CAST(3 * gone AS BIGINT) AS open_edges, CAST(turned * (3 - CASE WHEN n > 3 THEN gone ELSE 0 END) AS BIGINT) AS turned_edges FROM t""",
     "points_in_tets": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation),

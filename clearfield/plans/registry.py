@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import cross, dot, inside_box, inside_ellipsoid, length, minus, plane_value, ray_ellipsoid, same_plane, wilson
-from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, octree, robot, sweep, trees, voxels
+from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, octree, robot, surfaces, sweep, trees, voxels
 from ..sources import exports
 from ..sources import points as sources
 from ..sources import shapes, suite
@@ -711,6 +711,37 @@ def mesh_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meshes.validity(hurt.select("mesh", "face_id", turned.alias("v")), ["mesh"])
 
 
+def _rows_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of one to four unit boxes along x for each part, apart, touching or overlapping, some turned inside out: triangles."""
+    p = _spread(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("mesh")))
+    b = p.withColumn("box", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mesh") % 4)))
+    start = F.col("box") * F.element_at(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0)), (F.col("mesh") % 3 + 1).cast("int"))
+    # Corners of a box are numbered by bits x, y, z; sides as rings seen from outside.
+    rings = [(0, 4, 6, 2), (1, 3, 7, 5), (0, 1, 5, 4), (2, 6, 7, 3), (0, 2, 3, 1), (4, 5, 7, 6)]
+    fans = F.array(*[F.array(*[F.lit(v) for v in t]) for r in rings for t in ((r[0], r[1], r[2]), (r[0], r[2], r[3]))])
+    each = b.select("mesh", "box", start.alias("start"), F.posexplode(fans).alias("side", "ring"))
+    turned = F.when((F.col("mesh") % 5 == 0) & (F.col("box") % 2 == 1), F.reverse("ring")).otherwise(F.col("ring"))
+    each = each.withColumn("ring", turned)
+    at = [F.get("ring", F.lit(k)) for k in range(3)]
+    corner = [((F.shiftright(v, i).bitwiseAND(1)) + (F.col("start") if i == 0 else 0.0)).cast("double").alias(f"{c}{k}") for c, v in zip("abc", at, strict=True) for i, k in enumerate("xyz")]
+    return each.select("mesh", (12 * F.col("box") + F.col("side")).alias("face_id"), *[(8 * F.col("box") + v).alias(f"v{c}") for c, v in zip("abc", at, strict=True)], *corner)
+
+
+def surface_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of boxes: their parts, those that face inward, and whether faces cross."""
+    found = surfaces.surface_validity(written(_rows_of_boxes(spark, sf_dir)), ["mesh"])
+    return found.select("mesh", "faces", "flat_faces", "parts", "inward_parts", (F.col("crossings") > 0).alias("crossed"))
+
+
+def coplanar_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected regions of one plane in rows of boxes, whose sides share planes: how many, their planes and area."""
+    r = surfaces.regions(written(_rows_of_boxes(spark, sf_dir)), ["mesh"])
+    plane = F.concat_ws(",", *[F.round(F.col(c), 6) + F.lit(0.0) for c in ("nx", "ny", "nz", "offset")])
+    return r.groupBy("mesh").agg(
+        F.count(F.lit(1)).alias("regions"), F.sum("faces").alias("faces"), F.count_distinct(plane).alias("planes"), F.round(F.sum("area"), 6).alias("area"), F.round(F.max("slack"), 6).alias("slack")
+    )
+
+
 def _cubes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cubes of six tetrahedra, of side (key + 1) / 10, one a nation: tables vertex and tet."""
     corners = [(i, float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)]
@@ -1037,6 +1068,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mesh_edges": mesh_edges,
     "mesh_coplanar": mesh_coplanar,
     "mesh_validity": mesh_validity,
+    "surface_validity": surface_validity,
+    "coplanar_regions": coplanar_regions,
     "points_in_tets": points_in_tets,
     "cluster_meshes": cluster_meshes,
     "mesh_sides": mesh_sides,
