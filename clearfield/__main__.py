@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import arrangement, audit, boundary, clusters, hulls, octree, robot, sweep, voxels
+from .operators import arrangement, audit, boundary, hulls, neighbours, octree, robot, sweep, voxels
 from .operators.boundary import numbered_within
 from .sources import exports, shapes
 from .sources.points import read_cloud
@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", help="folder of the bundle; a stream's frames name their own")
     p.add_argument("--voxel-size", type=float, required=True)
     p.add_argument("--preprocess", choices=["none", "voxel", "jet"], default="none")
+    p.add_argument("--neighbors", type=int, default=24, help="jet: nearest points that a surface is fitted to")
+    p.add_argument("--iterations", type=int, default=1, help="jet: how often points are smoothed")
     p.add_argument("--manifest", help="stream: lines of cloud, output and configuration, tab separated")
     p.add_argument("--reuse", type=int, default=1, help="stream: environments held")
     for name in ("points", "voxels", "cells", "nodes", "strata"):
@@ -70,7 +72,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.preprocess == "voxel":
         points = staged("centres", numbered_within(voxels.preprocess_voxel(points, h), ["frame_id"], ["ix"], ["iy", "iz"], "point_id", "long").select("frame_id", "point_id", *"xyz"))
     elif a.preprocess == "jet":
-        points = staged("smoothed", clusters.jet_smooth(points, 4 * h).select("frame_id", "point_id", *"xyz"))
+        points = staged("smoothed", neighbours.jet_smooth(points, a.neighbors, a.iterations).select("frame_id", "point_id", *"xyz"))
     v = staged("voxels", voxels.voxelize(points, h))
     faces = staged("faces", boundary.exposed_faces(v))
     planes = boundary.supports(faces)

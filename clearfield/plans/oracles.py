@@ -226,6 +226,9 @@ made AS (SELECT frame_id, axis, max(n) AS prisms, min(slab) FILTER (n > {TIGHT_P
 stat AS (SELECT far.frame_id, far.axis, CASE WHEN dims.n > {TIGHT_CELLS} THEN 'compressed_cell_limit' WHEN i IS NOT NULL AND (j IS NULL OR i + 1 <= j) THEN 'event_update_limit'
   WHEN j IS NOT NULL THEN 'free_prism_limit' END AS reason, coalesce(prisms, 0) AS prisms, updates FROM far JOIN dims USING (frame_id) LEFT JOIN made USING (frame_id, axis))"""
 
+_NEAREST = """nr AS (SELECT a.frame_id, a.point_id, b.point_id AS id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2,
+  row_number() OVER (PARTITION BY a.frame_id, a.point_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.point_id) AS r FROM pts a JOIN pts b ON a.frame_id = b.frame_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "surface_summary": _surface(FINE, _PATCHES, _SUPPORTS) + _SUMMARY_OF,
     "xyz_lines": f"WITH {_POINTS} SELECT frame_id, point_id, x, y, z FROM pts",
@@ -452,6 +455,11 @@ ORACLE_SQL: dict[str, str] = {
     "strided_patches": _surface(H, _PATCHES)
     + """, n AS (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY 2 * axis + CASE WHEN sign > 0 THEN 1 ELSE 0 END, plane, v0, u0) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS n FROM patches)
       SELECT frame_id, CAST(i AS INTEGER) AS patch_id FROM n WHERE n <= 16 OR i = 0 OR (i * 16) // n > ((i - 1) * 16) // n""",
+    "nearest_points": f"""WITH {_POINTS}, {_NEAREST} SELECT frame_id, point_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY r) AS near, round(sqrt(max(d2)), 9) AS distance FROM nr WHERE r <= 7 GROUP BY frame_id, point_id""",
+    "point_spacing": f"""WITH {_POINTS}, {_NEAREST}, s AS (SELECT frame_id, point_id, sum(sqrt(d2)) / (count(*) - 1) AS d FROM nr WHERE r <= 7 GROUP BY frame_id, point_id)
+      SELECT frame_id, count(*) AS points, round(avg(d), 9) AS spacing FROM s GROUP BY frame_id""",
+    "jet_surfaces": """WITH s AS (SELECT CAST(s_suppkey % 2 AS BIGINT) AS frame_id, CAST(s_suppkey AS BIGINT) AS point_id, (s_suppkey * 37 % 101) / 20.0::DOUBLE AS x, (s_suppkey * 53 % 97) / 30.0::DOUBLE AS y FROM supplier)
+      SELECT frame_id, point_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(x * 0.25::DOUBLE - y * 0.5::DOUBLE + frame_id, 6) + 0.0 AS z, count(*) OVER (PARTITION BY frame_id) >= 6 AS moved FROM s""",
     "jet_smoothing": f"""WITH {_POINTS}, k AS (SELECT a.frame_id, a.point_id, count(*) AS n FROM pts a JOIN pts b ON a.frame_id = b.frame_id
       AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.08::DOUBLE * 0.08 GROUP BY ALL)
       SELECT frame_id, count(*) AS points, count(*) FILTER (n >= 12) AS moved FROM k GROUP BY frame_id""",

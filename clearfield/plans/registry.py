@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import cross, dot, inside_box, inside_ellipsoid, length, minus, plane_value, ray_ellipsoid, same_plane, wilson
-from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, octree, robot, surfaces, sweep, trees, voxels
+from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, neighbours, octree, robot, surfaces, sweep, trees, voxels
 from ..sources import exports
 from ..sources import points as sources
 from ..sources import shapes, suite
@@ -908,6 +908,27 @@ def strided_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.strided(p, ["patch_id"], 16, [F.floor(F.col("patch_id") / 4096)]).select("frame_id", "patch_id")
 
 
+def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven nearest points of every point, itself first, by number, and the distance of the last."""
+    found = neighbours.nearest(sources.points_of_embeddings(spark, sf_dir), 7)
+    ids = F.array_join(F.transform("near", lambda o: o["id"].cast("string")), ",")
+    return found.select("frame_id", "point_id", ids.alias("near"), F.round(F.sqrt(F.element_at("near", -1)["d2"]), 9).alias("distance"))
+
+
+def point_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average distance of a point from its six nearest, by frame."""
+    return neighbours.spacing(sources.points_of_embeddings(spark, sf_dir), 6).select("frame_id", "points", F.round("spacing", 9).alias("spacing"))
+
+
+def jet_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of sloping planes, one a nation of the supplier, smoothed: where they are afterwards, which is where they were."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"), (F.col("s_suppkey") % 2).cast("long").alias("frame_id"))
+    x, y = (F.col("point_id") * 37 % 101) / 20, (F.col("point_id") * 53 % 97) / 30
+    p = s.select("frame_id", "point_id", x.alias("x"), y.alias("y"), (x * 0.25 - y * 0.5 + F.col("frame_id")).alias("z"))
+    j = neighbours.jet_smooth(p, 12)
+    return j.select("frame_id", "point_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in "xyz"], "moved")
+
+
 def jet_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points moved onto local quadratic surfaces, by frame: how many were and how far at most."""
     p = sources.points_of_embeddings(spark, sf_dir)
@@ -1086,6 +1107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "xyz_round_trip": xyz_round_trip,
     "hull_containment": hull_containment,
     "strided_patches": strided_patches,
+    "nearest_points": nearest_points,
+    "point_spacing": point_spacing,
+    "jet_surfaces": jet_surfaces,
     "jet_smoothing": jet_smoothing,
     "tet_clusters": tet_clusters,
     "swept_hulls": swept_hulls,

@@ -48,7 +48,8 @@ def test_preprocessing(spark, cloud, tmp_path, how):
     path, n = cloud
     out = f"file://{tmp_path}/out"
     run(spark, parser().parse_args(["voxelize", "--cloud", path, "--output", out, "--voxel-size", "0.05", "--preprocess", how]))
-    assert 0 < exports.read_bundle(spark, out)["voxels"].count() <= 1.2 * n
+    # Surfaces through the nearest points of a sparse scene reach beyond its shapes; centres stay in their voxels.
+    assert 0 < exports.read_bundle(spark, out)["voxels"].count() <= (1.5 if how == "jet" else 1.2) * n
 
 
 def test_stream(spark, tmp_path, capsys):
