@@ -288,56 +288,72 @@ def smooth_values(p: Program, x: np.ndarray, beta: float, gradient: bool = True)
     return values[-1], np.broadcast_to(slopes[-1], (n, 3)) if gradient else None
 
 
-def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray], block: int = 1 << 22) -> tuple[int, int]:
+#: Bytes of sign lanes that a slab of the certificate may take.
+LANE_BYTES = 1 << 28
+
+
+def strata_mismatches(p: Program, occupied: np.ndarray, planes: list[np.ndarray], most_bytes: int = LANE_BYTES) -> tuple[int, int]:
     """(strata, mismatches): the sign of the function on every vertex, edge, face and volume of the planes."""
-    bad = sum(int((sign != right).sum()) for _, sign, right in _strata_signs(p, occupied, planes, block))
+    bad = sum(int(np.bitwise_count(wrong).sum()) for _, wrong, _, _ in _strata_lanes(p, occupied, planes, most_bytes))
     return math.prod(2 * len(c) + 1 for c in planes), bad
 
 
-def _strata_signs(p: Program, occupied: np.ndarray, planes: list[np.ndarray], block: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first place on x, signs, right signs) of all strata, in slabs.
+def _lanes(bits: np.ndarray) -> np.ndarray:
+    """Truth values along the last axis as words of 64, the first in the lowest bit; what is beyond the end is false."""
+    n = bits.shape[-1]
+    words = -(-n // 64)
+    packed = np.zeros((*bits.shape[:-1], 8 * words), np.uint8)
+    packed[..., : -(-n // 8)] = np.packbits(bits, axis=-1, bitorder="little")
+    return packed.view("<u8")
+
+
+def _strata_lanes(p: Program, occupied: np.ndarray, planes: list[np.ndarray], most_bytes: int) -> Iterator[tuple[int, np.ndarray, tuple, tuple]]:
+    """(first place on x, wrong, signs, right signs) of all strata, in slabs; signs are pairs of lanes, positive and negative.
 
-    A stratum's place on an axis is an open slab (even) or a plane (odd). Its right sign is that of the cells
-    around it: 1 if all are occupied, -1 if none is, else 0. Leaves are signs of places, so this is exact.
+    A stratum's place on an axis is an open slab (even) or a plane (odd); 64 places along z are the bits of a word. Its
+    right sign is that of the cells around it: 1 if all are occupied, -1 if none is, else 0 (neither lane). Leaves are
+    signs of places, MIN and MAX are and-or of lanes, so this is exact. A node's lanes go with its last use.
     """
     sizes = [2 * len(c) + 1 for c in planes]
-    lowest = occupied.astype(np.int8)
-    highest = lowest
-    for axis in range(3):
-        pairs_lo = np.minimum(np.take(lowest, range(lowest.shape[axis] - 1), axis), np.take(lowest, range(1, lowest.shape[axis]), axis))
-        pairs_hi = np.maximum(np.take(highest, range(highest.shape[axis] - 1), axis), np.take(highest, range(1, highest.shape[axis]), axis))
-        both = []
-        for whole, part in ((lowest, pairs_lo), (highest, pairs_hi)):
-            shape = list(whole.shape)
-            shape[axis] = sizes[axis]
-            out = np.empty(shape, np.int8)
-            even, odd = [slice(None)] * 3, [slice(None)] * 3
-            even[axis], odd[axis] = slice(0, None, 2), slice(1, None, 2)
-            out[tuple(even)], out[tuple(odd)] = whole, part
-            both.append(out)
-        lowest, highest = both
-    right = lowest + highest - 1
+    words = -(-sizes[2] // 64)
     at = [{int(c): 2 * i + 1 for i, c in enumerate(cs)} for cs in planes]
-    step = max(1, block // (sizes[1] * sizes[2]))
+    # Cells around a place: one, or the two beside a plane.
+    around = [(np.arange(n) // 2, (np.arange(n) + 1) // 2) for n in sizes]
+    every, none = np.uint64(2**64 - 1), np.uint64(0)
+    within = _lanes(np.ones(sizes[2], bool))
+    last = {c: i for i, children in enumerate(p.children) for c in children}
+    # Lanes of two signs for each node, and the cells' truth values of the slab.
+    step = max(1, most_bytes // (sizes[1] * (16 * words * len(p.op) + 4 * sizes[2])))
     for lo in range(0, sizes[0], step):
         xs = np.arange(lo, min(lo + step, sizes[0]))
-        shape = (len(xs), sizes[1], sizes[2])
+        full = occupied[around[0][0][xs]] & occupied[around[0][1][xs]]
+        some = occupied[around[0][0][xs]] | occupied[around[0][1][xs]]
+        for axis in (1, 2):
+            full = np.take(full, around[axis][0], axis) & np.take(full, around[axis][1], axis)
+            some = np.take(some, around[axis][0], axis) | np.take(some, around[axis][1], axis)
+        right = _lanes(full), _lanes(~some)
         axes = [xs, np.arange(sizes[1]), np.arange(sizes[2])]
-        work: list[np.ndarray] = []
-        for op, leaf, children in zip(p.op, p.leaf, p.children, strict=True):
+        work: list[tuple | None] = []
+        for i, (op, leaf, children) in enumerate(zip(p.op, p.leaf, p.children, strict=True)):
             if op == LEAF:
                 k = p.axis[leaf]
-                s = (p.sign[leaf] * np.sign(axes[k] - at[k][p.coord[leaf]])).astype(np.int8)
-                view = [1, 1, 1]
-                view[k] = len(s)
-                work.append(s.reshape(view))
+                s = p.sign[leaf] * (axes[k] - at[k][p.coord[leaf]])
+                if k == 2:
+                    work.append((_lanes(s > 0)[None, None], _lanes(s < 0)[None, None]))
+                else:
+                    view = (len(s), 1, 1) if k == 0 else (1, len(s), 1)
+                    work.append(tuple(np.where(t, every, none).reshape(view) for t in (s > 0, s < 0)))
             else:
-                f = np.minimum if op == MIN else np.maximum
-                v = work[children[0]]
+                up, down = work[children[0]]
                 for c in children[1:]:
-                    v = f(v, work[c])
-                work.append(v)
-        yield lo, np.broadcast_to(work[-1], shape), right[lo : lo + len(xs)]
+                    a, b = work[c]
+                    up, down = (up & a, down | b) if op == MIN else (up | a, down & b)
+                work.append((up, down))
+                for c in set(children):
+                    if last[c] == i:
+                        work[c] = None
+        signs = tuple(np.broadcast_to(x, right[0].shape) & within for x in work[-1])
+        yield lo, (signs[0] ^ right[0]) | (signs[1] ^ right[1]), signs, right
 
 
 # ---------------------------------------------------------------- over frames
@@ -442,11 +458,15 @@ def strata_defects(p: Program, occupied: np.ndarray, planes: list[np.ndarray], w
     for mask in range(8):
         strata[bin(mask).count("1")] += math.prod(open_of[k][mask >> k & 1] for k in range(3))
     wrong, first = [0, 0, 0, 0], []
-    for lo, sign, right in _strata_signs(p, occupied, planes, 1 << 22):
-        for i, j, k in np.argwhere(sign != right):
-            wrong[sum((n + 1) % 2 for n in (lo + i, j, k))] += 1
-            if len(first) < witnesses:
-                first.append((int(lo + i), int(j), int(k), int(sign[i, j, k]), int(right[i, j, k])))
+    for lo, bad, signs, right in _strata_lanes(p, occupied, planes, LANE_BYTES):
+        for i, j, w in np.argwhere(bad):
+            for bit in range(64):
+                if bad[i, j, w] >> np.uint64(bit) & np.uint64(1):
+                    k = 64 * int(w) + bit
+                    wrong[sum((n + 1) % 2 for n in (lo + i, j, k))] += 1
+                    if len(first) < witnesses:
+                        values = [(int(up[i, j, w]) >> bit & 1) - (int(down[i, j, w]) >> bit & 1) for up, down in (signs, right)]
+                        first.append((int(lo + i), int(j), k, *values))
     return strata, wrong, first
 
 
