@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .surfaces import exact_side
+
 
 def hull_planes(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Facet planes (nx, ny, nz, offset) of the convex hull of integer points, exact, normals outward and primitive.
@@ -95,82 +98,122 @@ def tet_volume(p: np.ndarray) -> np.ndarray:
     return np.abs(np.einsum("ni,ni->n", p[:, 1] - p[:, 0], np.cross(p[:, 2] - p[:, 0], p[:, 3] - p[:, 0]))) / 6
 
 
-def agglomerate(vertices: np.ndarray, tets: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """Cluster number of each tetrahedron: neighbours merge while their union stays convex.
+@dataclass
+class Cluster:
+    """A convex union of tetrahedra: outer faces by their corners, each with its plane; corners; area shared with neighbours."""
+
+    cells: list[int]
+    faces: dict[tuple[int, ...], int]
+    corners: np.ndarray
+    near: set[int]
+    version: int = 0
+
 
-    Candidates are taken by shared area, largest first, then by cluster numbers. A union is convex if no
-    vertex of it lies beyond any of its outer faces.
+class Agglomeration:
+    """Neighbours merge while their union stays convex, by a queue of candidates.
+
+    Faces turned outward have planes, of which those that agree to ``digits`` are one, the first face's. A cluster is convex, so its own
+    corners need no look at its own planes: a union is convex if the corners of each lie at or below the planes of the
+    other that still carry a face. Sides are decided in doubles where these are sure, else exactly.
     """
-    n = len(tets)
-    parent = list(range(n))
-    faces: dict[tuple[int, ...], list[int]] = {}
-    for t, v in enumerate(tets.tolist()):
-        for f in itertools.combinations(sorted(v), 3):
-            faces.setdefault(f, []).append(t)
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def area(f):
-        a, b, c = vertices[list(f)]
-        return float(np.linalg.norm(np.cross(b - a, c - a)) / 2)
-
-    members = {t: {t} for t in range(n)}
-    shared: dict[int, dict[int, float]] = {t: {} for t in range(n)}
-    for f, ts in faces.items():
-        if len(ts) == 2:
-            a, b = ts
-            shared[a][b] = shared[a].get(b, 0.0) + area(f)
-            shared[b][a] = shared[a][b]
-
-    def convex(group: set[int]) -> bool:
-        count: dict[tuple[int, ...], int] = {}
-        inner: dict[tuple[int, ...], int] = {}
-        for t in group:
-            v = sorted(tets[t].tolist())
+
+    def __init__(self, vertices: np.ndarray, tets: np.ndarray, tolerance: float, digits: int = 9):
+        self.x, self.tolerance = vertices, tolerance
+        self.planes: list[tuple] = []  # unit normal, offset, corners of a face, exact side of the inside
+        known: dict[tuple, int] = {}
+        owners: dict[tuple[int, ...], list[int]] = {}
+        self.area: dict[tuple[int, ...], float] = {}
+        self.clusters: list[Cluster | None] = []
+        self.scale = float(np.abs(vertices).max(initial=1.0)) or 1.0
+        for t, v in enumerate(tets.tolist()):
+            faces = {}
             for k in range(4):
-                f = tuple(v[:k] + v[k + 1 :])
-                count[f] = count.get(f, 0) + 1
-                inner[f] = v[k]
-        used = vertices[sorted({v for t in group for v in tets[t].tolist()})]
-        for f, k in count.items():
-            if k == 1:
+                f = tuple(sorted(v[:k] + v[k + 1 :]))
+                owners.setdefault(f, []).append(t)
                 a, b, c = vertices[list(f)]
-                m = np.cross(b - a, c - a)
-                m = m / np.linalg.norm(m)
-                if m @ vertices[inner[f]] > m @ a:
-                    m = -m
-                if (used @ m > m @ a + tolerance).any():
-                    return False
+                n = np.cross(b - a, c - a)
+                size = float(np.linalg.norm(n))
+                self.area[f] = size / 2
+                inner = exact_side(a, b, c, vertices[v[k]])
+                if not inner or not size:
+                    faces[f] = -1  # a flat tetrahedron is part of no convex union
+                    continue
+                n = n / size * -inner
+                key = (*(np.round(n, digits) + 0.0).tolist(), round(float(n @ a), digits) + 0.0)
+                faces[f] = known.setdefault(key, len(self.planes))
+                if faces[f] == len(self.planes):
+                    self.planes.append((n, float(n @ a), (a, b, c), inner))
+            self.clusters.append(Cluster([t], faces, np.array(sorted(v)), set()))
+        for ts in owners.values():
+            for a, b in itertools.permutations(ts, 2):
+                self.clusters[a].near.add(b)
+
+    def candidate(self, a: int, b: int) -> tuple:
+        """Order of a candidate: shared area, largest first; outer faces and planes of the union, fewest first; numbers."""
+        a, b = min(a, b), max(a, b)
+        p, q = self.clusters[a], self.clusters[b]
+        few, many = (p, q) if len(p.faces) <= len(q.faces) else (q, p)
+        shared = [f for f in few.faces if f in many.faces]
+        area = sum(sorted(self.area[f] for f in shared))
+        return (-area, len(p.faces) + len(q.faces) - 2 * len(shared), len(self._outer(p, q) | self._outer(q, p)), a, b, p.version, q.version)
+
+    @staticmethod
+    def _outer(p: Cluster, q: Cluster) -> set[int]:
+        """Planes of p's faces that are not q's."""
+        return {plane for f, plane in p.faces.items() if f not in q.faces}
+
+    def _below(self, plane: int, corners: np.ndarray) -> bool:
+        if plane < 0:
+            return False
+        n, offset, face, inner = self.planes[plane]
+        height = self.x[corners] @ n - offset
+        if (height > self.tolerance).any():
+            return False
+        for c in corners[height > -1e-12 * self.scale]:
+            if exact_side(*face, self.x[c]) == -inner:
+                return False
         return True
 
-    queue = [(-w, a, b) for a in shared for b, w in shared[a].items() if a < b]
-    heapq.heapify(queue)
-    while queue:
-        w, a, b = heapq.heappop(queue)
-        if parent[a] != a or parent[b] != b or shared[a].get(b) != -w:
-            continue
-        if not convex(members[a] | members[b]):
-            continue
-        parent[b] = a
-        members[a] |= members.pop(b)
-        for c, x in shared.pop(b).items():
-            if c != a:
-                shared[c].pop(b, None)
-                shared[a][c] = shared[a].get(c, 0.0) + x
-                shared[c][a] = shared[a][c]
-        shared[a].pop(b, None)
-        for c, x in shared[a].items():
-            heapq.heappush(queue, (-x, min(a, c), max(a, c)))
-    roots = {r: i for i, r in enumerate(sorted({find(t) for t in range(n)}))}
-    return np.array([roots[find(t)] for t in range(n)])
-
-
-def agglomerate_frames(vertices: DataFrame, tets: DataFrame) -> DataFrame:
-    """Rows (frame_id, tet_id, cluster_id) of tables vertex (frame_id, vertex_id, x, y, z) and tet (frame_id, tet_id, v)."""
+    def convex(self, p: Cluster, q: Cluster) -> bool:
+        return all(self._below(k, q.corners) for k in self._outer(p, q)) and all(self._below(k, p.corners) for k in self._outer(q, p))
+
+    def run(self, target: int = 0, most_cells: int = 0, most_planes: int = 0) -> list[Cluster]:
+        """Merged clusters; 0 stands for no limit: of the number of clusters to stop at, of tetrahedra and planes of one."""
+        queue = [self.candidate(a, b) for a, c in enumerate(self.clusters) for b in c.near if a < b]
+        heapq.heapify(queue)
+        left = len(self.clusters)
+        while queue and not (target and left <= target):
+            *_, planes, a, b, va, vb = heapq.heappop(queue)
+            p, q = self.clusters[a], self.clusters[b]
+            if p is None or q is None or (p.version, q.version) != (va, vb):
+                continue
+            if (most_cells and len(p.cells) + len(q.cells) > most_cells) or (most_planes and planes > most_planes) or not self.convex(p, q):
+                continue
+            near = (p.near | q.near) - {a, b}
+            faces = {f: k for one, other in ((p, q), (q, p)) for f, k in one.faces.items() if f not in other.faces}
+            self.clusters[a] = Cluster(p.cells + q.cells, faces, np.union1d(p.corners, q.corners), near, p.version + 1)
+            self.clusters[b] = None
+            left -= 1
+            for c in near:
+                self.clusters[c].near -= {a, b}
+                self.clusters[c].near.add(a)
+                heapq.heappush(queue, self.candidate(a, c))
+        return [c for c in self.clusters if c is not None]
+
+
+def agglomerate(vertices: np.ndarray, tets: np.ndarray, tolerance: float = 1e-9, **limits: int) -> np.ndarray:
+    """Cluster number of each tetrahedron; clusters are numbered by their first tetrahedron. See ``Agglomeration``."""
+    out = np.zeros(len(tets), np.int64)
+    for i, c in enumerate(sorted(Agglomeration(vertices, tets, tolerance).run(**limits), key=lambda c: min(c.cells))):
+        out[c.cells] = i
+    return out
+
+
+def agglomerate_frames(vertices: DataFrame, tets: DataFrame, **limits: int) -> DataFrame:
+    """Rows (frame_id, tet_id, cluster_id) of tables vertex (frame_id, vertex_id, x, y, z) and tet (frame_id, tet_id, v).
+
+    limits: target, most_cells and most_planes of ``Agglomeration.run``.
+    """
 
     def run(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(t):
@@ -178,7 +221,7 @@ def agglomerate_frames(vertices: DataFrame, tets: DataFrame) -> DataFrame:
         v, t = v.sort_values("vertex_id"), t.sort_values("tet_id")
         place = {k: i for i, k in enumerate(v["vertex_id"])}
         at = np.array([[place[x] for x in row] for row in t["v"]])
-        return pd.DataFrame({"frame_id": t["frame_id"].to_numpy(), "tet_id": t["tet_id"].to_numpy(), "cluster_id": agglomerate(v[["x", "y", "z"]].to_numpy(), at)})
+        return pd.DataFrame({"frame_id": t["frame_id"].to_numpy(), "tet_id": t["tet_id"].to_numpy(), "cluster_id": agglomerate(v[["x", "y", "z"]].to_numpy(), at, **limits)})
 
     return vertices.groupBy("frame_id").cogroup(tets.groupBy("frame_id")).applyInPandas(run, "frame_id long, tet_id long, cluster_id long")
 

@@ -103,6 +103,12 @@ def _sign(a, b, c, d) -> int:
     return (s > 0) - (s < 0)
 
 
+def exact_side(a, b, c, d) -> int:
+    """Side of a point d of the plane through a, b, c: 1, 0 or -1, exact for doubles."""
+    ((p, q, r), (t,)) = _as_integers([a, b, c], [d])
+    return _sign(p, q, r, t)
+
+
 def _turn(a, b, c) -> int:
     """Turn of three points of a plane."""
     s = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])

@@ -399,7 +399,7 @@ ORACLE_SQL: dict[str, str] = {
     "mesh_documents": f"""WITH {_PRISM_SIZES}, t AS (SELECT *, 2 * r * sin(pi() / n) AS side FROM m)
       SELECT mesh, 2 * n AS vertices, 6 * n - 6 AS edges, 4 * n - 4 AS faces, round(2 * n * side + n + n * sqrt(1 + side * side) + 2 * coalesce((SELECT sum(2 * r * sin(pi() * i / n)) FROM (SELECT unnest(range(2, n - 1)) AS i)), 0), 6) AS length FROM t""",
     "cluster_meshes": """WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (n_nationkey + 1) / 10.0::DOUBLE AS s FROM nation)
-      SELECT frame_id, 12::BIGINT AS faces, 6::BIGINT AS planes, round(s * s * s, 9) AS volume, round(6 * s * s, 9) AS area FROM c""",
+      SELECT frame_id, 6::BIGINT AS faces, 5::BIGINT AS planes, round(s * s * s / 3, 9) AS volume, round((2 + sqrt(2)) * s * s, 9) AS area FROM c, (SELECT unnest([1, 2, 3]))""",
     "points_in_mesh": """WITH p AS (SELECT CAST(year(l_shipdate) AS BIGINT) AS frame_id, l_quantity / 25.0 + 0.0123 AS x, l_discount * 20.0 + 0.0321 AS y, l_extendedprice / 6e4 AS z FROM lineitem)
       SELECT frame_id, count(*) AS points, count(*) FILTER (x > 0 AND y > 0 AND z > 0 AND z < 1 AND ((x < 2 AND y < 1) OR (x < 1 AND y < 2))) AS inside FROM p GROUP BY frame_id""",
     "tet_neighbours": """WITH t AS (SELECT CAST(p_partkey AS BIGINT) AS tet_id FROM part)
@@ -434,6 +434,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT point_id, round(CASE WHEN disc >= 0 THEN CASE WHEN near > 0 THEN near WHEN far > 0 THEN far END END, 6) AS distance FROM r""",
     "ideal_solids": f"WITH {_POINTS} SELECT frame_id, count(*) AS points, count(*) FILTER (x BETWEEN -0.1 AND 0.2 AND y BETWEEN -0.05 AND 0.15 AND z BETWEEN 0.0 AND 0.3) AS inside FROM pts GROUP BY frame_id",
     "hull_containment": f"WITH {_base(0.2)}, {_NODES}, {_BOXES} SELECT frame_id, count(*) AS cells, 0::BIGINT AS beyond, max(lox + w) AS most_x FROM boxes GROUP BY frame_id",
+    "tet_blocks": """SELECT CAST(p_partkey AS BIGINT) AS frame_id, CAST(6 * ((p_partkey // 8) % 3 + 3) AS BIGINT) AS tets, true AS merged,
+      CAST((p_partkey // 8) % 3 + 3 AS DOUBLE) AS volume, 0::BIGINT AS beyond FROM part WHERE p_partkey % 8 = 0""",
     "swept_hulls": "SELECT CAST(n_nationkey + 1 AS BIGINT) AS frame_id, 12::BIGINT AS planes, CAST(3 * (n_nationkey + 2) + 6 AS BIGINT) AS offsets, 6::BIGINT + 6 * 2 AS normals FROM nation",
     "hull_shapes": f"""WITH k AS (SELECT CAST(n_nationkey AS BIGINT) AS k, 2 + n_nationkey % 3 AS a, 2 + n_nationkey % 4 AS b, 1 + n_nationkey % 2 AS c, 2 + n_nationkey % 4 AS n FROM nation),
       s AS (SELECT k AS frame_id, CASE k % 3 WHEN 0 THEN (a + b - 1) * c WHEN 1 THEN 26 ELSE n * (n + 1) // 2 * c END AS voxels, CASE k % 3 WHEN 0 THEN (a - 1) * (b - 1) / (a + b - 2) ELSE 0.5 END AS d,
@@ -463,7 +465,7 @@ ORACLE_SQL: dict[str, str] = {
     "jet_smoothing": f"""WITH {_POINTS}, k AS (SELECT a.frame_id, a.point_id, count(*) AS n FROM pts a JOIN pts b ON a.frame_id = b.frame_id
       AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.08::DOUBLE * 0.08 GROUP BY ALL)
       SELECT frame_id, count(*) AS points, count(*) FILTER (n >= 12) AS moved FROM k GROUP BY frame_id""",
-    "tet_clusters": "SELECT CAST(n_nationkey AS BIGINT) AS frame_id, 6::BIGINT AS tets, 1::BIGINT AS clusters FROM nation",
+    "tet_clusters": "SELECT CAST(n_nationkey AS BIGINT) AS frame_id, 6::BIGINT AS tets, 3::BIGINT AS clusters FROM nation",
 }
 ORACLE_SQL["frame_stream"] = f"""WITH {_EVENT_SETS}, vx AS (SELECT sensor_id, frame_id, unnest(key) AS v FROM s), vo AS (SELECT sensor_id, frame_id, v[1] AS ix, v[2] AS iy, v[3] AS iz FROM vx),
   sides AS (SELECT * FROM (VALUES (0,-1,-1,0,0),(0,1,1,0,0),(1,-1,0,-1,0),(1,1,0,1,0),(2,-1,0,0,-1),(2,1,0,0,1)) t(axis, sign, dx, dy, dz)),

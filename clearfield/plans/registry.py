@@ -943,6 +943,33 @@ def tet_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("frame_id").agg(F.count(F.lit(1)).alias("tets"), F.count_distinct("cluster_id").alias("clusters"))
 
 
+def tet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of bars and Ls of cubes of six tetrahedra each, one for every eighth part: fewer than tetrahedra, their volume, and no corner beyond a plane."""
+    k = _spread(spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 8 = 0").select(F.col("p_partkey").cast("long").alias("frame_id")))
+    n = (F.col("frame_id") / 8) % 3 + 2
+    bent = F.floor(F.col("frame_id") / 8) % 2 == 1
+    cube = k.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n)))).withColumn("bent", bent & (F.col("i") == F.floor(n)))
+    # The last cube of an L lies beside the first.
+    cube = cube.select("frame_id", "i", F.when(F.col("bent"), 0).otherwise(F.col("i")).alias("cx"), F.col("bent").cast("long").alias("cy"))
+    corner = cube.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("frame_id", "i", "v", *[(F.col(f"c{c}") + F.shiftright("v", b).bitwiseAND(1)).alias(c) for c, b in (("x", 0), ("y", 1))], F.shiftright("v", 2).cast("long").alias("z"))
+    number = (F.col("x") * 10 + F.col("y")) * 10 + F.col("z")
+    corner = written(corner.withColumn("vertex_id", number))
+    six = [[0, a, a | b, 7] for a, b in ((1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2))]
+    ring = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.array(*[F.lit(v) for v in t]).alias("t")) for j, t in enumerate(six)]))
+    named = corner.groupBy("frame_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("v", "vertex_id"))).alias("names")).withColumn("s", ring)
+    tets = written(named.select("frame_id", (6 * F.col("i") + F.col("s.j")).alias("tet_id"), F.transform("s.t", lambda v: F.element_at("names", v)).alias("v")))
+    vertices = written(corner.select("frame_id", "vertex_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).distinct())
+    found = written(clusters.agglomerate_frames(vertices, tets))
+    faces = written(meshes.cluster_faces(tets, found, vertices))
+    v6 = sum((F.col(f"a{a}") * (F.col(f"b{b}") * F.col(f"c{c}") - F.col(f"b{c}") * F.col(f"c{b}")) for a, b, c in ("yzx", "zxy")), F.col("ax") * (F.col("by") * F.col("cz") - F.col("bz") * F.col("cy")))
+    sizes = faces.groupBy("frame_id").agg(F.count_distinct("cluster_id").alias("clusters"), F.round(F.sum(v6) / 6, 9).alias("volume"))
+    planes = meshes.support_planes(faces).select("frame_id", F.col("cluster_id").cast("long").alias("cluster_id"), "nx", "ny", "nz", "offset")
+    at = tets.join(found, ["frame_id", "tet_id"]).select("frame_id", "cluster_id", F.explode("v").alias("vertex_id")).distinct().join(vertices, ["frame_id", "vertex_id"])
+    beyond = clusters.convexity_violations(at, planes, 1e-9).groupBy("frame_id").agg(F.sum("beyond").alias("beyond"))
+    tetras = tets.groupBy("frame_id").agg(F.count(F.lit(1)).alias("tets"))
+    return sizes.join(beyond, "frame_id").join(tetras, "frame_id").select("frame_id", "tets", (F.col("clusters") < F.col("tets")).alias("merged"), "volume", "beyond")
+
+
 def swept_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hulls of a cube and the same moved by the nation's key on all axes: twelve planes, whose offsets are known."""
     k = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") + 1).cast("long").alias("frame_id"))
@@ -1112,6 +1139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jet_surfaces": jet_surfaces,
     "jet_smoothing": jet_smoothing,
     "tet_clusters": tet_clusters,
+    "tet_blocks": tet_blocks,
     "swept_hulls": swept_hulls,
     "hull_approximation": hull_approximation,
     "hull_shapes": hull_shapes,

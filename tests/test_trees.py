@@ -99,10 +99,11 @@ def test_hulls_are_exact():
 def test_agglomeration_keeps_clusters_convex():
     corners = np.array([[i & 1, i >> 1 & 1, i >> 2 & 1] for i in range(8)], dtype=float)
     six = np.array([[0, a, a | b, 7] for a, b in ((1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2))])
-    assert set(clusters.agglomerate(corners, six)) == {0} and clusters.tet_volume(corners[six]).sum() == pytest.approx(1)
+    # Fewer outer faces go before larger regions, so that the cube becomes three pyramids around its diagonal.
+    assert sorted(np.bincount(clusters.agglomerate(corners, six))) == [2, 2, 2] and clusters.tet_volume(corners[six]).sum() == pytest.approx(1)
     moved = np.concatenate([corners, corners + [1, 0, 0], corners + [0, 1, 0]])
     found = clusters.agglomerate(moved, np.concatenate([six, six + 8, six + 16]))
-    assert len(set(found)) == 3
+    assert len(set(found)) == 9
 
 
 def test_jets_flatten_noise(spark):
