@@ -124,7 +124,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
             poses = robot.sphere_poses(spark.createDataFrame(list(enumerate(q)), "config_id long, q array<double>"), model)
             field = robot.field_at(poses, coords, programs, a.environment_error)
             found = robot.group_clearances(field, model, a.margin, a.link_error)
-            tables = {"distances": found, "documents": exports.clearance_documents(found)}
+            spheres = staged("spheres", robot.described_spheres(field, model, a.margin))
+            surface = staged("surface", exports.surface_summary(v, faces, boundary.patches(faces), h))
+            about = {"voxel_size": h, "margin": a.margin, "environment_error": a.environment_error, "link_error": a.link_error, "link_alpha": robot.link_alpha(model, a.link_error)}
+            about["joint_order"] = [j.name for j in sorted(model.joints.values(), key=lambda j: j.index) if j.index >= 0]
+            configurations = spark.createDataFrame(list(enumerate(q)), "config_id long, q array<double>")
+            documents = exports.clearance_documents(robot.described_groups(found, model), spheres, surface, configurations, about)
+            tables = {"distances": found, "spheres": spheres.select("frame_id", "config_id", "sphere.*"), "documents": documents}
     return exports.write_bundle(spark, a.output, tables, {"command": a.command, "voxel_size": h})
 
 

@@ -145,7 +145,8 @@ def cells(voxels: DataFrame, coords: DataFrame) -> DataFrame:
     Every cell that is touched must be full, else supports are missing.
     """
     at = ["frame_id", "cx", "cy", "cz"]
-    counted = compressed(voxels, coords).groupBy(*at).agg(F.count(F.lit(1)).alias("voxels"), *[F.first(f"p{c}").alias(f"p{c}") for c in "xyz"])
+    # Coordinates meet the cells again, so that they do not go through the shuffle of the counts.
+    counted = compressed(voxels, coords).groupBy(*at).agg(F.count(F.lit(1)).alias("voxels")).join(coords, "frame_id")
     widths = {f"w{c}": F.get(f"p{c}", F.col(f"c{c}")) - F.get(f"p{c}", F.col(f"c{c}") - 1) for c in "xyz"}
     sized = counted.withColumns(widths)
     return sized.select(*at, "voxels", "wx", "wy", "wz", (F.col("voxels") == F.col("wx") * F.col("wy") * F.col("wz")).alias("full"))

@@ -235,6 +235,35 @@ def group_clearances(field: DataFrame, model: Model, margin: float = 0.0, error:
     )
 
 
+def described_spheres(field: DataFrame, model: Model, margin: float = 0.0) -> DataFrame:
+    """Rows (frame_id, config_id, sphere): all that is known of a sphere, as a struct; joint and group are null on the static base.
+
+    field: as ``field_at`` gives it. center_link is where the model has it, center where the configuration puts it.
+    """
+    number = {name: j.index for j in model.joints.values() for name in [j.name] if j.index >= 0}
+    link = {j.name: j.child for j in model.joints.values()}
+    of = {i: name for name, members in groups(model) for i in members}
+    rows = [(i, s.link, list(s.centre), link.get(of.get(i)), number.get(of.get(i))) for i, s in enumerate(model.spheres)]
+    table = F.broadcast(field.sparkSession.createDataFrame(rows, "sphere_id int, link string, center_link array<double>, group_link string, joint_index int"))  # one row a sphere of the model
+    found = sphere_clearances(field, model, margin).join(table, "sphere_id")
+    return found.select(
+        "frame_id",
+        "config_id",
+        F.struct(
+            F.col("sphere_id").alias("id"), "link", "center_link", "joint", "group_link", "joint_index", F.array(*"xyz").alias("center"), "radius",
+            F.col("q_upper").alias("environment_value"), "clearance", F.array("gx", "gy", "gz").alias("gradient"),
+        ).alias("sphere"),
+    )
+
+
+def described_groups(found: DataFrame, model: Model) -> DataFrame:
+    """group clearances with the group's link, the links its spheres are of, and the joint's place in the configuration."""
+    by_name = {j.name: j for j in model.joints.values()}
+    rows = [(name, by_name[name].child, by_name[name].index, sorted({model.spheres[i].link for i in members})) for name, members in groups(model)]
+    table = F.broadcast(found.sparkSession.createDataFrame(rows, "joint string, link string, joint_index int, source_links array<string>"))  # one row a joint
+    return found.join(table, "joint")
+
+
 def field_at(poses: DataFrame, frames: DataFrame, programs: DataFrame, error: float = 1e-3) -> DataFrame:
     """The smoothed function of every frame (frames: frame_id) at every sphere of every pose: that is the question asked.
 

@@ -329,6 +329,12 @@ ORACLE_SQL: dict[str, str] = {
       {_box_function(0.02, "frame_id, point_id")}
       SELECT frame_id, point_id, round(q, 9) + 0.0 AS q, round(v, 9) + 0.0 AS q_upper, round(dx, 9) + 0.0 AS gx, round(dy, 9) + 0.0 AS gy, round(dz, 9) + 0.0 AS gz, 0.02::DOUBLE AS bound FROM w5""",
     "box_spheres": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)} SELECT frame_id, config_id, sphere_id, joint, round(-v - radius - 0.01, 6) AS clearance FROM w5""",
+    "clearance_bundle": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)},
+      c AS (SELECT frame_id, config_id, count(*) AS n, count(*) FILTER (joint IS NULL) AS still, sum(-v - radius - 0.01) AS total, min(-v - radius - 0.01) FILTER (joint IS NOT NULL) AS low FROM w5 GROUP BY ALL),
+      s AS (SELECT frame_id, (x1 - x0) AS a, (y1 - y0) AS b, (z1 - z0) AS c FROM bx)
+      SELECT c.frame_id, CAST(config_id AS BIGINT) AS config_id, CAST(a * b * s.c AS BIGINT) AS voxels, CAST((6 * a * b * s.c - 2 * (a * b + b * s.c + a * s.c)) // 2 AS BIGINT) AS shared_faces,
+      CAST(2 * (a * b + b * s.c + a * s.c) AS BIGINT) AS exposed_faces, CAST(2 * (a * b + b * s.c + a * s.c) - 6 AS BIGINT) AS merged_away, 6 AS patches, CAST(n AS INTEGER) AS spheres, CAST(still AS INTEGER) AS static,
+      'column,carriage,tool' AS links, 'column,plate,carriage,tool' AS sources, round(total, 5) + 0.0 AS clearances, round(low, 6) + 0.0 AS least FROM c JOIN s USING (frame_id)""",
     "frame_audit": """SELECT CAST(n_nationkey AS BIGINT) AS frame_id, (SELECT 3 * count(*) FROM supplier) AS groups, (SELECT 3 * count(*) FROM supplier WHERE s_suppkey % 7 = 0) AS differing FROM nation""",
     "exported_audit": f"WITH {_POINTS} SELECT frame_id, least(24, count(*)) AS samples, 0::BIGINT AS differing FROM pts GROUP BY frame_id",
     "box_clearance": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)},

@@ -473,6 +473,26 @@ def box_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("frame_id", "config_id", "sphere_id", "joint", F.round("clearance", 6).alias("clearance"))
 
 
+def clearance_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clearance documents of boxes and the arm, written and read back: what they say of the surface, the spheres and the groups."""
+    model, poses = _arm(spark, sf_dir)
+    s = _Surface(spark, sf_dir, keep=True, found=_boxes_of_nations(spark, sf_dir))
+    field = written(robot.field_at(poses, s.coords, s.programs()))
+    found = robot.described_groups(robot.group_clearances(field, model, 0.01), model)
+    surface = exports.surface_summary(s.voxels, s.faces, s.patches, H)
+    documents = exports.clearance_documents(found, robot.described_spheres(field, model, 0.01), surface, None, {"voxel_size": H, "margin": 0.01, "joint_order": ["turn", "lift", "swing"]})
+    kind = """options struct<voxel_size:double,joint_order:array<string>>, surface struct<voxels:long,shared_faces:long,exposed_faces:long,merged_away:long,patches:array<struct<corners:array<array<double>>>>>,
+      groups array<struct<joint:string,link:string,source_links:array<string>,hard_min:double>>, spheres array<struct<id:int,link:string,joint:string,clearance:double,radius:double>>"""
+    d = written(documents).select("frame_id", "config_id", F.from_json("value", kind).alias("d"))
+    total = F.aggregate("d.spheres", F.lit(0.0), lambda a, x: a + x["clearance"])
+    low = F.array_min(F.transform("d.groups", lambda g: g["hard_min"]))
+    return d.select(
+        "frame_id", "config_id", "d.surface.voxels", "d.surface.shared_faces", "d.surface.exposed_faces", "d.surface.merged_away", F.size("d.surface.patches").alias("patches"),
+        F.size("d.spheres").alias("spheres"), F.size(F.filter("d.spheres", lambda x: x["joint"].isNull())).alias("static"), F.array_join(F.transform("d.groups", lambda g: g["link"]), ",").alias("links"),
+        F.array_join(F.flatten(F.transform("d.groups", lambda g: g["source_links"])), ",").alias("sources"), F.round(total, 5).alias("clearances"), F.round(low, 6).alias("least"),
+    )
+
+
 def sphere_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres of all spheres of the arm, turned only, at configurations taken from the suppliers."""
     model = robot.parse_urdf(robot.DEMO_URDF)
@@ -1087,6 +1107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clearance": clearance,
     "box_clearance": box_clearance,
     "box_spheres": box_spheres,
+    "clearance_bundle": clearance_bundle,
     "frame_audit": frame_audit,
     "exported_audit": exported_audit,
     "box_values": box_values,

@@ -109,11 +109,50 @@ def mesh_documents(vertices: DataFrame, faces: DataFrame, by: Callable[[Column],
     return joined.select("mesh", F.to_json(F.struct(F.lit(1).alias("schema"), "vertices", "edges", "faces")).alias("value"))
 
 
-def clearance_documents(distances: DataFrame) -> DataFrame:
-    """One JSON document a frame and configuration with its groups in order of their joints."""
-    group = F.struct("link_index", "joint", "distance", "hard_min", "nearest_sphere", "spheres", "bound", "gradient")
-    listed = distances.groupBy("frame_id", "config_id").agg(F.array_sort(F.collect_list(group)).alias("groups"))
-    return listed.select("frame_id", "config_id", F.to_json(F.struct(F.lit(1).alias("schema"), "frame_id", "config_id", "groups")).alias("value"))
+def clearance_documents(
+    distances: DataFrame, spheres: DataFrame | None = None, surface: DataFrame | None = None, configurations: DataFrame | None = None, about: dict[str, float | str | list[str]] | None = None
+) -> DataFrame:
+    """One JSON document a frame and configuration with its groups in order of their joints.
+
+    Given these, it also holds every sphere in order (spheres: ``robot.described_spheres``), the frame's surface
+    (``surface_summary``), the joint values (configurations: config_id, q), and options as they are in ``about``. Lists are
+    as long as the model, or the frame's merged patches; fields that are null are written as null.
+    """
+    key = ["frame_id", "config_id"]
+    known = [c for c in ("link", "joint_index", "source_links") if c in distances.columns]
+    group = F.struct("link_index", "joint", *known, "distance", "hard_min", "nearest_sphere", "spheres", "bound", "gradient")
+    listed = distances.groupBy(*key).agg(F.array_sort(F.collect_list(group)).alias("groups"))
+    fields = [F.lit(1).alias("schema"), *[F.col(c) for c in key]]
+    if about:
+        fields.append(F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in about.items()]).alias("options"))
+    if configurations is not None:
+        listed = listed.join(configurations.select("config_id", F.col("q").alias("configuration")), "config_id")
+        fields.append(F.col("configuration"))
+    if surface is not None:
+        listed = listed.join(surface.select("frame_id", "surface"), "frame_id")
+        fields.append(F.col("surface"))
+    fields.append(F.col("groups"))
+    if spheres is not None:
+        listed = listed.join(spheres.groupBy(*key).agg(F.array_sort(F.collect_list("sphere")).alias("all")), key)
+        fields.append(F.col("all").alias("spheres"))
+    return listed.select(*key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def surface_summary(voxels: DataFrame, faces: DataFrame, patched: DataFrame, h: float) -> DataFrame:
+    """Rows (frame_id, surface): voxels, their faces, those that two voxels share, exposed ones, merged patches with corners."""
+    counts = voxels.groupBy("frame_id").agg(F.count(F.lit(1)).alias("voxels"))
+    open_ = faces.groupBy("frame_id").agg(F.count(F.lit(1)).alias("exposed_faces"))
+    corners = boundary.patch_corners(patched, h).groupBy("frame_id", "axis", "sign", "plane", "v0", "u0").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", *"xyz"))), lambda c: F.array(c["x"], c["y"], c["z"])).alias("corners"))
+    one = F.struct("axis", "sign", "plane", "v0", "u0", "corners")
+    listed = corners.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda p: F.struct(p["axis"].alias("axis"), p["sign"].alias("sign"), p["corners"].alias("corners"))).alias("patches"))
+    both = counts.join(open_, "frame_id").join(listed, "frame_id")
+    return both.select(
+        "frame_id",
+        F.struct(
+            "voxels", (6 * F.col("voxels")).alias("faces"), ((6 * F.col("voxels") - F.col("exposed_faces")) / 2).cast("long").alias("shared_faces"), "exposed_faces",
+            F.size("patches").cast("long").alias("merged_patches"), (F.col("exposed_faces") - F.size("patches")).alias("merged_away"), "patches",
+        ).alias("surface"),
+    )
 
 
 def write_bundle(spark: SparkSession, path: str, tables: dict[str, DataFrame], note: dict) -> dict:
@@ -136,4 +175,4 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{t['path']}") for name, t in json.loads(text)["tables"].items()}
 
 
-__all__ = ["clearance_documents", "mesh_documents", "patch_mesh", "program_json", "read_bundle", "write_bundle", "write_clouds", "write_text", "write_voxels", "xyz_lines"]
+__all__ = ["clearance_documents", "surface_summary", "mesh_documents", "patch_mesh", "program_json", "read_bundle", "write_bundle", "write_clouds", "write_text", "write_voxels", "xyz_lines"]

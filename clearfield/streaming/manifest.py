@@ -139,9 +139,11 @@ def run_manifest(
         snapshot, known = environments.prepare(read_cloud(spark, cloud, kind if kind in ("ply", "off") else "xyz"))
         prepared = time.monotonic()
         with scope(spark):
-            poses = robot.sphere_poses(spark.createDataFrame([(0, at)], "config_id long, q array<double>"), model)
-            found = robot.group_clearances(robot.field_at(poses, snapshot.coords, snapshot.programs, environment_error), model, margin, link_error)
-            document = exports.clearance_documents(found.withColumn("frame_id", F.lit(i).cast("long"))).first()  # one configuration
+            asked = spark.createDataFrame([(0, at)], "config_id long, q array<double>")
+            field = written(robot.field_at(robot.sphere_poses(asked, model), snapshot.coords, snapshot.programs, environment_error).withColumn("frame_id", F.lit(i).cast("long")))
+            found = robot.described_groups(robot.group_clearances(field, model, margin, link_error), model)
+            about = {"voxel_size": environments.h, "margin": margin, "environment_error": environment_error, "link_error": link_error}
+            document = exports.clearance_documents(found, robot.described_spheres(field, model, margin), None, asked, about).first()  # one configuration
         exports.write_text(spark, output, document["value"] + "\n")
         yield {"frame": i, "cloud": cloud, "output": output, **known, "prepare_seconds": prepared - begun, "query_seconds": time.monotonic() - prepared}
 
