@@ -375,7 +375,8 @@ def keep_known(docs: DataFrame, model: TextModel) -> DataFrame:
     The lang column counts as declared, the source as host. What goes is ``und``: texts without a word
     of letters, null and empty ones too, and texts that noise explains better than every language: what a
     text is kept for is its own letters, whatever its source or label say. docs needs text, lang and source;
-    all its columns come back under their names, repeated rows as often as they are there.
+    all its columns come back under their names, repeated rows as often as they are there. Texts of any length are
+    scored whole; an empty table stays empty.
     """
     store = Durable(docs.sparkSession)
     claims = {"declared": F.col("lang"), "suggested": F.lit(None).cast("string"), "host": F.col("source")}

@@ -198,7 +198,8 @@ def keep_one(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """docs, all columns, with one document of each near-duplicate component: the one of smallest doc_id.
 
     Rows that share the doc_id of a kept document are one document; one of them, the first by text,
-    stays. Rows without a doc_id stay.
+    stays. Rows without a doc_id stay. Null and empty texts, and those without words, are alike to nothing and stay;
+    an empty table stays empty.
     """
     found = near_duplicates(docs, percent, words)
     id_ = free_prefix(docs.columns) + "id"

@@ -304,7 +304,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all columns, with repeated passages cut from text, and n_chars, if it is there, brought up to date.
 
     Texts that lose nothing stay as they are, white space included; others become their kept words
-    joined by one space. Every row stays, also one that loses all its words.
+    joined by one space. Every row stays, also one that loses all its words. A null text stays null; equal rows
+    are each other's repeats and lose their passages; an empty table stays empty.
     """
     p = free_prefix(docs.columns)
     cut = _removed(docs, window, GRAM, HOT, (f"{p}words", f"{p}gone", f"{p}kept"))
