@@ -112,12 +112,13 @@ class _Builder:
         return self.join(MAX, self.join(MIN, low, high), self.join(MIN, low, b), self.join(MIN, a, high))
 
 
-def build(occupied: np.ndarray, planes: list[np.ndarray], h: float, intern: bool = True, most_nodes: int = MOST_NODES) -> Program:
+def build(occupied: np.ndarray, planes: list[np.ndarray], h: float, intern: bool = True, most_nodes: int = MOST_NODES, log: list | None = None) -> Program:
     """The function of one frame.
 
     occupied: boolean grid over all compressed cells, unbounded outer ones included (which are free).
     planes: ascending support coordinates by axis. The grid is halved where the halves are least mixed:
-    by the number of mixed halves, the larger half's volume, axis and cut.
+    by the number of mixed halves, the larger half's volume, axis and cut. A list that is given as log gets
+    every split, parents first: (parent's number or -1, axis, coordinate, lo, hi, occupied, occupied left of it).
     """
     sums = np.zeros([d + 1 for d in occupied.shape], np.int64)
     sums[1:, 1:, 1:] = occupied.cumsum(0).cumsum(1).cumsum(2)
@@ -135,7 +136,7 @@ def build(occupied: np.ndarray, planes: list[np.ndarray], h: float, intern: bool
         starts[axis] = np.full(len(at), lo[axis])
         return at, count(starts, ends)
 
-    def go(lo: tuple[int, ...], hi: tuple[int, ...]) -> int:
+    def go(lo: tuple[int, ...], hi: tuple[int, ...], parent: int = -1) -> int:
         size = [hi[k] - lo[k] for k in range(3)]
         volume = size[0] * size[1] * size[2]
         n = int(count(lo, hi))
@@ -161,8 +162,11 @@ def build(occupied: np.ndarray, planes: list[np.ndarray], h: float, intern: bool
         _, _, axis, cut = best
         middle_hi, middle_lo = list(hi), list(lo)
         middle_hi[axis] = middle_lo[axis] = cut
-        low = go(lo, tuple(middle_hi))
-        high = go(tuple(middle_lo), hi)
+        if log is not None:
+            log.append((parent, axis, int(planes[axis][cut - 1]), lo, hi, n, int(count(lo, middle_hi))))
+            parent = len(log) - 1
+        low = go(lo, tuple(middle_hi), parent)
+        high = go(tuple(middle_lo), hi, parent)
         return builder.split(axis, int(planes[axis][cut - 1]), low, high)
 
     root = go((0, 0, 0), occupied.shape)
@@ -215,6 +219,24 @@ def expanded_nodes(p: Program) -> int:
     return size[-1]
 
 
+def expression(p: Program, most_nodes: int = 100_000) -> str | None:
+    """The function written out as SQL over x, y, z in voxels, with least and greatest; None beyond so many nodes.
+
+    What is shared is repeated, so a text may be exponentially longer than its program; the limit is checked first.
+    """
+    if expanded_nodes(p) > most_nodes:
+        return None
+    texts: list[str] = []
+    for op, leaf, children in zip(p.op, p.leaf, p.children, strict=True):
+        if op == LEAF:
+            c, at = "xyz"[p.axis[leaf]], p.coord[leaf]
+            at = f"({at})" if at < 0 else str(at)
+            texts.append(f"{c} - {at}" if p.sign[leaf] > 0 else f"{at} - {c}")
+        else:
+            texts.append(f"{'least' if op == MIN else 'greatest'}({', '.join(texts[k] for k in children)})")
+    return texts[-1]
+
+
 def hard_values(p: Program, x: np.ndarray) -> np.ndarray:
     """The function at points x (n, 3)."""
     work: list[np.ndarray] = []
@@ -394,6 +416,82 @@ def build_programs(
     return rows.groupBy("frame_id").applyInPandas(run, "frame_id long, program binary, nodes long, shared long, expanded double, strata long, mismatches long")
 
 
+def program_splits(found: DataFrame, coords: DataFrame, h: float, most_cells: int = MOST_CELLS, most_nodes: int = MOST_NODES) -> DataFrame:
+    """How each frame's function is cut: frame_id, split, parent (null at the root), axis, coord, lo, hi, cells, left.
+
+    lo and hi bound the part that is cut, in compressed cells with the outer ones; cells of it are occupied, left
+    of them below the plane. A frame without occupied cells has no rows. Arguments are those of ``build_programs``.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        planes = [np.asarray(frame[f"p{c}"].iloc[0], dtype=np.int64) for c in "xyz"]
+        log: list[tuple] = []
+        build(grid_of(frame, planes, most_cells), planes, h, most_nodes=most_nodes, log=log)
+        rows = [(frame["frame_id"].iloc[0], i, None if s[0] < 0 else s[0], *s[1:3], list(s[3]), list(s[4]), *s[5:]) for i, s in enumerate(log)]
+        out = pd.DataFrame(rows, columns=["frame_id", "split", "parent", "axis", "coord", "lo", "hi", "cells", "left"])
+        return out.astype({"parent": "Int64"})
+
+    rows = found.select("frame_id", "cx", "cy", "cz").join(coords, "frame_id")
+    return rows.groupBy("frame_id").applyInPandas(run, "frame_id long, split long, parent long, axis int, coord long, lo array<int>, hi array<int>, cells long, left long")
+
+
+def expressions(programs: DataFrame, most_nodes: int = 100_000) -> DataFrame:
+    """Rows (frame_id, expanded, text): each frame's function as SQL over x, y, z in voxels, null beyond so many nodes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [Program.unpack(data) for data in frame["program"]]
+            yield pd.DataFrame({"frame_id": frame["frame_id"], "expanded": [float(expanded_nodes(p)) for p in found], "text": [expression(p, most_nodes) for p in found]})
+
+    return programs.select("frame_id", "program").mapInPandas(run, "frame_id long, expanded double, text string")
+
+
+def leaves(programs: DataFrame) -> DataFrame:
+    """Rows (frame_id, axis, sign, coord): the halfspaces that each frame's function is made of."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for fid, data in zip(frame["frame_id"], frame["program"], strict=True):
+                p = Program.unpack(data)
+                yield pd.DataFrame({"frame_id": fid, "axis": p.axis, "sign": p.sign, "coord": p.coord})
+
+    return programs.select("frame_id", "program").mapInPandas(run, "frame_id long, axis int, sign int, coord long")
+
+
+def provenance(programs: DataFrame, planes: DataFrame) -> DataFrame:
+    """By frame: planes of its function, those that no support explains, and supports that it does not use.
+
+    planes: ``boundary.supports``. A function that is made of its surface has none of either: the surface lies in every
+    support, so its zeros do. A frame that only one side knows has the rows of that side.
+    """
+    key = ["frame_id", "axis", "coord"]
+    used = leaves(programs).select(*key, F.lit(1).alias("u"), F.lit(0).alias("s"))
+    both = used.unionByName(planes.select(*key, F.lit(0).alias("u"), F.lit(1).alias("s"))).groupBy(*key).agg(F.max("u").alias("u"), F.max("s").alias("s"))
+    return both.groupBy("frame_id").agg(
+        F.sum("u").alias("planes"), F.count_if((F.col("u") == 1) & (F.col("s") == 0)).alias("unexplained"), F.count_if((F.col("u") == 0) & (F.col("s") == 1)).alias("unused")
+    )
+
+
+def slope_errors(points: DataFrame, programs: DataFrame, error: float, step: float = 1e-6) -> DataFrame:
+    """points, all columns, with gx, gy, gz of the smoothed function and dx, dy, dz: its central differences over 2 * step."""
+
+    def compute(pts: pd.DataFrame, p: Program) -> dict[str, np.ndarray]:
+        beta, _ = smoothing(p, error=error)
+        x = pts[["x", "y", "z"]].to_numpy()
+        out = {c: np.empty(len(x)) for c in ("gx", "gy", "gz", "dx", "dy", "dz")}
+        block = max(256, min(8192, (1 << 26) // (32 * len(p.op))))
+        for lo in range(0, len(x), block):
+            s = slice(lo, lo + block)
+            out["gx"][s], out["gy"][s], out["gz"][s] = smooth_values(p, x[s], beta)[1].T
+            for k, c in enumerate(("dx", "dy", "dz")):
+                e = np.eye(3)[k] * step
+                out[c][s] = (smooth_values(p, x[s] + e, beta, False)[0] - smooth_values(p, x[s] - e, beta, False)[0]) / (2 * step)
+        return out
+
+    sides = programs.select("frame_id", F.col("program").alias("side"))
+    return meet(points, sides, Program.unpack, compute, "gx double, gy double, gz double, dx double, dy double, dz double", weight=lambda p: 4 * len(p.op))
+
+
 def evaluate(points: DataFrame, programs: DataFrame, error: float = 1e-3, gradient: bool = True) -> DataFrame:
     """points, all columns, with q (hard), q_upper (smoothed), gx, gy, gz (null without gradient) and bound.
 

@@ -167,6 +167,31 @@ def _box_function(error: float, keys: str) -> str:
     ])
 
 
+#: Ls of two boxes: the inner corner is at x1, y1.
+_LS = """ls AS (SELECT *, x1 + k % 4 + 1 AS x2, y1 + k % 2 + 1 AS y2, z0 + k % 3 + 1 AS z1 FROM (SELECT *, x0 + k % 2 + 1 AS x1, y0 + k % 3 + 1 AS y1 FROM
+  (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey AS BIGINT) AS frame_id, CAST(n_nationkey % 3 - 1 AS BIGINT) AS x0, CAST(n_nationkey % 5 - 2 AS BIGINT) AS y0, CAST(n_nationkey % 2 + 1 AS BIGINT) AS z0 FROM nation)))"""
+
+#: Their function from its innermost node outward: cut at the bounds of z and x, at the lower y, at the inner corner, at the upper y.
+_L_NODES = [("n1", "MIN", "yb", "xm"), ("n2", "MAX", "n1", "ym"), ("n3", "MIN", "ya", "n2"), ("n4", "MIN", "n3", "xb"), ("n5", "MIN", "xa", "n4"), ("n6", "MIN", "n5", "zb"), ("n7", "MIN", "za", "n6")]
+
+
+def _l_function(error: float, keys: str) -> str:
+    """Relations m0 .. m7 over ``pnt`` (keys, frame_id, x, y, z): nodes of the function of an L, smoothed, with gradients."""
+    b = f"{len(_L_NODES) * math.log(2.0) / error!r}::DOUBLE"
+    sides = {"xa": "x - x0 * h", "xm": "x1 * h - x", "xb": "x2 * h - x", "ya": "y - y0 * h", "ym": "y1 * h - y", "yb": "y2 * h - y", "za": "z - z0 * h", "zb": "z1 * h - z"}
+    slopes = {f"{n}_{c}": (("1.0" if n[1] == "a" else "-1.0") if n[0] == c else "0.0") + "::DOUBLE" for n in sides for c in "xyz"}
+    planes = ", ".join(f"{e.replace('h', f'{H}::DOUBLE', 1)} AS {n}" for n, e in sides.items())
+    flat = ", ".join(f"{v} AS {n}" for n, v in slopes.items())
+    hard = "least(za, zb, xa, xb, ya, greatest(least(yb, xm), ym)) AS q"
+    out = [f"m0 AS (SELECT *, {hard} FROM (SELECT {keys}, {planes}, {flat} FROM pnt JOIN ls USING (frame_id)))"]
+    for i, (n, op, a, c) in enumerate(_L_NODES):
+        anchor, grow, first = ("greatest", "ln(1 + e)", ">=") if op == "MAX" else ("least", "ln(1 + (1 - e) / (1 + e))", "<=")
+        grads = ", ".join(f"w * {a}_{k} + (1 - w) * {c}_{k} AS {n}_{k}" for k in "xyz")
+        out.append(f"""m{i + 1} AS (SELECT * EXCLUDE (e, w), {anchor}({a}, {c}) + {grow} / {b} AS {n}, {grads} FROM (
+    SELECT *, CASE WHEN {a} {first} {c} THEN 1 / (1 + e) ELSE e / (1 + e) END AS w FROM (SELECT *, exp(-{b} * abs({a} - {c})) AS e FROM m{i})))""")
+    return ", ".join(out)
+
+
 #: Spheres of the arm: on the column as they are, on the carriage (m = 1) by their place before the lift, on the tool (t = 1) before the swing.
 _POSES = """cf AS (SELECT s_suppkey AS config_id, (s_suppkey % 13) / 4.0::DOUBLE AS q1, (s_suppkey % 7) / 10.0::DOUBLE AS q2, (s_suppkey % 5) / 3.0::DOUBLE AS q3 FROM supplier),
 sph AS (SELECT * FROM (VALUES (0, 0, 0, 0.0, 0.0, 0.1, 0.05, NULL, NULL), (1, 0, 0, 0.0, 0.1, 0.0, 0.04, 0, 'turn'), (2, 0, 0, 0.0, 0.3, 0.0, 0.03, 0, 'turn'), (3, 0, 0, 0.05 * cos(0.5), 0.2 + 0.05 * sin(0.5), 0.0, 0.02, 0, 'turn'),
@@ -328,6 +353,31 @@ ORACLE_SQL: dict[str, str] = {
     "box_values": f"""WITH {_NATIONS}, pnt AS (SELECT s_suppkey AS point_id, frame_id, s_suppkey % 11 / 10.0::DOUBLE - 0.31 AS x, s_suppkey % 7 / 10.0::DOUBLE - 0.33 AS y, s_suppkey % 9 / 20.0::DOUBLE + 0.07 AS z FROM supplier, bx),
       {_box_function(0.02, "frame_id, point_id")}
       SELECT frame_id, point_id, round(q, 9) + 0.0 AS q, round(v, 9) + 0.0 AS q_upper, round(dx, 9) + 0.0 AS gx, round(dy, 9) + 0.0 AS gy, round(dz, 9) + 0.0 AS gz, 0.02::DOUBLE AS bound FROM w5""",
+    "bent_values": f"""WITH {_LS}, pnt AS (SELECT s_suppkey AS point_id, frame_id, s_suppkey % 11 / 10.0::DOUBLE - 0.31 AS x, s_suppkey % 7 / 10.0::DOUBLE - 0.33 AS y, s_suppkey % 9 / 20.0::DOUBLE + 0.07 AS z FROM supplier, ls),
+      {_l_function(0.02, "frame_id, point_id")}
+      SELECT frame_id, point_id, round(q, 9) + 0.0 AS q, round(n7, 9) + 0.0 AS q_upper, round(n7_x, 9) + 0.0 AS gx, round(n7_y, 9) + 0.0 AS gy, round(n7_z, 9) + 0.0 AS gz, 0.02::DOUBLE AS bound FROM m7""",
+    "bent_expressions": f"""WITH {_LS}, t AS (SELECT *, {", ".join(f"CASE WHEN {c} < 0 THEN '(' || {c} || ')' ELSE {c}::VARCHAR END AS t{c}" for c in ("x0", "x1", "x2", "y0", "y1", "y2", "z0", "z1"))} FROM ls)
+      SELECT frame_id, 15::BIGINT AS expanded, 'least(z - ' || tz0 || ', least(least(x - ' || tx0 || ', least(least(y - ' || ty0 || ', greatest(least(' || ty2 || ' - y, ' || tx1 || ' - x), ' || ty1 || ' - y)), ' || tx2 || ' - x)), ' || tz1 || ' - z))' AS text,
+      8::BIGINT AS splits, '2:' || z0 || ' 2:' || z1 || ' 0:' || x0 || ' 0:' || x2 || ' 1:' || y0 || ' 1:' || y1 || ' 0:' || x1 || ' 1:' || y2 AS cuts FROM t""",
+    "program_provenance": _surface(H, _SUPPORTS)
+    + """SELECT frame_id, count(*) AS planes, count(*) FILTER (coord % 5 = 0) AS unexplained, count(*) FILTER (coord % 7 = 0) AS unused FROM planes GROUP BY frame_id""",
+    "slope_audit": _surface(H, _PATCHES, _HALF)
+    + """SELECT frame_id, 'centre' AS kind, count(*) AS probes, 0::BIGINT AS differing FROM vox GROUP BY 1
+      UNION ALL SELECT frame_id, 'corner', count(*), 0 FROM signs WHERE kx & 1 = 0 AND ky & 1 = 0 AND kz & 1 = 0 GROUP BY 1
+      UNION ALL SELECT frame_id, 'flank', 2 * count(*), 2 * count(*) FROM patches GROUP BY 1
+      UNION ALL SELECT DISTINCT frame_id, 'outer', 26::BIGINT, 0::BIGINT FROM vox""",
+    "direct_bundle": _surface(H, _PATCHES, _SUPPORTS, _HALF)
+    + """, n AS (SELECT frame_id, count(*) AS occupancy FROM vox GROUP BY 1), p AS (SELECT frame_id, count(*) AS patches FROM patches GROUP BY 1), r AS (SELECT frame_id, count(*) AS registry FROM planes GROUP BY 1),
+      c AS (SELECT frame_id, count(*) AS corners FROM signs WHERE kx & 1 = 0 AND ky & 1 = 0 AND kz & 1 = 0 GROUP BY 1),
+      m AS (SELECT frame_id, CAST(product(n) AS BIGINT) AS strata FROM (SELECT frame_id, axis, 2 * count(*) + 1 AS n FROM planes GROUP BY ALL) GROUP BY 1)
+      SELECT frame_id, registry, patches, occupancy, 1::BIGINT AS json, 1::BIGINT AS expressions, 1::BIGINT AS roots, strata, 0::BIGINT AS mismatches, registry AS planes, 0::BIGINT AS unexplained, 0::BIGINT AS unused,
+      occupancy + corners + 2 * patches + 26 + 64 AS samples, 0::BIGINT AS wrong, true AS ok FROM n JOIN p USING (frame_id) JOIN r USING (frame_id) JOIN c USING (frame_id) JOIN m USING (frame_id)""",
+    "tet_bundle": """WITH k AS (SELECT CAST(p_partkey AS BIGINT) AS frame_id, (p_partkey // 8) % 3 + 3 AS m, (p_partkey // 8) % 2 = 1 AS bent FROM part WHERE p_partkey % 8 = 0),
+      e AS (SELECT *, CASE WHEN bent THEN m - 1 ELSE m END AS a, CASE WHEN bent THEN 2 ELSE 1 END AS b FROM k), n AS (SELECT *, i * 0.8191725133961645::DOUBLE + 0.5 AS r, i * 0.6710436067037893::DOUBLE + 0.5 AS s, i * 0.5497004779019703::DOUBLE + 0.5 AS t FROM e, (SELECT unnest(range(1, 33)) AS i)),
+      p AS (SELECT *, (1.5 * (r - floor(r)) - 0.25) * a AS x, (1.5 * (s - floor(s)) - 0.25) * b AS y, 1.5 * (t - floor(t)) - 0.25 AS z FROM n),
+      f AS (SELECT frame_id, m, z > 0 AND z < 1 AND x > 0 AND y > 0 AND ((x < a AND y < 1) OR (bent AND x < 1 AND y < 2)) AS held FROM p)
+      SELECT frame_id, CAST(6 * m AS BIGINT) AS tets, CAST(8 * m + 4 AS BIGINT) AS surface_faces, CAST(m AS DOUBLE) AS surface_volume, CAST(m AS DOUBLE) AS mesh_volume, count(*) AS samples, count(*) FILTER (held) AS bounded, 0::BIGINT AS boundary,
+      count(*) FILTER (NOT held) AS unbounded, 0::BIGINT AS tets_differ, 0::BIGINT AS clusters_differ, 0::BIGINT AS added, 0::BIGINT AS missed, true AS written, true AS ok FROM f GROUP BY frame_id, m""",
     "box_spheres": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)} SELECT frame_id, config_id, sphere_id, joint, round(-v - radius - 0.01, 6) AS clearance FROM w5""",
     "clearance_bundle": f"""WITH {_AT_SPHERES}, {_box_function(1e-3, _SPHERE_KEYS)},
       c AS (SELECT frame_id, config_id, count(*) AS n, count(*) FILTER (joint IS NULL) AS still, sum(-v - radius - 0.01) AS total, min(-v - radius - 0.01) FILTER (joint IS NOT NULL) AS low FROM w5 GROUP BY ALL),

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geometry import cross, dot, inside_box, inside_ellipsoid, length, minus, plane_value, ray_ellipsoid, same_plane, wilson
 from ..operators import arrangement, audit, boundary, clusters, hulls, meshes, neighbours, octree, robot, surfaces, sweep, trees, voxels
-from ..sources import exports
+from ..sources import bundles, exports
 from ..sources import points as sources
 from ..sources import shapes, suite
 from ..sources.staging import staging_folder, written
@@ -76,6 +76,18 @@ def _boxes_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k
 
 
+def _ls_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of one L a nation: two boxes with a reflex edge, whose function has one maximum among its minima."""
+    k = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame_id"))
+    n = F.col("frame_id")
+    x0, y0, z0 = n % 3 - 1, n % 5 - 2, n % 2 + 1
+    x1, y1 = x0 + n % 2 + 1, y0 + n % 3 + 1
+    x2, y2, z1 = x1 + n % 4 + 1, y1 + n % 2 + 1, z0 + n % 3 + 1
+    for c, (start, end) in zip("xyz", ((x0, x2), (y0, y2), (z0, z1)), strict=True):
+        k = k.withColumn(f"i{c}", F.explode(F.sequence(start, end - 1)))
+    return k.where((F.col("ix") < x1) | (F.col("iy") < y1))
+
+
 def _arm(spark: SparkSession, sf_dir: str) -> tuple[robot.Model, DataFrame]:
     """The arm and the poses of its spheres at configurations taken from the suppliers."""
     model = robot.parse_urdf(robot.DEMO_URDF)
@@ -419,6 +431,56 @@ def box_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("frame_id", "point_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("q", "q_upper", "gx", "gy", "gz", "bound")])
 
 
+def bent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard and smoothed values, gradients and bounds of Ls, at points taken from the suppliers."""
+    s = _Surface(spark, sf_dir, keep=True, found=_ls_of_nations(spark, sf_dir))
+    k = F.col("s_suppkey")
+    at = _spread(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey"))
+    p = at.select(k.alias("point_id"), (k % 11 / 10.0 - 0.31).alias("x"), (k % 7 / 10.0 - 0.33).alias("y"), (k % 9 / 20.0 + 0.07).alias("z")).crossJoin(s.coords.select("frame_id"))  # the question: every point in every frame
+    q = arrangement.evaluate(p, s.programs(), error=0.02)
+    return q.select("frame_id", "point_id", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("q", "q_upper", "gx", "gy", "gz", "bound")])
+
+
+def bent_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of the Ls written out as SQL, how they are cut, and how long they are."""
+    s = _Surface(spark, sf_dir, keep=True, found=_ls_of_nations(spark, sf_dir))
+    cells = written(s.cells)
+    programs = written(arrangement.build_programs(cells, s.coords, H))
+    cuts = arrangement.program_splits(cells, s.coords, H)
+    cuts = cuts.groupBy("frame_id").agg(F.count(F.lit(1)).alias("splits"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "axis", "coord"))), lambda c: F.concat_ws(":", c["axis"], c["coord"])), " ").alias("cuts"))
+    return arrangement.expressions(programs).join(cuts, "frame_id").select("frame_id", F.col("expanded").cast("long").alias("expanded"), "text", "splits", "cuts")
+
+
+def program_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of the functions against a damaged registry: every fifth coordinate is taken out, every seventh is there once more, far off."""
+    s = _Surface(spark, sf_dir, keep=True)
+    known = s.supports.where("coord % 5 != 0").unionByName(s.supports.where("coord % 7 = 0").withColumn("coord", F.col("coord") + 100_000))
+    return arrangement.provenance(s.programs(), known)
+
+
+def slope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients against central differences by kind of probe; those beside patches are turned before, and must be found."""
+    s = _Surface(spark, sf_dir, keep=True)
+    p = audit.surface_probes(s.voxels, s.patches, H).unionByName(audit.outer_probes(s.voxels, H))
+    rows = arrangement.slope_errors(_spread(p), s.programs(), error=0.02)
+    turn = F.when(F.col("kind") == "flank", -1.0).otherwise(1.0)
+    off = F.greatest(*[F.abs(turn * F.col(f"g{c}") - F.col(f"d{c}")) for c in "xyz"])
+    return rows.groupBy("frame_id", "kind").agg(F.count(F.lit(1)).alias("probes"), F.count_if(off > 1e-3).alias("differing"))
+
+
+def direct_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of the direct functions, written and read back: sizes of their tables and what the validation found."""
+    s = _Surface(spark, sf_dir, keep=True)
+    folder = staging_folder(spark)
+    exports.write_bundle(spark, folder, bundles.direct_tables(s.voxels, s.faces, H), {"command": "function", "voxel_size": H})
+    t = exports.read_bundle(spark, folder)
+    sizes = {n: t[n].groupBy("frame_id").agg(F.count(F.lit(1)).alias(n)) for n in ("registry", "patches", "occupancy", "json", "expressions")}
+    out = t["validation"].join(t["splits"].where("parent is null").groupBy("frame_id").agg(F.count(F.lit(1)).alias("roots")), "frame_id")
+    for size in sizes.values():
+        out = out.join(size, "frame_id")
+    return out.select("frame_id", *sizes, "roots", "strata", "mismatches", "planes", "unexplained", "unused", "samples", "wrong", "ok")
+
+
 def reference_sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of moved points to the patches, and the same with the sign of the closed union: positive in free space."""
     s = _Surface(spark, sf_dir, keep=True)
@@ -963,8 +1025,8 @@ def tet_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("frame_id").agg(F.count(F.lit(1)).alias("tets"), F.count_distinct("cluster_id").alias("clusters"))
 
 
-def tet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of bars and Ls of cubes of six tetrahedra each, one for every eighth part: fewer than tetrahedra, their volume, and no corner beyond a plane."""
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bars and Ls of cubes of six tetrahedra each, one for every eighth part: tables vertex and tet."""
     k = _spread(spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 8 = 0").select(F.col("p_partkey").cast("long").alias("frame_id")))
     n = (F.col("frame_id") / 8) % 3 + 2
     bent = F.floor(F.col("frame_id") / 8) % 2 == 1
@@ -978,7 +1040,12 @@ def tet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.array(*[F.lit(v) for v in t]).alias("t")) for j, t in enumerate(six)]))
     named = corner.groupBy("frame_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("v", "vertex_id"))).alias("names")).withColumn("s", ring)
     tets = written(named.select("frame_id", (6 * F.col("i") + F.col("s.j")).alias("tet_id"), F.transform("s.t", lambda v: F.element_at("names", v)).alias("v")))
-    vertices = written(corner.select("frame_id", "vertex_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).distinct())
+    return written(corner.select("frame_id", "vertex_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).distinct()), tets
+
+
+def tet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of bars and Ls of cubes of six tetrahedra each: fewer than tetrahedra, their volume, and no corner beyond a plane."""
+    vertices, tets = _blocks(spark, sf_dir)
     found = written(clusters.agglomerate_frames(vertices, tets))
     faces = written(meshes.cluster_faces(tets, found, vertices))
     v6 = sum((F.col(f"a{a}") * (F.col(f"b{b}") * F.col(f"c{c}") - F.col(f"b{c}") * F.col(f"c{b}")) for a, b, c in ("yzx", "zxy")), F.col("ax") * (F.col("by") * F.col("cz") - F.col("bz") * F.col("cy")))
@@ -990,6 +1057,17 @@ def tet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(beyond, "frame_id").join(tetras, "frame_id").select("frame_id", "tets", (F.col("clusters") < F.col("tets")).alias("merged"), "volume", "beyond")
 
 
+def tet_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bundle of the bars and Ls, written and read back: sizes, probes by side, and how far tetrahedra, clusters and tree agree."""
+    vertices, tets = _blocks(spark, sf_dir)
+    folder = staging_folder(spark)
+    exports.write_bundle(spark, folder, bundles.tet_tables(vertices, tets, bundles.random_points(vertices, 32)), {"command": "tets"})
+    found = exports.read_bundle(spark, folder)
+    m = found["metrics"].join(found["trees"].select("frame_id", F.length("json").alias("text")), "frame_id")
+    rounded = [F.round(c, 9).alias(c) for c in ("surface_volume", "mesh_volume")]
+    return m.select("frame_id", "tets", "surface_faces", *rounded, "samples", "bounded", "boundary", "unbounded", "tets_differ", "clusters_differ", "added", "missed", (F.col("text") > 0).alias("written"), "ok")
+
+
 def swept_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hulls of a cube and the same moved by the nation's key on all axes: twelve planes, whose offsets are known."""
     k = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") + 1).cast("long").alias("frame_id"))
@@ -1111,6 +1189,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frame_audit": frame_audit,
     "exported_audit": exported_audit,
     "box_values": box_values,
+    "bent_values": bent_values,
+    "bent_expressions": bent_expressions,
+    "program_provenance": program_provenance,
+    "slope_audit": slope_audit,
+    "direct_bundle": direct_bundle,
+    "tet_bundle": tet_bundle,
     "box_programs": box_programs,
     "exported_sign": exported_sign,
     "sign_diagnostics": sign_diagnostics,
