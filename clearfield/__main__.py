@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import arrangement, audit, boundary, hulls, neighbours, octree, robot, sweep, voxels
 from .operators.boundary import numbered_within
-from .sources import exports, shapes
+from .sources import bundles, exports, shapes
 from .sources.points import read_cloud
 from .sources.staging import staging_folder
 from .streaming import manifest
@@ -18,7 +18,7 @@ from .streaming import manifest
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="clearfield", description=__doc__)
-    p.add_argument("command", choices=["voxelize", "boundary", "octree", "sweep", "hull", "function", "diagnose", "distance", "clearance", "stream", "camera"])
+    p.add_argument("command", choices=["voxelize", "boundary", "octree", "sweep", "hull", "function", "diagnose", "distance", "clearance", "stream", "camera", "tets"])
     p.add_argument("--cloud", help="file or folder of them, one frame a file")
     p.add_argument("--format", choices=["xyz", "ply", "off"], default="xyz")
     p.add_argument("--output", help="folder of the bundle; a stream's frames name their own")
@@ -41,6 +41,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-updates", type=int, default=limits.updates, help="sweep: cells covered by events of an axis, likewise")
     p.add_argument("--max-prisms", type=int, default=limits.prisms, help="sweep: free rectangles of an axis, likewise")
     p.add_argument("--max-passes", type=int, default=4, help="sweep: rounds of merging")
+    p.add_argument("--samples", type=int, default=64, help="function, tets: random probes of a frame")
+    p.add_argument("--max-expanded-nodes", type=int, default=100_000, help="function: nodes of a function written out as an expression; longer ones have none")
+    p.add_argument("--vertices", help="tets: Parquet table frame_id, vertex_id, x, y, z")
+    p.add_argument("--tets", help="tets: Parquet table frame_id, tet_id, v (four vertex_ids)")
+    p.add_argument("--plane-angle", type=float, default=0.0, help="tets: faces within so many radians share a support plane, which may add to a cluster")
+    p.add_argument("--target-clusters", type=int, default=0, help="tets: merge no further than this; 0 for as far as it goes")
     p.add_argument("--urdf")
     p.add_argument("--q", help="joint values, comma separated; several configurations by semicolons")
     p.add_argument("--margin", type=float, default=0.0)
@@ -56,8 +62,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
         raise ValueError("the voxel size must be positive")
     if a.command == "stream":
         return stream(spark, a)
-    if not a.output or (not a.cloud and a.command != "camera"):
+    if not a.output or (not a.cloud and a.command not in ("camera", "tets")):
         raise ValueError("--cloud and --output are wanted")
+    if a.command == "tets":
+        if not a.vertices or not a.tets:
+            raise ValueError("tets needs --vertices and --tets")
+        v, t = (spark.read.parquet(path) for path in (a.vertices, a.tets))
+        tables = bundles.tet_tables(v, t, bundles.random_points(v, a.samples), a.plane_angle, target=a.target_clusters)
+        return exports.write_bundle(spark, a.output, tables, {"command": a.command, "plane_angle": a.plane_angle})
     if a.command == "camera":
         seen = shapes.depth_camera(spark, a.views)
         return exports.write_bundle(spark, a.output, {"views": seen, "cloud": shapes.camera_cloud(seen, h)}, {"command": a.command, "voxel_size": h})
@@ -99,6 +111,13 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     elif a.command == "hull":
         found = staged("clusters", hulls.approximate_frames(v, hulls.Budget(a.inflation, a.fill_distance, a.max_hull_voxels, a.max_hull_boxes), h))
         tables = {"clusters": found, "report": hulls.report(found), "size": octree.tree_size(octree.rectangular_cells(v))}
+    elif a.command == "function":
+        tables = bundles.direct_tables(v, faces, h, a.max_expanded_nodes, a.samples)
+        tables["validation"] = staged("validation", tables["validation"])
+        if not tables["validation"].where("not ok").isEmpty():
+            # The report is published, the function is not.
+            exports.write_bundle(spark, a.output, {n: tables[n] for n in ("validation", "samples", "registry", "occupancy")}, {"command": a.command, "voxel_size": h, "failed": True})
+            raise RuntimeError(f"a function failed its checks; the report is in {a.output}")
     elif a.command == "diagnose":
         tables = {"diagnostics": arrangement.diagnose_programs(cells, cells, coords, h), "supports": planes}
     else:

@@ -33,6 +33,9 @@ def test_commands(spark, cloud, tmp_path, command):
         assert tables["clusters"].agg(F.sum("voxels")).first()[0] == n and tables["clusters"].count() < tables["size"].first()["cells"]
     if command == "diagnose":
         assert tables["diagnostics"].agg(F.sum("mismatches")).first()[0] == 0
+    if command == "function":
+        assert {"registry", "patches", "occupancy", "splits", "programs", "json", "expressions", "samples", "validation"} == set(tables)
+        assert tables["validation"].where("ok").count() == 1 and tables["occupancy"].count() == n
     if command == "voxelize":
         assert tables["voxels"].count() == n
     if command == "sweep":
@@ -43,6 +46,19 @@ def test_commands(spark, cloud, tmp_path, command):
         assert tables["distances"].where(F.col("hard_min") < F.col("distance")).count() == 0
 
 
+def test_tets(spark, tmp_path):
+    v = spark.createDataFrame([(0, i, float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)], "frame_id long, vertex_id long, x double, y double, z double")
+    t = spark.createDataFrame([(0, k, [0, a, a | b, 7]) for k, (a, b) in enumerate([(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2)])], "frame_id long, tet_id long, v array<long>")
+    v.write.parquet(f"{tmp_path}/v")
+    t.write.parquet(f"{tmp_path}/t")
+    argv = ["tets", "--vertices", f"{tmp_path}/v", "--tets", f"{tmp_path}/t", "--output", f"file://{tmp_path}/out", "--voxel-size", "1", "--samples", "200"]
+    run(spark, parser().parse_args(argv))
+    m = exports.read_bundle(spark, f"file://{tmp_path}/out")["metrics"].first()
+    assert m["ok"] and m["samples"] == 200 and m["surface_faces"] == 12 and m["surface_volume"] == pytest.approx(1) and m["mesh_volume"] == pytest.approx(1)
+    with pytest.raises(ValueError):
+        run(spark, parser().parse_args(argv[:1] + argv[3:]))
+
+
 @pytest.mark.parametrize("how", ["voxel", "jet"])
 def test_preprocessing(spark, cloud, tmp_path, how):
     path, n = cloud
