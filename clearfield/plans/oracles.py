@@ -541,6 +541,13 @@ _NARROW = {
     "sweep_rectangles": ["slab", "axis"],
     "free_adjacency": ["ax", "ay", "az"],
 }
+_SAMPLES = f"SELECT frame_id, CAST(sum(probes) AS BIGINT) AS samples FROM ({ORACLE_SQL['probe_audit']}) GROUP BY frame_id"
+ORACLE_SQL["octree_bundle"] = f"""WITH c AS (SELECT frame_id, 'exact' AS pruning, cells FROM ({ORACLE_SQL["tree_size"]}) UNION ALL SELECT frame_id, 'rect', cells FROM ({ORACLE_SQL["octree_rect_cover"]})
+  UNION ALL SELECT frame_id, 'none', voxels FROM ({ORACLE_SQL["octree_rect_cover"]})), s AS ({_SAMPLES})
+  SELECT frame_id, pruning, cells, 6 * cells AS planes, 7 * cells + CASE WHEN cells > 1 THEN 1 ELSE 0 END AS nodes, 6 * cells AS stored, samples, 0::BIGINT AS wrong,
+  0::BIGINT AS uncovered, 0::BIGINT AS overlapping, 0::BIGINT AS outside, true AS ok FROM c JOIN s USING (frame_id)"""
+ORACLE_SQL["sweep_bundle"] = f"""WITH a AS ({ORACLE_SQL["axis_selection"]}), s AS ({_SAMPLES})
+  SELECT frame_id, axis, fallback, nodes, 3::BIGINT AS candidates, prisms AS stored_prisms, fallback AS obstacles, samples, 0::BIGINT AS wrong, true AS ok FROM a JOIN s USING (frame_id)"""
 for _name, _columns in _NARROW.items():
     _casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _columns)
     ORACLE_SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE_SQL[_name]})"

@@ -481,6 +481,29 @@ def direct_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame_id", *sizes, "roots", "strata", "mismatches", "planes", "unexplained", "unused", "samples", "wrong", "ok")
 
 
+def octree_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Octree bundles by pruning, written and read back: sizes, how well cells part the voxels, and probes against the voxels."""
+    s = _Surface(spark, sf_dir, keep=True)
+    patched, out = written(s.patches), None
+    for pruning in bundles.PRUNINGS:
+        folder = staging_folder(spark)
+        exports.write_bundle(spark, folder, bundles.octree_tables(s.voxels, patched, H, pruning), {"command": "octree", "voxel_size": H, "pruning": pruning})
+        t = exports.read_bundle(spark, folder)
+        stored = t["planes"].groupBy("frame_id").agg(F.count(F.lit(1)).alias("stored"))
+        one = t["metrics"].join(stored, "frame_id").select("frame_id", F.lit(pruning).alias("pruning"), "cells", "planes", "nodes", "stored", "samples", "wrong", "uncovered", "overlapping", "outside", "ok")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sweep_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-space bundles under limits that some frames pass, written and read back: what was selected, and probes against the voxels."""
+    s = _Surface(spark, sf_dir, keep=True)
+    folder = staging_folder(spark)
+    exports.write_bundle(spark, folder, bundles.sweep_tables(s.voxels, written(s.patches), written(s.supports), H, limits=TIGHT), {"command": "sweep", "voxel_size": H})
+    m = exports.read_bundle(spark, folder)["metrics"]
+    return m.select("frame_id", "axis", "fallback", "nodes", "candidates", "stored_prisms", (F.col("obstacles") > 0).alias("obstacles"), "samples", "wrong", "ok")
+
+
 def reference_sdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of moved points to the patches, and the same with the sign of the closed union: positive in free space."""
     s = _Surface(spark, sf_dir, keep=True)
@@ -1194,6 +1217,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "program_provenance": program_provenance,
     "slope_audit": slope_audit,
     "direct_bundle": direct_bundle,
+    "octree_bundle": octree_bundle,
+    "sweep_bundle": sweep_bundle,
     "tet_bundle": tet_bundle,
     "box_programs": box_programs,
     "exported_sign": exported_sign,

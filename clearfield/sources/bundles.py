@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import arrangement, audit, boundary, clusters, meshes, trees, voxels
+from ..operators import arrangement, audit, boundary, clusters, meshes, octree, sweep, trees, voxels
 from . import exports
 from .staging import written
 
@@ -49,6 +51,80 @@ def direct_tables(found: DataFrame, faces: DataFrame, h: float, most_nodes: int
     }
 
 
+def cubes(found: DataFrame) -> DataFrame:
+    """The exact octree cut of voxels as boxes lo*, w* in voxels."""
+    cut = octree.exact_cut(found).join(voxels.bounds(found).select("frame_id", *[f"min_{a}" for a in voxels.AXES]), "frame_id")
+    width = F.expr("shiftleft(1L, level)")
+    lows = [(F.expr(f"shiftleft(n{a[1]}, level)") + F.col(f"min_{a}")).alias(f"lo{a[1]}") for a in voxels.AXES]
+    return cut.select("frame_id", *lows, *[width.alias(f"w{c}") for c in "xyz"])
+
+
+def single_voxels(found: DataFrame) -> DataFrame:
+    """Voxels as boxes lo*, w*."""
+    one = F.lit(1).cast("long")
+    return found.select("frame_id", *[F.col(a).alias(f"lo{a[1]}") for a in voxels.AXES], *[one.alias(f"w{c}") for c in "xyz"])
+
+
+#: What cells may be made of, from the fewest to the most.
+PRUNINGS = {"rect": octree.rectangular_cells, "exact": cubes, "none": single_voxels}
+
+
+def octree_tables(found: DataFrame, patched: DataFrame, h: float, pruning: str = "rect", random: int = 64) -> dict[str, DataFrame]:
+    """Tables of an octree's bundle by name, from a frame's voxels and merged patches.
+
+    levels: nodes that hold voxels; cells: boxes by the pruning (rect: cubes and smallest covers of siblings, exact:
+    cubes, none: voxels); planes: six a cell; leaves: those that differ; trees: MIN over cells of MAX of planes as JSON;
+    samples: probes with the value of the cells (q), that of the text (exported) and ok, whether both say what the voxels say;
+    metrics: one row a frame with the tree's size, voxels that no cell or several cover, covered places without a voxel,
+    samples and wrong ones. A point is inside where a value is at most 0.
+    """
+    cells = written(octree.number_cells(PRUNINGS[pruning](found)))
+    planes = written(octree.box_planes(cells, h))
+    made = written(trees.cluster_tree(planes))
+    probes = audit.surface_probes(found, patched, h).unionByName(audit.outer_probes(found, h)).unionByName(audit.random_probes(found, h, random))
+    valued = octree.union_values(probes, cells, h).withColumnRenamed("q", "value")
+    both = trees.evaluate_json(valued, made.select("frame_id", F.col("tree").alias("json"))).withColumnRenamed("q", "exported").withColumnRenamed("value", "q")
+    right = F.col("sign") >= 0
+    rows = voxels.closed_sign(both, found, h).withColumn("ok", ((F.col("q") <= 0) == right) & ((F.col("exported") <= 0) == right))
+    samples = written(rows.select("frame_id", "kind", *"xyz", "q", "exported", F.col("sign").cast("int").alias("expected"), "ok"))
+    seen = samples.groupBy("frame_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(~F.col("ok")).alias("wrong"))
+    metrics = octree.tree_size(cells).join(made.select("frame_id", "leaves"), "frame_id").join(octree.partition_violations(cells, found), "frame_id").join(seen, "frame_id")
+    well = F.col("uncovered") + F.col("overlapping") + F.col("outside") + F.col("wrong") == 0
+    return {
+        "levels": octree.levels(found), "cells": cells, "planes": planes, "leaves": octree.shared_leaves(planes), "trees": made, "samples": samples,
+        "metrics": metrics.withColumn("ok", well),
+    }
+
+
+def sweep_tables(found: DataFrame, patched: DataFrame, planes: DataFrame, h: float, axes: tuple[int, ...] = (0, 1, 2), limits: sweep.Limits = sweep.Limits(), passes: int = 4, random: int = 64) -> dict[str, DataFrame]:
+    """Tables of a free-space bundle by name, from a frame's voxels, merged patches and supports.
+
+    candidates: what became of each frame on each axis; selection: the smallest function by frame, prisms: its
+    prisms; obstacles: the boxes of frames that fell back; supports and patches; samples: probes, whether the selected
+    function is strictly free there, and ok, whether the voxels say the same; metrics: the selection with how many candidates,
+    prisms, obstacles, samples and wrong ones there are.
+    """
+    coords = written(boundary.coordinates(planes))
+    spaces = [sweep.free_space(patched, coords, k, limits, passes) for k in axes]
+    best = written(sweep.best_axis(spaces, found))
+    status = reduce(DataFrame.unionByName, [s.status.withColumn("axis", F.lit(s.axis)) for s in spaces])
+    made = reduce(DataFrame.unionByName, [s.prisms.withColumn("axis", F.lit(s.axis)) for s in spaces])
+    prisms = written(made.join(best.where("not fallback").select("frame_id", "axis"), ["frame_id", "axis"], "left_semi"))
+    obstacles = written(sweep.obstacle_boxes(found, best.where("fallback")))
+    probes = written(audit.surface_probes(found, patched, h).unionByName(audit.outer_probes(found, h)).unionByName(audit.random_probes(found, h, random)))
+    held = [probes.join(best.where(F.col("axis") == s.axis).select("frame_id"), "frame_id", "left_semi") for s in spaces]
+    said = reduce(DataFrame.unionByName, [sweep.strictly_free(p, s, coords, found, h) for p, s in zip(held, spaces, strict=True)])
+    signed = voxels.closed_sign(said, found, h)
+    samples = written(signed.select("frame_id", "kind", *"xyz", "free", "fallback", F.col("sign").cast("int").alias("expected"), (F.col("free") == (F.col("sign") < 0)).alias("ok")))
+    metrics = best.join(samples.groupBy("frame_id").agg(F.count(F.lit(1)).alias("samples"), F.count_if(~F.col("ok")).alias("wrong")), "frame_id")
+    for name, table in (("candidates", status), ("stored_prisms", prisms), ("obstacles", obstacles)):
+        metrics = metrics.join(table.groupBy("frame_id").agg(F.count(F.lit(1)).alias(name)), "frame_id", "left").na.fill(0, [name])
+    return {
+        "selection": best, "candidates": status, "prisms": prisms, "obstacles": obstacles, "supports": planes, "patches": patched, "samples": samples,
+        "metrics": metrics.withColumn("ok", F.col("wrong") == 0),
+    }
+
+
 def plane_trees(planes: DataFrame) -> DataFrame:
     """Rows (frame_id, json): the tree of a frame's convex clusters, MIN over clusters of MAX of planes, simplified.
 
@@ -117,4 +193,4 @@ def tet_tables(vertices: DataFrame, tets: DataFrame, probes: DataFrame, angle: f
     }
 
 
-__all__ = ["direct_tables", "plane_trees", "random_points", "samples_of", "tet_tables"]
+__all__ = ["PRUNINGS", "direct_tables", "octree_tables", "plane_trees", "random_points", "samples_of", "sweep_tables", "tet_tables"]
