@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import argparse
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +39,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-updates", type=int, default=limits.updates, help="sweep: cells covered by events of an axis, likewise")
     p.add_argument("--max-prisms", type=int, default=limits.prisms, help="sweep: free rectangles of an axis, likewise")
     p.add_argument("--max-passes", type=int, default=4, help="sweep: rounds of merging")
-    p.add_argument("--samples", type=int, default=64, help="function, tets: random probes of a frame")
+    p.add_argument("--pruning", choices=list(bundles.PRUNINGS), default="rect", help="octree: cells of cubes and sibling boxes, of cubes, or of voxels")
+    p.add_argument("--samples", type=int, default=64, help="octree, sweep, function, tets: random probes of a frame")
     p.add_argument("--max-expanded-nodes", type=int, default=100_000, help="function: nodes of a function written out as an expression; longer ones have none")
     p.add_argument("--vertices", help="tets: Parquet table frame_id, vertex_id, x, y, z")
     p.add_argument("--tets", help="tets: Parquet table frame_id, tet_id, v (four vertex_ids)")
@@ -95,19 +94,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     elif a.command == "boundary":
         tables = {"faces": faces, "patches": boundary.number_patches(boundary.patches(faces)), "supports": planes, "cells": cells}
     elif a.command == "octree":
-        found = octree.rectangular_cells(v)
-        tables = {"levels": octree.levels(v), "cells": octree.number_cells(found), "planes": octree.box_planes(found, h), "size": octree.tree_size(found)}
+        tables = bundles.octree_tables(v, staged("patches", boundary.patches(faces)), h, a.pruning, a.samples)
     elif a.command == "sweep":
-        patched = staged("patches", boundary.patches(faces))
+        axes = (0, 1, 2) if a.sweep == "best-axis" else ("xyz".index(a.sweep),)
         limits = sweep.Limits(a.max_cells, a.max_updates, a.max_prisms)
-        axes = range(3) if a.sweep == "best-axis" else ["xyz".index(a.sweep)]
-        spaces = [sweep.free_space(patched, coords, k, limits, a.max_passes) for k in axes]
-        best = staged("selection", sweep.best_axis(spaces, v))
-        made = [s.prisms.withColumn("axis", F.lit(s.axis)) for s in spaces]
-        status = [s.status.withColumn("axis", F.lit(s.axis)) for s in spaces]
-        prisms = reduce(DataFrame.unionByName, made).join(best.where("not fallback").select("frame_id", "axis"), ["frame_id", "axis"], "left_semi")
-        obstacles = sweep.obstacle_boxes(v, best.where("fallback"))
-        tables = {"selection": best, "candidates": reduce(DataFrame.unionByName, status), "prisms": prisms, "obstacles": obstacles, "supports": planes, "patches": patched}
+        tables = bundles.sweep_tables(v, staged("patches", boundary.patches(faces)), staged("supports", planes), h, axes, limits, a.max_passes, a.samples)
     elif a.command == "hull":
         found = staged("clusters", hulls.approximate_frames(v, hulls.Budget(a.inflation, a.fill_distance, a.max_hull_voxels, a.max_hull_boxes), h))
         tables = {"clusters": found, "report": hulls.report(found), "size": octree.tree_size(octree.rectangular_cells(v))}

@@ -265,9 +265,7 @@ def convexity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _boxes(found: DataFrame) -> DataFrame:
     """Full cubes of the exact cut as boxes."""
-    low = voxels.bounds(found).select("frame_id", *[f"min_{a}" for a in voxels.AXES])
-    cut = octree.exact_cut(found).join(low, "frame_id")
-    return cut.select("frame_id", *[F.expr(f"shiftleft(n{c}, level) + min_i{c}").alias(f"lo{c}") for c in "xyz"], *[F.expr("shiftleft(1L, level)").alias(f"w{c}") for c in "xyz"])
+    return bundles.cubes(found)
 
 
 def aabb_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_arrangement import NAMED, program_of
 
 from clearfield.operators import arrangement as A
-from clearfield.operators import boundary
+from clearfield.operators import boundary, sweep
 from clearfield.sources import bundles
 
 H = 0.5
@@ -119,6 +119,32 @@ def test_slopes(spark):
         assert np.allclose([r.gx, r.gy, r.gz], [r.dx, r.dy, r.dz], atol=1e-4)
 
 
+@pytest.mark.parametrize("pruning", sorted(bundles.PRUNINGS))
+def test_octree_tables(spark, pruning):
+    frames = {i: NAMED[n] for i, n in enumerate(sorted(NAMED)) if n != "far"}
+    v = voxel_frames(spark, frames)
+    t = bundles.octree_tables(v, boundary.patches(boundary.exposed_faces(v)), H, pruning)
+    rows = {r["frame_id"]: r for r in t["metrics"].collect()}
+    assert set(rows) == set(frames) and all(r["ok"] for r in rows.values())
+    if pruning == "none":
+        assert all(rows[f]["cells"] == len(keys) for f, keys in frames.items())
+    assert t["samples"].where((F.col("q") <= 0) != (F.col("exported") <= 0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_sweep_tables(spark, most):
+    """Frames within the limits are prisms, those beyond obstacles; both say what the voxels say."""
+    frames = {i: NAMED[n] for i, n in enumerate(sorted(NAMED))}
+    v = voxel_frames(spark, frames)
+    faces = boundary.exposed_faces(v)
+    t = bundles.sweep_tables(v, boundary.patches(faces), boundary.supports(faces), H, limits=sweep.Limits(cells=most))
+    rows = {r["frame_id"]: r for r in t["metrics"].collect()}
+    assert set(rows) == set(frames) and all(r["ok"] and r["candidates"] == 3 for r in rows.values())
+    single = rows[sorted(NAMED).index("single")]
+    assert single["fallback"] is False and all((r["obstacles"] > 0) == r["fallback"] for r in rows.values())
+    assert any(r["fallback"] for r in rows.values()) == (most == 1)
+
+
 def six(at, first):
     """A cube at a corner as six tetrahedra, vertices numbered by place."""
     name = lambda i: sum((c + (i >> a & 1)) * 10**a for a, c in enumerate(at))

@@ -36,6 +36,10 @@ def test_commands(spark, cloud, tmp_path, command):
     if command == "function":
         assert {"registry", "patches", "occupancy", "splits", "programs", "json", "expressions", "samples", "validation"} == set(tables)
         assert tables["validation"].where("ok").count() == 1 and tables["occupancy"].count() == n
+    if command in ("octree", "sweep"):
+        assert tables["metrics"].where("ok and samples > 64").count() == 1
+    if command == "octree":
+        assert tables["planes"].count() == 6 * tables["cells"].count() and tables["cells"].agg(F.sum(F.col("wx") * F.col("wy") * F.col("wz"))).first()[0] == n
     if command == "voxelize":
         assert tables["voxels"].count() == n
     if command == "sweep":
