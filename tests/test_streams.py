@@ -128,3 +128,15 @@ def test_strides_by_coarse_steps(spark):
         want = {float(i) for i in range(n) if i == 0 or i * 7 // n > (i - 1) * 7 // n}
         assert {r.x for r in got if r.frame_id == f} == want and len(want) == 7
     assert voxels.AXES
+
+
+def test_small_frames_do_not_make_micro_batches_and_state_goes_by_sensors(spark, tmp_path):
+    folder = f"file://{tmp_path}/long"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    done = frames.run_recorded(recorded(spark, "aab" * 200), 0.1, folder)
+    rows = done.collect()
+    sensors = len({r.sensor_id for r in rows})
+    assert len(rows) == 600 * sensors and all(r.certified for r in rows)
+    assert len([p for p in (tmp_path / "long/progress/offsets").iterdir() if p.name.isdigit()]) == 1
+    assert len([p for p in (tmp_path / "long/progress/state/0").iterdir() if p.name.isdigit()]) <= sensors
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
