@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 from .surfaces import exact_side
 
+#: Frames whose result a task remembers.
+MOST_KNOWN = 1024
+
 
 def hull_planes(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Facet planes (nx, ny, nz, offset) of the convex hull of integer points, exact, normals outward and primitive.
@@ -215,15 +219,31 @@ def agglomerate_frames(vertices: DataFrame, tets: DataFrame, **limits: int) -> D
     limits: target, most_cells and most_planes of ``Agglomeration.run``.
     """
 
-    def run(v: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if not len(t):
-            return pd.DataFrame({"frame_id": pd.Series(dtype="int64"), "tet_id": pd.Series(dtype="int64"), "cluster_id": pd.Series(dtype="int64")})
-        v, t = v.sort_values("vertex_id"), t.sort_values("tet_id")
-        place = {k: i for i, k in enumerate(v["vertex_id"])}
-        at = np.array([[place[x] for x in row] for row in t["v"]])
-        return pd.DataFrame({"frame_id": t["frame_id"].to_numpy(), "tet_id": t["tet_id"].to_numpy(), "cluster_id": agglomerate(v[["x", "y", "z"]].to_numpy(), at, **limits)})
-
-    return vertices.groupBy("frame_id").cogroup(tets.groupBy("frame_id")).applyInPandas(run, "frame_id long, tet_id long, cluster_id long")
+    order = F.array_sort(F.collect_list(F.struct("vertex_id", *"xyz")))
+    placed = vertices.groupBy("frame_id").agg(order.alias("p")).select("frame_id", F.transform("p", lambda p: p["vertex_id"]).alias("names"), F.flatten(F.transform("p", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("x"))
+    listed = tets.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("tet_id", "v"))).alias("t"))
+    listed = listed.select("frame_id", F.transform("t", lambda t: t["tet_id"]).alias("tets"), F.flatten(F.transform("t", lambda t: t["v"])).alias("v"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[bytes, bytes], np.ndarray] = {}
+        for frame in frames:
+            found = []
+            for fid, names, x, v in zip(frame["frame_id"], frame["names"], frame["x"], frame["v"], strict=True):
+                if names is None or not np.isin(v, names).all():
+                    raise ValueError(f"frame {fid} has tetrahedra of unknown vertices")
+                at, points = np.searchsorted(names, v).reshape(-1, 4), np.ascontiguousarray(x, dtype=np.float64).reshape(-1, 3)
+                key = (points.tobytes(), at.tobytes())
+                if key not in known:
+                    if len(known) >= MOST_KNOWN or len(at) > MOST_KNOWN:
+                        known.clear()
+                    known[key] = agglomerate(points, at, **limits)
+                found.append(known[key])
+            if found:
+                sizes = frame["tets"].map(len).to_numpy()
+                yield pd.DataFrame({"frame_id": np.repeat(frame["frame_id"].to_numpy(), sizes), "tet_id": np.concatenate(list(frame["tets"])), "cluster_id": np.concatenate(found)})
+
+    # Frames of equal places and tetrahedra are merged once a task.
+    return listed.join(placed.hint("merge"), "frame_id", "left").mapInPandas(run, "frame_id long, tet_id long, cluster_id long")
 
 
 def convexity_violations(points: DataFrame, planes: DataFrame, tolerance: float) -> DataFrame:

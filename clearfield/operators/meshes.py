@@ -5,6 +5,8 @@ mesh_vertex(vertex_id, x, y, z); mesh_face(face_id, v array<int>); tet(tet_id, v
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cross, dot, length, minus
 from .meet import meet, packed, unpacked
 
+#: Clusters whose planes a task remembers.
+MOST_KNOWN = 1024
+
 
 def parse_off(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     """Vertices and triangulated faces of an OFF text (fans of polygons); a malformed text is an error."""
@@ -267,8 +272,7 @@ def support_planes(triangles: DataFrame, angle: float = 0.0) -> DataFrame:
     corners of the cluster, so that the planes hold the whole cluster: nothing is cut off, something may be added.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        corners = frame[_CORNERS].to_numpy(dtype=np.float64).reshape(-1, 3, 3)
+    def planes(corners: np.ndarray) -> list[tuple]:
         n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
         area = np.linalg.norm(n, axis=1) / 2
         unit, points = n / (2 * area)[:, None], corners.reshape(-1, 3)
@@ -280,14 +284,30 @@ def support_planes(triangles: DataFrame, angle: float = 0.0) -> DataFrame:
             else:
                 sums[k] += n[i]
                 members[k].append(i)
-        head, out = frame.iloc[0], []
+        out = []
         for total, mine in zip(sums, members, strict=True):
             normal = total / np.linalg.norm(total)
-            out.append((head["frame_id"], head["cluster_id"], *normal, float((points @ normal).max()), len(mine), float(area[mine].sum())))
-        return pd.DataFrame(out, columns=["frame_id", "cluster_id", "nx", "ny", "nz", "offset", "faces", "area"])
-
+            out.append((*normal, float((points @ normal).max()), len(mine), float(area[mine].sum())))
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, list[tuple]] = {}
+        for frame in frames:
+            rows = []
+            for f, c, x in zip(frame["frame_id"], frame["cluster_id"], frame["x"], strict=True):
+                corners = np.ascontiguousarray(x, dtype=np.float64).reshape(-1, 3, 3)
+                key = corners.tobytes()
+                if key not in known:
+                    if len(known) >= MOST_KNOWN or len(corners) > MOST_KNOWN:
+                        known.clear()
+                    known[key] = planes(corners)
+                rows += [(f, c, *p) for p in known[key]]
+            yield pd.DataFrame(rows, columns=["frame_id", "cluster_id", "nx", "ny", "nz", "offset", "faces", "area"])
+
+    # Clusters of equal faces are reduced once a task.
     schema = "frame_id long, cluster_id long, nx double, ny double, nz double, offset double, faces long, area double"
-    return triangles.groupBy("frame_id", "cluster_id").applyInPandas(run, schema)
+    listed = triangles.groupBy("frame_id", "cluster_id").agg(F.flatten(F.array_sort(F.collect_list(F.array(*_CORNERS)))).alias("x"))
+    return listed.mapInPandas(run, schema)
 
 
 def validity(faces: DataFrame, by: list[str]) -> DataFrame:
