@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ MOST_NUMBERS = 1 << 24
 #: Sides that a task keeps unpacked.
 MOST_UNPACKED = 64
 
+_ARROW = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
 Compute = Callable[[pd.DataFrame, object], dict[str, np.ndarray]]
 
 
@@ -47,31 +50,53 @@ def meet(
     sides = written(sides.select("frame_id", "side"))
     total = sides.agg(F.sum(F.length("side"))).first()[0] or 0
 
-    def result(frame: pd.DataFrame, side: object) -> pd.DataFrame:
+    kinds = [_ARROW[a.split()[1]] for a in added.split(", ")]
+
+    def result(parts: list[pa.RecordBatch], side: object) -> pa.Table:
+        """Points with what compute says of them. Columns that it can't read, lists above all, stay as Arrow has them."""
+        rows = pa.Table.from_batches(parts).select(plain)
+        read = rows.select([f.name for f in rows.schema if pa.types.is_primitive(f.type)]).to_pandas()
         step = TOGETHER if weight is None else min(TOGETHER, max(1, MOST_NUMBERS // max(1, weight(side))))
-        parts = [pd.DataFrame(compute(frame.iloc[i : i + step], side)) for i in range(0, max(1, len(frame)), step)]
-        return pd.concat([frame.reset_index(drop=True), pd.concat(parts, ignore_index=True)], axis=1)[columns]
+        made = [compute(read.iloc[i : i + step], side) for i in range(0, max(1, len(read)), step)]
+        for name, kind in zip(names, kinds, strict=True):
+            rows = rows.append_column(name, pa.chunked_array([pa.array(m[name], kind, from_pandas=True) for m in made]))
+        return rows
+
+    def gathered(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        """Results of small frames in batches of TOGETHER rows."""
+        waiting: list[pa.Table] = []
+        for table in tables:
+            waiting.append(table)
+            if sum(map(len, waiting)) >= TOGETHER:
+                yield from pa.concat_tables(waiting).combine_chunks().to_batches(TOGETHER)
+                waiting = []
+        if waiting:
+            yield from pa.concat_tables(waiting).combine_chunks().to_batches(TOGETHER)
 
     if total <= most_broadcast:
         shared = spark.sparkContext.broadcast({r["frame_id"]: bytes(r["side"]) for r in sides.collect()})
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             unpacked: dict[int, object] = {}
-            held: dict[int, list[pd.DataFrame]] = {}
+            held: dict[int, list[pa.RecordBatch]] = {}
             sizes: dict[int, int] = {}
 
-            def close(f: int) -> pd.DataFrame:
+            def close(f: int) -> pa.Table:
                 if f not in unpacked:
                     if len(unpacked) >= MOST_UNPACKED:
                         unpacked.clear()
                     unpacked[f] = unpack(shared.value[f])
                 del sizes[f]
-                parts = held.pop(f)
-                return result(pd.concat(parts) if len(parts) > 1 else parts[0], unpacked[f])
+                return result(held.pop(f), unpacked[f])
 
             for batch in batches:
-                for f, part in batch.groupby("frame_id", sort=False):
+                coded = batch.column("frame_id").dictionary_encode()
+                codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                order = np.argsort(codes, kind="stable")
+                ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+                for k, f in enumerate(coded.dictionary.to_pylist()):
                     if f in shared.value:
+                        part = batch.take(pa.array(order[ends[k] : ends[k + 1]]))
                         held.setdefault(f, []).append(part)
                         sizes[f] = sizes.get(f, 0) + len(part)
                         if sizes[f] >= TOGETHER:
@@ -82,28 +107,50 @@ def meet(
             for f in list(held):
                 yield close(f)
 
-        return kept.mapInPandas(run, schema)
+        return kept.mapInArrow(lambda batches: gathered(closed(batches)), schema)
 
-    counts = written(kept.groupBy("frame_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_POINTS)).cast("int").alias("salts")))
+    counts = written(kept.groupBy("frame_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_POINTS)).cast("int").alias("_salts")))
     # By the point's own columns: a task that is done again deals the same.
-    salted = kept.join(counts, "frame_id").withColumn("salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col("salts")).cast("int"))
-    copies = sides.join(counts, "frame_id").select("frame_id", "side", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-
-    def grouped(frame: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame) or not len(side):
-            return pd.DataFrame({c: [] for c in columns})
-        return result(frame[plain], unpack(bytes(side["side"].iloc[0])))
-
-    return salted.select(*plain, "salt").groupBy("frame_id", "salt").cogroup(copies.groupBy("frame_id", "salt")).applyInPandas(grouped, schema)
+    salted = kept.join(counts, "frame_id").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col("_salts")).cast("int"))
+    copies = sides.join(counts, "frame_id").select("frame_id", F.col("side").alias("_side"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    # Each side comes right before its points, which go by in blocks: no group is held whole.
+    both = salted.select(*[F.col(f"`{c}`") for c in plain], "_salt", F.lit(None).cast("binary").alias("_side")).unionByName(copies, allowMissingColumns=True)
+    dealt = both.repartition("frame_id", "_salt").sortWithinPartitions("frame_id", "_salt", F.col("_side").isNull())
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        now, side, held, size = None, None, [], 0
+        for batch in batches:
+            frame, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("frame_id", "_salt"))
+            starts = np.flatnonzero(np.concatenate([[True], (frame[1:] != frame[:-1]) | (salt[1:] != salt[:-1])])) if len(frame) else []
+            for at, to in zip(starts, [*starts[1:], len(frame)], strict=True):
+                if (frame[at], salt[at]) != now:
+                    if held:
+                        yield result(held, side)
+                    now, side, held, size = (frame[at], salt[at]), None, [], 0
+                    if batch.column("_side")[at].is_valid:
+                        side, at = unpack(batch.column("_side")[at].as_py()), at + 1
+                if side is not None and to > at:
+                    held.append(batch.slice(at, to - at))
+                    size += to - at
+                    if size >= TOGETHER:
+                        yield result(held, side)
+                        held, size = [], 0
+        if held:
+            yield result(held, side)
+
+    return dealt.mapInArrow(lambda batches: gathered(passed(batches)), schema)
 
 
 def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Sides of rows (frame_id and numeric columns): each frame's rows as one array of doubles; see ``unpacked``."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"frame_id": [frame["frame_id"].iloc[0]], "side": [np.ascontiguousarray(frame[columns].to_numpy(dtype=np.float64)).tobytes()]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"frame_id": frame["frame_id"], "side": [np.ascontiguousarray(x, dtype=np.float64).tobytes() for x in frame["side"]]})
 
-    return rows.select(F.col("frame_id").cast("long").alias("frame_id"), *columns).groupBy("frame_id").applyInPandas(run, "frame_id long, side binary")
+    row = F.array(*[F.col(c).cast("double") for c in columns])
+    listed = rows.groupBy(F.col("frame_id").cast("long").alias("frame_id")).agg(F.flatten(F.collect_list(row)).alias("side"))
+    return listed.mapInPandas(run, "frame_id long, side binary")
 
 
 def unpacked(width: int) -> Callable[[bytes], np.ndarray]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,16 +133,20 @@ def plane_trees(planes: DataFrame) -> DataFrame:
     planes: frame_id, cluster_id, nx, ny, nz, offset. A value of at most 0 is inside. Equal planes are one leaf.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["cluster_id", "nx", "ny", "nz", "offset"])
+    def text(rows: np.ndarray) -> str:
         known: dict[tuple[float, ...], int] = {}
-        parts: dict[int, list[int]] = {}
-        for c, *p in frame[["cluster_id", "nx", "ny", "nz", "offset"]].itertuples(index=False):
+        parts: dict[float, list[int]] = {}
+        for c, *p in rows.tolist():
             parts.setdefault(c, []).append(known.setdefault(tuple(p), len(known)))
         tree = trees.simplify(("MIN", *[("MAX", *leaves) for leaves in parts.values()]))
-        return pd.DataFrame({"frame_id": [frame["frame_id"].iloc[0]], "json": [trees.to_json(tree, list(known))]})
+        return trees.to_json(tree, list(known))
 
-    return planes.groupBy("frame_id").applyInPandas(run, "frame_id long, json string")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"frame_id": frame["frame_id"], "json": [text(np.asarray(p, dtype=np.float64).reshape(-1, 5)) for p in frame["planes"]]})
+
+    row = F.array(F.col("cluster_id").cast("double"), "nx", "ny", "nz", "offset")
+    return planes.groupBy("frame_id").agg(F.flatten(F.array_sort(F.collect_list(row))).alias("planes")).mapInPandas(run, "frame_id long, json string")
 
 
 def random_points(vertices: DataFrame, count: int, seed: float = 0.5) -> DataFrame:

@@ -108,3 +108,29 @@ def test_a_fan_around_an_edge_is_one():
     tets = np.array([[0, 1, 2 + i, 3 + i] for i in range(n)])
     assert set(clusters.agglomerate(x, tets)) == {0}
     assert len(set(clusters.agglomerate(x, tets, target=4))) == 4
+
+
+def test_many_frames_go_through_one_kernel_in_batches(spark):
+    """Equal and unequal frames: clusters as frame by frame, and no frame or cluster is a group of its own in Python."""
+    from clearfield.operators import meet, meshes
+    from clearfield.sources import bundles
+
+    cube = [(float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)]
+    six = [[0, a, a | b, 7] for a, b in ((1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2))]
+    frames = {f: ([(10 + i, *(c * (1 + f % 3) for c in p)) for i, p in enumerate(cube)], [[10 + v for v in t] for t in six[: 6 - f % 2]]) for f in range(12)}
+    vertices = spark.createDataFrame([(f, *p) for f, (vs, _) in frames.items() for p in vs], "frame_id long, vertex_id long, x double, y double, z double").repartition(3)
+    tets = spark.createDataFrame([(f, 3 * i, t) for f, (_, ts) in frames.items() for i, t in enumerate(ts)], "frame_id long, tet_id long, v array<long>").repartition(3)
+    found = clusters.agglomerate_frames(vertices, tets)
+    got = {(r.frame_id, r.tet_id): r.cluster_id for r in found.collect()}
+    for f, (vs, ts) in frames.items():
+        want = clusters.agglomerate(np.array([p[1:] for p in vs]), np.array(ts) - 10)
+        assert [got.pop((f, 3 * i)) for i in range(len(ts))] == want.tolist()
+    assert not got
+    faces = meshes.cluster_faces(tets, found, vertices)
+    planes = meshes.support_planes(faces)
+    held = {r.frame_id: r.held for r in planes.groupBy("frame_id").agg({"faces": "sum"}).withColumnRenamed("sum(faces)", "held").collect()}
+    assert held == {r.frame_id: r["count"] for r in faces.groupBy("frame_id").count().collect()}
+    for df in (found, planes, bundles.plane_trees(planes), meet.packed(vertices, ["x", "y", "z"])):
+        assert "GroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="unknown vertices"):
+        clusters.agglomerate_frames(vertices.where("vertex_id > 11"), tets).collect()

@@ -265,3 +265,18 @@ def test_merging_stops_when_nothing_merges(spark):
         for k in range(3):
             again = boundary.merge_boxes(again, k)
         assert again.count() == boxes.count()
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_lists_and_names_of_points_pass_by(spark, most):
+    """Lists stay as Arrow has them, whatever points' columns are called; frames without a side go, points without a number stay null."""
+    from clearfield.operators import meet as module
+
+    rows = [(f, i, float(i) if i % 5 else None, [float(f), None, float(i)], f"{f}:{i}", bytes([i % 7])) for f in range(7) for i in range(40 * f)]
+    points = spark.createDataFrame(rows, "frame_id long, n long, x double, jac array<double>, side string, raw binary").repartition(5)
+    sides = module.packed(spark.createDataFrame([(f, float(f * k)) for f in range(6) for k in range(f)], "frame_id int, v double"), ["v"])
+    df = module.meet(points, sides, module.unpacked(1), lambda p, s: {"total": p["x"].to_numpy() + s.sum(), "m": np.full(len(p), len(s))}, "total double, m int", most)
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString() and df.columns == [*points.columns, "total", "m"]
+    want = {(*r[:3], tuple(r[3]), *r[4:], None if r[2] is None else r[2] + sum(r[0] * k for k in range(r[0])), r[0]) for r in rows if 0 < r[0] < 6}
+    got = [(r.frame_id, r.n, r.x, tuple(r.jac), r.side, bytes(r.raw), r.total, r.m) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
