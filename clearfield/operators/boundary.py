@@ -195,6 +195,21 @@ def box_sums(found: DataFrame) -> DataFrame:
     return dominance_counts(found, found)
 
 
+def grid_sums(found: DataFrame) -> DataFrame:
+    """The prefix sums of occupied cells at every place of a frame's grid lines: frame_id, cx, cy, cz, prefix.
+
+    The lines are those that hold cells, and the result has a row for every crossing of three of them. Three running
+    sums, one an axis, each within a line of the grid; ``box_sums`` gives the occupied cells only.
+    """
+    lines = [found.select("frame_id", c).distinct() for c in ("cx", "cy", "cz")]
+    held = found.select("frame_id", "cx", "cy", "cz").distinct().withColumn("s", F.lit(1).cast("long"))
+    total = lines[0].join(lines[1], "frame_id").join(lines[2], "frame_id").join(held, ["frame_id", "cx", "cy", "cz"], "left").na.fill(0, ["s"])
+    for a, b, c in (("cx", "cy", "cz"), ("cy", "cx", "cz"), ("cz", "cx", "cy")):
+        upward = Window.partitionBy("frame_id", b, c).orderBy(a).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        total = total.withColumn("s", F.sum("s").over(upward))
+    return total.withColumnRenamed("s", "prefix")
+
+
 def box_counts(found: DataFrame, boxes: DataFrame) -> DataFrame:
     """boxes (frame_id, lo*, hi* in cell indices, half open), distinct, with ``cells``: the occupied cells in each, by eight prefix sums."""
     span = [f"{e}{c}" for e in ("lo", "hi") for c in "xyz"]

@@ -207,7 +207,8 @@ def canonical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_box_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.box_sums(_Surface(spark, sf_dir).cells)
+    """Occupied cells at or below every place of each frame's grid."""
+    return boundary.grid_sums(written(_Surface(spark, sf_dir).cells))
 
 
 def cell_box_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,3 +193,14 @@ def test_prefix_sums_and_box_counts_of_sparse_cells(spark):
         assert b.cells == sum(all(b[f"lo{a}"] <= x < b[f"hi{a}"] for a, x in zip("xyz", c)) for c in frames.get(b.frame_id, []))
     assert boundary.box_counts(cells, df).count() == len(set(boxes))
     assert {s.prefix for s in boundary.dominance_counts(cells.where("false"), cells).collect()} == {0}
+
+
+def test_prefix_sums_at_every_place_of_the_grid(spark):
+    r = random.Random(5)
+    frames = {0: [(i, 2 * i, i) for i in range(1, 13)], 1: sorted({tuple(r.randrange(1, 7) for _ in range(3)) for _ in range(40)}), 2: [(1, 1, 1)]}
+    cells = spark.createDataFrame([(f, *c) for f, cs in frames.items() for c in cs], "frame_id long, cx int, cy int, cz int").repartition(3)
+    rows = boundary.grid_sums(cells).collect()
+    got = {(s.frame_id, s.cx, s.cy, s.cz): s.prefix for s in rows}
+    places = {f: itertools.product(*[sorted({c[k] for c in cs}) for k in range(3)]) for f, cs in frames.items()}
+    assert got == {(f, *p): sum(all(a <= b for a, b in zip(d, p)) for d in frames[f]) for f, ps in places.items() for p in ps}
+    assert len(rows) == len(got) and sum(k[0] == 0 for k in got) == 12**3
