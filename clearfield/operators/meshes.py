@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cross, dot, length, minus
+from ..sources.staging import written
 from .meet import meet, packed, unpacked
 
+#: Tetrahedra of a task that lists their faces.
+TETS_A_TASK = 1 << 18
 #: Clusters whose planes a task remembers.
 MOST_KNOWN = 1024
 
@@ -326,10 +329,27 @@ def validity(faces: DataFrame, by: list[str]) -> DataFrame:
 
 def tet_neighbours(tets: DataFrame) -> DataFrame:
     """tets with nbr: the tetrahedron across the face opposite each vertex, -1 on the boundary."""
+    spark = tets.sparkSession
+    # A file of keys is one task or few, however many tetrahedra it holds.
+    dealt = tets.select("tet_id", "v").repartition(max(spark.sparkContext.defaultParallelism, -(-tets.count() // TETS_A_TASK)), "tet_id")
     v = [F.get("v", F.lit(k)) for k in range(4)]
     sides = F.array(*[F.struct(F.lit(i).alias("i"), F.array_sort(F.array(*[v[k] for k in range(4) if k != i])).alias("f")) for i in range(4)])
-    each = tets.select("tet_id", F.explode(sides).alias("s")).select("tet_id", "s.i", "s.f")
-    shared = each.groupBy("f").agg(F.min("tet_id").alias("lo"), F.max("tet_id").alias("hi"))
-    near = each.join(shared, "f").withColumn("n", F.when(F.col("lo") == F.col("hi"), -1).when(F.col("tet_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
-    listed = near.groupBy("tet_id").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("l"))
-    return tets.join(listed, "tet_id").select("tet_id", "v", F.transform("l", lambda x: x["n"]).alias("nbr"))
+    face = ["p", "q", "r"]
+    each = dealt.select("tet_id", F.explode(sides).alias("s")).select("tet_id", "s.i", *[F.get("s.f", F.lit(k)).alias(c) for k, c in enumerate(face)])
+    # Numbers only, so that faces are hashed in fixed width.
+    ends = [F.min("tet_id").alias("lo"), F.max("tet_id").alias("hi"), F.min_by("i", "tet_id").alias("lo_i"), F.max_by("i", "tet_id").alias("hi_i"), F.min("i").alias("first"), F.max("i").alias("last")]
+    shared = written(each.groupBy(*face).agg(F.count(F.lit(1)).alias("uses"), *ends))
+
+    def row(tet: str, i: str | Column, other: Column) -> Column:
+        return F.struct(F.col(tet).alias("tet_id"), (F.col(i) if isinstance(i, str) else i).alias("i"), other.cast("long").alias("n"))
+
+    twice = F.col("lo") == F.col("hi")
+    one = F.array(row("lo", "lo_i", F.lit(-1)))
+    two = F.array(row("lo", F.when(twice, F.col("first")).otherwise(F.col("lo_i")), F.when(twice, -1).otherwise(F.col("hi"))), row("hi", F.when(twice, F.col("last")).otherwise(F.col("hi_i")), F.when(twice, -1).otherwise(F.col("lo"))))
+    near = shared.where("uses <= 2").select(F.explode(F.when(F.col("uses") == 1, one).otherwise(two)).alias("s")).select("s.*")
+    more = shared.where("uses > 2").select(*face, "lo", "hi")
+    if not more.isEmpty():
+        n = F.when(twice, -1).when(F.col("tet_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).cast("long")
+        near = near.unionByName(each.join(more.hint("merge"), face).select("tet_id", "i", n.alias("n")))
+    listed = near.groupBy("tet_id").agg(*[F.max(F.when(F.col("i") == k, F.col("n"))).alias(f"n{k}") for k in range(4)])
+    return dealt.join(listed.hint("merge"), "tet_id").select("tet_id", "v", F.array(*[f"n{k}" for k in range(4)]).alias("nbr"))

@@ -186,3 +186,23 @@ def test_stream_reuses_equal_frames(spark, tmp_path):
     got = spark.sql("select * from reuse order by frame_id").collect()
     assert len(got) == 4 and [r.hit for r in got] == [False, True, True, False]
     assert all(r.certified and r.outside == 0 for r in got) and [r.voxels for r in got] == [3, 3, 3, 4]
+
+
+def test_neighbours_across_faces_that_one_two_or_more_use(spark):
+    from clearfield.operators import meshes
+
+    tets = {0: [0, 1, 2, 3], 5: [1, 2, 3, 4], 7: [3, 2, 1, 9], 9: [9, 3, 2, 8], 11: [20, 20, 21, 22]}
+    df = spark.createDataFrame([(t, v) for t, v in tets.items()], "tet_id long, v array<long>")
+    found = meshes.tet_neighbours(df)
+    want = {}
+    for t, v in tets.items():
+        want[t] = []
+        for k in range(4):
+            face = sorted(v[:k] + v[k + 1 :])
+            users = [o for o, w in tets.items() for i in range(4) if sorted(w[:i] + w[i + 1 :]) == face]
+            lo, hi = min(users), max(users)
+            want[t].append(-1 if lo == hi else hi if t == lo else lo)
+    assert {r.tet_id: r.nbr for r in found.collect()} == want and {r.tet_id: r.v for r in found.collect()} == tets
+    # Tetrahedra of one file are dealt out before their faces are listed, and faces are hashed as numbers.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "collect_list" not in plan
