@@ -62,3 +62,16 @@ def test_refuses_too_few(spark):
     for call in (lambda p: neighbours.nearest(p, 0), lambda p: neighbours.jet_smooth(p, 5), lambda p: neighbours.jet_smooth(p, 6, 0)):
         with pytest.raises(ValueError):
             call(table(spark, {0: [[0, 0, 0]]}))
+
+
+def test_crowded_blocks_go_by_joins_and_say_the_same(spark, clouds, monkeypatch):
+    few = {f: clouds[f] for f in (0, 4)}
+    want = {(r.frame_id, r.point_id): [o.id for o in r.near] for r in neighbours.nearest(table(spark, few), 7).collect()}
+    joined = []
+    plain = neighbours._nearest_by_joins
+    monkeypatch.setattr(neighbours, "_nearest_by_joins", lambda p, asked, frames, k: joined.append(asked.count()) or plain(p, asked, frames, k))
+    monkeypatch.setattr(neighbours, "MOST_IN_BLOCK", 100)
+    monkeypatch.setattr(neighbours, "MOST_NUMBERS", 500)
+    got = neighbours.nearest(table(spark, few), 7).collect()
+    assert len(got) == len(want) and {(r.frame_id, r.point_id): [o.id for o in r.near] for r in got} == want
+    assert 0 < joined[0] < len(want)
