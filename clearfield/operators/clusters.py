@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .surfaces import exact_side
+from .neighbours import fitted
+from .surfaces import exact_side, places_of, whole_meshes
 
-#: Frames whose result a task remembers.
-MOST_KNOWN = 1024
+#: Frames whose result a task remembers, and numbers that a smoothing works on at a time.
+MOST_KNOWN, MOST_NUMBERS = 1024, 1 << 20
 
 
 def hull_planes(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -269,22 +270,34 @@ def jet_smooth(points: DataFrame, radius: float, least: int = 12) -> DataFrame:
         "frame_id", "point_id", *"xyz", *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"], (F.abs("o.dx") + F.abs("o.dy") + F.abs("o.dz") == 0).alias("mine")
     )
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame[["x", "y", "z"]].to_numpy()
-        mine = np.flatnonzero(frame["mine"].to_numpy())
+    cells = ["frame_id", "cx", "cy", "cz"]
+
+    def smoothed(x: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Points mine of a cell and its rim x, and whether they moved: those with equally many neighbours at once, in blocks."""
         out, moved = x[mine].copy(), np.zeros(len(mine), bool)
-        for r, i in enumerate(mine):
-            near = x[((x - x[i]) ** 2).sum(axis=1) <= radius * radius]
-            if len(near) < least:
-                continue
-            middle = near.mean(axis=0)
-            _, _, axes = np.linalg.svd(near - middle, full_matrices=False)
-            local = (near - middle) @ axes.T
-            u, v = local[:, 0], local[:, 1]
-            fit, *_ = np.linalg.lstsq(np.stack([np.ones(len(u)), u, v, u * u, u * v, v * v], axis=1), local[:, 2], rcond=None)
-            a, b, _ = (x[i] - middle) @ axes.T
-            w = fit @ [1, a, b, a * a, a * b, b * b]
-            out[r], moved[r] = middle + np.array([a, b, w]) @ axes, True
-        return pd.DataFrame({"frame_id": frame["frame_id"].to_numpy()[mine], "point_id": frame["point_id"].to_numpy()[mine], "x": out[:, 0], "y": out[:, 1], "z": out[:, 2], "moved": moved})
-
-    return rim.groupBy("frame_id", "cx", "cy", "cz").applyInPandas(run, "frame_id long, point_id long, x double, y double, z double, moved boolean")
+        for at in range(0, len(mine), max(1, MOST_NUMBERS // len(x))):
+            some = np.arange(at, min(len(mine), at + max(1, MOST_NUMBERS // len(x))))
+            near = ((x[None] - x[mine[some], None]) ** 2).sum(axis=2) <= radius * radius
+            many = near.sum(axis=1)
+            for n in np.unique(many[many >= least]).tolist():
+                same = np.flatnonzero(many == n)
+                for k in range(0, len(same), max(1, MOST_NUMBERS // (18 * n))):
+                    part = same[k : k + max(1, MOST_NUMBERS // (18 * n))]
+                    held = x[np.nonzero(near[part])[1].reshape(len(part), n)]
+                    out[some[part]], moved[some[part]] = fitted(x[mine[some[part]]], held), True
+        return out, moved
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_meshes(frames, cells):
+            x, own, done = frame[["x", "y", "z"]].to_numpy(), frame["mine"].to_numpy(), []
+            ends = np.append(np.flatnonzero(np.diff(places_of(frame, cells), prepend=-1)), len(frame))
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                mine = np.flatnonzero(own[a:b])
+                if len(mine):
+                    done.append((a + mine, *smoothed(x[a:b], mine)))
+            if done:
+                at, out, moved = (np.concatenate(parts) for parts in zip(*done, strict=True))
+                yield pd.DataFrame({"frame_id": frame["frame_id"].to_numpy()[at], "point_id": frame["point_id"].to_numpy()[at], "x": out[:, 0], "y": out[:, 1], "z": out[:, 2], "moved": moved})
+
+    dealt = rim.repartition(*cells).sortWithinPartitions(*cells)
+    return dealt.mapInPandas(run, "frame_id long, point_id long, x double, y double, z double, moved boolean")

@@ -75,3 +75,27 @@ def test_crowded_blocks_go_by_joins_and_say_the_same(spark, clouds, monkeypatch)
     got = neighbours.nearest(table(spark, few), 7).collect()
     assert len(got) == len(want) and {(r.frame_id, r.point_id): [o.id for o in r.near] for r in got} == want
     assert 0 < joined[0] < len(want)
+
+
+def test_smoothing_within_a_radius_against_one_fit_at_a_time(spark):
+    from clearfield.operators import clusters
+
+    rng = np.random.default_rng(5)
+    t = rng.uniform(0, 1, (150, 2))
+    x = np.column_stack([t, np.sin(2 * t[:, 0]) + 0.2 * t[:, 1] ** 2 + rng.normal(size=150) * 0.01])
+    df = clusters.jet_smooth(table(spark, {3: x}), 0.25)
+    got = {r.point_id: r for r in df.collect()}
+    assert len(got) == 150 and 20 < sum(r.moved for r in got.values()) < 150
+    for i in range(150):
+        near = x[((x - x[i]) ** 2).sum(axis=1) <= 0.25 * 0.25]
+        want = x[i]
+        assert got[i].moved == (len(near) >= 12)
+        if len(near) >= 12:
+            middle = near.mean(axis=0)
+            _, _, axes = np.linalg.svd(near - middle)
+            u, v, w = ((near - middle) @ axes.T).T
+            fit, *_ = np.linalg.lstsq(np.stack([np.ones(len(u)), u, v, u * u, u * v, v * v], axis=1), w, rcond=None)
+            a, b, _ = axes @ (x[i] - middle)
+            want = middle + np.array([a, b, fit @ [1, a, b, a * a, a * b, b * b]]) @ axes
+        assert np.allclose([got[i].x, got[i].y, got[i].z], want, atol=1e-8)
+    assert "GroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
