@@ -237,10 +237,38 @@ def expression(p: Program, most_nodes: int = 100_000) -> str | None:
     return texts[-1]
 
 
+def _spent(p: Program) -> list[list[int]]:
+    """By node, the children that no later node uses: what is held of them goes with it."""
+    last = {c: i for i, children in enumerate(p.children) for c in children}
+    spent: list[list[int]] = [[] for _ in p.op]
+    for c, i in last.items():
+        spent[i].append(c)
+    return spent
+
+
+def most_held(p: Program) -> int:
+    """Nodes whose values are held at once, at most, while the function is evaluated."""
+    held = most = 0
+    for spent in _spent(p):
+        held += 1
+        most = max(most, held)
+        held -= len(spent)
+    return most
+
+
+#: Bytes of nodes' values and slopes that an evaluation holds, and points at once, at most.
+VALUE_BYTES, MOST_POINTS = 1 << 24, 8192
+
+
+def _block(p: Program) -> int:
+    """Points to evaluate at once: a node's value and slope are four numbers a point."""
+    return max(1, min(MOST_POINTS, VALUE_BYTES // (32 * most_held(p))))
+
+
 def hard_values(p: Program, x: np.ndarray) -> np.ndarray:
     """The function at points x (n, 3)."""
-    work: list[np.ndarray] = []
-    for op, leaf, children in zip(p.op, p.leaf, p.children, strict=True):
+    work: list[np.ndarray | None] = []
+    for op, leaf, children, spent in zip(p.op, p.leaf, p.children, _spent(p), strict=True):
         if op == LEAF:
             work.append(p.sign[leaf] * x[:, p.axis[leaf]] - p.sign[leaf] * (p.coord[leaf] * p.h))
         else:
@@ -249,6 +277,8 @@ def hard_values(p: Program, x: np.ndarray) -> np.ndarray:
             for c in children[1:]:
                 v = f(v, work[c])
             work.append(v)
+            for c in spent:
+                work[c] = None
     return work[-1]
 
 
@@ -275,9 +305,16 @@ def smooth_values(p: Program, x: np.ndarray, beta: float, gradient: bool = True)
     hard value, so that neither overflows and the result is never below the hard function.
     """
     n = len(x)
-    values: list[np.ndarray] = []
-    slopes: list[np.ndarray] = []
-    for op, leaf, children in zip(p.op, p.leaf, p.children, strict=True):
+    values: list[np.ndarray | None] = []
+    slopes: list[np.ndarray | None] = []
+
+    def drop(spent: list[int]) -> None:
+        for c in spent:
+            values[c] = None
+            if gradient:
+                slopes[c] = None
+
+    for op, leaf, children, spent in zip(p.op, p.leaf, p.children, _spent(p), strict=True):
         if op == LEAF:
             values.append(p.sign[leaf] * x[:, p.axis[leaf]] - p.sign[leaf] * (p.coord[leaf] * p.h))
             if gradient:
@@ -296,6 +333,7 @@ def smooth_values(p: Program, x: np.ndarray, beta: float, gradient: bool = True)
                 first = (a >= b) if op == MAX else (a <= b)
                 w = (np.where(first, 1.0, e) / total)[:, None]
                 slopes.append(w * slopes[children[0]] + (1.0 - w) * slopes[children[1]])
+            drop(spent)
             continue
         terms = np.stack([values[c] for c in children])
         anchor = terms.max(axis=0) if op == MAX else terms.min(axis=0)
@@ -307,6 +345,7 @@ def smooth_values(p: Program, x: np.ndarray, beta: float, gradient: bool = True)
         values.append(anchor + (np.log1p(total - 1.0) if op == MAX else np.log1p((k - total) / total)) / beta)
         if gradient:
             slopes.append(sum(e[i][:, None] * slopes[c] for i, c in enumerate(children)) / total[:, None])
+        drop(spent)
     return values[-1], np.broadcast_to(slopes[-1], (n, 3)) if gradient else None
 
 
@@ -479,7 +518,7 @@ def slope_errors(points: DataFrame, programs: DataFrame, error: float, step: flo
         beta, _ = smoothing(p, error=error)
         x = pts[["x", "y", "z"]].to_numpy()
         out = {c: np.empty(len(x)) for c in ("gx", "gy", "gz", "dx", "dy", "dz")}
-        block = max(256, min(8192, (1 << 26) // (32 * len(p.op))))
+        block = _block(p)
         for lo in range(0, len(x), block):
             s = slice(lo, lo + block)
             out["gx"][s], out["gy"][s], out["gz"][s] = smooth_values(p, x[s], beta)[1].T
@@ -502,8 +541,7 @@ def evaluate(points: DataFrame, programs: DataFrame, error: float = 1e-3, gradie
         beta, bound = smoothing(p, error=error)
         x = pts[["x", "y", "z"]].to_numpy()
         out = {c: np.full(len(x), np.nan) for c in ("q", "q_upper", "gx", "gy", "gz")} | {"bound": np.full(len(x), bound)}
-        # As many points at once as keep all nodes' values and slopes in some 64 MB.
-        block = max(256, min(8192, (1 << 26) // (32 * len(p.op))))
+        block = _block(p)
         for lo in range(0, len(x), block):
             s = slice(lo, lo + block)
             out["q"][s] = hard_values(p, x[s])

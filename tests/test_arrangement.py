@@ -128,3 +128,28 @@ def test_tampering_is_found():
     assert A.strata_mismatches(p, grid, planes)[1] == 0
     p.sign[0] = -p.sign[0]
     assert A.strata_mismatches(p, grid, planes)[1] > 0
+
+
+def test_values_go_with_their_last_use():
+    """A long function holds as many nodes' values as are still to be used, not all of them, and its values are the same."""
+    import tracemalloc
+
+    n, p = 4096, A.Program([], [], [], [], [], [], 0.1)
+    r = np.random.default_rng(5)
+    for k in range(400):  # leaves and joins in turn: ((a min b) max c) min d ...
+        p.axis.append(k % 3), p.sign.append(1 if k % 2 else -1), p.coord.append(int(r.integers(-20, 20)))
+        p.op.append(A.LEAF), p.leaf.append(k), p.children.append(())
+        if k:
+            p.op.append(A.MIN if k % 4 < 2 else A.MAX), p.leaf.append(-1), p.children.append((len(p.op) - 3 if k > 1 else 0, len(p.op) - 2))
+    x = r.uniform(-2, 2, (n, 3))
+    want = None
+    for k in range(400):
+        leaf = p.sign[k] * x[:, p.axis[k]] - p.sign[k] * (p.coord[k] * p.h)
+        want = leaf if want is None else (np.minimum if k % 4 < 2 else np.maximum)(want, leaf)
+    for run in (lambda: A.hard_values(p, x), lambda: A.smooth_values(p, x, 500.0)):
+        tracemalloc.start()
+        got = run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60 * 8 * n  # all nodes' values alone are 799 * 8 * n
+    assert (A.hard_values(p, x) == want).all() and np.abs(got[0] - want).max() < 0.05 and A.most_held(p) == 3
