@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import written
 from .arrangement import evaluate
 
 MOVABLE = ("revolute", "continuous", "prismatic")
@@ -267,9 +268,10 @@ def described_groups(found: DataFrame, model: Model) -> DataFrame:
 def field_at(poses: DataFrame, frames: DataFrame, programs: DataFrame, error: float = 1e-3) -> DataFrame:
     """The smoothed function of every frame (frames: frame_id) at every sphere of every pose: that is the question asked.
 
-    So the result has as many rows as poses times frames; poses stay dealt out as they are.
+    So the result has as many rows as poses times frames; poses stay dealt out as they are. They are written first, a
+    row for many of the result, so that a task of the result runs one Python worker and not another for its poses.
     """
-    return evaluate(poses.crossJoin(frames.select("frame_id")), programs, error=error)
+    return evaluate(written(poses).crossJoin(frames.select("frame_id")), programs, error=error)
 
 
 #: A small arm of our own: a turning column, a lifting carriage and a swinging tool.

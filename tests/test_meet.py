@@ -280,3 +280,16 @@ def test_lists_and_names_of_points_pass_by(spark, most):
     want = {(*r[:3], tuple(r[3]), *r[4:], None if r[2] is None else r[2] + sum(r[0] * k for k in range(r[0])), r[0]) for r in rows if 0 < r[0] < 6}
     got = [(r.frame_id, r.n, r.x, tuple(r.jac), r.side, bytes(r.raw), r.total, r.m) for r in df.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_poses_are_worked_out_before_they_meet_frames(spark):
+    """A task of the field runs one Python worker: the poses it reads are written, not made by another worker beside it."""
+    _, coords = shape(spark, [(0, 0, 0), (1, 0, 0), (1, 1, 0)])
+    cells, _ = shape(spark, [(0, 0, 0), (1, 0, 0), (1, 1, 0)])
+    model = robot.parse_urdf(robot.DEMO_URDF)
+    poses = robot.sphere_poses(spark.range(40).select(F.col("id").alias("config_id"), F.array(F.col("id") / 10.0, F.lit(0.1), F.lit(0.2)).alias("q")), model)
+    field = robot.field_at(poses, coords, arrangement.build_programs(cells, coords, 0.1))
+    plan = field._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and "FlatMapGroupsInPandas" not in plan
+    want = {(r.config_id, r.sphere_id): (r.x, r.y, r.z, *r.jac) for r in poses.collect()}
+    assert {(r.config_id, r.sphere_id): (r.x, r.y, r.z, *r.jac) for r in field.collect()} == want and field.count() == 40 * len(model.spheres)
