@@ -21,6 +21,8 @@ from ..sources.staging import written
 MOST_BROADCAST = 64 << 20
 #: Points of a frame that are worked on together, points a task holds back for that, and points of a salt.
 TOGETHER, MOST_HELD, SALT_POINTS = 8192, 1 << 19, 1 << 18
+#: Bytes of points that a task holds back at most, and what a part of them takes beside its columns.
+HELD_BYTES, PART_BYTES = 1 << 25, 1 << 12
 #: Numbers that a kernel holds for the points it works on together.
 MOST_NUMBERS = 1 << 24
 #: Sides that a task keeps unpacked.
@@ -80,14 +82,18 @@ def meet(
             unpacked: dict[int, object] = {}
             held: dict[int, list[pa.RecordBatch]] = {}
             sizes: dict[int, int] = {}
+            taken = 0  # bytes of what is held
 
             def close(f: int) -> pa.Table:
+                nonlocal taken
                 if f not in unpacked:
                     if len(unpacked) >= MOST_UNPACKED:
                         unpacked.clear()
                     unpacked[f] = unpack(shared.value[f])
                 del sizes[f]
-                return result(held.pop(f), unpacked[f])
+                parts = held.pop(f)
+                taken -= sum(part.nbytes + PART_BYTES for part in parts)
+                return result(parts, unpacked[f])
 
             for batch in batches:
                 coded = batch.column("frame_id").dictionary_encode()
@@ -99,9 +105,10 @@ def meet(
                         part = batch.take(pa.array(order[ends[k] : ends[k + 1]]))
                         held.setdefault(f, []).append(part)
                         sizes[f] = sizes.get(f, 0) + len(part)
+                        taken += part.nbytes + PART_BYTES
                         if sizes[f] >= TOGETHER:
                             yield close(f)
-                if sum(sizes.values()) > MOST_HELD:
+                if taken > HELD_BYTES or sum(sizes.values()) > MOST_HELD:
                     for f in list(held):
                         yield close(f)
             for f in list(held):

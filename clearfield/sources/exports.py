@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import arrangement, boundary, meshes
+from .staging import written
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -129,12 +130,14 @@ def clearance_documents(
         listed = listed.join(configurations.select("config_id", F.col("q").alias("configuration")), "config_id")
         fields.append(F.col("configuration"))
     if surface is not None:
-        listed = listed.join(surface.select("frame_id", "surface"), "frame_id")
         fields.append(F.col("surface"))
     fields.append(F.col("groups"))
     if spheres is not None:
         listed = listed.join(spheres.groupBy(*key).agg(F.array_sort(F.collect_list("sphere")).alias("all")), key)
         fields.append(F.col("all").alias("spheres"))
+    if surface is not None:
+        # Written, so that its size is known, and last, so that no sort of configurations carries the patches of their frame.
+        listed = listed.join(written(surface.select("frame_id", "surface")), "frame_id")
     return listed.select(*key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 

@@ -1,5 +1,6 @@
 """Points against sides of frames: both ways of meeting, near shapes only, and clearances by plain Python."""
 
+import json
 import math
 import random
 
@@ -293,3 +294,40 @@ def test_poses_are_worked_out_before_they_meet_frames(spark):
     assert "MapInArrow" in plan and "MapInPandas" not in plan and "FlatMapGroupsInPandas" not in plan
     want = {(r.config_id, r.sphere_id): (r.x, r.y, r.z, *r.jac) for r in poses.collect()}
     assert {(r.config_id, r.sphere_id): (r.x, r.y, r.z, *r.jac) for r in field.collect()} == want and field.count() == 40 * len(model.spheres)
+
+
+@pytest.mark.parametrize(("frames_", "each", "wide"), [(40, 100, 4096), (3000, 2, 8)])
+def test_points_held_back_are_bounded_by_bytes(spark, monkeypatch, frames_, each, wide):
+    """Wide points, and many parts of few points, are worked on before a task holds more than HELD_BYTES of them."""
+    monkeypatch.setattr(meet, "HELD_BYTES", 1 << 20)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        points = spark.range(0, frames_ * each, 1, 1).select((F.col("id") % frames_).alias("frame_id"), F.col("id").alias("n"), F.repeat(F.lit("x"), wide).alias("text"))
+        sides = spark.createDataFrame([(f, bytearray(b"s")) for f in range(frames_)], "frame_id long, side binary")
+        got = meet.meet(points, sides, len, lambda p, s: {"together": np.full(len(p), len(p)), "twice": 2 * p["n"].to_numpy()}, "together long, twice long").select("n", "together", "twice", F.length("text").alias("wide")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(r.n, r.twice, r.wide) for r in got} == {(n, 2 * n, wide) for n in range(frames_ * each)} and len(got) == frames_ * each
+    assert max(r.together for r in got) < each  # before, all points of a frame waited for the last
+
+
+def test_documents_carry_the_surface_last(spark):
+    """The patches of a frame meet its documents after groups have met spheres, so no sort of configurations holds them."""
+    keys = [(0, 0, 0), (1, 0, 0), (1, 1, 0)]
+    cells, coords = shape(spark, keys)
+    v = spark.createDataFrame([(0, *k) for k in keys], "frame_id long, ix long, iy long, iz long")
+    faces = boundary.exposed_faces(v)
+    model = robot.parse_urdf(robot.DEMO_URDF)
+    poses = robot.sphere_poses(spark.range(30).select(F.col("id").alias("config_id"), F.array(F.col("id") / 10.0, F.lit(0.1), F.lit(0.2)).alias("q")), model)
+    field = robot.field_at(poses, coords, arrangement.build_programs(cells, coords, 0.1))
+    found, spheres = robot.described_groups(robot.group_clearances(field, model), model), robot.described_spheres(field, model)
+    surface = exports.surface_summary(v, faces, boundary.patches(faces), 0.1)
+    documents = exports.clearance_documents(found, spheres, surface, None, {"voxel_size": 0.1})
+    top = next(x for x in documents._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "frame_id" in top and "config_id" not in top
+    said = surface.select(F.to_json("surface", {"ignoreNullFields": "false"})).first()[0]
+    read = [json.loads(r.value) for r in documents.collect()]
+    assert sorted(d["config_id"] for d in read) == list(range(30)) and all(d["surface"] == json.loads(said) for d in read)
+    assert all([s["id"] for s in d["spheres"]] == list(range(len(model.spheres))) and len(d["groups"]) == 3 for d in read)
+    assert list(read[0]) == ["schema", "frame_id", "config_id", "options", "surface", "groups", "spheres"]
