@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbours import fitted
+from .balls import smoothed
 from .surfaces import exact_side, places_of, whole_meshes
 
-#: Frames whose result a task remembers, and numbers that a smoothing works on at a time.
-MOST_KNOWN, MOST_NUMBERS = 1024, 1 << 20
+#: Frames whose result a task remembers.
+MOST_KNOWN = 1024
+#: Cells of a block along an axis, and points of a task, in a smoothing.
+BLOCK, POINTS_A_TASK = 2, 1 << 14
 
 
 def hull_planes(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -259,45 +261,31 @@ def convexity_violations(points: DataFrame, planes: DataFrame, tolerance: float)
 def jet_smooth(points: DataFrame, radius: float, least: int = 12) -> DataFrame:
     """points moved onto a local surface: the degree-2 fit of the neighbours within a radius, along their normal.
 
-    Neighbours come from the 27 grid cells around a point: each point is dealt to the cells it may serve, so
-    a cell and its rim are one bounded task. Points with fewer than ``least`` neighbours stay. Rows: frame_id,
-    point_id, x, y, z and moved.
+    Neighbours come from the 27 grid cells around a point: each point is dealt to the blocks of cells that it may serve, so
+    a block and its rim are one task, which works cell by cell; see ``balls``. Points with fewer than ``least`` neighbours
+    stay. Rows: frame_id, point_id, x, y, z and moved.
     """
-    cell = {f"c{c}": F.floor(F.col(c) / radius) for c in "xyz"}
-    own = points.select("frame_id", "point_id", *"xyz").withColumns(cell)
-    offsets = F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip("xyz", s, strict=True)]) for s in itertools.product((-1, 0, 1), repeat=3)])
-    rim = own.withColumn("o", F.explode(offsets)).select(
-        "frame_id", "point_id", *"xyz", *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in "xyz"], (F.abs("o.dx") + F.abs("o.dy") + F.abs("o.dz") == 0).alias("mine")
-    )
-
-    cells = ["frame_id", "cx", "cy", "cz"]
-
-    def smoothed(x: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Points mine of a cell and its rim x, and whether they moved: those with equally many neighbours at once, in blocks."""
-        out, moved = x[mine].copy(), np.zeros(len(mine), bool)
-        for at in range(0, len(mine), max(1, MOST_NUMBERS // len(x))):
-            some = np.arange(at, min(len(mine), at + max(1, MOST_NUMBERS // len(x))))
-            near = ((x[None] - x[mine[some], None]) ** 2).sum(axis=2) <= radius * radius
-            many = near.sum(axis=1)
-            for n in np.unique(many[many >= least]).tolist():
-                same = np.flatnonzero(many == n)
-                for k in range(0, len(same), max(1, MOST_NUMBERS // (18 * n))):
-                    part = same[k : k + max(1, MOST_NUMBERS // (18 * n))]
-                    held = x[np.nonzero(near[part])[1].reshape(len(part), n)]
-                    out[some[part]], moved[some[part]] = fitted(x[mine[some[part]]], held), True
-        return out, moved
+    cell, block = ["cx", "cy", "cz"], ["frame_id", "bx", "by", "bz"]
+    own = points.select("frame_id", "point_id", *"xyz").withColumns({f"c{c}": F.floor(F.col(c) / radius) for c in "xyz"})
+    held = own
+    for c, b in zip(cell, block[1:], strict=True):
+        held = held.withColumn(b, F.explode(F.array_distinct(F.array(F.floor((F.col(c) - 1) / BLOCK), F.floor((F.col(c) + 1) / BLOCK)))))
+    mine = [F.floor(F.col(c) / BLOCK).eqNullSafe(F.col(b)) for c, b in zip(cell, block[1:], strict=True)]
+    held = held.withColumn("mine", mine[0] & mine[1] & mine[2])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_meshes(frames, cells):
-            x, own, done = frame[["x", "y", "z"]].to_numpy(), frame["mine"].to_numpy(), []
-            ends = np.append(np.flatnonzero(np.diff(places_of(frame, cells), prepend=-1)), len(frame))
+        for frame in whole_meshes(frames, block):
+            x, own, c, done = frame[["x", "y", "z"]].to_numpy(dtype=np.float64), frame["mine"].to_numpy(), frame[cell].to_numpy(), []
+            ends = np.append(np.flatnonzero(np.diff(places_of(frame, block), prepend=-1)), len(frame))
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 mine = np.flatnonzero(own[a:b])
                 if len(mine):
-                    done.append((a + mine, *smoothed(x[a:b], mine)))
+                    done.append((a + mine, *smoothed(x[a:b], mine, c[a:b], radius, least)))
             if done:
                 at, out, moved = (np.concatenate(parts) for parts in zip(*done, strict=True))
                 yield pd.DataFrame({"frame_id": frame["frame_id"].to_numpy()[at], "point_id": frame["point_id"].to_numpy()[at], "x": out[:, 0], "y": out[:, 1], "z": out[:, 2], "moved": moved})
 
-    dealt = rim.repartition(*cells).sortWithinPartitions(*cells)
+    # Dense blocks are few and take most of the time, so that they are dealt to many tasks.
+    tasks = max(4 * points.sparkSession.sparkContext.defaultParallelism, -(-points.count() // POINTS_A_TASK))
+    dealt = held.repartition(tasks, *block).sortWithinPartitions(*block)
     return dealt.mapInPandas(run, "frame_id long, point_id long, x double, y double, z double, moved boolean")
