@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -216,37 +216,78 @@ def agglomerate(vertices: np.ndarray, tets: np.ndarray, tolerance: float = 1e-9,
     return out
 
 
+def _listed(vertices: DataFrame, tets: DataFrame) -> DataFrame:
+    """One row a frame of tetrahedra: frame_id, tets and v (their numbers and corners), names and x (its vertices' numbers and places)."""
+    order = F.sort_array(F.collect_list(F.struct("vertex_id", *"xyz")))
+    placed = vertices.groupBy("frame_id").agg(order.alias("p")).select("frame_id", F.transform("p", lambda p: p["vertex_id"]).alias("names"), F.flatten(F.transform("p", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("x"))
+    listed = tets.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("tet_id", "v"))).alias("t"))
+    listed = listed.select("frame_id", F.transform("t", lambda t: t["tet_id"]).alias("tets"), F.flatten(F.transform("t", lambda t: t["v"])).alias("v"))
+    return listed.join(placed.hint("merge"), "frame_id", "left")
+
+
+def _once(frame: pd.DataFrame, known: dict, work: Callable[[np.ndarray, np.ndarray], object]) -> Iterator[tuple]:
+    """Frames of ``_listed`` with what work says of their points and tetrahedra; equal ones are worked out once a task."""
+    for fid, ids, names, x, v in zip(frame["frame_id"], frame["tets"], frame["names"], frame["x"], frame["v"], strict=True):
+        if names is None or not np.isin(v, names).all():
+            raise ValueError(f"frame {fid} has tetrahedra of unknown vertices")
+        at, points = np.searchsorted(names, v).reshape(-1, 4), np.ascontiguousarray(x, dtype=np.float64).reshape(-1, 3)
+        key = (points.tobytes(), at.tobytes())
+        if key not in known:
+            if len(known) >= MOST_KNOWN or len(at) > MOST_KNOWN:
+                known.clear()
+            known[key] = work(points, at)
+        yield fid, ids, known[key]
+
+
 def agglomerate_frames(vertices: DataFrame, tets: DataFrame, **limits: int) -> DataFrame:
     """Rows (frame_id, tet_id, cluster_id) of tables vertex (frame_id, vertex_id, x, y, z) and tet (frame_id, tet_id, v).
 
     limits: target, most_cells and most_planes of ``Agglomeration.run``.
     """
 
-    order = F.array_sort(F.collect_list(F.struct("vertex_id", *"xyz")))
-    placed = vertices.groupBy("frame_id").agg(order.alias("p")).select("frame_id", F.transform("p", lambda p: p["vertex_id"]).alias("names"), F.flatten(F.transform("p", lambda p: F.array(p["x"], p["y"], p["z"]))).alias("x"))
-    listed = tets.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("tet_id", "v"))).alias("t"))
-    listed = listed.select("frame_id", F.transform("t", lambda t: t["tet_id"]).alias("tets"), F.flatten(F.transform("t", lambda t: t["v"])).alias("v"))
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple[bytes, bytes], np.ndarray] = {}
         for frame in frames:
-            found = []
-            for fid, names, x, v in zip(frame["frame_id"], frame["names"], frame["x"], frame["v"], strict=True):
-                if names is None or not np.isin(v, names).all():
-                    raise ValueError(f"frame {fid} has tetrahedra of unknown vertices")
-                at, points = np.searchsorted(names, v).reshape(-1, 4), np.ascontiguousarray(x, dtype=np.float64).reshape(-1, 3)
-                key = (points.tobytes(), at.tobytes())
-                if key not in known:
-                    if len(known) >= MOST_KNOWN or len(at) > MOST_KNOWN:
-                        known.clear()
-                    known[key] = agglomerate(points, at, **limits)
-                found.append(known[key])
+            found = [made for *_, made in _once(frame, known, lambda x, at: agglomerate(x, at, **limits))]
             if found:
                 sizes = frame["tets"].map(len).to_numpy()
                 yield pd.DataFrame({"frame_id": np.repeat(frame["frame_id"].to_numpy(), sizes), "tet_id": np.concatenate(list(frame["tets"])), "cluster_id": np.concatenate(found)})
 
-    # Frames of equal places and tetrahedra are merged once a task.
-    return listed.join(placed.hint("merge"), "frame_id", "left").mapInPandas(run, "frame_id long, tet_id long, cluster_id long")
+    return _listed(vertices, tets).mapInPandas(run, "frame_id long, tet_id long, cluster_id long")
+
+
+def clustered_frames(vertices: DataFrame, tets: DataFrame, **limits: int) -> DataFrame:
+    """``agglomerate_frames`` with faces, one row a frame: frame_id, tets and clusters (arrays), and packed doubles of the corners of
+    each tetrahedron (12), of the outer triangles of all (surface: 0 and 9) and of each cluster (faces: its number and 9).
+
+    A frame's tetrahedra are in one task for their queue in any case; so their faces need neither shuffles nor joins. Triangles
+    are those of ``meshes.cluster_faces``.
+    """
+
+    def work(x: np.ndarray, at: np.ndarray) -> tuple:
+        found = agglomerate(x, at, **limits)
+        return found, x[at].tobytes(), outer_triangles(x, at, np.zeros(len(at), np.int64)).tobytes(), outer_triangles(x, at, found).tobytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[bytes, bytes], tuple] = {}
+        for frame in frames:
+            yield pd.DataFrame([(fid, ids, *made) for fid, ids, made in _once(frame, known, work)], columns=["frame_id", "tets", "clusters", "corners", "surface", "faces"])
+
+    return _listed(vertices, tets).mapInPandas(run, "frame_id long, tets array<long>, clusters array<long>, corners binary, surface binary, faces binary")
+
+
+def outer_triangles(x: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Outward triangles of clusters ``of`` of tetrahedra ``at`` of points x: rows of the cluster and nine coordinates, in order of cluster and corners."""
+    sides = [np.sort(np.delete(at, i, axis=1), axis=1) for i in range(4)]
+    rows = np.column_stack([np.tile(of, 4), np.concatenate(sides)])
+    faces, first, uses = np.unique(rows, axis=0, return_index=True, return_counts=True)
+    once = uses == 1
+    a, b, c = (x[faces[once, k]] for k in (1, 2, 3))
+    o = x[at.T.ravel()[first[once]]]
+    u, v, w = b - a, c - a, o - a
+    n = (u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+    turned = (n[0] * w[:, 0] + n[1] * w[:, 1] + n[2] * w[:, 2] > 0)[:, None]
+    return np.column_stack([faces[once, 0], a, np.where(turned, c, b), np.where(turned, b, c)])
 
 
 def convexity_violations(points: DataFrame, planes: DataFrame, tolerance: float) -> DataFrame:

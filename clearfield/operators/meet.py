@@ -2,7 +2,8 @@
 
 What a frame has is packed into one binary value, a side. Where all sides together are small, which is counted
 first, they are broadcast and points stay where they are. Where not, points are dealt out by frame and as many
-salts as the frame's own count of points asks for, so that neither a large frame nor many sides meet one task.
+salts as the frame's own count of points asks for, so that neither a large frame nor many sides meet one task. Within a task, points of frames that are said to be
+alike are worked on together where sides are equal, so that many small frames cost little more than their points.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ Compute = Callable[[pd.DataFrame, object], dict[str, np.ndarray]]
 
 
 def meet(
-    points: DataFrame, sides: DataFrame, unpack: Callable[[bytes], object], compute: Compute, added: str, most_broadcast: int = MOST_BROADCAST, weight: Callable[[object], int] | None = None
+    points: DataFrame, sides: DataFrame, unpack: Callable[[bytes], object], compute: Compute, added: str, most_broadcast: int = MOST_BROADCAST, weight: Callable[[object], int] | None = None, alike: bool = False
 ) -> DataFrame:
-    """points, all columns, with the columns ``added`` (a schema) that compute gives for points of one frame.
+    """points, all columns, with the columns ``added`` (a schema) that compute gives for points of one frame, or, where frames are
+    ``alike``, of frames whose sides are equal.
 
     points: frame_id and whatever compute reads; sides: frame_id, side (binary), one row a frame. Points of
     frames without a side do not appear. Columns of points named like an added one are replaced. compute gets at most
@@ -76,9 +78,17 @@ def meet(
             yield from pa.concat_tables(waiting).combine_chunks().to_batches(TOGETHER)
 
     if total <= most_broadcast:
-        shared = spark.sparkContext.broadcast({r["frame_id"]: bytes(r["side"]) for r in sides.collect()})
+        numbers: dict[bytes, int] = {}
+        if alike:
+            of = {r["frame_id"]: numbers.setdefault(bytes(r["side"]), len(numbers)) for r in sides.collect()}
+            every = list(numbers)
+        else:
+            told = {r["frame_id"]: bytes(r["side"]) for r in sides.collect()}
+            of, every = {f: i for i, f in enumerate(told)}, list(told.values())
+        shared = spark.sparkContext.broadcast((of, every))
 
         def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+            of, every = shared.value
             unpacked: dict[int, object] = {}
             held: dict[int, list[pa.RecordBatch]] = {}
             sizes: dict[int, int] = {}
@@ -89,7 +99,7 @@ def meet(
                 if f not in unpacked:
                     if len(unpacked) >= MOST_UNPACKED:
                         unpacked.clear()
-                    unpacked[f] = unpack(shared.value[f])
+                    unpacked[f] = unpack(every[f])
                 del sizes[f]
                 parts = held.pop(f)
                 taken -= sum(part.nbytes + PART_BYTES for part in parts)
@@ -97,12 +107,13 @@ def meet(
 
             for batch in batches:
                 coded = batch.column("frame_id").dictionary_encode()
-                codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                side = np.array([*(of.get(f, -1) for f in coded.dictionary.to_pylist()), -1])  # a null frame is the last
+                codes = side[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
                 order = np.argsort(codes, kind="stable")
-                ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
-                for k, f in enumerate(coded.dictionary.to_pylist()):
-                    if f in shared.value:
-                        part = batch.take(pa.array(order[ends[k] : ends[k + 1]]))
+                found, starts = np.unique(codes[order], return_index=True)
+                for f, at, to in zip(found.tolist(), starts, [*starts[1:], len(order)], strict=True):
+                    if f >= 0:
+                        part = batch.take(pa.array(order[at:to]))
                         held.setdefault(f, []).append(part)
                         sizes[f] = sizes.get(f, 0) + len(part)
                         taken += part.nbytes + PART_BYTES
@@ -120,30 +131,49 @@ def meet(
     # By the point's own columns: a task that is done again deals the same.
     salted = kept.join(counts, "frame_id").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.col("_salts")).cast("int"))
     copies = sides.join(counts, "frame_id").select("frame_id", F.col("side").alias("_side"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
-    # Each side comes right before its points, which go by in blocks: no group is held whole.
+    # Each side comes right before its points, which go by in blocks, or wait for others of an equal side: no group is held whole.
     both = salted.select(*[F.col(f"`{c}`") for c in plain], "_salt", F.lit(None).cast("binary").alias("_side")).unionByName(copies, allowMissingColumns=True)
     dealt = both.repartition("frame_id", "_salt").sortWithinPartitions("frame_id", "_salt", F.col("_side").isNull())
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        now, side, held, size = None, None, [], 0
+        now, side, taken = None, None, 0
+        held: dict[object, list[pa.RecordBatch]] = {}  # by side or by frame and salt
+        whose: dict[object, bytes] = {}
+        sizes: dict[object, int] = {}
+
+        def close(key: object) -> pa.Table:
+            nonlocal taken
+            del sizes[key]
+            parts, told = held.pop(key), whose.pop(key)
+            taken -= len(told) + sum(part.nbytes + PART_BYTES for part in parts)
+            return result(parts, unpack(told))
+
         for batch in batches:
             frame, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("frame_id", "_salt"))
             starts = np.flatnonzero(np.concatenate([[True], (frame[1:] != frame[:-1]) | (salt[1:] != salt[:-1])])) if len(frame) else []
+            spots: dict[object, tuple[bytes, list[np.ndarray]]] = {}
             for at, to in zip(starts, [*starts[1:], len(frame)], strict=True):
                 if (frame[at], salt[at]) != now:
-                    if held:
-                        yield result(held, side)
-                    now, side, held, size = (frame[at], salt[at]), None, [], 0
+                    now, side = (frame[at], salt[at]), None
                     if batch.column("_side")[at].is_valid:
-                        side, at = unpack(batch.column("_side")[at].as_py()), at + 1
+                        side, at = batch.column("_side")[at].as_py(), at + 1
                 if side is not None and to > at:
-                    held.append(batch.slice(at, to - at))
-                    size += to - at
-                    if size >= TOGETHER:
-                        yield result(held, side)
-                        held, size = [], 0
-        if held:
-            yield result(held, side)
+                    spots.setdefault(side if alike else now, (side, []))[1].append(np.arange(at, to))
+            points = batch.select(plain)
+            for key, (told, rows) in spots.items():
+                part = points.take(pa.array(np.concatenate(rows)))
+                if key not in held:
+                    held[key], whose[key], sizes[key] = [], told, 0
+                    taken += len(told)
+                held[key].append(part)
+                sizes[key] += len(part)
+                taken += part.nbytes + PART_BYTES
+                if sizes[key] >= TOGETHER or not alike and key != now:
+                    yield close(key)
+            for key in [k for k in held if k != now] if not alike else list(held) if taken > HELD_BYTES or sum(sizes.values()) > MOST_HELD else []:
+                yield close(key)
+        for key in list(held):
+            yield close(key)
 
     return dealt.mapInArrow(lambda batches: gathered(passed(batches)), schema)
 

@@ -137,22 +137,25 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """points, all columns, with ``inside`` of the closed mesh of their frame, given as rows frame_id, ax .. cz."""
 
     def compute(pts: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
-        x = pts[["x", "y", "z"]].to_numpy(dtype=np.float64)
-        inside = np.zeros(len(x), bool)
-        corners = t.reshape(-1, 3, 3)
-        low, high = corners.min(axis=1), corners.max(axis=1)
-        order = np.lexsort((x[:, 1], np.floor(x[:, 2] * 16)))
-        for at in range(0, len(x), 512):
-            mine = order[at : at + 512]
-            p = x[mine]
-            near = np.flatnonzero((low[:, 1:] <= p[:, 1:].max(axis=0)).all(axis=1) & (high[:, 1:] >= p[:, 1:].min(axis=0)).all(axis=1) & (high[:, 0] > p[:, 0].min()))
-            for s in range(0, len(near), 512):
-                inside[mine] ^= crossings(p, corners[near[s : s + 512]]) % 2 == 1
-        return {"inside": inside}
+        return {"inside": in_triangles(pts[["x", "y", "z"]].to_numpy(dtype=np.float64), t.reshape(-1, 3, 3))}
 
     return meet(points, packed(triangles, _CORNERS), unpacked(9), compute, "inside boolean")
 
 
+def in_triangles(x: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """Whether points x (n, 3) are inside of the closed mesh of triangles (m, 3, 3)."""
+    inside = np.zeros(len(x), bool)
+    low, high = corners.min(axis=1), corners.max(axis=1)
+    order = np.lexsort((x[:, 1], np.floor(x[:, 2] * 16)))
+    for at in range(0, len(x), 512):
+        mine = order[at : at + 512]
+        p = x[mine]
+        near = np.flatnonzero((low[:, 1:] <= p[:, 1:].max(axis=0)).all(axis=1) & (high[:, 1:] >= p[:, 1:].min(axis=0)).all(axis=1) & (high[:, 0] > p[:, 0].min()))
+        for s in range(0, len(near), 512):
+            inside[mine] ^= crossings(p, corners[near[s : s + 512]]) % 2 == 1
+    return inside
+
+
 def points_on_triangles(points: DataFrame, triangles: DataFrame, band: float) -> DataFrame:
     """points, all columns, with ``on``: whether a triangle of their frame (rows frame_id, ax .. cz) lies within the band.
 
@@ -160,23 +163,27 @@ def points_on_triangles(points: DataFrame, triangles: DataFrame, band: float) ->
     """
 
     def compute(pts: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
-        x, corners = pts[["x", "y", "z"]].to_numpy(dtype=np.float64), t.reshape(-1, 3, 3)
-        on = np.zeros(len(x), bool)
-        for s in range(0, len(corners), 256):
-            c = corners[s : s + 256]
-            n = np.cross(c[:, 1] - c[:, 0], c[:, 2] - c[:, 0])
-            n /= np.linalg.norm(n, axis=1)[:, None]
-            near = np.abs(np.einsum("nmi,mi->nm", x[:, None] - c[None, :, 0], n)) <= band
-            for k in range(3):
-                side = np.cross(n, c[:, (k + 1) % 3] - c[:, k])
-                side /= np.linalg.norm(side, axis=1)[:, None]
-                near &= np.einsum("nmi,mi->nm", x[:, None] - c[None, :, k], side) >= -band
-            on |= near.any(axis=1)
-        return {"on": on}
+        return {"on": on_triangles(pts[["x", "y", "z"]].to_numpy(dtype=np.float64), t.reshape(-1, 3, 3), band)}
 
     return meet(points, packed(triangles, _CORNERS), unpacked(9), compute, "on boolean")
 
 
+def on_triangles(x: np.ndarray, corners: np.ndarray, band: float) -> np.ndarray:
+    """Whether points x (n, 3) are within the band of one of the triangles (m, 3, 3)."""
+    on = np.zeros(len(x), bool)
+    for s in range(0, len(corners), 256):
+        c = corners[s : s + 256]
+        n = np.cross(c[:, 1] - c[:, 0], c[:, 2] - c[:, 0])
+        n /= np.linalg.norm(n, axis=1)[:, None]
+        near = np.abs(np.einsum("nmi,mi->nm", x[:, None] - c[None, :, 0], n)) <= band
+        for k in range(3):
+            side = np.cross(n, c[:, (k + 1) % 3] - c[:, k])
+            side /= np.linalg.norm(side, axis=1)[:, None]
+            near &= np.einsum("nmi,mi->nm", x[:, None] - c[None, :, k], side) >= -band
+        on |= near.any(axis=1)
+    return on
+
+
 def sides(points: DataFrame, triangles: DataFrame, band: float) -> DataFrame:
     """points, all columns, with ``side`` of their frame's closed mesh: boundary (within the band), bounded or unbounded."""
     both = points_on_triangles(points_in_triangles(points, triangles), triangles, band)
@@ -208,22 +215,26 @@ def points_in_tets(points: DataFrame, vertices: DataFrame, tets: DataFrame) -> D
         t = t.join(vertices.select("frame_id", F.col("vertex_id").alias(f"v{k}"), *[F.col(c).alias(f"{c}{k}") for c in "xyz"]), ["frame_id", f"v{k}"])
 
     def compute(pts: pd.DataFrame, side: np.ndarray) -> dict[str, np.ndarray]:
-        x, corners = pts[["x", "y", "z"]].to_numpy(), side.reshape(-1, 4, 3)
-        count = np.zeros(len(x), np.int64)
-        for s in range(0, len(corners), 256):
-            c = corners[s : s + 256]
-            held = np.ones((len(x), len(c)), bool)
-            for k in range(4):
-                a, b, d = (c[:, i] for i in range(4) if i != k)
-                n = np.cross(b - a, d - a)
-                inner = np.einsum("mi,mi->m", n, c[:, k] - a)
-                held &= (np.einsum("nmi,mi->nm", x[:, None, :] - a[None], n) * np.sign(inner) >= 0)
-            count += held.sum(axis=1)
-        return {"tets": count}
+        return {"tets": in_tets(pts[["x", "y", "z"]].to_numpy(), side.reshape(-1, 4, 3))}
 
     return meet(points, packed(t, [f"{c}{k}" for k in range(4) for c in "xyz"]), unpacked(12), compute, "tets long")
 
 
+def in_tets(x: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """How many closed tetrahedra (m, 4, 3) hold each of the points x (n, 3)."""
+    count = np.zeros(len(x), np.int64)
+    for s in range(0, len(corners), 256):
+        c = corners[s : s + 256]
+        held = np.ones((len(x), len(c)), bool)
+        for k in range(4):
+            a, b, d = (c[:, i] for i in range(4) if i != k)
+            n = np.cross(b - a, d - a)
+            inner = np.einsum("mi,mi->m", n, c[:, k] - a)
+            held &= (np.einsum("nmi,mi->nm", x[:, None, :] - a[None], n) * np.sign(inner) >= 0)
+        count += held.sum(axis=1)
+    return count
+
+
 def cluster_faces(tets: DataFrame, clusters: DataFrame, vertices: DataFrame) -> DataFrame:
     """Outward triangles of clusters of tetrahedra: frame_id, cluster_id and the corners ax .. cz.
 
@@ -250,22 +261,27 @@ def points_in_clusters(points: DataFrame, triangles: DataFrame) -> DataFrame:
     """
 
     def compute(pts: pd.DataFrame, t: np.ndarray) -> dict[str, np.ndarray]:
-        x, of, corners = pts[["x", "y", "z"]].to_numpy(dtype=np.float64), t[:, 0], t[:, 1:].reshape(-1, 3, 3)
-        n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
-        n /= np.linalg.norm(n, axis=1)[:, None]
-        offset = np.einsum("mi,mi->m", n, corners[:, 0])
-        best = np.full(len(x), np.inf)
-        for c in np.unique(of):
-            mine, worst = np.flatnonzero(of == c), np.full(len(x), -np.inf)
-            for s in range(0, len(mine), 256):
-                at = mine[s : s + 256]
-                worst = np.maximum(worst, (x @ n[at].T - offset[at]).max(axis=1))
-            best = np.minimum(best, worst)
-        return {"q": best}
+        return {"q": cluster_values(pts[["x", "y", "z"]].to_numpy(dtype=np.float64), t)}
 
     return meet(points, packed(triangles, ["cluster_id", *_CORNERS]), unpacked(10), compute, "q double")
 
 
+def cluster_values(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``points_in_clusters`` of points x (n, 3); t: rows of a cluster's number and nine coordinates."""
+    of, corners = t[:, 0], t[:, 1:].reshape(-1, 3, 3)
+    n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    offset = np.einsum("mi,mi->m", n, corners[:, 0])
+    best = np.full(len(x), np.inf)
+    for c in np.unique(of):
+        mine, worst = np.flatnonzero(of == c), np.full(len(x), -np.inf)
+        for s in range(0, len(mine), 256):
+            at = mine[s : s + 256]
+            worst = np.maximum(worst, (x @ n[at].T - offset[at]).max(axis=1))
+        best = np.minimum(best, worst)
+    return best
+
+
 def support_planes(triangles: DataFrame, angle: float = 0.0) -> DataFrame:
     """Fewer planes of convex clusters: frame_id, cluster_id, nx, ny, nz, offset, faces, area.
 
@@ -275,24 +291,6 @@ def support_planes(triangles: DataFrame, angle: float = 0.0) -> DataFrame:
     corners of the cluster, so that the planes hold the whole cluster: nothing is cut off, something may be added.
     """
 
-    def planes(corners: np.ndarray) -> list[tuple]:
-        n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
-        area = np.linalg.norm(n, axis=1) / 2
-        unit, points = n / (2 * area)[:, None], corners.reshape(-1, 3)
-        least, sums, firsts, members = np.cos(angle) - 1e-12, [], [], []
-        for i in sorted(range(len(n)), key=lambda i: (-round(area[i], 12), *np.round(unit[i], 12))):
-            k = next((k for k, first in enumerate(firsts) if unit[first] @ unit[i] >= least), None)
-            if k is None:
-                firsts.append(i), sums.append(n[i].copy()), members.append([i])
-            else:
-                sums[k] += n[i]
-                members[k].append(i)
-        out = []
-        for total, mine in zip(sums, members, strict=True):
-            normal = total / np.linalg.norm(total)
-            out.append((*normal, float((points @ normal).max()), len(mine), float(area[mine].sum())))
-        return out
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, list[tuple]] = {}
         for frame in frames:
@@ -303,7 +301,7 @@ def support_planes(triangles: DataFrame, angle: float = 0.0) -> DataFrame:
                 if key not in known:
                     if len(known) >= MOST_KNOWN or len(corners) > MOST_KNOWN:
                         known.clear()
-                    known[key] = planes(corners)
+                    known[key] = _planes(corners, angle)
                 rows += [(f, c, *p) for p in known[key]]
             yield pd.DataFrame(rows, columns=["frame_id", "cluster_id", "nx", "ny", "nz", "offset", "faces", "area"])
 
@@ -313,6 +311,66 @@ def support_planes(triangles: DataFrame, angle: float = 0.0) -> DataFrame:
     return listed.mapInPandas(run, schema)
 
 
+def _planes(corners: np.ndarray, angle: float) -> list[tuple]:
+    """``support_planes`` of one cluster's triangles (n, 3, 3)."""
+    n = np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0])
+    area = np.linalg.norm(n, axis=1) / 2
+    unit, points = n / (2 * area)[:, None], corners.reshape(-1, 3)
+    least, sums, firsts, members = np.cos(angle) - 1e-12, [], [], []
+    for i in sorted(range(len(n)), key=lambda i: (-round(area[i], 12), *np.round(unit[i], 12))):
+        k = next((k for k, first in enumerate(firsts) if unit[first] @ unit[i] >= least), None)
+        if k is None:
+            firsts.append(i), sums.append(n[i].copy()), members.append([i])
+        else:
+            sums[k] += n[i]
+            members[k].append(i)
+    out = []
+    for total, mine in zip(sums, members, strict=True):
+        normal = total / np.linalg.norm(total)
+        out.append((*normal, float((points @ normal).max()), len(mine), float(area[mine].sum())))
+    return out
+
+
+def packed_triangles(frames: DataFrame, column: str) -> DataFrame:
+    """Rows frame_id, cluster_id, ax .. cz of triangles that are packed by frame; see ``clusters.clustered_frames``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                rows = [np.frombuffer(side).reshape(-1, 10) for side in batch["side"]]
+                x = np.concatenate(rows)
+                yield pd.DataFrame({"frame_id": np.repeat(batch["frame_id"].to_numpy(), [len(r) for r in rows]), "cluster_id": x[:, 0].astype(np.int64), **{c: x[:, 1 + k] for k, c in enumerate(_CORNERS)}})
+
+    return frames.select("frame_id", F.col(column).alias("side")).mapInPandas(run, "frame_id long, cluster_id long, " + ", ".join(f"{c} double" for c in _CORNERS))
+
+
+def packed_planes(frames: DataFrame, column: str, angle: float = 0.0) -> DataFrame:
+    """``support_planes`` of triangles that are packed by frame; frames of equal triangles are reduced once a task."""
+
+    def found(side: bytes) -> np.ndarray:
+        t = np.frombuffer(side).reshape(-1, 10)
+        t, out = t[np.lexsort(t.T[::-1])], []
+        for c in np.unique(t[:, 0]):
+            out += [(c, *p) for p in _planes(t[t[:, 0] == c, 1:].reshape(-1, 3, 3), angle)]
+        return np.array(out, dtype=np.float64).reshape(-1, 7)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            made = []
+            for side in batch["side"]:
+                if side not in known:
+                    if len(known) >= MOST_KNOWN or len(side) > 80 * MOST_KNOWN:
+                        known.clear()
+                    known[side] = found(side)
+                made.append(known[side])
+            if made:
+                p = np.concatenate(made)
+                yield pd.DataFrame({"frame_id": np.repeat(batch["frame_id"].to_numpy(), [len(m) for m in made]), "cluster_id": p[:, 0].astype(np.int64), "nx": p[:, 1], "ny": p[:, 2], "nz": p[:, 3], "offset": p[:, 4], "faces": p[:, 5].astype(np.int64), "area": p[:, 6]})
+
+    return frames.select("frame_id", F.col(column).alias("side")).mapInPandas(run, "frame_id long, cluster_id long, nx double, ny double, nz double, offset double, faces long, area double")
+
+
 def validity(faces: DataFrame, by: list[str]) -> DataFrame:
     """By mesh: faces, edges, edges not used twice, and edges used twice in the same direction (0, 0 for a closed, oriented mesh).
 

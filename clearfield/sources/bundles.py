@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import arrangement, audit, boundary, clusters, meshes, octree, sweep, trees, voxels
+from ..operators.meet import meet
 from . import exports
 from .staging import written
 
 #: Points on a mesh by so little are on its boundary, where rounding may decide.
 BAND = 1e-9
+#: Digits of a length in a packed side, and trees that a task remembers.
+HEAD, MOST_KNOWN = 12, 1024
 
 
 def samples_of(found: DataFrame, patched: DataFrame, programs: DataFrame, h: float, random: int = 64, error: float = 0.0) -> DataFrame:
@@ -142,11 +145,22 @@ def plane_trees(planes: DataFrame) -> DataFrame:
         return trees.to_json(tree, list(known))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, str] = {}
         for frame in frames:
-            yield pd.DataFrame({"frame_id": frame["frame_id"], "json": [text(np.asarray(p, dtype=np.float64).reshape(-1, 5)) for p in frame["planes"]]})
-
+            made = []
+            for p in frame["planes"]:
+                rows = np.asarray(p, dtype=np.float64).reshape(-1, 5)
+                key = rows.tobytes()
+                if key not in known:
+                    if len(known) >= MOST_KNOWN or len(rows) > MOST_KNOWN:
+                        known.clear()
+                    known[key] = text(rows)
+                made.append(known[key])
+            yield pd.DataFrame({"frame_id": frame["frame_id"], "json": made})
+
+    # Frames of equal planes have their tree once a task.
     row = F.array(F.col("cluster_id").cast("double"), "nx", "ny", "nz", "offset")
-    return planes.groupBy("frame_id").agg(F.flatten(F.array_sort(F.collect_list(row))).alias("planes")).mapInPandas(run, "frame_id long, json string")
+    return planes.groupBy("frame_id").agg(F.flatten(F.sort_array(F.collect_list(row))).alias("planes")).mapInPandas(run, "frame_id long, json string")
 
 
 def random_points(vertices: DataFrame, count: int, seed: float = 0.5) -> DataFrame:
@@ -161,6 +175,31 @@ def random_points(vertices: DataFrame, count: int, seed: float = 0.5) -> DataFra
     return at.select("frame_id", "point_id", *[place(k, c) for k, c in enumerate("xyz")])
 
 
+def _judged(probes: DataFrame, frames: DataFrame, texts: DataFrame) -> DataFrame:
+    """probes, all columns, with side (``meshes.sides`` of the surface), tets (how many hold them), cluster_value (``meshes.points_in_clusters``)
+    and q (of their frame's tree). frames: ``clusters.clustered_frames``. All four come from one meeting of points and frames."""
+    parts = ["surface", "corners", "faces", "json"]
+    sides = frames.join(texts.hint("merge"), "frame_id").withColumn("json", F.encode("json", "UTF-8"))
+    heads = [F.encode(F.lpad(F.length(c).cast("string"), HEAD, "0"), "UTF-8") for c in parts]
+    sides = sides.select("frame_id", F.concat(*heads, *parts).alias("side"))
+
+    def unpack(side: bytes) -> tuple:
+        ends = np.cumsum([HEAD * len(parts), *(int(side[HEAD * k : HEAD * (k + 1)]) for k in range(len(parts)))])
+        surface, corners, faces, text = (side[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        return (np.frombuffer(surface).reshape(-1, 10)[:, 1:].reshape(-1, 3, 3), np.frombuffer(corners).reshape(-1, 4, 3), np.frombuffer(faces).reshape(-1, 10), *trees.shared_json(text.decode()))
+
+    def compute(pts: pd.DataFrame, side: tuple) -> dict[str, np.ndarray]:
+        x, (surface, corners, faces, rows, planes) = pts[["x", "y", "z"]].to_numpy(dtype=np.float64), side
+        return {
+            "inside": meshes.in_triangles(x, surface), "on": meshes.on_triangles(x, surface, BAND), "tets": meshes.in_tets(x, corners),
+            "cluster_value": meshes.cluster_values(x, faces), "q": trees.shared_values(x, rows, planes),
+        }
+
+    both = meet(probes, sides, unpack, compute, "inside boolean, on boolean, tets long, cluster_value double, q double", weight=lambda side: len(side[3]), alike=True)
+    side = F.when(F.col("on"), "boundary").when(F.col("inside"), "bounded").otherwise("unbounded").alias("side")
+    return both.select(*[F.col(f"`{c}`") for c in probes.columns], side, "tets", "cluster_value", "q")
+
+
 def tet_tables(vertices: DataFrame, tets: DataFrame, probes: DataFrame, angle: float = 0.0, **limits: int) -> dict[str, DataFrame]:
     """Tables of the bundle of given tetrahedra by name.
 
@@ -172,14 +211,13 @@ def tet_tables(vertices: DataFrame, tets: DataFrame, probes: DataFrame, angle: f
     clusters and surface agree, nothing is missed, and nothing added unless angle allows it. Probes on the surface are
     counted, and not judged. A frame without tetrahedra has no rows.
     """
-    one = tets.select("frame_id", "tet_id", F.lit(0).cast("long").alias("cluster_id"))
-    surface = written(meshes.cluster_faces(tets, one, vertices))
-    found = written(clusters.agglomerate_frames(vertices, tets, **limits))
-    made = written(meshes.cluster_faces(tets, found, vertices))
-    planes = written(meshes.support_planes(made, angle))
+    frames = written(clusters.clustered_frames(vertices, tets, **limits))
+    surface, made = (written(meshes.packed_triangles(frames, c)) for c in ("surface", "faces"))
+    each = frames.select("frame_id", F.explode(F.arrays_zip("tets", "clusters")).alias("t"))
+    found = each.select("frame_id", F.col("t.tets").alias("tet_id"), F.col("t.clusters").alias("cluster_id"))
+    planes = written(meshes.packed_planes(frames, "faces", angle))
     texts = written(plane_trees(planes))
-    inside = meshes.points_in_clusters(meshes.points_in_tets(meshes.sides(probes, surface, BAND), vertices, tets), made).withColumnRenamed("q", "cluster_value")
-    samples = written(trees.evaluate_json(inside, texts))
+    samples = written(_judged(probes, frames, texts))
     off, held = F.col("side") != "boundary", F.col("side") == "bounded"
     in_tets, in_clusters, in_tree = F.col("tets") > 0, F.col("cluster_value") <= 0, F.col("q") <= 0
     judged = samples.groupBy("frame_id").agg(
